@@ -1,14 +1,22 @@
-"""The registered queries of this subpackage, opN_<name> and pipeline, and the DuckDB SQL of those that SQL can express."""
+"""The registered queries of this subpackage, opN_<name>, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import extract_pages
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import quality_verdicts
+from .sentence_pieces import encode_pieces, load
 from .sharding import assign_shards
+from .token_counts import token_counts
 from .toxicity import toxicity
 from .transport_stream import media_digests
+from .url_filter import url_verdicts
+
+#: The public tokenizers' folder; a parameter of the deployment.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +31,38 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), load(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

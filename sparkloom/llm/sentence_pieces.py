@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +34,7 @@ from ..shipping import ship
 from . import textkernel as tk
 
 MARK = "▁"
-WORDS = 200_000
+WORDS = 500_000
 _ITEM = re.compile(f"{MARK}?[^{MARK}\n]+|\n|{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+")
 
 
@@ -91,6 +93,7 @@ class Model:
         self.rank = [len(pieces)] * len(pieces)
         for r, k in enumerate(order):
             self.rank[k] = r
+        self.run: int | None = None
         self.parts: list[tuple[int, int] | None] = [None] * len(pieces)
         if self.kind == self.BPE:
             for k in self.id.values():
@@ -110,6 +113,18 @@ class Model:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def merge_run(self, n: int) -> list[str]:
+        """BPE of n marks. The longest run piece L repeats and the rest follows; that this is what merging does is checked once."""
+        if self.run is None:
+            self.run = longest = max((len(t) for t in self.id if not t.strip(MARK)), default=1)
+            for k in range(longest, 4 * longest + 1):
+                if self.merge([MARK] * k) != [MARK * longest] * (k // longest) + self.merge([MARK] * (k % longest)):
+                    self.run = 0
+                    break
+        if not self.run:
+            return self.merge([MARK] * n)
+        return [MARK * self.run] * (n // self.run) + self.merge([MARK] * (n % self.run))
+
     def _last_merge(self, k: int) -> tuple[int, int] | None:
         symbols = list(self.text[k])
         while len(symbols) > 2:
@@ -166,8 +181,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.codes: list[int] = []
-        self.stops: list[int] = [0]
+        self.codes, self.stops = array("i"), array("q", [0])
 
     def apart(self, a: int, b: int) -> bool:
         """Whether BPE leaves token a before token b as they are: no merge across their border comes before a merge that made them."""
@@ -268,10 +282,7 @@ class Encoder:
     def _add(self, words: list[str]) -> None:
         runs = [w for w in words if w.strip(MARK) == ""] if self.m.kind == self.m.BPE else []
         for w in runs:
-            codes = [self.m.id[t] if t in self.m.id else self.m.unknown for t in self.m.merge(list(w[:4096]))]
-            for _ in range(4096, len(w), 4096):
-                codes = [self.m.id[t] for t in self.m.merge(list(w))]
-                break
+            codes = [self.m.id[t] for t in self.m.merge_run(len(w))]
             self.number[w] = len(self.stops) - 1
             self.codes.extend(codes)
             self.stops.append(len(self.codes))
@@ -282,17 +293,17 @@ class Encoder:
         if len(self.stops) > WORDS:
             self.reset()
         items = [self._items(t) for t in texts]
-        new = {w for row in items for w in row if w not in self.number}
+        new = set(chain.from_iterable(items)).difference(self.number)
         if new:
             self._add(list(new))
-        get = self.number.__getitem__
-        flat = np.fromiter((get(w) for row in items for w in row), np.int64)
+        sizes = [len(row) for row in items]
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(items)), np.int64, sum(sizes))
         stops = np.array(self.stops)
         lengths = (stops[1:] - stops[:-1])[flat]
         total = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(stops[flat] - total[:-1], lengths) + np.arange(total[-1])
-        ids = np.array(self.codes, np.int32)[at]
-        return ids, total[np.concatenate([[0], np.cumsum([len(r) for r in items])])]
+        ids = np.array(self.codes)[at]
+        return ids, total[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each row of ids; the space of the prefix mark is dropped."""
@@ -325,7 +336,7 @@ def _encode(shared, verify: bool):
         encoder = _encoder(shared)
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(1))
-            for i, j in tk.chunks(offsets, 4 * tk.CHUNK):
+            for i, j in tk.chunks(offsets, 8 * tk.CHUNK):
                 raw = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
                 ids, at = encoder.encode([r.decode("utf-8", "replace") for r in raw])
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]

@@ -145,19 +145,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     return model
 
 
+def _numbers(model: Ordinal) -> np.ndarray:
+    number = np.full(FEATURES, -1, np.int32)
+    number[model.slots] = np.arange(len(model.slots))
+    return number
+
+
+def _severity(model: Ordinal, number: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the model's terms, P(grade > k)) of each text."""
+    z, hits = np.zeros(len(column)), np.zeros(len(column), np.int64)
+    for i, j, rows, slots in term_slots(column):
+        known = number[slots] >= 0
+        r, s = _distinct(rows[known], slots[known])
+        z[i:j] = np.bincount(r, model.weights[number[s]], j - i)
+        hits[i:j] = np.bincount(r, minlength=j - i)
+    return hits, model.above(z)
+
+
 def _score(shared):
     def run(batches):
         model = shared.value
-        number = np.full(FEATURES, -1, np.int32)
-        number[model.slots] = np.arange(len(model.slots))
+        number = _numbers(model)
         for batch in batches:
-            z, hits = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for i, j, rows, slots in term_slots(batch.column(1)):
-                known = number[slots] >= 0
-                r, s = _distinct(rows[known], slots[known])
-                z[i:j] = np.bincount(r, model.weights[number[s]], j - i)
-                hits[i:j] = np.bincount(r, minlength=j - i)
-            above = model.above(z)
+            hits, above = _severity(model, number, batch.column(1))
             severity = above.sum(1)
             bounds = np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], 1)
             grade = np.argmax(bounds[:, :-1] - bounds[:, 1:], 1)
@@ -178,3 +188,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     schema = "doc_id long, n_terms long, p_toxic double, severity double, grade int, toxic boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), schema)
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that toxicity() does not call toxic; no shuffle of texts."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        number = _numbers(model.value)
+        for batch in batches:
+            hits, above = _severity(model.value, number, batch.column(at))
+            yield batch.filter(pa.array((above.sum(1) < model.value.limit) | (hits == 0)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -96,13 +96,13 @@ def _walk(tree, b: np.ndarray) -> np.ndarray:
 def boost(x: np.ndarray, y: np.ndarray, stats: dict, prior: float, trees: int = TREES) -> Boosted:
     """Newton-boosted trees for the log-odds of y = 1, on at most BINS quantile bins of each feature; no randomness."""
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    model = Boosted(float(np.log(rate / (1 - rate))), edges, [], stats, prior)
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))  # both verdicts weigh alike
+    model = Boosted(0.0, edges, [], stats, prior)
     b, z = model.binned(x), np.full(len(x), model.base)
     size = 2 ** (DEPTH + 1) - 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
         at = np.zeros(len(x), np.int64)
         for node in range(size):
@@ -132,10 +132,10 @@ def fit(urls: DataFrame, sample: int = SAMPLE) -> Boosted | None:
     y = np.array([r["verdict"] == "block" for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None
-    prior, sums = float(y.mean()), {}
+    prior, sums, share = 0.5, {}, float(y.mean())
     for r, v in zip(rows, y, strict=True):
         a, n = sums.get(suffix(r["host"]), (0.0, 0.0))
-        sums[suffix(r["host"])] = (a + v, n + 1)
+        sums[suffix(r["host"])] = (a + v * 0.5 / share, n + (0.5 / share if v else 0.5 / (1 - share)))
     stats = {k: ((a + 20 * prior) / (n + 20), float(np.log1p(n))) for k, (a, n) in sums.items()}
     x = np.array([lexical(r["url"], r["host"], r["path"], stats, prior) for r in rows])
     return boost(x, y, stats, prior)
