@@ -21,7 +21,7 @@ from ..shipping import ship
 Rule = tuple[str, str, str]
 RULES: list[Rule] = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 SAMPLE, TREES, DEPTH, BINS, RATE = 20000, 60, 3, 32, 0.2
-FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "entropy", "params", "hyphens", "underscores", "longest_token", "suffix_block_rate", "suffix_rows"]
+FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "entropy", "params", "hyphens", "underscores", "longest_token", "suffix_block_rate"]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -52,15 +52,14 @@ def suffix(host: str) -> str:
     return ".".join(host.rsplit(".", 2)[-2:])
 
 
-def lexical(url: str, host: str, path: str, stats: dict[str, tuple[float, float]], prior: float) -> list[float]:
+def lexical(url: str, host: str, path: str, stats: dict[str, float], prior: float) -> list[float]:
     n = max(len(url), 1)
     counts = np.bincount(np.frombuffer(url.encode(), np.uint8), minlength=1)
     p = counts[counts > 0] / max(counts.sum(), 1)
     query = url.partition("?")[2].partition("#")[0]
-    rate, rows = stats.get(suffix(host), (prior, 0.0))
     return [
         len(url), len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1, sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in host),
-        float(-(p * np.log2(p)).sum()) if len(p) else 0.0, len([x for x in query.split("&") if x]), url.count("-"), url.count("_"), max(map(len, re.split(r"[^A-Za-z0-9]+", url))), rate, rows,
+        float(-(p * np.log2(p)).sum()) if len(p) else 0.0, len([x for x in query.split("&") if x]), url.count("-"), url.count("_"), max(map(len, re.split(r"[^A-Za-z0-9]+", url))), stats.get(suffix(host), prior),
     ]
 
 
@@ -71,7 +70,7 @@ class Boosted:
     base: float
     edges: list[np.ndarray]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    stats: dict[str, tuple[float, float]]
+    stats: dict[str, float]
     prior: float
 
     def binned(self, x: np.ndarray) -> np.ndarray:
@@ -136,7 +135,7 @@ def fit(urls: DataFrame, sample: int = SAMPLE) -> Boosted | None:
     for r, v in zip(rows, y, strict=True):
         a, n = sums.get(suffix(r["host"]), (0.0, 0.0))
         sums[suffix(r["host"])] = (a + v * 0.5 / share, n + (0.5 / share if v else 0.5 / (1 - share)))
-    stats = {k: ((a + 20 * prior) / (n + 20), float(np.log1p(n))) for k, (a, n) in sums.items()}
+    stats = {k: (a + 20 * prior) / (n + 20) for k, (a, n) in sums.items()}
     x = np.array([lexical(r["url"], r["host"], r["path"], stats, prior) for r in rows])
     return boost(x, y, stats, prior)
 
