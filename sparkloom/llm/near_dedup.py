@@ -5,10 +5,12 @@
    bin that a fixed probe sequence reaches first (optimal densification), and ``ROWS`` bins make a band key.
 2. Documents with equal sets are one class, found by a 128-bit digest of the set with a partial aggregate; only the smallest doc_id of a
    class goes on, so thousands of copies weigh as one row.
-3. A bucket (band key) with n members gives n - 1 candidate edges to its smallest member: a star, never all pairs.
+3. A bucket (band key) with n members gives n - 1 candidate edges to one member, the one that sits in the fullest buckets: a star around
+   the likeliest hub, never all pairs.
 4. Candidates are confirmed on full sets, shipped only for the documents that a fixed-size bitmap of candidates lets through.
 5. Confirmed links give components by large-star/small-star rounds. A bucket that still spans several components gets a new star around
-   another member; what then remains is compared across components only, so no link between different texts is lost for the star's sake.
+   another member; members of buckets that then still are split are joined exactly, across components only, on the rarest shingles of
+   their sets (prefix filtering). So no link between different texts is lost for the star's sake.
 
 A pair at exactly the least similarity shares no band with a probability of (1 - 0.85**5)**28 = 7e-8.
 
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkernel as tk
 from ..shipping import ship
@@ -155,14 +157,49 @@ def _confirm(percent: int):
     return run
 
 
+def _bitmap(ids: DataFrame):
+    """A broadcast bitmap of BITMAP bits that holds the hashes of the ids; BITMAP / 32 rows at most come to the driver."""
+    bits = np.zeros(BITMAP // 32, np.uint32)
+    for row in ids.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        bits[row["word"]] = row["bits"]
+    return ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _as_tokens(batches):
+    for batch in batches:
+        values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))], ["id", "tokens"])
+
+
+def _prefix_candidates(docs: DataFrame, members: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members (rep, n, component) of different components that can be linked, without a loss: prefix filtering.
+
+    With each set's shingles in order of rising frequency among the members, two linked sets share one of their first
+    n - ceil(n * percent / 100) + 1. Passages that many share stand last, so what they have in common makes no candidates. A pair is
+    given once, for the first shingle that its prefixes share.
+    """
+    sets = docs.select("doc_id", "text").mapInArrow(_needed_sets(size, _bitmap(members.select("rep"))), "id long, s binary")
+    mine = sets.join(members, sets["id"] == members["rep"]).select("id", "s").mapInArrow(_as_tokens, "id long, tokens array<bigint>")
+    tokens = scratch.put(mine.select("id", F.explode("tokens").alias("t")), "tokens")
+    common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "t"))
+    ranked = tokens.join(common, "t").withColumn("place", place).join(members.withColumnRenamed("rep", "id"), "id")
+    least = F.ceil(F.col("n") * percent / 100)
+    prefix = ranked.where((F.col("place") <= F.col("n") - least + 1) & (F.col("f") > 1)).groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("f", "t", "place"))).alias("p"))
+    prefix = scratch.put(prefix.select("id", "n", "component", F.explode("p").alias("x"), F.transform("p", lambda x: x["t"]).alias("p")).select("id", "n", "component", "p", "x.t", "x.place"), "prefixes")
+    one, two = prefix, prefix.select(F.col("t"), *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "p", "place")))
+    first = F.element_at(F.array_intersect("p", "p2"), 1) == F.col("t")
+    # no shingle before the first shared one is shared, so this many can be at most; and a link needs that many at least
+    most, needed = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")), F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    pairs = one.join(two, "t").where("id < id2 and component <> component2").where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).where(most >= needed).where(first)
+    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of document ids whose full sets reach the similarity."""
-    spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = np.zeros(BITMAP // 32, np.uint32)
-    for row in ends.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # BITMAP / 32 rows at most
-        bits[row["word"]] = row["bits"]
-    bitmap = spark.sparkContext.broadcast(bits.tobytes())
+    bitmap = _bitmap(ends)
     sets = scratch.put(docs.select("doc_id", "text").mapInArrow(_needed_sets(size, bitmap), "id long, s binary"), "sets")
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -174,18 +211,21 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratch:
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node that each end of the edges (a, b) reaches, by alternating large and small stars."""
-    now, seen = scratch.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars"), None
-    while True:
+    now = scratch.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    # done when no center hangs on another: all edges are stars then, around their smallest node
+    while not now.select(F.col("v").alias("u")).join(now, "u", "left_semi").isEmpty():
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = scratch.put(small.where("u <> v").distinct(), "stars")
-        sign = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == seen:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now, seen = after, sign
+        now = scratch.put(small.where("u <> v").distinct(), "stars")
+    # a node with two centers is one more reason to go on
+    if not now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        more = now.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return components(now.toDF("a", "b").union(more), scratch)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
@@ -201,10 +241,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     sig = scratch.put(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, digest binary, bands array<bigint>"), "signatures")
     named = sig.where("doc_id is not null and digest is not null")
     classes = scratch.put(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    copies = named.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    member = named.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
+    # a doc_id of several texts links their classes
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    twins = member.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("c")).where("members > 1")
-    buckets = scratch.put(rows.join(shared, "key").select("key", "rep", "n", "members", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "buckets")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = scratch.put(rows.join(counts, "key"), "shared")
+    weight = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    weighed = shared.join(weight, "rep")
+    hubs = weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("c"))
+    buckets = scratch.put(shared.join(hubs, "key").select("key", "rep", "n", "members", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "buckets")
 
     def near_in_size(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -213,24 +260,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     pairs = scratch.put(buckets.where(F.col("rep") != F.col("center")).where(near_in_size("n", "center_n")).select(*ordered("rep", "center")).distinct(), "pairs")
-    links, checked = confirm(docs, pairs, percent, size, scratch), pairs
-    for last in (False, True):
-        found = components(links, scratch)
+    links, checked = confirm(docs, pairs, percent, size, scratch).union(scratch.put(twins, "twins")), pairs
+    found = components(links, scratch)
+    for stars in (True, False):
         labelled = buckets.where("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
         split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep")).alias("c")).where("x <> y")
         open_ = labelled.join(split.select("key", "c"), "key")
-        if last:
-            # What two stars left open: members of different components, each component against the others, never inside one.
-            one, two = open_.select("key", "rep", "n", "component"), open_.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            more = one.join(two, "key").where("rep < rep2 and component <> component2").where(near_in_size("n", "n2")).select(*ordered("rep", "rep2"))
+        if stars:
+            more = open_.where("component <> c.component").where(near_in_size("n", "c.n")).select(*ordered("rep", "c.rep")).distinct()
         else:
-            more = open_.where("component <> c.component").where(near_in_size("n", "c.n")).select(*ordered("rep", "c.rep"))
-        more = scratch.put(more.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        links = links.union(confirm(docs, more, percent, size, scratch))
-        checked = checked.union(more)
-    classes_of = scratch.put(links.union(copies), "all")
-    final = components(classes_of, scratch)
-    out = sig.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            more = _prefix_candidates(docs, scratch.put(open_.select("rep", "n", "component").distinct(), "open"), percent, size, scratch)
+        more = scratch.put(more.join(checked, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            new = confirm(docs, more, percent, size, scratch)
+            checked = checked.union(more)
+            if not new.isEmpty():
+                found = components(found.toDF("a", "b").union(new), scratch)
+    final = member.groupBy("doc_id").agg(F.min("rep").alias("node")).join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    out = sig.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that repeat a kept doc_id one, of the least text."""
+    kept = near_duplicates(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_id")).distinct()
+    found = docs.join(kept, docs["doc_id"].cast("long") == kept["_near_id"], "left")
+    copy = F.row_number().over(Window.partitionBy("_near_id").orderBy("text"))
+    named = found.where("_near_id is not null").withColumn("_near_copy", copy).where("_near_copy = 1").drop("_near_copy", "_near_id")
+    return named.unionAll(docs.where("doc_id is null"))
