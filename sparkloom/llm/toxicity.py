@@ -169,7 +169,7 @@ def _score(shared):
         for batch in batches:
             hits, above = _severity(model, number, batch.column(1))
             severity = above.sum(1)
-            bounds = np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], 1)
+            bounds = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
             grade = np.argmax(bounds[:, :-1] - bounds[:, 1:], 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(hits), pa.array(above[:, 0]), pa.array(severity), pa.array(grade.astype(np.int32)), pa.array((severity >= model.limit) & (hits > 0))],
