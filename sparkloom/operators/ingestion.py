@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.text import first_match
 from ..shipping import ship
@@ -41,7 +42,7 @@ def ipv4_number(host: Column) -> Column:
     return F.when(host.rlike(rf"^{part}(\.{part}){{3}}$"), number)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def ipv6_blocked(hosts: pd.Series) -> pd.Series:
     """Whether a host is an IPv6 address of a private, reserved, local or multicast range; only hosts with a colon are looked at."""
     import ipaddress
@@ -108,15 +109,17 @@ def validate_submodule(url: Column, path: Column) -> Column:
     )
 
 
-def resolve_relative(url: Column, parent: Column, steps: int = 8) -> Column:
+def resolve_relative(url: Column, parent: Column) -> Column:
     """./ and ../ URLs against their parent's (a trailing .git kept off); others as they are; null if they climb out of the path."""
     base = F.regexp_replace(F.regexp_replace(parent, "/+$", ""), r"\.git$", "")
-    at, rest = base, url
-    for _ in range(steps):
-        up, here = rest.startswith("../"), rest.startswith("./")
-        at = F.when(up & at.rlike(r"^[a-z]+://[^/]+/.+"), F.regexp_replace(at, "/[^/]*$", "")).when(up, F.lit(None)).otherwise(at)
-        rest = F.when(up, F.substr(rest, F.lit(4))).when(here, F.substr(rest, F.lit(3))).otherwise(rest)
-    return F.when(url.startswith("../") | url.startswith("./"), F.concat(at, F.lit("/"), rest)).otherwise(url)
+    origin = F.regexp_extract(base, r"^[a-z]+://[^/]+", 0)
+    parts = F.filter(F.split(F.substr(base, F.length(origin) + 1), "/"), lambda x: x != "")
+    rest = F.regexp_replace(url, r"^(\./)+", "")
+    climbs = (F.length(F.regexp_extract(rest, r"^(\.\./)*", 0)) / 3).cast("int")
+    left = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - climbs, F.lit(0)))
+    joined = F.concat_ws("/", origin, F.array_join(left, "/"), F.regexp_replace(rest, r"^(\.\./)+", ""))
+    tidy = F.regexp_replace(joined, "(?<!:)//+", "/")
+    return F.when(url.startswith("../") | url.startswith("./"), F.when(climbs <= F.size(parts), tidy)).otherwise(url)
 
 
 # Hosts of providers, first match wins.
