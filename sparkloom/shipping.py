@@ -12,8 +12,13 @@ from pyspark.sql import SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to the executors once for each Spark application (spark-submit --py-files does the same)."""
+#: Rows of an Arrow batch at most. Documents are long: Spark's 10,000 would hold tens of MB in the JVM and again in each Python worker.
+BATCH_ROWS = 1000
+
+
+def ship(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> SparkSession:
+    """Send the package's sources to the executors once for each Spark application (spark-submit --py-files does the same), and keep batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     sc = spark.sparkContext
     if getattr(sc, "_sparkloom_shipped", None) != sc.applicationId:
         path = os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "sparkloom_src.zip")
