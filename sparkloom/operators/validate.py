@@ -11,8 +11,7 @@ BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
 
 def common_char_share(text: Column) -> Column:
     """Share of a text's most frequent character; counted as the longest run of its sorted characters, inside the row, without a shuffle."""
-    sorted_text = F.array_join(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), "")
-    runs = F.regexp_extract_all(sorted_text, F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))) / F.length(text), F.lit(0.0))
 
 

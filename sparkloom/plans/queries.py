@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dims, text as tx
-from ..operators import annotate as an, findings as fi, graph as gr, ingestion as ig, nodes as no, validate as va
+from ..operators import annotate as an, findings as fi, graph as gr, ingestion as ig, nodes as no, sessions as se, validate as va
 from ..sources import readers as rd
 from ..streaming import events as ev
 
@@ -566,6 +566,131 @@ def scale_cfg(s, d):
     return t.groupBy("l_returnflag").agg(F.count("nxt").alias("next_edges"), F.count("lp").alias("loop_edges"))
 
 
+def _case(table: dict[str, str], key: str, default: str) -> str:
+    return f"case {key} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + f" else '{default}' end"
+
+
+LABEL = "case when t = 'PARAM' then 'SOURCE' when t = 'CALL' then 'SINK' when t = 'TRY' then 'SANITIZER' else 'NONE' end"
+
+
+@register("viewer_nodes", f"""with {N}, l as (select *, {LABEL} as security from n), c as (select *, {_case(se.LABEL_COLOURS, 'security', '#6b7280')} as colour from l)
+ select id, name || chr(10) || '(' || t || ')' as label, file || ':' || line as title, colour, case security when 'NONE' then 'dot' else 'diamond' end as shape, case security when 'NONE' then 8 else 14 end as size,
+ '#' || lpad(printf('%x', greatest(0, cast('0x' || substr(colour, 2, 2) as int) - 40)), 2, '0') || lpad(printf('%x', greatest(0, cast('0x' || substr(colour, 4, 2) as int) - 40)), 2, '0') || lpad(printf('%x', greatest(0, cast('0x' || substr(colour, 6, 2) as int) - 40)), 2, '0') as border from c""")
+def viewer_nodes(s, d):
+    n = sequence(s, d)
+    label = F.when(F.col("t") == "PARAM", "SOURCE").when(F.col("t") == "CALL", "SINK").when(F.col("t") == "TRY", "SANITIZER").otherwise("NONE")
+    v = n.select("id", se.viewer_node(F.col("t"), label, F.col("name"), F.col("file"), F.col("line"), F.lit("")).alias("v"))
+    return v.select("id", "v.label", "v.title", "v.colour", "v.shape", "v.size", "v.border")
+
+
+@register("viewer_edges", f"""with {N}, e as (select id as src, nxt as dst, case t when 'ASSIGN' then 'DFG_FLOW' when 'CALL' then 'TAINT_SINK' when 'TRY' then 'OTHER' else 'CFG_NEXT' end as edge_type from p where nxt is not null)
+ select edge_type, {_case(se.EDGE_COLOURS, 'edge_type', '#94a3b8')} as colour, case when contains(edge_type, 'DFG') or contains(edge_type, 'TAINT') then 2 else 1 end as width, contains(edge_type, 'CFG') as dashes, count(*) as n from e group by all""")
+def viewer_edges(s, d):
+    w = Window.partitionBy("file").orderBy(*gr.POSITION)
+    kind = F.when(F.col("t") == "ASSIGN", "DFG_FLOW").when(F.col("t") == "CALL", "TAINT_SINK").when(F.col("t") == "TRY", "OTHER").otherwise("CFG_NEXT")
+    e = sequence(s, d).withColumn("nxt", F.lead("id").over(w)).where("nxt is not null").select(kind.alias("edge_type"))
+    counted = e.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("edge_type", "n", se.viewer_edge(F.col("edge_type")).alias("v")).select("edge_type", "v.colour", "v.width", "v.dashes", "n")
+
+
+@register("token_types", "select case p_size % 5 when 0 then 'classic_pat' when 1 then 'fine_grained_pat' when 2 then 'github_app' when 3 then 'oauth' else 'unknown' end as token_type, count(*) as n from part group by all")
+def token_types(s, d):
+    token = F.concat(F.element_at(F.array(*map(F.lit, ("ghp_", "github_pat_", "ghs_", "gho_", "x_"))), F.col("p_size") % 5 + 1), F.col("p_name"))
+    return table(s, d, "part").select(se.token_type(token).alias("token_type")).groupBy("token_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("environment_policy", "select k, count(*) as n, count(*) filter (where k in ('JAVA_HOME', 'GOPATH') and user_id % 3 <> 0) as allowed from (select case event_type when 'click' then 'JAVA_HOME' when 'view' then 'GOPATH' else upper(event_type) end as k, user_id from events) group by k")
+def environment_policy(s, d):
+    e = table(s, d, "events")
+    key = F.when(F.col("event_type") == "click", "JAVA_HOME").when(F.col("event_type") == "view", "GOPATH").otherwise(F.upper("event_type"))
+    value = F.when(F.col("user_id") % 3 == 0, "a\nb").otherwise("ok")
+    return e.select(key.alias("k"), se.environment_allowed(key, value).alias("ok")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("allowed"))
+
+
+@register("scopes", "select user_id, len(list_filter(['click', 'purchase'], lambda x: not list_contains(g, x))) = 0 as enough from (select user_id, list(distinct event_type) as g from events where value > 30 group by user_id)")
+def scopes(s, d):
+    granted = table(s, d, "events").where("value > 30").groupBy("user_id").agg(F.collect_set("event_type").alias("g"))
+    return granted.select("user_id", se.scopes_suffice(F.array(F.lit("click"), F.lit("purchase")), F.col("g")).alias("enough"))
+
+
+@register("tools_ready", "select p_brand, count(*) filter (where p_size > 25 and p_retailprice < 1000) = 0 as ready, coalesce(string_agg(distinct p_name, ',' order by p_name) filter (where p_size > 25 and p_retailprice < 1000), '') as failing from part group by p_brand")
+def tools_ready(s, d):
+    return se.tools_ready(table(s, d, "part").select("p_brand", F.col("p_name").alias("name"), (F.col("p_size") > 25).alias("required"), (F.col("p_retailprice") >= 1000).alias("available")), "p_brand")
+
+
+@register("http_errors", """select status, remaining, case when status = 401 then 'AuthError' when status = 403 and remaining = 0 then 'RateLimitError' when status = 429 then 'RateLimitError' when status = 403 then 'AuthError' when status = 404 then 'NotFoundError' when status >= 500 then 'ServerError' when status >= 400 then 'FetchError' end as error, count(*) as n
+ from (select ([200, 401, 403, 404, 422, 429, 500])[cast(p_partkey % 7 as int) + 1] as status, p_size % 2 as remaining from part) group by all""")
+def http_errors(s, d):
+    t = table(s, d, "part").select(F.element_at(F.array(*map(F.lit, (200, 401, 403, 404, 422, 429, 500))), (F.col("p_partkey") % 7 + 1).cast("int")).alias("status"), (F.col("p_size") % 2).alias("remaining"))
+    return t.groupBy("status", "remaining").agg(F.count(F.lit(1)).alias("n")).withColumn("error", ig.http_error(F.col("status"), F.col("remaining")))
+
+
+@register("rate_limit_headers", "select s_suppkey, case when s_suppkey % 4 = 0 then null else s_suppkey end as remaining, cast(5000 as bigint) as quota from supplier")
+def rate_limit_headers(s, d):
+    left = F.when(F.col("s_suppkey") % 4 == 0, "n/a").otherwise(F.col("s_suppkey").cast("string"))
+    h = se.rate_limit(F.create_map(F.lit("x-ratelimit-limit"), F.lit("5000"), F.lit("x-ratelimit-remaining"), left))
+    return table(s, d, "supplier").select("s_suppkey", h.alias("h")).select("s_suppkey", "h.remaining", F.col("h.limit").alias("quota"))
+
+
+@register("last_stage", "select user_id as session_id, arg_max(event_type, event_id) as stage, case when arg_max(value, event_id) > 10 then 'ok' else 'failed' end as status, round(sum(value), 2) as latency_ms from events group by user_id")
+def last_stage(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("stage"), F.when(F.col("value") > 10, "ok").otherwise("failed").alias("status"), F.col("value").alias("latency_ms"))
+    return se.last_stage(e).withColumn("latency_ms", F.round("latency_ms", 2))
+
+
+@register("node_children", "select 'e' || a.event_id as parent, 'e' || b.event_id as child from events a join events b on b.event_id in (a.event_id * 2, a.event_id * 2 + 1) where a.event_id > 0")
+def node_children(s, d):
+    e = table(s, d, "events").where("event_id > 0")
+    kids = F.transform(F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 1), lambda x: F.concat(F.lit("e"), x.cast("string")))
+    return se.children(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), kids.alias("children_ids")))
+
+
+@register("unsanitized_hits", f"with {FOUND} select file_path, line, vuln_type from f where not exists (select 1 from labels l where l.quality = 0 and f.file_path = 'page/' || l.doc_id)")
+def unsanitized_hits(s, d):
+    clean = table(s, d, "labels").where("quality = 0").select(F.concat(F.lit("page/"), F.col("doc_id").cast("string")).alias("file_path"))
+    return se.unsanitized(found(s, d), clean, ["file_path"]).select("file_path", "line", "vuln_type")
+
+
+@register("iac_conditionals", f"""with {N}, c as (select * from n where t = 'IF'), r as (select c.file, c.id as src, n.id as dst, row_number() over (partition by c.file, c.id order by n.ord) as rn, count(*) over (partition by c.file, c.id) as m from c join n on n.file = c.file and n.line > c.line and n.line <= c.end_line)
+ select file, src, dst, case rn when 1 then 'CFG_TRUE' else 'CFG_FALSE' end as edge_type from r where rn <= 2 and m >= 2""")
+def iac_conditionals(s, d):
+    return se.conditional_branches(sequence(s, d).withColumn("t", F.when(F.col("t") == "IF", "CONDITIONAL").otherwise(F.col("t"))))
+
+
+@register("pinned_submodules", "select s_name as path, case when o is null then 'skipped' else 'pinned' end as status, o as pinned_sha from supplier left join (select n_nationkey, sha256(n_name) as o from nation where n_nationkey % 2 = 0) on s_nationkey = n_nationkey and s_suppkey % 3 = 0")
+def pinned_submodules(s, d):
+    entries = table(s, d, "supplier").select(F.col("s_name").alias("path"), "s_nationkey", "s_suppkey")
+    links = entries.where("s_suppkey % 3 = 0").join(table(s, d, "nation").where("n_nationkey % 2 = 0"), F.col("s_nationkey") == F.col("n_nationkey")).select("path", F.sha2("n_name", 256).alias("sha"))
+    return se.pinned(entries.select("path"), links).select("path", "status", "pinned_sha")
+
+
+@register("submodule_counts", "select r_name as root, count(*) filter (where not (lvl = 2 and s_suppkey % 5 = 0)) as resolved, count(*) filter (where lvl = 2 and s_suppkey % 5 = 0) as unpinned, count(*) filter (where lvl = 2 and s_suppkey % 5 = 0) > 0 as blind_spot from (select r_name, 1 as lvl, null as s_suppkey from nation join region on n_regionkey = r_regionkey union all select r_name, 2, s_suppkey from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) group by r_name")
+def submodule_counts(s, d):
+    return se.submodule_counts(submodule_tree(s, d)).select("root", "resolved", "unpinned", "blind_spot")
+
+
+@register("graph_limits", f"with {N}, x as (select file, count(*) as n_nodes, max(line % 50) as depth, count(nxt) filter (where t not in ('RETURN','BREAK','CONTINUE','RAISE')) as n_edges from p group by file) select *, n_nodes > 70 or n_edges > 60 or depth > 48 as tripped from x")
+def graph_limits(s, d):
+    n = sequence(s, d)
+    return va.graph_limits(n.withColumn("depth", F.col("line") % 50), gr.cfg_next(n), 70, 60, 48)
+
+
+@register("primary_language", "select case lang when 'en' then 'english' else lang end as language, count(*) as n from documents where lang not in ('xx') group by all order by n desc, language limit 1")
+def primary_language(s, d):
+    return fi.primary_language(table(s, d, "documents").select(F.when(F.col("lang") == "en", "english").otherwise(F.col("lang")).alias("language")), ("xx",))
+
+
+@register("build_rollup", "select count(*) as files, count(*) filter (where n_chars >= 500 and source <> 'src3') as processed, count(*) filter (where n_chars < 500) as skipped, count(*) filter (where n_chars >= 500 and source = 'src3') as error, (select string_agg(distinct lang, ',' order by lang) from documents where n_chars >= 500 and source <> 'src3') as languages, (select count(*) from events) as nodes from documents")
+def build_rollup(s, d):
+    status = F.when(F.col("n_chars") < 500, "skipped").when(F.col("source") == "src3", "error").otherwise("processed")
+    return fi.build_rollup(table(s, d, "documents").select(F.col("doc_id").alias("file_path"), F.col("lang").alias("language"), status.alias("status")), table(s, d, "events"))
+
+
+@register("findings_ranked", f"with {ANNOTATED}, k(cwe, cwe_name, cwe_severity) as (values {', '.join(str(r) for r in dims.CWES)}) select a.name, b.label as label, b.cwe as cwe, round(b.confidence, 2) as confidence, coalesce(cwe_severity, case b.label when 'SINK' then 'HIGH' else 'MEDIUM' end) as severity, coalesce(cwe_name, 'Unclassified') as title from a left join k on k.cwe = b.cwe where b.label in ('SINK', 'SENSITIVE') and b.confidence >= 0.3")
+def findings_ranked(s, d):
+    return fi.findings(annotated(s, d), dims.frame(s, "cwes")).select("name", "label", "cwe", "confidence", "severity", "title")
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Nodes of documents and pages by type and label, with the number of files and of secrets found in them."""
     nodes = both_nodes(s, d).withColumn("label", F.when(F.col("node_type") == "CALL", no.classify_call(F.col("raw_text"))[0]).otherwise("NONE"))
