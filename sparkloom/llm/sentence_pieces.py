@@ -34,7 +34,8 @@ from ..shipping import ship
 from . import textkernel as tk
 
 MARK = "▁"
-WORDS = 500_000
+#: Word encodings and pair decisions that a worker keeps at most, and MB of text that it encodes at once.
+WORDS, PAIRS, AT_ONCE = 300_000, 300_000, 3
 _ITEM = re.compile(f"{MARK}?[^{MARK}\n]+|\n|{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+")
 
 
@@ -167,11 +168,11 @@ class Model:
 
 
 class Encoder:
-    """Encodes words of a model; keeps pair decisions and at most WORDS word encodings."""
+    """Encodes words of a model; keeps pair decisions and at most WORDS word encodings (they start anew when full)."""
 
     def __init__(self, model: Model):
         self.m = model
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.reset()
         pieces = [(t.replace(MARK, " ").encode() if y == model.NORMAL else b"") for t, y in zip(model.text, model.type, strict=True)]
         for b, k in model.byte.items():
@@ -185,9 +186,12 @@ class Encoder:
 
     def apart(self, a: int, b: int) -> bool:
         """Whether BPE leaves token a before token b as they are: no merge across their border comes before a merge that made them."""
-        known = self.pairs.get((a, b))
+        key = a << 20 | b
+        known = self.pairs.get(key)
         if known is not None:
             return known
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
         m, x, y = self.m, a, b
         limit, answer = len(m.text) * 2 + 2, True
         while True:
@@ -203,7 +207,7 @@ class Encoder:
                 limit, x = rx, m.parts[x][1]
             else:
                 limit, y = ry + 1, m.parts[y][0]
-        self.pairs[(a, b)] = answer
+        self.pairs[key] = answer
         return answer
 
     def _learn(self, words: list[str]) -> None:
@@ -336,7 +340,7 @@ def _encode(shared, verify: bool):
         encoder = _encoder(shared)
         for batch in batches:
             data, offsets = tk.text_buffer(batch.column(1))
-            for i, j in tk.chunks(offsets, 8 * tk.CHUNK):
+            for i, j in tk.chunks(offsets, AT_ONCE * tk.CHUNK):
                 raw = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
                 ids, at = encoder.encode([r.decode("utf-8", "replace") for r in raw])
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
@@ -353,7 +357,7 @@ def _share(df: DataFrame, model: Model):
     import hashlib
 
     model.key = hashlib.blake2b(repr((model.kind, model.text, model.score)).encode(), digest_size=8).hexdigest()
-    return ship(df.sparkSession).sparkContext.broadcast(model)
+    return ship(df.sparkSession, 2000).sparkContext.broadcast(model)
 
 
 def encode_pieces(docs: DataFrame, model: Model, verify: bool = True) -> DataFrame:
