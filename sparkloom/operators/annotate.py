@@ -25,7 +25,9 @@ def annotate(nodes: DataFrame, registry: DataFrame, key: str = "node_id") -> Dat
     exact = names.select("language", "name", F.posexplode(name_variants(F.col("name"))).alias("v", "key"))
     hit = F.struct("label", "confidence", "cwe")
     one = exact.join(F.broadcast(reg), (F.col("language") == F.col("_lang")) & (exact["key"] == reg["key"])).groupBy("language", "name").agg(F.min_by(hit, F.struct("v", "kind_ord", "key_ord")).alias("one"))
-    suffixes = names.select("language", "name", F.lower("name").alias("low")).select("language", "name", "low", F.explode(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.substr(F.col("low"), i))).alias("s"))
+    longest = registry.agg(F.coalesce(F.max(F.length("key")), F.lit(1))).first()[0]  # a dimension's maximum: longer suffixes equal no key
+    starts = F.sequence(F.greatest(F.lit(1), F.length("low") - longest + 1), F.length("low"))
+    suffixes = names.select("language", "name", F.lower("name").alias("low")).select("language", "name", "low", F.explode(F.transform(starts, lambda i: F.substr(F.col("low"), i))).alias("s"))
     ends = reg.withColumn("s2", F.lower("key"))
     score = F.when(F.col("s") == F.col("low"), F.col("confidence")).otherwise(F.col("confidence") * 0.75)
     two = suffixes.join(F.broadcast(ends), (F.col("language") == F.col("_lang")) & (F.col("s") == F.col("s2"))).groupBy("language", "name").agg(F.min_by(F.struct("label", score.alias("confidence"), "cwe"), F.struct("kind_ord", "key_ord")).alias("two"))

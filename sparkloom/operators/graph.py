@@ -37,18 +37,22 @@ def cfg_next(nodes: DataFrame) -> DataFrame:
 def cfg_branches(nodes: DataFrame) -> DataFrame:
     """CFG_TRUE and CFG_FALSE of IF nodes.
 
-    The body's first node and the first node after it are interval joins: within (file, fn), by line, picked by position.
+    TRUE goes to the first later node on a greater line of the same (file, fn), if it is in the body; FALSE to the first node that isn't an
+    IF after the body, else to the successor. Both are as-of lookups by line: nodes are reduced to one row a line, the first is a lead over
+    lines, the second takes the last such line seen from below. No node meets all others of its file.
     """
     n = nodes.withColumn("pos", F.row_number().over(_in_order())).withColumn("next", F.lead("id").over(_in_order()))
-    ifs = n.where("t = 'IF'").select("file", "fn", "id", "pos", "line", "end_line", "next")
-    later = n.select("file", "fn", F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("pos").alias("pos2"), F.col("line").alias("line2"))
-    j = ifs.join(later, ["file", "fn"]).where("pos2 > pos and line2 > line")
-    picked = j.groupBy("file", "id").agg(
-        F.min_by("id2", F.when((F.col("end_line") == 0) | (F.col("line2") <= F.col("end_line")), F.col("pos2"))).alias("yes"),
-        F.min_by("id2", F.when((F.col("end_line") > 0) & (F.col("line2") > F.col("end_line")) & (F.col("t2") != "IF"), F.col("pos2"))).alias("no"),
-    )
-    both = ifs.join(picked, ["file", "id"], "left").withColumn("no", F.coalesce("no", "next"))
-    return _edges(both, "id", "yes", "CFG_TRUE").unionByName(_edges(both.where("yes is null or no <> yes"), "id", "no", "CFG_FALSE"))
+    ifs = n.where("t = 'IF'").select("file", "fn", "id", "line", "end_line", "next")
+    by_line = n.groupBy("file", "fn", "line").agg(F.min_by("id", "pos").alias("first"), F.min_by("id", F.when(F.col("t") != "IF", F.col("pos"))).alias("plain"))
+    down = Window.partitionBy("file", "fn").orderBy("line")
+    after = by_line.select("file", "fn", "line", F.lead("first").over(down).alias("yes"), F.lead("line").over(down).alias("yes_line"))
+    asked = ifs.where("end_line > 0").select("file", "fn", F.greatest("end_line", "line").alias("line"), F.lit(None).cast("string").alias("plain"), "id")
+    both = by_line.where("plain is not null").select("file", "fn", "line", "plain", F.lit(None).cast("string").alias("id")).unionByName(asked)
+    up = Window.partitionBy("file", "fn").orderBy(F.desc("line"), F.col("id").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    no = both.withColumn("no", F.last("plain", ignorenulls=True).over(up)).where("id is not null").select("file", "id", "no")
+    found = ifs.join(after, ["file", "fn", "line"], "left").join(no, ["file", "id"], "left")
+    found = found.withColumns({"yes": F.when((F.col("end_line") == 0) | (F.col("yes_line") <= F.col("end_line")), F.col("yes")), "no": F.coalesce("no", "next")})
+    return _edges(found, "id", "yes", "CFG_TRUE").unionByName(_edges(found.where("yes is null or no <> yes"), "id", "no", "CFG_FALSE"))
 
 
 def cfg_loops(nodes: DataFrame) -> DataFrame:

@@ -480,8 +480,8 @@ def status_rollup(s, d):
 def streaming_status(s, d):
     import uuid
 
-    path = f"{d}/events.parquet"
-    stream = s.readStream.schema(s.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.startswith("/") or __import__("os").path.isdir(path) else f"{d}/event[s].parquet")
+    path = f"{d}/event[s].parquet"  # a stream reads a folder or a pattern: the table may be a file or a folder
+    stream = s.readStream.schema(table(s, d, "events").schema).parquet(path)
     return ev.run_now(ev.status_rollup(session_events(stream), ("click", "error", "purchase")), f"status_{uuid.uuid4().hex}")
 
 
