@@ -18,6 +18,7 @@ piece covers become byte pieces, so decoding is exact, but for texts that hold U
 
 from __future__ import annotations
 
+import pickle
 import re
 import struct
 from array import array
@@ -324,15 +325,9 @@ def load(path: str | Path, kind: int | None = None) -> Model:
     return Model(Path(path).read_bytes(), kind)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
-    """The worker's encoder of a broadcast model."""
-    if shared.value.__dict__.get("key") not in _encoders:
-        _encoders.clear()
-        _encoders[shared.value.key] = Encoder(shared.value)
-    return _encoders[shared.value.key]
+    """A task's own encoder of the broadcast, pickled model: nothing of it stays in the worker when the task ends."""
+    return Encoder(pickle.loads(shared.value))
 
 
 def _encode(shared, verify: bool):
@@ -354,10 +349,7 @@ def _encode(shared, verify: bool):
 
 
 def _share(df: DataFrame, model: Model):
-    import hashlib
-
-    model.key = hashlib.blake2b(repr((model.kind, model.text, model.score)).encode(), digest_size=8).hexdigest()
-    return ship(df.sparkSession, 2000).sparkContext.broadcast(model)
+    return ship(df.sparkSession, 2000).sparkContext.broadcast(pickle.dumps(model))
 
 
 def encode_pieces(docs: DataFrame, model: Model, verify: bool = True) -> DataFrame:

@@ -39,10 +39,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(int(base))
     if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, CHUNK + 1), base, np.uint64)
+        steps = np.full(max(n, CHUNK // 2 + 2), base, np.uint64)
         steps[0] = 1
         made = np.cumprod(steps)
-        if n > 4 * CHUNK:
+        if n > CHUNK // 2 + 2:
             return made[:n]
         _powers[key] = made
     return _powers[key][:n]
@@ -93,7 +93,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans in rising order (of starts and of ends): a mixed random polynomial, alike for like bytes anywhere."""
     out = np.empty(len(starts), np.uint64)
-    i, reach = 0, 2 * CHUNK
+    i, reach = 0, CHUNK // 2
     while i < len(starts):
         base = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, base + reach, "right")))
