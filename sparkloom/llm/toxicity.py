@@ -137,11 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     w, theta = fit_ordinal(indptr, terms, grade, len(slots))
     model = Ordinal(slots, w, theta, 0.0)
     expected = model.above(np.bincount(np.repeat(np.arange(len(found)), amount), w[terms], len(found))).sum(1)
-    # midway between the clean rows' highest score, outliers aside, and the least score of toxic rows above it
-    clean = np.sort(expected[toxic == 0]) if (toxic == 0).any() else np.zeros(1)
-    top = float(clean[-1 - int(0.0005 * len(clean))])
-    above = expected[(toxic == 1) & (expected > top)]
-    model.limit = (top + float(above.min())) / 2 if len(above) else 0.5
+    # between the clean rows' highest scores and the toxic rows' lowest, outliers aside, at their geometric mean
+    clean, bad = expected[toxic == 0], expected[toxic == 1]
+    top = max(float(np.quantile(clean, 0.9995)) if len(clean) else 0.0, 1e-3)
+    model.limit = float(np.sqrt(top * max(float(np.quantile(bad, 0.01)), top)))
     return model
 
 
