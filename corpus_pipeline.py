@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    return keep_one_of_each(docs, percent=85, size=5)
+    """Of each group of near-duplicates (five words, similarity 0.8 or more) the document of the smallest id stays."""
+    return keep_one_of_each(docs, percent=80, size=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
