@@ -4,8 +4,9 @@ The standard library's parser streams events over the whole page. Block elements
 the number of tags seen in it and the chain of open containers. Lines inside elements that are never main text (scripts, forms, menus,
 headers, footers, asides, and containers whose class or id names such a part) get no text. The others' text-to-tag ratios are
 smoothed over their neighbours with a Gaussian and split at a threshold between the two clusters of ratios; lines above it mark content
-regions. If the page has article or main elements, the regions are those elements, as many as hold a marked line; else they run from
-the first to the last marked line of a container. Every line of a region is kept, headings and short paragraphs included.
+regions. If the page has article or main elements, the regions are those elements, as many as hold a marked line; else the region is
+the innermost container around all marked lines, and of the rest of the page only containers that are mostly link text are dropped.
+Every line of a region is kept, headings and short paragraphs included.
 """
 
 from __future__ import annotations
@@ -39,13 +40,15 @@ SIGMA, REACH = 1.0, 3
 
 
 class _Events(HTMLParser):
-    """Collects lines [text, tags, container number, article number] of the parts that may be main text."""
+    """Collects lines [text, tags, container number, article number, characters in links] of the parts that may be main text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.text: list[str] = []
-        self.tags = self.serial = 0
+        self.tags = self.serial = self.linked = 0
+        self.link = False
+        self.around = [0]  # the container around each container
         self.open: list[tuple[str, bool, int, int]] = []  # element, never text, container, article
         self.off, self.container, self.article = False, 0, 0
 
@@ -54,8 +57,9 @@ class _Events(HTMLParser):
             text = SPACE.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                self.lines.append((text, max(self.tags, 1), self.container, self.article))
+                self.lines.append((text, max(self.tags, 1), self.container, self.article, self.linked))
                 self.tags = 0
+            self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -66,6 +70,8 @@ class _Events(HTMLParser):
             if tag in CLOSES_P and any(o[0] == "p" for o in self.open[-8:]):
                 self.end_element("p")
             self.line()
+        if tag == "a":
+            self.link = True
         if tag in VOID:
             return
         self.open.append((tag, self.off, self.container, self.article))
@@ -78,6 +84,7 @@ class _Events(HTMLParser):
                     self.off = True
         if tag in CONTAINER:
             self.serial += 1
+            self.around.append(self.container)
             self.container = self.serial
             if tag in ("article", "main") and not self.article:
                 self.article = self.serial
@@ -86,6 +93,7 @@ class _Events(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.line()
+                self.link = False  # a link left open ends with its block
                 _, self.off, self.container, self.article = self.open[k]
                 del self.open[k:]
                 return
@@ -94,6 +102,8 @@ class _Events(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.link = False
         if tag in BLOCK or tag in NEVER:
             self.end_element(tag)
         elif tag not in VOID:
@@ -108,6 +118,8 @@ class _Events(HTMLParser):
     def handle_data(self, data):
         if not self.off:
             self.text.append(data)
+            if self.link:
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -138,22 +150,23 @@ def main_text(html: str) -> str:
     lines = events.lines
     if not lines:
         return ""
-    scores = smoothed(np.array([len(t) / n for t, n, _, _ in lines]))
+    scores = smoothed(np.array([len(t) / n for t, n, *_ in lines]))
     marked = scores > threshold(scores)
-    inside = {a for (_, _, _, a), m in zip(lines, marked, strict=True) if a}
+    inside = {line[3] for line in lines if line[3]}
     if inside:
-        hold = {a for (_, _, _, a), m in zip(lines, marked, strict=True) if a and m} or inside
-        return "\n".join(t for t, _, _, a in lines if a in hold)
-    keep = np.zeros(len(lines), bool)
-    where = np.array([c for _, _, c, _ in lines])
-    for c in set(where[marked].tolist()):
-        at = np.flatnonzero(marked & (where == c))
-        first = at[0]
-        while first and where[first - 1] == c:  # headings stand before the first long line
-            first -= 1
-        region = np.arange(first, at[-1] + 1)
-        keep[region[where[region] == c]] = True
-    return "\n".join(t for (t, _, _, _), k in zip(lines, keep, strict=True) if k)
+        hold = {line[3] for line, m in zip(lines, marked, strict=True) if line[3] and m} or inside
+        return "\n".join(line[0] for line in lines if line[3] in hold)
+    top = None
+    for c in {line[2] for line, m in zip(lines, marked, strict=True) if m}:
+        top = c if top is None else top
+        while top != c:  # an inner container has the greater number
+            top, c = (events.around[top], c) if top > c else (top, events.around[c])
+    within, size, linked = [top == 0], {}, {}
+    for c in range(1, len(events.around)):
+        within.append(c == top or within[events.around[c]])
+    for text, _, c, _, n in lines:
+        size[c], linked[c] = size.get(c, 0) + len(text), linked.get(c, 0) + n
+    return "\n".join(line[0] for line in lines if within[line[2]] or 2 * linked[line[2]] <= size[line[2]])
 
 
 def _extract(batches):

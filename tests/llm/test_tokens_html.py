@@ -132,6 +132,13 @@ def test_main_text_without_article():
     assert ht.main_text(PAGE.replace("{body}", "<div>" + ARTICLE.replace("<ul><li>point</li></ul>", "").replace("<p>End.</p>", "") + "</div>")) == "\n".join(TEXT.split("\n")[:3])
 
 
+def test_main_text_without_article_is_whole():
+    assert ht.main_text(PAGE.replace("{body}", "<div>" + ARTICLE + "</div>")) == TEXT
+    long = "word " * 40
+    page = f"<div><h1>Head</h1></div><div class=x><ul><li><a href=/a>One page</a></li><li><a href=/b>Two page</a></li></ul></div><div>{''.join(f'<p>{long}</p>' for _ in range(3))}<section><h2>Next</h2></section><ul><li>point</li></ul><table><tr><td>cell</td></tr></table><p>End</p></div>"
+    assert ht.main_text(page).split("\n") == ["Head", *[long.strip()] * 3, "Next", "point", "cell", "End"]
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE.replace("{body}", "<article>" + ARTICLE + "</article>"), 1), (2, "u", None, 1), (3, None, "", 1), (None, "u", "<p>unclosed <b>bold", 1), (4, "u", "plain < text & more", 1), (5, "u", "<div>" * 3000 + "deep" + "</p>" * 10, 1), (6, "u", "<nav>only</nav>", 1)]
     got = ht.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
