@@ -29,16 +29,26 @@ BLOCK = frozenset(
 #: Elements whose start closes an open p.
 CLOSES_P = BLOCK - frozenset("body head html option title".split())
 CONTAINER = frozenset("article aside body details dialog div footer form header html main menu nav section table td".split())
-#: Class, id and role words of parts that are not main text.
-PART = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|related|reader-comments|replies|reply|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Class and id words of parts that are not main text. A name counts if each of its words is one of these or of PLAIN, and one is of these.
+PART = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+PLAIN = frozenset("site main global top bottom primary secondary list area box bar block links link buttons form reader".split())
+WORDS = re.compile(r"[a-z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACE = re.compile(r"\s+")
 SIGMA, REACH = 1.0, 3
 
 
+def names_part(value: str) -> bool:
+    """Whether one of the blank-separated names says that the element is not main text: site-footer does, has-sidebar and related-work don't."""
+    for name in value.lower().split():
+        words = WORDS.findall(name)
+        if any(w in PART for w in words) and all(w in PART or w in PLAIN for w in words):
+            return True
+    return False
+
+
 class _Events(HTMLParser):
     """Collects lines [text, tags, container number, article number, characters in links] of the parts that may be main text."""
 
@@ -49,8 +59,9 @@ class _Events(HTMLParser):
         self.tags = self.serial = self.linked = 0
         self.link = False
         self.around = [0]  # the container around each container
-        self.open: list[tuple[str, bool, int, int]] = []  # element, never text, container, article
-        self.off, self.container, self.article = False, 0, 0
+        self.open: list[tuple[str, int, int, int]] = []  # element, off, container, article
+        # off: 0 text, 1 in a form or a part by its name, in which an article may stand, 2 never text; article: negative inside such a part
+        self.off, self.container, self.article = 0, 0, 0
 
     def line(self) -> None:
         if self.text:
@@ -75,19 +86,23 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         self.open.append((tag, self.off, self.container, self.article))
-        if tag in NEVER:
+        lifted = tag in ("article", "main") and not self.article and self.off == 1 and not (tag == "article" and any(v and n in ("class", "id") and names_part(v) for n, v in attrs))
+        if lifted:
+            self.off = 0
+        elif tag in NEVER:
             # a header of an article is still no text of its own only if it isn't inside the article
-            self.off = self.off or not (tag == "header" and self.article)
+            if not (tag == "header" and self.article):
+                self.off = max(self.off, 1 if tag == "form" else 2)
         elif not self.off and attrs and tag not in ("html", "body", "article", "main"):
             for name, value in attrs:
-                if value and (name in ("class", "id") and PART.search(value) or name == "role" and value.lower() in ROLES or name == "hidden"):
-                    self.off = True
+                if value and (name in ("class", "id") and names_part(value) or name == "role" and value.lower() in ROLES or name == "hidden"):
+                    self.off = max(self.off, 1 if name in ("class", "id") else 2)
         if tag in CONTAINER:
             self.serial += 1
             self.around.append(self.container)
             self.container = self.serial
             if tag in ("article", "main") and not self.article:
-                self.article = self.serial
+                self.article = -self.serial if lifted else self.serial
 
     def end_element(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -148,6 +163,10 @@ def main_text(html: str) -> str:
     events.close()
     events.line()
     lines = events.lines
+    # articles inside parts that aren't main text by name count where the page has no other article and they outweigh the rest
+    sure, rest, lifted = (sum(len(line[0]) for line in lines if f(line[3])) for f in (lambda a: a > 0, lambda a: a == 0, lambda a: a < 0))
+    if lifted and (sure or lifted <= rest):
+        lines = [line for line in lines if line[3] >= 0]
     if not lines:
         return ""
     scores = smoothed(np.array([len(t) / n for t, n, *_ in lines]))

@@ -139,6 +139,18 @@ def test_main_text_without_article_is_whole():
     assert ht.main_text(page).split("\n") == ["Head", *[long.strip()] * 3, "Next", "point", "cell", "End"]
 
 
+@pytest.mark.parametrize("wrap", ["<div class='site has-sidebar'>{}</div>", "<div id='content' class='right-sidebar'>{}</div>", "<div class='search-results'>{}</div>", "<div class='widget'><article>{}</article></div>", "<form><main>{}</main></form>", "<div>{}<div class=related><article>Teaser</article></div></div>"])
+def test_wrappers_named_like_parts(wrap):
+    assert ht.main_text(PAGE.replace("{body}", wrap.format(ARTICLE))) == TEXT
+
+
+def test_names_of_parts():
+    assert not any(map(ht.names_part, ["related-work", "notice-period", "has-sidebar", "search-results", "site", ""]))
+    assert all(map(ht.names_part, ["x comments", "cookie-notice", "site-footer", "comment-12", "main_nav", "AD"]))
+    page = "<article><p>" + "word " * 30 + "</p><section id='related-work'><p>Others</p></section><p class='notice-period'>A month</p></article><div id=comments><article class=comment>No</article></div>"
+    assert ht.main_text(page).split("\n")[1:] == ["Others", "A month"]
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE.replace("{body}", "<article>" + ARTICLE + "</article>"), 1), (2, "u", None, 1), (3, None, "", 1), (None, "u", "<p>unclosed <b>bold", 1), (4, "u", "plain < text & more", 1), (5, "u", "<div>" * 3000 + "deep" + "</p>" * 10, 1), (6, "u", "<nav>only</nav>", 1)]
     got = ht.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
