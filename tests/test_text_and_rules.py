@@ -126,3 +126,11 @@ def test_hash_forms(spark):
     rows = spark.createDataFrame([("g", "b"), ("g", "a")], "g string, p string")
     assert fi.set_hash(rows, ["g"], F.col("p")).first().hash == hashlib.sha256(b"a\nb").hexdigest()
     assert fi.set_hash(rows, ["g"], F.col("p"), buckets=8).first().hash == fi.set_hash(rows.orderBy("p"), ["g"], F.col("p"), buckets=8).first().hash
+
+
+def test_type_map_of_every_language(spark):
+    rows = [("javascript", "formal_parameters", "PARAM"), ("tsx", "formal_parameters", "PARAM")]
+    got = no.normalize_types(spark.createDataFrame([r[:2] for r in rows], "language string, raw_type string"), dims.frame(spark, "type_map")).collect()
+    assert [(r.language, r.raw_type, r.node_type) for r in got] == rows
+    assert {r[0] for r in dims.TYPE_MAP} == set("python javascript typescript tsx java rust go c cpp terraform yaml".split())
+    assert len({r[:2] for r in dims.TYPE_MAP}) == len(dims.TYPE_MAP)
