@@ -1,12 +1,16 @@
 """Main text of HTML pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering of content regions.
 
 The standard library's parser streams events over the whole page. Block elements cut the page into lines; each line carries its text,
-the number of tags seen in it and the chain of open containers. Lines inside elements that are never main text (scripts, forms, menus,
-headers, footers, asides, and containers whose class or id names such a part) get no text. The others' text-to-tag ratios are
-smoothed over their neighbours with a Gaussian and split at a threshold between the two clusters of ratios; lines above it mark content
-regions. If the page has article or main elements, the regions are those elements, as many as hold a marked line; else the region is
-the innermost container around all marked lines, and of the rest of the page only containers that are mostly link text are dropped.
-Every line of a region is kept, headings and short paragraphs included.
+the number of tags seen in it, the chain of open containers and the kind of part it stands in. Only scripts, controls and what a page does
+not show are dropped while parsing. All other lines get a score: their text-to-tag ratio, smoothed over their neighbours with a Gaussian, times
+the weight of their part (article and main: ``FOR``; menus, headers, footers, asides, forms and parts named so by class, id or role:
+``AGAINST``; else 1). A threshold between the two clusters of scores marks the lines that decide the regions:
+
+* articles (main elements alike) with a marked line are regions, and so are the page's other articles that aren't mostly link text;
+* where no article holds a marked line, the region is the innermost container around all marked lines, and of the rest of the page
+  only containers that are mostly link text are dropped;
+* a line of a part weighed against is dropped if it isn't marked itself; every other line of a region is kept, headings and short
+  paragraphs included.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from ..shipping import ship
 
 # Fixed values of HTML: elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("script style noscript template head title nav header footer aside form button select textarea iframe svg canvas object audio video dialog menu".split())
+NEVER = frozenset("script style noscript template head title button select textarea iframe svg canvas object audio video dialog".split())
+ASIDE = frozenset("nav header footer aside menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -33,11 +38,15 @@ CONTAINER = frozenset("article aside body details dialog div footer form header
 PART = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-PLAIN = frozenset("site main global top bottom primary secondary list area box bar block links link buttons form reader".split())
+PLAIN = frozenset("site main global top bottom primary secondary list area box bar block links link buttons form reader user post page section".split())
 WORDS = re.compile(r"[a-z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SPACE = re.compile(r"\s+")
 SIGMA, REACH = 1.0, 3
+#: Weights of scores. AGAINST is small enough that only a page's other lines without any text could let such a line be marked.
+FOR, AGAINST = 4.0, 1e-6
+#: Kinds of parts: main text; not, but an article may stand in it; not; never text.
+TEXT, NAMED, PLACED, HIDDEN = range(4)
 
 
 def names_part(value: str) -> bool:
@@ -50,53 +59,55 @@ def names_part(value: str) -> bool:
 
 
 class _Events(HTMLParser):
-    """Collects lines [text, tags, container number, article number, characters in links] of the parts that may be main text."""
+    """Collects lines (text, tags, container number, article number, characters in links, kind of part)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
         self.text: list[str] = []
-        self.tags = self.serial = self.linked = 0
+        self.tags = self.serial = self.linked = self.paragraphs = 0
         self.link = False
         self.around = [0]  # the container around each container
-        self.open: list[tuple[str, int, int, int]] = []  # element, off, container, article
-        # off: 0 text, 1 in a form or a part by its name, in which an article may stand, 2 never text; article: negative inside such a part
-        self.off, self.container, self.article = 0, 0, 0
+        self.open: list[tuple[str, int, int, int]] = []  # element, and kind, container and article around it
+        self.kind, self.container, self.article = TEXT, 0, 0  # article: negative inside a named part
 
     def line(self) -> None:
         if self.text:
             text = SPACE.sub(" ", "".join(self.text)).strip()
             self.text = []
             if text:
-                self.lines.append((text, max(self.tags, 1), self.container, self.article, self.linked))
+                self.lines.append((text, max(self.tags, 1), self.container, self.article, self.linked, self.kind))
                 self.tags = 0
             self.linked = 0
 
+    def part(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """The kind of part that an element makes of itself; parts within a line are hidden."""
+        if tag in NEVER or any(name == "hidden" for name, _ in attrs):
+            return HIDDEN
+        # a header of an article belongs to it
+        if tag in ASIDE and not (tag == "header" and self.article) or any(name == "role" and value and value.lower() in ROLES for name, value in attrs):
+            return PLACED if tag in BLOCK else HIDDEN
+        if tag == "form" or tag not in ("html", "body", "article", "main") and any(name in ("class", "id") and value and names_part(value) for name, value in attrs):
+            return NAMED if tag in BLOCK else HIDDEN
+        return TEXT
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
             return
         if tag in BLOCK:
-            if tag in CLOSES_P and any(o[0] == "p" for o in self.open[-8:]):
+            if self.paragraphs and tag in CLOSES_P:
                 self.end_element("p")
             self.line()
         if tag == "a":
             self.link = True
         if tag in VOID:
             return
-        self.open.append((tag, self.off, self.container, self.article))
-        lifted = tag in ("article", "main") and not self.article and self.off == 1 and not (tag == "article" and any(v and n in ("class", "id") and names_part(v) for n, v in attrs))
-        if lifted:
-            self.off = 0
-        elif tag in NEVER:
-            # a header of an article is still no text of its own only if it isn't inside the article
-            if not (tag == "header" and self.article):
-                self.off = max(self.off, 1 if tag == "form" else 2)
-        elif not self.off and attrs and tag not in ("html", "body", "article", "main"):
-            for name, value in attrs:
-                if value and (name in ("class", "id") and names_part(value) or name == "role" and value.lower() in ROLES or name == "hidden"):
-                    self.off = max(self.off, 1 if name in ("class", "id") else 2)
+        self.open.append((tag, self.kind, self.container, self.article))
+        self.paragraphs += tag == "p"
+        lifted = tag in ("article", "main") and not self.article and self.kind == NAMED and not (tag == "article" and any(v and n in ("class", "id") and names_part(v) for n, v in attrs))
+        self.kind = TEXT if lifted else max(self.kind, self.part(tag, attrs))
         if tag in CONTAINER:
             self.serial += 1
             self.around.append(self.container)
@@ -107,9 +118,11 @@ class _Events(HTMLParser):
     def end_element(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                self.line()
+                if tag in BLOCK:
+                    self.line()
                 self.link = False  # a link left open ends with its block
-                _, self.off, self.container, self.article = self.open[k]
+                _, self.kind, self.container, self.article = self.open[k]
+                self.paragraphs -= sum(o[0] == "p" for o in self.open[k:])
                 del self.open[k:]
                 return
             if tag == "p" and self.open[k][0] in CONTAINER:
@@ -124,14 +137,15 @@ class _Events(HTMLParser):
         elif tag not in VOID:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
-                    # formatting elements end without their block
+                    # formatting elements end without their block, and with what their attributes made of their text
+                    self.kind = self.open[k][1] if k == len(self.open) - 1 else self.kind
                     del self.open[k]
                     return
                 if self.open[k][0] in BLOCK:
                     return
 
     def handle_data(self, data):
-        if not self.off:
+        if self.kind != HIDDEN:
             self.text.append(data)
             if self.link:
                 self.linked += len(data.strip())
@@ -157,6 +171,12 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def scores(lines: list[tuple]) -> np.ndarray:
+    """Smoothed text-to-tag ratios by the weights of the lines' parts."""
+    weight = np.array([AGAINST if kind else FOR if article else 1.0 for _, _, _, article, _, kind in lines])
+    return smoothed(np.array([len(line[0]) / line[1] for line in lines])) * weight
+
+
 def main_text(html: str) -> str:
     events = _Events()
     events.feed(html)
@@ -164,28 +184,35 @@ def main_text(html: str) -> str:
     events.line()
     lines = events.lines
     # articles inside parts that aren't main text by name count where the page has no other article and they outweigh the rest
-    sure, rest, lifted = (sum(len(line[0]) for line in lines if f(line[3])) for f in (lambda a: a > 0, lambda a: a == 0, lambda a: a < 0))
+    sure, rest, lifted = (sum(len(line[0]) for line in lines if line[5] == TEXT and f(line[3])) for f in (lambda a: a > 0, lambda a: a == 0, lambda a: a < 0))
     if lifted and (sure or lifted <= rest):
         lines = [line for line in lines if line[3] >= 0]
-    if not lines:
+    if not any(line[5] == TEXT for line in lines):
         return ""
-    scores = smoothed(np.array([len(t) / n for t, n, *_ in lines]))
-    marked = scores > threshold(scores)
-    inside = {line[3] for line in lines if line[3]}
-    if inside:
-        hold = {line[3] for line, m in zip(lines, marked, strict=True) if line[3] and m} or inside
-        return "\n".join(line[0] for line in lines if line[3] in hold)
+    found = scores(lines)
+    marked = found > threshold(found)
+    size, linked, deciding = {}, {}, set()
+    for (text, _, c, article, n, kind), m in zip(lines, marked, strict=True):
+        for at in {("container", c), ("article", article)}:
+            size[at], linked[at] = size.get(at, 0) + len(text), linked.get(at, 0) + n
+        if m and article and not kind:
+            deciding.add(article)
+
+    def links(*at) -> bool:
+        return 2 * linked[at] > size[at]
+
+    if deciding:
+        hold = deciding | {a for a in {line[3] for line in lines} - {0} if not links("article", a)}
+        return "\n".join(line[0] for line, m in zip(lines, marked, strict=True) if line[3] in hold and (not line[5] or m) or m and line[5])
     top = None
     for c in {line[2] for line, m in zip(lines, marked, strict=True) if m}:
         top = c if top is None else top
         while top != c:  # an inner container has the greater number
             top, c = (events.around[top], c) if top > c else (top, events.around[c])
-    within, size, linked = [top == 0], {}, {}
+    within = [top == 0]
     for c in range(1, len(events.around)):
         within.append(c == top or within[events.around[c]])
-    for text, _, c, _, n in lines:
-        size[c], linked[c] = size.get(c, 0) + len(text), linked.get(c, 0) + n
-    return "\n".join(line[0] for line in lines if within[line[2]] or 2 * linked[line[2]] <= size[line[2]])
+    return "\n".join(line[0] for line, m in zip(lines, marked, strict=True) if (m if line[5] else within[line[2]] or not links("container", line[2])))
 
 
 def _extract(batches):

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -129,7 +130,7 @@ def test_main_text(wrap):
 
 
 def test_main_text_without_article():
-    assert ht.main_text(PAGE.replace("{body}", "<div>" + ARTICLE.replace("<ul><li>point</li></ul>", "").replace("<p>End.</p>", "") + "</div>")) == "\n".join(TEXT.split("\n")[:3])
+    assert ht.main_text(PAGE.replace("{body}", "<div>" + ARTICLE + "</div>")) == TEXT
 
 
 def test_main_text_without_article_is_whole():
@@ -151,6 +152,88 @@ def test_names_of_parts():
     assert ht.main_text(page).split("\n")[1:] == ["Others", "A month"]
 
 
+LONG = "<p>" + "word " * 40 + "</p>"
+
+
+def test_no_block_of_a_region_is_lost():
+    for page in ["<div><h1>H</h1>{}<p>End.</p><p>Short two.</p><p>Yes.</p></div>", "<div class='site no-sidebar'><article><h1>H</h1>{}<p>End.</p><div><p>Short two.</p></div><div>Yes.</div></article></div>", "<div hidden>gone</div><article><h1>H</h1>{}</article><article>End.<section class='social-history'><p>Short two.</p></section><p>Yes.</article>"]:
+        assert ht.main_text(page.format(LONG * 4)).split("\n") == ["H", *["word " * 39 + "word"] * 4, "End.", "Short two.", "Yes."]
+    bold = "<b>" * 50
+    assert ht.main_text(f"<article><p>{bold}one<div>two</div><p>three").split("\n") == ["one", "two", "three"]
+
+
+def test_scores_decide(monkeypatch):
+    """Link lists in plain containers, articles of links, and articles beside the text go by their scores alone."""
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Page {k}</a></li>" for k in range(8)) + "</ul>"
+    pages = [f"<div>{links}</div><div>{LONG * 3}</div>", f"<article>{links}</article><article>{LONG * 3}</article>", f"<div>{LONG * 3}<p>Last.</p></div><article><a href=/>Teaser</a></article>", f"<nav>{links}</nav><article>{LONG}</article>"]
+    want = ["\n".join(["word " * 39 + "word"] * n) for n in (3, 3, 3, 1)]
+    want[2] += "\nLast."
+    assert [ht.main_text(p) for p in pages] == want
+    monkeypatch.setattr(ht, "scores", lambda lines: ht.np.ones(len(lines)))
+    assert not any(ht.main_text(p) == w for p, w in zip(pages, want, strict=True))
+
+
+def test_smoothing_and_threshold_by_hand():
+    import math
+
+    r = random.Random(11)
+    for _ in range(50):
+        x = [r.randrange(1, 400) for _ in range(r.randrange(1, 30))]
+        k = {d: math.exp(-d * d / 2) for d in range(-3, 4)}
+        hand = [sum(k[j - i] * x[j] for j in range(len(x)) if abs(j - i) <= 3) / sum(k[j - i] for j in range(len(x)) if abs(j - i) <= 3) for i in range(len(x))]
+        assert ht.smoothed(ht.np.array(x, float)) == pytest.approx(hand)
+        cut = ht.threshold(ht.np.array(hand))
+        low, high = [v for v in hand if v <= cut], [v for v in hand if v > cut]
+        assert high and (not low or cut == pytest.approx((sum(low) / len(low) + sum(high) / len(high)) / 2))
+
+
+def random_page(r):
+    """(page, its main text) of random nested blocks with random other parts around and between them."""
+    words = lambda a, b: " ".join(r.choice(["alpha", "beta", "gamma,", "delta.", "é", "x"]) for _ in range(r.randrange(a, b)))
+    other = lambda: r.choice([
+        f"<nav><ul>{''.join(f'<li><a href=/x>{words(1, 3)}</a></li>' for _ in range(r.randrange(1, 9)))}</ul></nav>", f"<div class=ad>{words(3, 40)}</div>", f"<aside><h2>{words(1, 4)}</h2><p>{words(5, 60)}</p></aside>", f"<form><p>{words(2, 9)}</p><input name=q><button>Go</button></form>",
+        f"<div id=comments><article class=comment><p>{words(5, 60)}</p></article></div>", f"<script>var x = '<p>{words(2, 9)}</p>';</script>", f"<style>p {{}}</style><!-- {words(1, 5)} -->", f"<div class='cookie-notice'><p>{words(5, 30)}</p></div>", f"<div role=complementary>{words(5, 30)}</div>", f"<div hidden>{words(5, 30)}</div>",
+    ])
+    out, blocks = [], []
+
+    def block(depth):
+        kind = r.choice(["p", "p", "p", "h2", "li", "quote", "cell", "div"]) if depth < 3 else "p"
+        if kind == "div":
+            out.append(r.choice(["<div>", "<section id='related-work'>", "<div class='has-sidebar'>"]))
+            tag = re.match("<(\\w+)", out[-1])[1]
+            for _ in range(r.randrange(1, 4)):
+                block(depth + 1)
+            out.append(f"</{tag}>")
+            return
+        text = words(1, 3) if r.random() < 0.3 else words(10, 120)
+        blocks.append(text)
+        raw = text.replace("é", r.choice(["&eacute;", "&#233;", "é"])).replace(" ", r.choice([" ", "  ", "\n\t"]), 2).replace("beta", r.choice(["<b>beta</b>", "<a href=/b>beta</a>", "beta"]), 2)
+        out.append({"p": f"<p>{raw}" + r.choice(["</p>", ""]), "h2": f"<h2>{raw}</h2>", "li": f"<ul><li>{raw}</ul>", "quote": f"<blockquote><p>{raw}</p></blockquote>", "cell": f"<table><tr><td>{raw}</td></tr></table>"}[kind])
+
+    for _ in range(r.randrange(2, 9)):
+        block(0)
+        if r.random() < 0.2:
+            out.append(other())
+    blocks.append(words(40, 90))
+    out.append(f"<p>{blocks[-1]}</p>")
+    a, b = r.choice([("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ("<div class='site right-sidebar'><article>", "</article></div>"), ("<div id=content>", "</div>")])
+    page = "<html><head><title>t</title></head><body>" + "".join(other() for _ in range(r.randrange(4))) + a + "".join(out) + b + "".join(other() for _ in range(r.randrange(4))) + f"<footer>&copy; {words(1, 12)}</footer></body></html>"
+    return page, "\n".join(blocks)
+
+
+def test_random_pages():
+    r = random.Random(5)
+    for k in range(300):
+        page, text = random_page(r)
+        assert ht.main_text(page) == text, k
+
+
+def test_a_very_long_page(spark):
+    page = "<nav><a href=/>Home</a></nav><article>" + "<p>" + "x" * 2_000_000 + "</p>" + "<p>word</p>" * 50_000 + "</article>"
+    got = ht.extract_pages(spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string")).collect()
+    assert [r.n_chars for r in got] == [2_000_000 + 5 * 50_000] * 2
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE.replace("{body}", "<article>" + ARTICLE + "</article>"), 1), (2, "u", None, 1), (3, None, "", 1), (None, "u", "<p>unclosed <b>bold", 1), (4, "u", "plain < text & more", 1), (5, "u", "<div>" * 3000 + "deep" + "</p>" * 10, 1), (6, "u", "<nav>only</nav>", 1)]
     got = ht.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
