@@ -1,16 +1,19 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-P(grade <= k) = logistic(threshold_k - w . x): all grades share the weights w, the thresholds are ordered. x holds the distinct
-hashed terms of a text, words and their first 4, 5 and 6 bytes (stems), over ``FEATURES`` slots; no text is cut.
-
-Labels say toxic or not; severity grades are made from them: 0 for clean rows, 1 to 3 for toxic rows by the tertile of their number of
-distinctive terms. Terms are distinctive by their smoothed log-odds between toxic and clean rows; at most ``TERMS`` of them
-get weights. All this is learnt from at most ``SAMPLE`` labelled rows of least key hash; counting terms is distributed, only the
-distinctive terms of sampled rows come to the driver (SAMPLE rows, TERMS slots). Scoring is one pass over the texts.
+P(grade > k) = logistic(w . x - threshold_k): all grades share the weights w, the thresholds are ordered. x holds the distinct hashed
+terms of a text, words and their first 4, 5 and 6 bytes (stems), over ``FEATURES`` slots; no text is cut and every term seen in a labelled
+row counts, for or against. A term's value is its log-odds between graded and clean rows times their size (terms alike in both
+weigh little before the penalty), over the root of the text's number of known terms.
+
+The grades are the labels' own values 0, 1, ...: a table of severities gives as many ordered thresholds; where labels say toxic or not,
+there are two grades, one threshold, and the expected severity is the probability. The model is fitted on the driver to at most ``SAMPLE``
+labelled rows (least key hash), of which every fourth is held out: the limit from which a text is toxic is where fewest held-out
+rows are misjudged. The model is one array of ``FEATURES`` numbers; scoring is one pass over the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship
 from . import textkernel as tk
-from .quality import _sampled
-from .scratch import Scratch
+from .sampling import labelled_texts
 
-FEATURES, TERMS, SAMPLE, GRADES = 1 << 20, 4096, 20000, 4
+FEATURES, SAMPLE = 1 << 18, 8192
 STEMS = (4, 5, 6)
-#: A distinctive term: in so many labelled rows at least, and with this log-odds at least.
-MIN_ROWS, MIN_ODDS = 4, 2.5
+#: Of the likelihood's penalty (per row), and rows added to either side of a term's odds.
+PENALTY, SMOOTH = 1e-3, 0.5
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -33,7 +35,7 @@ _U = np.uint64
 
 
 def term_slots(column: pa.Array):
-    """(first row, row index, slot) of the terms of each chunk of texts: lower-cased runs of letters and digits, and their stems."""
+    """(first row, row after the last, row index, slot) of the terms of each chunk of texts: lower-cased runs of letters and digits, and their stems."""
     data, offsets = tk.text_buffer(column)
     for i, j in tk.chunks(offsets):
         part, off = tk.TO_LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
@@ -75,103 +77,150 @@ def _terms(batches):
 
 @dataclass
 class Ordinal:
-    """Weights of slots and ordered thresholds; ``limit`` is the expected severity from which a text is toxic."""
+    """Values of terms times their weights (0: unknown) and which terms are known, ordered thresholds, and the w . x from which a text is toxic."""
 
-    slots: np.ndarray
     weights: np.ndarray
+    known: np.ndarray
     thresholds: np.ndarray
     limit: float
 
+    def scores(self, n: int, rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of known terms, w . x) of n texts from their distinct terms."""
+        hits = np.bincount(rows[self.known[slots]], minlength=n)
+        return hits, np.bincount(rows, self.weights[slots], n) / np.sqrt(np.maximum(hits, 1))
+
     def above(self, z: np.ndarray) -> np.ndarray:
-        """P(grade > k) for k = 0 .. GRADES - 2."""
+        """P(grade > k) for each threshold k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
 
 
-def fit_ordinal(indptr: np.ndarray, terms: np.ndarray, grade: np.ndarray, n_terms: int, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) that maximise the penalised likelihood, by full-batch Adam; rows are lists of term numbers."""
-    rows = np.repeat(np.arange(len(grade)), np.diff(indptr))
-    k = GRADES - 1
-    w, theta0, gaps = np.zeros(n_terms), 1.0, np.zeros(k - 1)  # thresholds: theta0, then exp(gaps) more each
-    flat = np.concatenate([w, [theta0], gaps])
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    weight = np.where(grade > 0, 1.0, 1.0) / len(grade)
-    for t in range(1, steps + 1):
-        w, theta = flat[:n_terms], flat[n_terms] + np.concatenate([[0], np.cumsum(np.exp(flat[n_terms + 1 :]))])
-        z = np.bincount(rows, w[terms], len(grade))
-        c = 1 / (1 + np.exp(-np.clip(np.concatenate([np.full((len(z), 1), -60.0), theta[None, :] - z[:, None], np.full((len(z), 1), 60.0)], 1), -60, 60)))
-        at = np.arange(len(z))
-        hi, lo = c[at, grade + 1], c[at, grade]
-        p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        dz = weight * (d_hi - d_lo)  # of -log p
-        d_theta = np.zeros(k)
-        np.add.at(d_theta, np.minimum(grade, k - 1), np.where(grade < k, -weight * d_hi, 0))
-        np.add.at(d_theta, np.maximum(grade - 1, 0), np.where(grade > 0, weight * d_lo, 0))
-        g = np.concatenate([np.bincount(terms, dz[rows], n_terms) + penalty * w / len(grade) * 10, [d_theta.sum()], np.cumsum(d_theta[::-1])[::-1][1:] * np.exp(flat[n_terms + 1 :])])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        flat = flat - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return flat[:n_terms], flat[n_terms] + np.concatenate([[0], np.cumsum(np.exp(flat[n_terms + 1 :]))])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Learn from the bounded sample of labelled rows; without toxic labels the model finds nothing toxic."""
-    scratch = Scratch(ship(docs.sparkSession), "toxic")
-    schema = "doc_id long, terms array<int>, toxic int"
-    rows = scratch.put(_sampled(docs, labels, ["toxic"], sample).mapInArrow(_terms, schema).where("toxic in (0, 1)"), "terms")
-    n_toxic, n = (int(x or 0) for x in rows.agg(F.sum("toxic"), F.count(F.lit(1))).first())
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
-    odds = F.log((F.col("bad") + 0.5) / (F.lit(n_toxic) + 1.0)) - F.log((F.col("all") - F.col("bad") + 0.5) / (F.lit(n - n_toxic) + 1.0))
-    chosen = counts.where(F.col("bad") >= MIN_ROWS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    slots = np.array(sorted(r["term"] for r in chosen.orderBy(F.desc(F.col("odds") * F.col("bad")), "term").limit(TERMS).collect()), np.int64)
-    if not n_toxic or not len(slots):
-        return Ordinal(np.zeros(0, np.int64), np.zeros(0), np.arange(GRADES - 1.0) + 50, 1.0)
-    known = F.broadcast(docs.sparkSession.createDataFrame([(int(s),) for s in slots], "term int"))
-    hits = rows.select("doc_id", "toxic", F.explode_outer("terms").alias("term")).join(known.withColumn("known", F.lit(True)), "term", "left")
-    found = hits.groupBy("doc_id", "toxic").agg(F.sort_array(F.collect_set(F.when(F.col("known"), F.col("term")))).alias("terms")).orderBy("doc_id", "toxic").collect()
-    indptr = np.concatenate([[0], np.cumsum([len(r["terms"]) for r in found])]).astype(np.int64)
-    terms = np.searchsorted(slots, np.array([t for r in found for t in r["terms"]], np.int64))
-    toxic = np.array([r["toxic"] for r in found])
-    amount = np.diff(indptr)
-    edges = np.quantile(amount[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (amount > edges[0]) + (amount > edges[1]), 0).astype(np.int64)
-    w, theta = fit_ordinal(indptr, terms, grade, len(slots))
-    model = Ordinal(slots, w, theta, 0.0)
-    expected = model.above(np.bincount(np.repeat(np.arange(len(found)), amount), w[terms], len(found))).sum(1)
-    # between the clean rows' highest scores and the toxic rows' lowest, outliers aside, at their geometric mean
-    clean, bad = expected[toxic == 0], expected[toxic == 1]
-    top = max(float(np.quantile(clean, 0.9995)) if len(clean) else 0.0, 1e-3)
-    model.limit = float(np.sqrt(top * max(float(np.quantile(bad, 0.01)), top)))
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 80, memory: int = 8, least: float = 1e-6) -> np.ndarray:
+    """L-BFGS with a halving line search, until a step gains less than so large a share of the value."""
+    value, g = f(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, back = g.copy(), []
+        for s, y in reversed(moves):
+            back.append((s @ q) / (y @ s))
+            q -= back[-1] * y
+        q *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / (np.linalg.norm(g) + 1e-12)
+        for (s, y), a in zip(moves, reversed(back), strict=True):
+            q += s * (a - (y @ q) / (y @ s))
+        step = 1.0
+        while True:
+            new_value, new_g = f(x - step * q)
+            if new_value <= value - 1e-4 * step * (g @ q) or step < 1e-6:
+                break
+            step /= 2
+        if new_value >= value:
+            break
+        s, y = -step * q, new_g - g
+        if s @ y > 1e-14:
+            moves = [*moves, (s, y)][-memory:]
+        x, gain, value, g = x + s, value - new_value, new_value, new_g
+        if gain < least * abs(value):
+            break
+    return x
+
+
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray, n_columns: int, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of least penalised mean negative log-likelihood; (rows, columns, values) is the sparse matrix, grades are 0 .. K."""
+    n, k = len(grade), int(grade.max())
+    at = np.arange(n)
+
+    def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[:n_columns], x[n_columns] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_columns + 1 :]))])
+
+    def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, theta = split(x)
+        z = np.bincount(rows, w[columns] * values, n)
+        low = np.concatenate([[-np.inf], theta])[grade]  # the grade's range of the latent value
+        high = np.concatenate([theta, [np.inf]])[grade]
+        a, b = 1 / (1 + np.exp(-np.clip(low - z, -60, 60))), 1 / (1 + np.exp(-np.clip(high - z, -60, 60)))
+        a[grade == 0], b[grade == k] = 0.0, 1.0
+        p = np.maximum(b - a, 1e-12)
+        da, db = a * (1 - a) / p, b * (1 - b) / p
+        dz = (db - da) / n
+        d_theta = np.bincount(grade[grade < k], -db[grade < k] / n, k) + np.bincount(grade[grade > 0] - 1, da[grade > 0] / n, k)
+        tail = np.cumsum(d_theta[::-1])[::-1]  # a gap moves all thresholds after it
+        g = np.concatenate([np.bincount(columns, dz[rows] * values, n_columns) + penalty * w, tail[:1], tail[1:] * np.exp(x[n_columns + 1 :])])
+        return float(-np.log(p[at]).mean() + penalty / 2 * (w @ w)), g
+
+    return split(minimise(f, np.concatenate([np.zeros(n_columns), [1.0], np.zeros(k - 1)])))
+
+
+def best_cut(z: np.ndarray, bad: np.ndarray) -> float:
+    """Where fewest rows are misjudged, toxic from there on; of equally good places the middle of the widest gap."""
+    order = np.argsort(z, kind="stable")
+    v, b = z[order], bad[order].astype(np.int64)
+    wrong = np.concatenate([[0], np.cumsum(b)]) + np.concatenate([np.cumsum((1 - b)[::-1])[::-1], [0]])
+    edges = np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
+    gap = np.diff(edges)
+    least = wrong[gap > 0].min()  # no cut parts equal scores
+    k = int(np.argmax(np.where((wrong == least) & (gap > 0), gap, -1.0)))
+    return float((edges[k] + edges[k + 1]) / 2)
+
+
+def train(indptr: np.ndarray, terms: np.ndarray, grade: np.ndarray, held_out: np.ndarray) -> Ordinal:
+    """From rows' distinct slots and grades; rows held out only set the limit."""
+    n, rows = len(grade), np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(indptr))
+    mine = ~held_out[rows]
+    r, s, g = rows[mine], terms[mine], grade[~held_out]
+    n_bad, n_clean = int((g > 0).sum()), int((g == 0).sum())
+    if not n_bad or not n_clean:
+        return Ordinal(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, bool), np.array([50.0]), np.inf)
+    all_, bad = np.bincount(s, minlength=FEATURES), np.bincount(s[grade[r] > 0], minlength=FEATURES)
+    odds = np.log((bad + SMOOTH) / (n_bad + 2 * SMOOTH)) - np.log((all_ - bad + SMOOTH) / (n_clean + 2 * SMOOTH))
+    known, value = all_ > 0, (odds * np.abs(odds)).astype(np.float32)
+    number = np.cumsum(known) - 1
+    amount = np.bincount(rows[known[terms]], minlength=n)
+    scale = (1 / np.sqrt(np.maximum(amount, 1))).astype(np.float32)
+    place = (np.cumsum(~held_out) - 1).astype(np.int32)
+    w, thresholds = fit_ordinal(place[r], number[s].astype(np.int32), value[s] * scale[r], g, int(known.sum()))
+    weights = np.zeros(FEATURES, np.float32)
+    weights[known] = w * value[known]
+    model = Ordinal(weights, known, thresholds, np.inf)
+    judged = held_out if held_out.any() else np.ones(n, bool)
+    model.limit = best_cut(model.scores(n, rows, terms)[1][judged], grade[judged] > 0)
     return model
 
 
-def _numbers(model: Ordinal) -> np.ndarray:
-    number = np.full(FEATURES, -1, np.int32)
-    number[model.slots] = np.arange(len(model.slots))
-    return number
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
+    """Learn from the bounded sample of labelled rows; without toxic or without clean labels the model finds nothing toxic."""
+    ship(docs.sparkSession)
+    rows = labelled_texts(docs, labels, "toxic", sample).where("toxic >= 0").mapInArrow(_terms, "doc_id long, terms array<int>, toxic int")
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    grade = np.asarray(found["toxic"]).astype(np.int64)
+    lists = found["terms"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    if not len(grade):
+        return train(np.zeros(1, np.int64), np.zeros(0, np.int64), grade, np.zeros(0, bool))
+    _, grade = np.unique(grade, return_inverse=True) if grade.min() == 0 else (None, grade)  # grades without rows have no threshold
+    return train(np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values), grade, (np.arange(len(grade)) % 4 == 3) & (len(grade) >= 40))
+
+
+def _severity(model: Ordinal, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of known terms, w . x) of each text."""
+    hits, z = np.zeros(len(column), np.int64), np.zeros(len(column))
+    for i, j, rows, slots in term_slots(column):
+        hits[i:j], z[i:j] = model.scores(j - i, *_distinct(rows, slots))
+    return hits, z
 
 
-def _severity(model: Ordinal, number: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the model's terms, P(grade > k)) of each text."""
-    z, hits = np.zeros(len(column)), np.zeros(len(column), np.int64)
-    for i, j, rows, slots in term_slots(column):
-        known = number[slots] >= 0
-        r, s = _distinct(rows[known], slots[known])
-        z[i:j] = np.bincount(r, model.weights[number[s]], j - i)
-        hits[i:j] = np.bincount(r, minlength=j - i)
-    return hits, model.above(z)
+def _toxic(model: Ordinal, hits: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return (z >= model.limit) & (hits > 0)
 
 
 def _score(shared):
     def run(batches):
         model = shared.value
-        number = _numbers(model)
         for batch in batches:
-            hits, above = _severity(model, number, batch.column(1))
-            severity = above.sum(1)
+            hits, z = _severity(model, batch.column(1))
+            above = model.above(z)
             bounds = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
             grade = np.argmax(bounds[:, :-1] - bounds[:, 1:], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hits), pa.array(above[:, 0]), pa.array(severity), pa.array(grade.astype(np.int32)), pa.array((severity >= model.limit) & (hits > 0))],
+                [batch.column(0), pa.array(hits), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade.astype(np.int32)), pa.array(_toxic(model, hits, z))],
                 ["doc_id", "n_terms", "p_toxic", "severity", "grade", "toxic"],
             )
 
@@ -179,10 +228,11 @@ def _score(shared):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_terms, p_toxic, severity (expected grade, 0 to 3), grade (likeliest), toxic, for each row of docs.
+    """doc_id, n_terms, p_toxic, severity (expected grade), grade (likeliest), toxic, for each row of docs.
 
-    labels has doc_id and toxic (0 or 1). A null or empty text has no terms and is not toxic. Null doc_ids stay null, repeated rows are
-    scored alike, other columns are ignored, an empty table gives an empty result; without toxic labels nothing is toxic.
+    labels has doc_id and toxic (0: clean, 1 and more: grades; 0 and 1 alone are two grades). A null or empty text has no terms and is not
+    toxic. Null doc_ids stay null, repeated rows are scored alike, other columns are ignored, an empty table gives an empty result;
+    without toxic or without clean labels nothing is toxic. Texts are scored whole.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     schema = "doc_id long, n_terms long, p_toxic double, severity double, grade int, toxic boolean"
@@ -195,9 +245,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     at = docs.columns.index("text")
 
     def run(batches):
-        number = _numbers(model.value)
         for batch in batches:
-            hits, above = _severity(model.value, number, batch.column(at))
-            yield batch.filter(pa.array((above.sum(1) < model.value.limit) | (hits == 0)))
+            yield batch.filter(pa.array(~_toxic(model.value, *_severity(model.value, batch.column(at)))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from sparkloom.llm import quality as q, toxicity as tox, url_filter as uf
+from sparkloom.llm.sampling import labelled_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,9 +89,8 @@ def test_toxicity_held_out(judged):
     assert len(got) == docs.count()
     held = [r for r in got if r.doc_id is not None and 500 <= r.doc_id < 700]
     assert np.mean([r.toxic == (r.doc_id % 4 == 1 and r.doc_id % 5 != 0) for r in held]) > 0.97
-    assert all(0 <= r.severity <= 3 and r.grade in range(4) for r in got)
-    # more terms, more severe
-    assert np.corrcoef([r.n_terms for r in held], [r.severity for r in held])[0, 1] > 0.7
+    # the labels are two grades: the expected severity is the probability
+    assert all(0 <= r.severity <= 1 and r.severity == r.p_toxic and r.grade in (0, 1) for r in got)
     assert Counter(r.doc_id for r in tox.remove_toxic(docs, labels).collect()) == Counter(r.doc_id for r in got if not r.toxic)
 
 
@@ -100,17 +100,97 @@ def test_toxicity_odd(spark, judged):
     assert tox.toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_labels_are_sampled_by_document(spark):
+    """One label whose doc_id 5,000 rows carry gives one row; the bound holds for rows, whatever the labels' number."""
+    docs = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id) as text").unionByName(spark.range(2, 400).selectExpr("id as doc_id", "cast(id as string) as text"))
+    labels = spark.range(1, 400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    labels = labels.union(labels).union(spark.sql("select cast(null as bigint), 1"))
+    for n in (8, 100, 1000):
+        got = labelled_texts(docs, labels, "toxic", n).collect()
+        assert len(got) == len({r.doc_id for r in got}) == min(n, 399)
+        assert all(r.text == ("text 0" if r.doc_id == 1 else str(r.doc_id)) and r.toxic == r.doc_id % 2 for r in got)
+    assert {r.doc_id for r in labelled_texts(docs, labels.repartition(7), "toxic", 8).collect()} == {r.doc_id for r in labelled_texts(docs, labels, "toxic", 8).collect()}
+
+
+def test_grades_of_severity_held_out(spark):
+    """Labels of four grades: shared weights, three ordered thresholds, expected severity near the grade of unseen rows."""
+    r = random.Random(2)
+    mild, harsh = ["zounds", "drattery", "poxish"], ["grobian", "gadzooks", "villainy"]
+    rows, labels = [], []
+    for i in range(900):
+        grade, w = i % 4, prose(r).split()
+        for term in (mild if grade == 1 else harsh if grade > 1 else []) + (mild if grade == 3 else []):
+            w.insert(r.randrange(len(w)), term)
+        rows.append((i, " ".join(w)))
+        labels.append((i, grade))
+    got = {x.doc_id: x for x in tox.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:700], "doc_id long, toxic int")).collect()}
+    assert np.mean([got[i].grade == g for i, g in labels[700:]]) > 0.7  # three in four by chance are wrong
+    assert np.mean([abs(got[i].severity - g) for i, g in labels[700:]]) < 0.4
+    assert np.mean([got[i].toxic == (g > 0) for i, g in labels[700:]]) > 0.97
+
+
+def test_long_and_repeated_texts_are_scored_whole(spark, judged):
+    docs, labels = judged
+    r = random.Random(6)
+    long = prose(r, 60_000)
+    insults = " ".join(f"{prose(r, 30)} zounds gadzooks drattery poxish grobian grobianly" for _ in range(1500))
+    extra = spark.createDataFrame([(2000, long, 1), (2001, long + " " + insults, 1), (2002, "ab#" * 300_000, 1), (2003, insults, 1), (2003, insults, 1)], docs.schema)
+    every = docs.unionByName(extra)
+    got = [(x.doc_id, x.toxic) for x in tox.toxicity(every, labels).collect() if x.doc_id is not None and x.doc_id >= 2000]
+    assert sorted(got) == [(2000, False), (2001, True), (2002, False), (2003, True), (2003, True)]
+    words = {x.doc_id: x for x in q.quality_verdicts(every, labels).collect() if x.doc_id in (2000, 2002)}
+    assert words[2000].n_words == 60_000 and words[2002].n_symbols == 300_000 and words[2002].base_failed
+
+
+def test_gradient_and_optimum():
+    """The fit's gradient against differences, and its optimum against small steps in any direction."""
+    r = np.random.default_rng(0)
+    rows, columns = r.integers(0, 60, 400), r.integers(0, 8, 400)
+    values, grade = r.normal(size=400), np.resize([0, 1, 2, 3], 60)
+    seen = {}
+
+    def grab(f, x, **_):
+        seen.update(f=f, x=x)
+        return minimise(f, x)
+
+    minimise, tox.minimise = tox.minimise, grab
+    try:
+        w, theta = tox.fit_ordinal(rows, columns, values, grade, 8)
+    finally:
+        tox.minimise = minimise
+    x = r.normal(size=len(seen["x"])) * 0.3
+    f = seen["f"]
+    for k in range(len(x)):
+        e = np.eye(len(x))[k] * 1e-6
+        assert f(x)[1][k] == pytest.approx((f(x + e)[0] - f(x - e)[0]) / 2e-6, abs=1e-5)
+    best = minimise(f, seen["x"])
+    assert all(f(best)[0] <= f(best + d)[0] + 1e-6 for d in r.normal(size=(200, len(best))) * 0.05)
+    assert (np.diff(theta) > 0).all() and np.allclose(w, best[:8])
+
+
 def test_thresholds_are_ordered():
     r = np.random.default_rng(0)
     grade = np.repeat([0, 1, 2, 3], 50)
     lists = [r.choice(10, g * 2 + 1, replace=False) for g in grade]
-    indptr = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    w, theta = tox.fit_ordinal(indptr, np.concatenate(lists), grade, 10)
+    rows, columns = np.repeat(np.arange(200), [len(x) for x in lists]), np.concatenate(lists)
+    w, theta = tox.fit_ordinal(rows, columns, np.ones(len(rows)), grade, 10)
     assert (np.diff(theta) > 0).all()
     z = np.array([w[x].sum() for x in lists])
     assert np.mean(np.searchsorted(theta, z) == grade) > 0.9
 
 
+def test_best_cut():
+    z, bad = np.array([0.0, 1.0, 2.0, 5.0, 6.0]), np.array([False, False, False, True, True])
+    assert tox.best_cut(z, bad) == 3.5
+    assert tox.best_cut(np.array([0.0, 1.0]), np.array([False, False])) > 1
+    r = random.Random(1)
+    for _ in range(200):
+        z, bad = np.array([float(r.randrange(9)) for _ in range(12)]), np.array([r.random() < 0.4 for _ in range(12)])
+        wrong = lambda c: int(((z >= c) != bad).sum())
+        got = tox.best_cut(z, bad)
+        assert wrong(got) == min(wrong(c) for c in np.arange(-1, 10, 0.5))
+
+
 URLS = [
     ("http://a.b.COM/x", "a.b.com", "/x", "com/", "allow"), ("https://www.example.com/en/1?q#f", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("https://m.example.com/en/1", "m.example.com", "/en/1", "example.com/en/", "block"),
     ("https://xexample.com/en/", "xexample.com", "/en/", "com/", "allow"), ("http://h.net/es/a", "h.net", "/es/a", "net/es/", "block"), ("http://net/fr/", "net", "/fr/", "net/fr/", "block"), ("http://h.net?x=/fr/", "h.net", "", None, None),
