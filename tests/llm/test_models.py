@@ -211,7 +211,7 @@ def test_boosted_trees_learn():
     r = np.random.default_rng(3)
     x = r.normal(size=(600, 5))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
-    m = uf.boost(x[:400], y[:400], {}, 0.5)
+    m = uf.boost(x[:400], y[:400])
     assert ((m.log_odds(x[400:]) > 0) == y[400:]).mean() > 0.9
 
 
@@ -221,3 +221,48 @@ def test_url_model_held_out(spark):
     held = [(1000 + k, f"http://q{k}.org/{r.randrange(10**9)}?a=1&b=2&c={k}") for k in range(50)] + [(2000 + k, f"http://q{k}.org/abc/abc") for k in range(50)]
     got = {x.page_id: x.verdict for x in uf.url_verdicts(spark.createDataFrame(rows + held, "page_id long, url string")).collect()}
     assert np.mean([got[k] == ("block" if k < 2000 else "allow") for k, _ in held]) > 0.9
+
+
+def test_url_model_learns_other_labels_than_the_suffix(spark):
+    """Labels that depend on digits and parameters only: every suffix has both verdicts, hosts of the judged urls are new."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+
+    def url(bad):
+        path = "/".join([word(), *(str(r.randrange(10**7)) for _ in range(2))] if bad else [word() for _ in range(3)])
+        return f"http://{word()}{r.randrange(99)}.{r.choice(['one', 'two', 'three'])}.{r.choice(['com', 'org'])}/{path}" + ("?a=1&b=2&c=3" if bad else r.choice(["", "?a=1"]))
+
+    labelled = spark.createDataFrame([(url(k % 2), "block" if k % 2 else "allow") for k in range(600)], "url string, verdict string")
+    pages = [(k, url(k % 2)) for k in range(200)]
+    got = {x.page_id: x.verdict for x in uf.url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), [], labelled=labelled).collect()}
+    assert np.mean([got[k] == ("block" if k % 2 else "allow") for k, _ in pages]) > 0.95
+    assert uf.fit(uf._parts(labelled, "verdict")).held_out > 0.95
+
+
+def test_rates_are_of_other_folds():
+    suffix, fold, y = np.array([1, 1, 1, 2, 2, 3]), np.array([0, 0, 1, 1, 2, 3]), np.array([1.0, 0, 0, 0, 1, 1])
+    x = uf._with_rates(np.zeros((6, 1)), suffix[:, None], fold, y)
+    for k in range(6):
+        mine = fold != fold[k]
+        share = y[mine].mean()
+        w = np.where(y[mine] == 1, 0.5 / share, 0.5 / (1 - share))
+        at = suffix[mine] == suffix[k]
+        want = ((w * y[mine])[at].sum() + 0.5 * uf.PRIOR_ROWS) / (w[at].sum() + uf.PRIOR_ROWS) if at.any() else 0.5
+        assert x[k, 1] == pytest.approx(want)
+
+
+def test_url_samples_are_of_distinct_urls(spark):
+    """300 rows of one url count as one: verdicts of held-out urls don't depend on the copies, whatever the sample."""
+    rows = [(0, "http://copy.com/a")] * 300 + [(k, f"http://h{k}.net/es/{k}?a=1&b=2") if k % 2 else (k, f"http://h{k}.com/abc") for k in range(200)]
+    held = [(1000 + k, f"http://q{k}.org/es/{k}?a=1&b=2") for k in range(20)] + [(2000 + k, f"http://q{k}.org/abc") for k in range(20)]
+    for sample in (100, 150, 20000):
+        got = {x.page_id: x.verdict for x in uf.url_verdicts(spark.createDataFrame(rows + held, "page_id long, url string"), sample=sample).collect()}
+        assert np.mean([got[k] == ("block" if k < 2000 else "allow") for k, _ in held]) > 0.9
+
+
+def test_very_long_and_repeated_urls(spark):
+    long = "https://m.example.com/en/" + "x" * 1_000_000 + "?" + "a=1&" * 1000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "a." * 5000 + "net/es/")], "page_id long, url string")
+    got = uf.url_verdicts(df).collect()
+    assert [(r.page_id, r.verdict) for r in got] == [(1, "block"), (1, "block"), (2, "block")] and got[0] == got[1]
+    assert got[0].path == long[len("https://m.example.com") : long.index("?")]
