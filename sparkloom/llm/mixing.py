@@ -6,9 +6,10 @@ multiplier solves the convex dual of the source; all duals are solved together b
 brackets. As documents of one source and size share a rate, the sums run over the cells (source, size, count), which one aggregation of the
 documents makes and which grow with the number of distinct sizes only. Sums are of fixed-point numbers, so reruns agree.
 
-Rounding into copies is per cell and carries the error on: cells of long documents from the longest on by rounding the running number
-of copies, then the at most ``SMALL`` cells of short ones, word by word. So a source's words miss its target by about its shortest
-document. A cell's copies are dealt evenly to its documents; the odd ones go to those of least id hash, ranked in ``PARTS`` parts apart.
+Rounding into copies is per cell, one rule for all sizes: the running number of copies, from the longest documents on, is rounded. What a source
+then misses of its target, half its longest document at most as a rule, is made up by the longest documents that fit into it and can
+be taken once more or less, until none fits. A cell's copies are dealt evenly to its documents; the odd ones go to those of least id hash,
+ranked in ``PARTS`` parts apart.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .scratch import Scratch
 
 WEIGHTS, CAP = (5, 2, 1), 3
-#: Sizes up to this are rounded one by one; steps of the dual at most; the least relative error that ends them.
-SMALL, STEPS, ENOUGH = 1024, 60, 1e-6
+#: Steps of the dual before balancing gives up with an error; the least relative error that ends them.
+STEPS, ENOUGH = 200, 1e-6
 #: Parts of a cell that are ranked apart, and the fixed-point unit of sums.
 PARTS, UNIT = 64, 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,25 +32,30 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """key, source_size, target from one row for each source: key, source, source_size.
 
-    Weights repeat over the sources in code-point order, null last. Targets share all words by weight and stop at cap times the
-    source's words; what is over is shared again until none is above: the water level is the largest of those that each number of
-    stopped sources would need. Windows here run over one row for each source.
+    Weights repeat over the sources in code-point order, null last; places are ranks within ranges of sources plus the ranges' offsets,
+    so no task ranks all sources. Targets share all words by weight and stop at cap times the source's words; what is over is shared
+    again until none is above: each round is one distributed sum, and only sums come to the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    place = (F.row_number().over(order) - 1) % len(weights) + 1
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), place.cast("int"))
-    rows = sizes.withColumn("w", w).withColumn("full", F.col("source_size") * float(cap))
-    by = Window.orderBy(F.col("full") / F.col("w"), "key")
-    every = Window.partitionBy()
-    before = F.coalesce(F.sum("full").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(every)
-    levels = rows.withColumn("needed", (total - before) / rest)
-    level = F.max("needed").over(every)
-    return levels.withColumn("level", level).select("key", "source_size", F.least(F.col("w") * F.col("level"), F.col("full")).alias("target"))
+    order = [F.col("source").isNull(), F.col("source")]
+    rows = scratch.put(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("range").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition of the shuffle
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    placed = rows.withColumn("place", place).join(counts.select("range", before.alias("before")), "range").withColumn("place", (F.col("place") + F.col("before")) % len(weights) + 1)
+    w = F.element_at(F.array(*(F.lit(int(x)) for x in weights)), F.col("place").cast("int"))
+    rows = scratch.put(placed.select("key", "source_size", w.alias("w"), (F.col("source_size") * cap).alias("full")), "weights")
+    total, shares = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(1))).first()
+    level, stopped = total / shares, 0
+    while True:
+        over = F.col("full") < F.col("w") * F.lit(float(level))
+        n, words, rest = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("full"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0))).first()
+        if n == stopped or not rest:
+            break
+        level, stopped = (total - words) / rest, n
+    return rows.select("key", "source_size", F.least(F.col("w") * F.lit(float(level)), F.col("full").cast("double")).alias("target"))
 
 
 def _fixed(x: Column) -> Column:
@@ -80,33 +86,57 @@ def balance(cells: DataFrame, targets: DataFrame, scratch: Scratch, cap: int = C
         halved = F.when((low > -1e9) & (high < 1e9), (low + high) / 2).when(gap > 0, F.greatest(low * 2, low + 1)).otherwise(F.least(high * 2, high - 1))
         met = F.coalesce(F.abs(gap) <= ENOUGH * F.greatest("target", F.lit(1.0)), F.lit(True)) | (F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))) | (F.col("target") <= 0)
         moved = state.join(sums, "key", "left").select("key", "source_size", "target", "scale", F.when(F.col("done") | met, F.col("lam")).when(inside, step).otherwise(halved).alias("lam"), low.alias("low"), high.alias("high"), (F.col("done") | met).alias("done"))
-        state = scratch.put(moved, "state")
+        state = scratch.put(moved, "state", replace=True)
         if state.where("not done").isEmpty():
-            break
-    return state
+            return state
+    raise ArithmeticError(f"the dual of {state.where('not done').count()} sources is not solved after {STEPS} steps")
 
 
-def round_cells(rated: DataFrame, cap: int = CAP) -> DataFrame:
+def round_cells(rated: DataFrame, scratch: Scratch, cap: int = CAP) -> DataFrame:
     """key, size, n, copies from key, target, size, n, rate."""
-    want = rated.select("key", "target", "size", "n", (F.col("n") * F.col("rate")).alias("want"))
-    down = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.round(F.col("want") * UNIT).cast("long")).over(down) / UNIT
-    long_ = want.where(F.col("size") > SMALL).withColumn("upto", upto)
+    down = Window.partitionBy("key").orderBy(F.desc("size"))
+    upto = F.sum(F.round(F.col("n") * F.col("rate") * UNIT).cast("long")).over(down.rowsBetween(Window.unboundedPreceding, 0)) / UNIT
     so_far = F.floor(F.col("upto") + 0.5)
-    copies = so_far - F.coalesce(F.lag(so_far).over(Window.partitionBy("key").orderBy(F.desc("size"))), F.lit(0))
-    long_ = long_.select("key", "target", "size", "n", F.least(F.greatest(copies, F.lit(0)), F.col("n") * cap).cast("long").alias("copies"))
-    missed = long_.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("words"))
-    short = want.where((F.col("size") > 0) & (F.col("size") <= SMALL)).groupBy("key", "target").agg(F.sort_array(F.collect_list(F.struct("size", "n", "want")), False).alias("cells"), F.sum(F.round(F.col("want") * F.col("size") * UNIT).cast("long")).alias("wanted"))
-    carry = F.col("target") - F.coalesce("words", F.lit(0)) - F.col("wanted") / UNIT
-    empty = F.lit([]).cast("array<struct<size:bigint,n:bigint,copies:bigint>>")
+    copies = F.least(F.greatest(so_far - F.coalesce(F.lag(so_far).over(down), F.lit(0)), F.lit(0)), F.col("n") * cap).cast("long")
+    cells = rated.where("size > 0").withColumn("upto", upto).select("key", F.round("target").cast("long").alias("target"), "size", "n", copies.alias("copies"))
+    cells = scratch.put(cells, "cells")
+    while True:
+        missed = cells.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("missed")).where("missed <> 0")
+        room = F.when(F.col("missed") > 0, F.col("n") * cap - F.col("copies")).otherwise(F.col("copies"))
+        fit = cells.join(missed, "key").withColumn("room", room).where((F.col("room") > 0) & (F.col("size") <= F.abs("missed")))
+        taken = F.coalesce(F.sum(F.col("room") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        step = F.least(F.col("room"), F.floor((F.abs("missed") - F.col("taken")) / F.col("size"))).cast("long")
+        moves = fit.withColumn("taken", taken).where(F.col("taken") < F.abs("missed")).withColumn("step", step).where("step > 0").select("key", "size", (F.col("step") * F.signum("missed")).cast("long").alias("step"))
+        moves = scratch.put(moves, "moves")
+        if moves.isEmpty():
+            return cells.select("key", "size", "n", "copies")
+        cells = scratch.put(cells.join(moves, ["key", "size"], "left").select("key", "target", "size", "n", (F.col("copies") + F.coalesce("step", F.lit(0))).alias("copies")), "cells", replace=True)
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, scratch: Scratch) -> DataFrame:
+    """mix_sources() with the key of the source and a hash of the text."""
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source_key(F.col("source")).alias("key"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
+    rows = scratch.put(rows.withColumn("hash", F.xxhash64("doc_id", "text_hash")).withColumn("part", F.pmod("hash", F.lit(PARTS)).cast("int")), "rows")
+    parts = scratch.put(rows.groupBy("key", "source", "size", "part").agg(F.count(F.lit(1)).alias("m")), "parts")
+    every = scratch.put(parts.groupBy("key", "source", "size").agg(F.sum("m").alias("n")), "all")
+    sizes = every.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    targets = scratch.put(source_targets(sizes, scratch, weights, cap), "targets")
+    every = every.select("key", "size", "n")
+    state = balance(every.where("size > 0"), targets, scratch, cap)
+    rated = every.join(state.select("key", "target", "source_size", "scale", "lam"), "key").withColumn("rate", _rate(cap))
+    decided = scratch.put(round_cells(rated.select("key", "target", "size", "n", "rate"), scratch, cap), "decided")
+    earlier = F.coalesce(F.sum("m").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = parts.select("key", "size", "part", earlier.alias("earlier")).join(decided, ["key", "size"], "left").join(targets, "key", "left")
+    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("hash", "doc_id", "text_hash")) + F.col("earlier") - 1
+    n, k = F.coalesce("n", F.lit(1)), F.coalesce("copies", F.lit(0))
+    out = rows.join(dealt, ["key", "size", "part"]).withColumn("rank", rank)
+    copies = F.floor(k / n) + F.when(F.col("rank") < k % n, 1).otherwise(0)
+    return out.select("doc_id", "source", "key", "text_hash", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
-    def deal(acc: Column, c: Column) -> Column:
-        words = c["want"] * c["size"] + acc["carry"]
-        k = F.least(F.greatest(F.floor(words / c["size"] + 0.5), F.lit(0)), c["n"] * cap).cast("long")
-        return F.struct((words - k * c["size"]).cast("double").alias("carry"), F.concat(acc["out"], F.array(F.struct(c["size"].alias("size"), c["n"].alias("n"), k.alias("copies")))).alias("out"))
 
-    dealt = short.join(missed, "key", "left").select("key", F.aggregate("cells", F.struct(carry.cast("double").alias("carry"), empty.alias("out")), deal)["out"].alias("out"))
-    return long_.select("key", "size", "n", "copies").unionAll(dealt.select("key", F.explode("out").alias("c")).select("key", "c.size", "c.n", "c.copies"))
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -114,39 +144,37 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
     size counts the words of the text, null: 0. A null source is a source of its own, the last. taken is size * copies, copies 0 to cap.
     Rows of no words are taken 0 times. Equal rows may get different copies, the same ones at each run. An empty table gives an
-    empty result, and targets of a corpus without words are 0.
+    empty result, and targets of a corpus without words are 0. A dual that can't be solved raises ArithmeticError.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    source = F.col("source").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"), word_count(F.col("text").cast("string")).alias("size"))
-    rows = scratch.put(rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.pmod("hash", F.lit(PARTS)).cast("int")), "rows")
-    parts = scratch.put(rows.groupBy("key", "source", "size", "part").agg(F.count(F.lit(1)).alias("m")), "parts")
-    cells = scratch.put(parts.groupBy("key", "source", "size").agg(F.sum("m").alias("n")), "cells")
-    sizes = cells.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    targets = scratch.put(source_targets(sizes, weights, cap), "targets")
-    cells = cells.select("key", "size", "n")
-    state = balance(cells.where("size > 0"), targets, scratch, cap)
-    rated = cells.join(state.select("key", "target", "source_size", "scale", "lam"), "key").withColumn("rate", _rate(cap))
-    decided = scratch.put(round_cells(rated.select("key", "target", "size", "n", "rate"), cap), "decided")
-    earlier = F.coalesce(F.sum("m").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = parts.select("key", "size", "part", earlier.alias("earlier")).join(decided, ["key", "size"], "left").join(targets, "key", "left")
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("hash", "doc_id")) + F.col("earlier") - 1
-    n, k = F.coalesce("n", F.lit(1)), F.coalesce("copies", F.lit(0))
-    out = rows.join(dealt, ["key", "size", "part"]).withColumn("rank", rank)
-    copies = F.floor(k / n) + F.when(F.col("rank") < k % n, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return _mixed(docs, weights, cap, Scratch(docs.sparkSession, "mixing")).drop("key", "text_hash")
+
+
+#: Copies of a row that one array holds at most.
+AT_ONCE = 1 << 16
 
 
 def take_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as mix_sources() takes it. Joins on (doc_id, source, size, occurrence)."""
-    mixed = mix_sources(docs, weights, cap)
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    same = ["_mix_id", "_mix_key", "_mix_size"]
-
-    def numbered(df: DataFrame) -> DataFrame:
-        return df.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.col(df.columns[0]))))
-
-    left = numbered(docs.withColumns({"_mix_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_mix_key": key, "_mix_size": word_count(F.col("text").cast("string"))}))
-    right = numbered(mixed.where("copies > 0").select(F.col("copies").alias("_mix_copies"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_mix_id"), key.alias("_mix_key"), F.col("size").alias("_mix_size")))
-    found = left.join(right, [*same, "_mix_nth"])
-    return found.withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    """The rows of docs, with all their columns, each as often as mix_sources() takes it.
+
+    Rows are known by doc_id, source and text. The number of copies of each is a narrow table of its own; where it is small enough for
+    Spark to broadcast, no text is shuffled. Rows that repeat are collapsed first and share their copies: rows equal in all columns are
+    alike, of others the least in the order of their columns' hash get the odd copies. Null doc_ids, sources and texts count as values;
+    an empty table gives an empty result; columns of any name are kept.
+    """
+    scratch, prefix = Scratch(docs.sparkSession, "copies"), "_mix"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    on = [f"{prefix}_{c}" for c in ("id", "key", "text")]
+    rows, copies, n, before = (f"{prefix}_{c}" for c in ("rows", "copies", "n", "before"))
+    mixed = _mixed(docs, weights, cap, scratch).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(on[0]), F.col("key").alias(on[1]), F.col("text_hash").alias(on[2]))
+    mixed = scratch.put(mixed.agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies)).where(F.col(copies) > 0), "mixed")
+    named = docs.withColumns({on[0]: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), on[1]: source_key(F.col("source")), on[2]: F.xxhash64(F.col("text").cast("string"))})
+    once = named.join(mixed.where(F.col(rows) == 1), on).select(*docs.columns, F.col(copies))
+    again = mixed.where(F.col(rows) > 1)
+    alike = named.join(again.select(*on), on, "left_semi").groupBy(*docs.columns, *on).agg(F.count(F.lit(1)).alias(n)).join(again, on)
+    earlier = F.coalesce(F.sum(n).over(Window.partitionBy(*on).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    odd = F.greatest(F.least(F.col(n), F.col(copies) % F.col(rows) - F.col(before)), F.lit(0))
+    shared = alike.withColumn(before, earlier).select(*docs.columns, (F.col(n) * F.floor(F.col(copies) / F.col(rows)) + odd).cast("long").alias(copies))
+    # arrays of a bounded length: a row that repeats is taken in several
+    many = once.unionByName(shared).where(F.col(copies) > 0).withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / AT_ONCE))))
+    return many.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(AT_ONCE), F.col(copies) - F.col(n) * AT_ONCE)))).select(*docs.columns)

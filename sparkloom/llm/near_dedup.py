@@ -97,13 +97,18 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return tk.mix(h).view(np.int64)
 
 
+def _digest(s: bytes) -> bytes:
+    """The name of a class: of a set's sorted hashes."""
+    return hashlib.blake2b(s, digest_size=16).digest()
+
+
 def _signatures(size: int):
     def run(batches):
         for batch in batches:
             n, digest, keys, lengths = [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(_digest(s.tobytes()) if len(s) else None)
                 if len(s):
                     keys.append(band_keys(s))
                 lengths.append(BANDS if len(s) else 0)
@@ -114,7 +119,7 @@ def _signatures(size: int):
     return run
 
 
-def _needed_sets(size: int, bitmap):
+def _needed_sets(size: int, bitmap, digests: bool = False):
     def run(batches):
         need = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
@@ -124,7 +129,10 @@ def _needed_sets(size: int, bitmap):
             if keep.any():
                 part = batch.filter(pa.array(keep))
                 sets = [s.tobytes() for s in shingle_sets(part.column(1), size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+                columns = [part.column(0), pa.array(sets, pa.binary())]
+                if digests:
+                    columns.append(pa.array([_digest(s) for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "s", "digest"][: len(columns)])
 
     return run
 
@@ -169,31 +177,32 @@ def _as_tokens(batches):
     for batch in batches:
         values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))], ["id", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *values])))], ["digest", "tokens"])
 
 
 def _prefix_candidates(docs: DataFrame, members: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members (rep, n, component) of different components that can be linked, without a loss: prefix filtering.
+    """Pairs (a, b) of doc_ids of members (digest, rep, n, component), classes of different components that can be linked, without a loss: prefix filtering.
 
     With each set's shingles in order of rising frequency among the members, two linked sets share one of their first
     n - ceil(n * percent / 100) + 1. Passages that many share stand last, so what they have in common makes no candidates. A pair is
-    given once, for the first shingle that its prefixes share.
+    given once, for the first shingle that its prefixes share. Sets are known by their class, as a doc_id may have several texts.
     """
-    sets = docs.select("doc_id", "text").mapInArrow(_needed_sets(size, _bitmap(members.select("rep"))), "id long, s binary")
-    mine = sets.join(members, sets["id"] == members["rep"]).select("id", "s").mapInArrow(_as_tokens, "id long, tokens array<bigint>")
-    tokens = scratch.put(mine.select("id", F.explode("tokens").alias("t")), "tokens")
+    sets = docs.select("doc_id", "text").mapInArrow(_needed_sets(size, _bitmap(members.select("rep")), True), "id long, s binary, digest binary")
+    mine = sets.join(members.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("digest", "s").groupBy("digest").agg(F.first("s").alias("s")).mapInArrow(_as_tokens, "digest binary, tokens array<bigint>")
+    tokens = scratch.put(mine.select("digest", F.explode("tokens").alias("t")), "tokens")
     common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "t"))
-    ranked = tokens.join(common, "t").withColumn("place", place).join(members.withColumnRenamed("rep", "id"), "id")
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("f", "t"))
+    ranked = tokens.join(common, "t").withColumn("place", place).join(members, "digest")
     least = F.ceil(F.col("n") * percent / 100)
-    prefix = ranked.where((F.col("place") <= F.col("n") - least + 1) & (F.col("f") > 1)).groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("f", "t", "place"))).alias("p"))
-    prefix = scratch.put(prefix.select("id", "n", "component", F.explode("p").alias("x"), F.transform("p", lambda x: x["t"]).alias("p")).select("id", "n", "component", "p", "x.t", "x.place"), "prefixes")
-    one, two = prefix, prefix.select(F.col("t"), *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "p", "place")))
+    named = ["digest", "rep", "n", "component"]
+    prefix = ranked.where((F.col("place") <= F.col("n") - least + 1) & (F.col("f") > 1)).groupBy(*named).agg(F.sort_array(F.collect_list(F.struct("f", "t", "place"))).alias("p"))
+    prefix = scratch.put(prefix.select(*named, F.explode("p").alias("x"), F.transform("p", lambda x: x["t"]).alias("p")).select(*named, "p", "x.t", "x.place"), "prefixes")
+    one, two = prefix, prefix.select(F.col("t"), *(F.col(c).alias(f"{c}2") for c in (*named, "p", "place")))
     first = F.element_at(F.array_intersect("p", "p2"), 1) == F.col("t")
     # no shingle before the first shared one is shared, so this many can be at most; and a link needs that many at least
     most, needed = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")), F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    pairs = one.join(two, "t").where("id < id2 and component <> component2").where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).where(most >= needed).where(first)
-    return pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    pairs = one.join(two, "t").where("digest < digest2 and component <> component2").where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).where(most >= needed).where(first)
+    return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
@@ -219,7 +228,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = scratch.put(small.where("u <> v").distinct(), "stars")
+        now = scratch.put(small.where("u <> v").distinct(), "stars", replace=True)
     # a node with two centers is one more reason to go on
     if not now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         least = now.groupBy("u").agg(F.min("v").alias("m"))
@@ -269,7 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
         if stars:
             more = open_.where("component <> c.component").where(near_in_size("n", "c.n")).select(*ordered("rep", "c.rep")).distinct()
         else:
-            more = _prefix_candidates(docs, scratch.put(open_.select("rep", "n", "component").distinct(), "open"), percent, size, scratch)
+            left = open_.select("rep", "component").distinct().join(classes.select("digest", "rep", "n"), "rep")
+            more = _prefix_candidates(docs, scratch.put(left.select("digest", "rep", "n", "component"), "open"), percent, size, scratch)
         more = scratch.put(more.join(checked, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             new = confirm(docs, more, percent, size, scratch)
@@ -282,9 +292,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that repeat a kept doc_id one, of the least text."""
-    kept = near_duplicates(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long") == kept["_near_id"], "left")
-    copy = F.row_number().over(Window.partitionBy("_near_id").orderBy("text"))
-    named = found.where("_near_id is not null").withColumn("_near_copy", copy).where("_near_copy = 1").drop("_near_copy", "_near_id")
-    return named.unionAll(docs.where("doc_id is null"))
+    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that repeat a kept doc_id one, of the least text.
+
+    Texts meet a narrow table only, the doc_ids that go or repeat: where Spark can broadcast it, no text is shuffled. Rows without a doc_id
+    stay. An empty table gives an empty result; columns of any name are kept.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    by_id = near_duplicates(docs, percent, size).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    marked = scratch.put(by_id.where("not kept or n > 1"), "marked")
+    name = "_near_id"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.col("doc_id").cast("long"))
+    ids = marked.select(F.col("doc_id").alias(name), "kept")
+    single = rows.join(ids.select(name), name, "left_anti").select(*docs.columns)
+    repeated = rows.join(ids.where("kept").select(name), name).groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    return single.unionByName(repeated.select("row.*"))

@@ -3,6 +3,8 @@ import os
 import zlib
 from collections import Counter
 
+import random
+
 import pytest
 
 from sparkloom.llm import mixing as mx, sharding as sh, transport_stream as ts
@@ -128,9 +130,68 @@ def test_mixing_empty_and_wordless(spark):
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
 
 
+def test_an_unsolved_dual_raises(spark, monkeypatch):
+    monkeypatch.setattr(mx, "STEPS", 1)
+    df = spark.createDataFrame([(k, "w " * (k + 1), "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
+    with pytest.raises(ArithmeticError):
+        mx.mix_sources(df)
+
+
+def test_rounding_is_one_rule_for_all_sizes(spark):
+    """Long documents only, short ones only, both: taken words miss the target by less than the least document that could be taken once more or less."""
+    from sparkloom.llm.scratch import Scratch
+
+    r = random.Random(3)
+    cells, targets = [], {}
+    for key, low, high, m in (("long", 2000, 90_000, 60), ("short", 1, 40, 30), ("both", 1, 90_000, 80), ("single", 700, 701, 1)):
+        sizes = sorted(r.sample(range(low, high), m))
+        rows = [(key, z, r.randrange(1, 4)) for z in sizes]
+        rate = {z: r.uniform(0, 3) for z in sizes}
+        targets[key] = sum(n * z * rate[z] for _, z, n in rows)
+        cells += [(key, targets[key], z, n, rate[z]) for _, z, n in rows]
+    got = mx.round_cells(spark.createDataFrame(cells, "key string, target double, size long, n long, rate double"), Scratch(spark, "test")).collect()
+    for key, target in targets.items():
+        mine = [x for x in got if x.key == key]
+        missed = round(target) - sum(x.copies * x.size for x in mine)
+        assert all(0 <= x.copies <= 3 * x.n for x in mine) and len(mine) == sum(c[0] == key for c in cells)
+        assert abs(missed) < min(x.size for x in mine if (x.copies < 3 * x.n if missed > 0 else x.copies > 0)), key
+
+
+def test_targets_of_many_sources(spark):
+    from sparkloom.llm.scratch import Scratch
+
+    r = random.Random(4)
+    sizes = {f"s{r.randrange(10**6)}é"[: r.randrange(2, 9)]: r.choice([0, 1, 5, 1000, r.randrange(10**7)]) for _ in range(400)} | {None: 77, "": 3}
+    rows = [("" if k is None else "=" + k, k, v) for k, v in sizes.items()]
+    got = mx.source_targets(spark.createDataFrame(rows, "key string, source string, source_size long").repartition(13), Scratch(spark, "test")).collect()
+    want = targets_by_hand(sizes)
+    assert {x.key: pytest.approx(x.target, rel=1e-9, abs=1e-6) for x in got} == {"" if k is None else "=" + k: v for k, v in want.items()}
+
+
 def test_take_copies(spark):
-    rows = [(k, "w " * (k % 9 + 1), "ab"[k % 2], k) for k in range(60)] + [(3, "w w w w", "b", 3)] * 2
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    rows = [(k, "w " * (k % 9 + 1), "ab"[k % 2], k) for k in range(60)] + [(3, "w w w w", "b", 3)] * 2 + [(7, "v v v v v v v v", "b", 1), (None, "n n n", None, 1), (None, None, "a", 1), (61, None, None, 2), (62, "", "a", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_id int")
     got = mx.take_copies(df)
     assert got.columns == df.columns
-    assert sum(len(r.text.split()) for r in got.collect()) == sum(r.taken for r in mx.mix_sources(df).collect())
+    count = lambda x: (x.doc_id, len((x.text or "").split()), x.source)
+    taken, want = Counter(map(count, got.collect())), Counter()
+    for x in mx.mix_sources(df).collect():
+        want[(x.doc_id, x.size, x.source)] += x.copies
+    assert taken == +want and set(got.collect()) <= set(df.collect())
+    again = mx.take_copies(df.repartition(5))
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got.collect()))
+    assert mx.take_copies(df.where("false")).count() == 0
+
+
+def test_take_copies_of_a_row_that_repeats(spark, monkeypatch):
+    """A third of all rows is one row; its copies come in arrays of a bounded length."""
+    monkeypatch.setattr(mx, "AT_ONCE", 7)
+    rows = [(1, "same words here", "a")] * 400 + [(k, f"one word {k}", "ab"[k % 2]) for k in range(2, 800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(x.doc_id for x in mx.take_copies(df).collect())
+    want = Counter()
+    for x in mx.mix_sources(df).collect():
+        want[x.doc_id] += x.copies
+    assert got == +want and got[1] > 50
+
+

@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import near_dedup as nd
-from sparkloom.llm.scratch import Scratch
+from sparkloom.llm.scratch import Scratch, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,19 +87,56 @@ def test_hub_in_a_group_of_dissimilar_copies(spark):
     check(spark, rows)
 
 
+def members_of(spark, docs):
+    """(digest, rep, n, component) of each class, as near_duplicates() makes them, every class a component of its own."""
+    sig = docs.mapInArrow(nd._signatures(5), "doc_id long, n_shingles long, digest binary, bands array<bigint>")
+    return sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("component", F.xxhash64("digest"))
+
+
 def test_prefix_candidates_lose_nothing(spark):
     rows = corpus(9, 50)
-    sets = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = members_of(spark, docs)
+    sets, reps = {}, {x.rep for x in members.collect()}
     for i, t in rows:
         w = t.split()
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    members = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "rep long, n long, component long")
     got = {(r.a, r.b) for r in nd._prefix_candidates(docs, members, 85, 5, Scratch(spark, "test")).collect()}
-    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
     assert want <= got
 
 
+def test_prefix_candidates_of_repeated_doc_ids(spark):
+    """A doc_id with several texts is several sets: the common words of one don't push the rare ones of another out of its prefix."""
+    r = random.Random(12)
+    base = [[f"k{j}_{k}" for k in range(60)] for j in range(6)]
+    rows = [(1, " ".join(b)) for b in base] + [(10 + j, " ".join(b[:-1] + ["other"])) for j, b in enumerate(base)]
+    rows += [(50 + j, " ".join(r.choice(base)[:30] + [f"z{j}_{k}" for k in range(40)])) for j in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.a, x.b) for x in nd._prefix_candidates(docs, members_of(spark, docs), 85, 5, Scratch(spark, "test")).collect()}
+    assert {(1, 10 + j) for j in range(6)} <= got
+    check(spark, rows)
+
+
+def test_keep_one_of_each(spark):
+    text = " ".join(f"t{k}" for k in range(50))
+    rows = [(1, text, "a", "x"), (2, text + " end", "b", "y"), (None, text, "c", "z"), (None, None, "d", None), (3, "b", "e", "q"), (3, "a", "f", "r"), (3, "a", "f", "r"), (4, None, "g", "s"), (5, "", "h", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _near_id string, kept string")
+    got = nd.keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert Counter(tuple(x) for x in got.collect()) == Counter([rows[0], rows[2], rows[3], rows[5], rows[7], rows[8]])
+    assert nd.keep_one_of_each(df.where("false")).count() == 0
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *_: "")})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(Elsewhere)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(a, b) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(60)) if a != b] + [(100 + k, 101 + k) for k in range(20)]
