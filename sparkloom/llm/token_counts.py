@@ -11,6 +11,7 @@ The edits counted here are redactions, found by patterns in the whole text: mail
 from __future__ import annotations
 
 import base64
+import hashlib
 from bisect import bisect_right
 from itertools import accumulate
 from pathlib import Path
@@ -188,12 +189,13 @@ def redactions(text: str, rules) -> list[tuple[int, int, str]]:
     return out
 
 
-_counters: dict[int, Counter] = {}
+#: A worker's counters by the digest of their vocabulary file.
+_counters: dict[bytes, Counter] = {}
 
 
 def _count(shared, rules):
     def run(batches):
-        key = len(shared.value)
+        key = hashlib.blake2b(shared.value).digest()
         if key not in _counters:
             _counters[key] = Counter(shared.value)
         counter = _counters[key]

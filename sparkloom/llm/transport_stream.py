@@ -4,8 +4,10 @@ Writing: a program association table (PID 0) and a program map table, each with
 stream packets of ``UNIT`` bytes on one PID of private data. Every unit has a presentation timestamp; every ``RANDOM_ACCESS``-th
 starts with an adaptation field that marks a random-access point and carries the clock reference. Stuffing fills the last packet.
 
-Reading: find the tables, check their CRCs, follow the map to the stream's PID, check the continuity counters, drop adaptation fields,
-reassemble the elementary packets and list their timestamps, offsets and random-access points. Both sides work on whole packet matrices.
+Reading: gather the tables' sections over their packets, check their CRCs, follow a program's map to a stream's PID, drop legal duplicates,
+check the continuity counters, drop adaptation fields, reassemble the elementary packets and list their timestamps, offsets and
+random-access points. Other writers' streams may have several programs, network entries, tables longer than a packet and tables that come
+again. Whatever is missing shows as a fault. Both sides work on whole packet matrices.
 """
 
 from __future__ import annotations
@@ -99,6 +101,12 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+def _same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two packets carry the same payload; their clock references may differ."""
+    x, y = (r.tobytes() for r in (a, b))
+    return x[5 + x[4] if x[3] & 0x20 else 4 :] == y[5 + y[4] if y[3] & 0x20 else 4 :] and x[3] == y[3]
+
+
 @dataclass
 class Stream:
     """What reading gave: the payload; a timestamp, payload offset and random-access flag for each elementary packet; faults found."""
@@ -113,42 +121,94 @@ class Stream:
     table_errors: int = 0
 
 
-def _section(packet: bytes) -> bytes | None:
-    start = 5 + packet[4] if not packet[3] & 0x20 else 6 + packet[4] + packet[5 + packet[4]]
-    length = (int.from_bytes(packet[start + 1 : start + 3]) & 0x0FFF) + 3
-    section = packet[start : start + length]
-    return section if len(section) == length >= 12 and section_crc(bytes(section)) == 0 else None
+def _sections(packets: np.ndarray) -> tuple[list[bytes], int]:
+    """(whole sections with a right CRC, faulty or unfinished ones) of one PID's packets; a section may take several packets, and a packet hold several."""
+    found, faults, pending = [], 0, None
+    for row in packets:
+        packet = row.tobytes()
+        if not packet[3] & 0x10:
+            continue
+        data = packet[5 + packet[4] :] if packet[3] & 0x20 else packet[4:]
+        starts = packet[1] & 0x40 and len(data)
+        parts = [(pending, data[1 : 1 + data[0]]), (b"", data[1 + data[0] :])] if starts else [(pending, data)]
+        for k, (before, more) in enumerate(parts):
+            if before is None:
+                continue
+            pending = before + more
+            while pending and pending[0] != 0xFF:
+                length = (int.from_bytes(pending[1:3]) & 0x0FFF) + 3 if len(pending) >= 3 else None
+                if length is None or len(pending) < length:
+                    break
+                section, pending = pending[:length], pending[length:]
+                if length >= 12 and section_crc(section) == 0:
+                    found.append(section)
+                else:
+                    faults += 1
+            else:
+                pending = None
+            if pending is not None and k + 1 < len(parts):  # cut off by the next start
+                faults, pending = faults + 1, None
+    return found, faults + (pending is not None)
 
 
-def demux(media: bytes) -> Stream:
-    out = Stream()
+def _packets(media: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(media) % PACKET or not media:
         raise ValueError("not a whole number of transport packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (p[:, 0] != 0x47).any():
         raise ValueError("a packet without its sync byte")
-    pid = ((p[:, 1].astype(np.int32) & 0x1F) << 8) | p[:, 2]
-
-    def table(where: int) -> bytes | None:
-        for at in np.flatnonzero(pid == where):
-            if (section := _section(p[at].tobytes())) is not None:
-                return section
-            out.table_errors += 1
-        return None
-
-    programs = table(0)
-    streams = table(int.from_bytes(programs[10:12]) & 0x1FFF) if programs else None
-    if streams is None:
+    return p, ((p[:, 1].astype(np.int32) & 0x1F) << 8) | p[:, 2]
+
+
+def programs(media: bytes) -> tuple[list[tuple[int, int, int]], int]:
+    """((program, stream PID, stream type) in the order of the tables, table faults); network entries are no programs."""
+    p, pid = _packets(media)
+    tables, faults = _sections(p[pid == 0])
+    maps, out = {}, []
+    for section in tables:
+        if section[0] == 0:
+            for at in range(8, len(section) - 4, 4):
+                number, where = int.from_bytes(section[at : at + 2]), int.from_bytes(section[at + 2 : at + 4]) & 0x1FFF
+                if number:
+                    maps.setdefault(number, where)
+    if not maps:
+        return [], max(faults, 1)
+    for number, where in maps.items():
+        sections, wrong = _sections(p[pid == where])
+        mine = [x for x in sections if x[0] == 2 and int.from_bytes(x[3:5]) == number]
+        faults += wrong or (not mine)
+        if mine:
+            section = mine[-1]  # the latest version
+            at = 12 + (int.from_bytes(section[10:12]) & 0x0FFF)
+            while at + 5 <= len(section) - 4:
+                out.append((number, int.from_bytes(section[at + 1 : at + 3]) & 0x1FFF, section[at]))
+                at += 5 + (int.from_bytes(section[at + 3 : at + 5]) & 0x0FFF)
+    return out, faults
+
+
+def demux(media: bytes, pid: int | None = None) -> Stream:
+    """One elementary stream: of the given PID, else the first of the first program. Without one, or without its packets, there is a table fault."""
+    out = Stream()
+    found, out.table_errors = programs(media)
+    p, every = _packets(media)
+    if pid is None and not found:
         return out
-    first = 12 + (int.from_bytes(streams[10:12]) & 0x0FFF)
-    out.pid = int.from_bytes(streams[first + 1 : first + 3]) & 0x1FFF
-    p = p[pid == out.pid]
+    out.pid = found[0][1] if pid is None else pid
+    p = p[every == out.pid]
     out.packets = len(p)
     if not len(p):
+        out.table_errors += 1
         return out
+    # a packet may be sent twice: same counter and payload as the one before
+    again = np.zeros(len(p), bool)
+    again[1:] = ((p[1:, 3] & 0x1F) == (p[:-1, 3] & 0x1F)) & ((p[1:, 3] & 0x10) > 0) & (p[1:, -64:] == p[:-1, -64:]).all(1)
+    for k in np.flatnonzero(again):
+        again[k] = not again[k - 1] and _same(p[k - 1], p[k])
+    p = p[~again]
     has_payload, has_field = (p[:, 3] & 0x10) > 0, (p[:, 3] & 0x20) > 0
+    announced = has_field & (p[:, 4] > 0) & ((p[:, 5] & 0x80) > 0)  # a discontinuity that the stream itself announces
     counter = (p[has_payload, 3] & 15).astype(np.int16)
-    out.continuity_errors = int(np.count_nonzero((np.diff(counter) - 1) % 16))
+    out.continuity_errors = int(np.count_nonzero(((np.diff(counter) - 1) % 16 > 0) & ~announced[has_payload][1:]))
     skip = np.where(has_payload, 4 + np.where(has_field, 1 + p[:, 4].astype(np.int32), 0), PACKET)
     data = p[np.arange(PACKET)[None, :] >= skip[:, None]]
     before = np.concatenate([[0], np.cumsum(PACKET - skip)])
@@ -202,15 +262,15 @@ def _decode(batches):
         for i in range(batch.num_rows):
             s = demux(batch.column(2)[i].as_buffer().to_pybytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, 1), pa.array([s.payload[: batch.column(1)[i].as_py()]], pa.binary()), pa.array([s.pts]), pa.array([s.offsets]), pa.array([s.random_access]), pa.array([s.continuity_errors], pa.int64())],
-                ["doc_id", "payload", "pts", "offsets", "random_access", "continuity_errors"],
+                [batch.column(0).slice(i, 1), pa.array([s.payload[: batch.column(1)[i].as_py()]], pa.binary()), pa.array([s.pts]), pa.array([s.offsets]), pa.array([s.random_access]), pa.array([s.continuity_errors], pa.int64()), pa.array([s.table_errors], pa.int64())],
+                ["doc_id", "payload", "pts", "offsets", "random_access", "continuity_errors", "table_errors"],
             )
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """The inverse of encode_media: doc_id, payload without padding, and pts, offsets, random_access of its elementary packets."""
+    """The inverse of encode_media: doc_id, payload without padding, pts, offsets, random_access of its elementary packets, and faults."""
     ship(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, "doc_id long, payload binary, pts array<bigint>, offsets array<bigint>, random_access array<boolean>, continuity_errors long")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, "doc_id long, payload binary, pts array<bigint>, offsets array<bigint>, random_access array<boolean>, continuity_errors long, table_errors long")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

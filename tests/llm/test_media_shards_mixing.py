@@ -31,6 +31,69 @@ def test_damage_is_noticed():
         ts.demux(bytes(media[:-1]))
 
 
+def section(table_id, number, body):
+    head = bytes([table_id]) + (0xB000 | (len(body) + 9)).to_bytes(2) + number.to_bytes(2) + bytes([0xC1, 0, 0]) + body
+    return head + ts.section_crc(head).to_bytes(4)
+
+
+def table_packets(pid, *sections):
+    """Sections one after another over as many packets as they need."""
+    data, out, first = b"".join(sections), b"", True
+    while data or first:
+        room = 183 if first else 184
+        out += bytes([0x47]) + ((0x4000 if first else 0) | pid).to_bytes(2) + bytes([0x10]) + (b"\0" if first else b"") + data[:room].ljust(room, b"\xff")
+        data, first = data[room:], False
+    return out
+
+
+def programs_section(*entries):
+    return section(0, 1, b"".join(n.to_bytes(2) + (0xE000 | pid).to_bytes(2) for n, pid in entries))
+
+
+def map_section(number, *streams, info=b""):
+    return section(2, number, (0xE000 | streams[0]).to_bytes(2) + (0xF000 | len(info)).to_bytes(2) + info + b"".join(bytes([6]) + (0xE000 | pid).to_bytes(2) + b"\xf0\x00" for pid in streams))
+
+
+def test_streams_of_other_writers():
+    data = os.urandom(70_000)
+    body = ts.mux(data)[2 * 188 :]
+    at = ts.STREAM_PID
+    long = map_section(7, at, *range(0x300, 0x350), info=b"\x05\x04" * 40)
+    assert len(long) > 2 * 184
+    for tables, found in (
+        (table_packets(0, programs_section((0, 0x10), (1, 0x1000))) + table_packets(0x1000, map_section(1, at)), [(1, at, 6)]),  # a network entry first
+        (table_packets(0, programs_section((7, 0x1000))) + table_packets(0x1000, long), [(7, k, 6) for k in (at, *range(0x300, 0x350))]),  # a map over three packets
+        (table_packets(0, programs_section((1, 0x1000), (2, 0x1000))) + table_packets(0x1000, map_section(1, at), map_section(2, 0x200)), [(1, at, 6), (2, 0x200, 6)]),  # two maps on one PID
+        (table_packets(0, programs_section((1, 0x1000), (2, 0x1001))) + table_packets(0x1001, map_section(2, 0x200)) + table_packets(0x1000, map_section(1, at)), [(1, at, 6), (2, 0x200, 6)]),
+    ):
+        assert ts.programs(tables + body) == (found, 0)
+        s = ts.demux(tables + body)
+        assert s.payload == data and not s.continuity_errors and not s.table_errors
+        # tables come again in the middle
+        half = 188 * (len(body) // 376)
+        assert ts.demux(tables + body[:half] + tables + body[half:]).payload == data
+    second = ts.demux(tables + body + bytes(b ^ (0x01 if k % 188 == 1 else 0) ^ (0x02 if k % 188 == 1 else 0) for k, b in enumerate(body)), pid=0x200)
+    assert second.payload == data
+
+
+def test_duplicates_are_legal_once():
+    data = os.urandom(3000)
+    media = ts.mux(data)
+    twice = media[: 188 * 6] + media[188 * 5 : 188 * 6] + media[188 * 6 :]
+    s = ts.demux(twice)
+    assert s.payload == data and not s.continuity_errors
+    assert ts.demux(media[: 188 * 6] + media[188 * 5 : 188 * 6] * 2 + media[188 * 6 :]).continuity_errors == 1
+
+
+def test_what_is_missing_is_a_fault():
+    media = ts.mux(os.urandom(3000))
+    for cut in (media[188:], media[:188] + media[376:], media[:376], media[376:], media[:188]):
+        s = ts.demux(cut)
+        assert not s.payload and s.table_errors == 1
+    two = table_packets(0, programs_section((1, 0x1000), (2, 0x1001))) + table_packets(0x1000, map_section(1, ts.STREAM_PID))
+    assert ts.demux(two + media[376:]).table_errors == 1
+
+
 def test_media_digests(spark):
     got = ts.media_digests(spark.createDataFrame([(*r, 1, "q") for r in ROWS], SCHEMA + ", n_bytes int, feature string")).collect()
     assert len(got) == len(ROWS)

@@ -116,6 +116,21 @@ def test_count_frames(spark, counter):
     assert tc.token_counts(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
 
 
+def test_vocabularies_of_one_length_are_told_apart(spark, counter, tmp_path):
+    """A file of the same length without one of the tokens counts as itself."""
+    lines = open(RANKS, "rb").read().splitlines()
+    a = next(k for k in range(300, 400) if tc.base64.b64decode(lines[k].split()[0]).isalpha())
+    text = (tc.base64.b64decode(lines[a].split()[0]).decode() + "\n") * 3 + "other words"
+    changed = list(lines)
+    changed[a] = tc.base64.b64encode(b"\xff" * (len(tc.base64.b64decode(lines[a].split()[0])))) + b" " + lines[a].split()[1]
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(b"\n".join(changed))
+    assert len(other.read_bytes().strip()) == len(open(RANKS, "rb").read().strip())
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    one, two = (tc.token_counts(df, p).first().n_tokens for p in (RANKS, other))
+    assert one == len(counter.encoding.encode_ordinary(text)) and two == len(tc.Counter(other.read_bytes()).encoding.encode_ordinary(text)) != one
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site, accept them all now please.</div>
 {body}
