@@ -1,8 +1,12 @@
-"""The registered queries of this subpackage, opN_<name>, and the DuckDB SQL of those that SQL can express."""
+"""The registered queries of this subpackage, and the DuckDB SQL of those that SQL can express.
+
+opN_<name> are the operators' whole results. SQL can't express the verdicts of models, encodings and containers; for operators where it
+can express the other columns, a query of its own selects those through the same operator.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .html_text import extract_pages
 from .mixing import mix_sources
@@ -13,7 +17,7 @@ from .sharding import assign_shards
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .transport_stream import media_digests
-from .url_filter import url_verdicts
+from .url_filter import url_rules, url_verdicts
 
 #: The public tokenizers' folder; a parameter of the deployment.
 TOKENIZERS = "/opt/tokenizers"
@@ -63,9 +67,101 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of the stored texts."""
+    return op2_transport_streams(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of the mix."""
+    return op3_entropy_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule statistics and the base rule."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and what the rules decide; verdict is null where none fits."""
+    return url_rules(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards before and after one more is appended."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size", "law", "shard", "grown_shard")
+
+
+QUERIES = [
+    op1_minhash_near_dedup, op2_transport_streams, op3_entropy_mixing, op4_quality_rules, op5_token_counts, op6_toxicity, op7_url_filter, op8_sentence_pieces, op9_sharding, op10_html_text,
+    media_payloads, mixing_targets, quality_statistics, host_rules, shard_law,
+]
+
+_SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {}
+
+#: Links are found on shared shingles of distinct sets: sets of equal shingles are one class first.
+SQL["op1_minhash_near_dedup"] = f"""
+with recursive words as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
+ sets as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+ named as (select doc_id, len(s) as n, md5(array_to_string(list_sort(s), chr(10))) as class, s from sets),
+ classes as (select class, min(doc_id) as rep, any_value(n) as n, any_value(s) as s from named where n > 0 and doc_id is not null group by class),
+ tokens as (select rep, n, class, hash(unnest(s)) as t from classes),
+ pairs as (select a.rep as a, b.rep as b, a.n as na, b.n as nb, count(*) as common from tokens a join tokens b on a.t = b.t and a.class < b.class and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+ links as (select a, b from pairs where 100 * common >= 85 * (na + nb - common)),
+ both_ways as (select a, b from links union select b, a from links union select x.doc_id, c.rep from named x join classes c using (class) where x.doc_id is not null union select c.rep, x.doc_id from named x join classes c using (class) where x.doc_id is not null),
+ reach(doc_id, other) as (select a, a from both_ways union select r.doc_id, b.b from reach r join both_ways b on b.a = r.other),
+ component as (select doc_id, min(other) as component_id from reach group by doc_id)
+select n.doc_id, cast(n.n as bigint) as n_shingles, coalesce(c.component_id, n.doc_id) as component_id, coalesce(n.doc_id = coalesce(c.component_id, n.doc_id), true) as kept from named n left join component c on c.doc_id = n.doc_id"""
+
+SQL["media_payloads"] = """select doc_id, n as n_bytes, p as payload_bytes, sha256(encode(coalesce(text, '')) || from_hex(repeat('00', cast(p - n as int)))) as payload_sha256
+ from (select doc_id, text, cast(strlen(coalesce(text, '')) as bigint) as n, greatest(64, cast(ceil(strlen(coalesce(text, '')) / 64) as bigint) * 64) as p from documents)"""
+
+#: The water level is the largest of those that each number of stopped sources would need.
+SQL["mixing_targets"] = f"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as size from documents),
+ s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, encode(source)) as place from d group by source),
+ w as (select *, ([5, 2, 1])[(place - 1) % 3 + 1] as w, 3.0::double * source_size as full_ from s),
+ l as (select *, (sum(source_size) over () - coalesce(sum(full_) over (order by full_ / w, place rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by full_ / w, place rows between current row and unbounded following) as needed from w),
+ t as (select source, source_size, least(w * max(needed) over (), full_) as target from l)
+select doc_id, size, source_size, round(target, 3) as target from d join t on d.source is not distinct from t.source"""
+
+SQL["quality_statistics"] = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+ w as (select k, doc_id, text, regexp_extract_all(text, '{_WORD}') as w from d),
+ g as (select k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select k, w, unnest(generate_series(1, len(w) - 2)) as i from w where len(w) > 2)),
+ r as (select k, count(distinct p) as n from (select k, unnest([i, i + 1, i + 2]) as p from (select k, i, count(*) over (partition by k, g) as c from g) where c > 1) group by k),
+ l as (select k, sum(c - 1) as n from (select k, x, count(*) as c from (select k, unnest(string_split(text, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by k, x) group by k)
+select w.doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+ cast(coalesce(l.n, 0) as bigint) as n_dup_lines, cast(coalesce(r.n, 0) as bigint) as n_repeat_words, len(w) < 50 or 100 * coalesce(r.n, 0) > 50 * len(w) as base_failed
+from w left join l on l.k = w.k left join r on r.k = w.k"""
+
+SQL["host_rules"] = r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+ p as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+ rules(h, s, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+ f as (select p.page_id, p.host, p.path, arg_max(h || s, length(h || s)) as rule, arg_max(v, length(h || s)) as verdict from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by all)
+select p.page_id, p.host, p.path, any_value(f.rule) as rule, any_value(f.verdict) as verdict from (select row_number() over () as k, * from p) p left join f on f.page_id is not distinct from p.page_id and f.host = p.host and f.path = p.path group by p.k, p.page_id, p.host, p.path"""
+
+
+def _jump(shards: int) -> str:
+    return f"""select k, b as shard from (select k, b, row_number() over (partition by k order by b desc) as n from jumps where b < {shards}) where n = 1"""
+
+
+#: Keys that still jump step on together; 128-bit arithmetic stands in for the 64-bit one.
+SQL["shard_law"] = f"""
+with recursive d as (select row_number() over () as k, doc_id, strlen(coalesce(text, '')) + 1 as size from documents),
+ jumps(k, key, b, j) as (select k, case when coalesce(doc_id, -1) < 0 then coalesce(doc_id, -1)::hugeint + 18446744073709551616 else doc_id::hugeint end, -1::bigint, 0::bigint from d
+  union all select k, n, j, floor((j + 1) * (2147483648.0::double / ((n // 8589934592)::double + 1)))::bigint from (select k, j, (key * 2862933555777941757 + 1) % 18446744073709551616 as n from jumps where j < 17))
+select d.doc_id, cast(d.size as bigint) as size, 'key' as law, cast(a.shard as int) as shard, cast(b.shard as int) as grown_shard from d join ({_jump(16)}) a on a.k = d.k join ({_jump(17)}) b on b.k = d.k"""
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
