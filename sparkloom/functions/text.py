@@ -104,6 +104,11 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.substring_index(path, "/", -1), r"^.+\.([^.]+)$", 1))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it; keeps generated code small."""
+    return F.transform(F.array(value), f)[0]
+
+
 def any_of(text: Column, words: list[str], where: str) -> Column:
     """Whether text contains, starts or ends with one of the words."""
     tests = {"in": lambda w: text.contains(w), "start": lambda w: text.startswith(w), "end": lambda w: text.endswith(w)}

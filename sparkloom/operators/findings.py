@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import ordered_digest
+from ..functions.text import node_id, ordered_digest
 
 
 def sarif_matches(results: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def sarif_matches(results: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def sarif_annotate(results: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """node_id, label, cwe, rule_id: results with a node and their rule's label (default SINK, no CWE); of several, the last result's."""
-    m = sarif_matches(results, nodes).where("node_id is not null").join(F.broadcast(rules), "rule_id", "left")
+    m = sarif_matches(results, nodes).where("node_id is not null").join(rules, "rule_id", "left")
     pick = F.max_by(F.struct(F.coalesce("label", F.lit("SINK")).alias("label"), F.coalesce("cwe", F.lit("")).alias("cwe"), "rule_id"), F.col("result_ord")).alias("x")
     return m.groupBy("node_id").agg(pick).select("node_id", "x.*")
 
@@ -37,7 +37,7 @@ def sarif_edges(results: DataFrame, nodes: DataFrame) -> DataFrame:
 def findings(nodes: DataFrame, cwes: DataFrame, least: float = 0.3) -> DataFrame:
     """SINK and SENSITIVE nodes of some confidence, with what is known of their CWE; severity HIGH for sinks and MEDIUM else where it isn't."""
     f = nodes.where(F.col("label").isin("SINK", "SENSITIVE") & (F.col("confidence") >= least))
-    j = f.join(F.broadcast(cwes), "cwe", "left")
+    j = f.join(cwes, "cwe", "left")
     return j.withColumn("severity", F.coalesce("cwe_severity", F.when(F.col("label") == "SINK", "HIGH").otherwise("MEDIUM"))).withColumns({"confidence": F.round("confidence", 2), "title": F.coalesce("cwe_name", F.lit("Unclassified"))}).drop("cwe_name", "cwe_severity")
 
 
@@ -86,23 +86,60 @@ def hotspots(edges: DataFrame, least: int) -> DataFrame:
 
 
 def security_summary(nodes: DataFrame) -> DataFrame:
-    """For each file the sorted ids by label, joined by commas, and its number of distinct CWEs."""
+    """For each file the sorted ids by label, joined by commas, its number of distinct CWEs, and the ids of each CWE as ``CWE=id,id;CWE=...``."""
     def ids(label: str) -> Column:
         return F.array_join(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.col("node_id")))), ",").alias(label.lower())
 
-    return nodes.groupBy("file_path").agg(*(ids(x) for x in ("SOURCE", "SINK", "SANITIZER", "SENSITIVE")), F.count_distinct(F.when(F.col("cwe") != "", F.col("cwe"))).alias("n_cwes"))
+    by_label = nodes.groupBy("file_path").agg(*(ids(x) for x in ("SOURCE", "SINK", "SANITIZER", "SENSITIVE")), F.count_distinct(F.when(F.col("cwe") != "", F.col("cwe"))).alias("n_cwes"))
+    per_cwe = nodes.where("cwe <> ''").groupBy("file_path", "cwe").agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("ids"))
+    maps = per_cwe.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "cwe", "ids"))), ";").alias("cwes"))
+    return by_label.join(maps, "file_path", "left").fillna("", ["cwes"])
 
 
-def set_hash(rows: DataFrame, by: list[str], part: Column, buckets: int = 0) -> DataFrame:
+def sarif_nodes(results: DataFrame, rule_cwes: DataFrame) -> DataFrame:
+    """One CALL node for each result with a place: node_id, file_path, line, col, node_type, name (the rule), label SINK, confidence 0.95, severity (its level), cwes.
+
+    rule_cwes: rule_id, cwe as ``readers.sarif_rule_cwes`` gives them. Results at one place with one rule are one node; the last result's level stands.
+    """
+    cwes = rule_cwes.groupBy("rule_id").agg(F.array_join(F.array_sort(F.collect_set("cwe")), ",").alias("cwes"))
+    at = results.where("file is not null and line is not null").withColumn("node_id", node_id(F.col("file"), F.col("line"), F.col("col"), F.concat(F.lit("CALL:"), "rule_id")))
+    one = at.groupBy("node_id", F.col("file").alias("file_path"), "line", "col", "rule_id").agg(F.max_by("level", "result_ord").alias("severity"))
+    return one.join(cwes, "rule_id", "left").select("node_id", "file_path", "line", "col", F.lit("CALL").alias("node_type"), F.col("rule_id").alias("name"), F.lit("SINK").alias("label"), F.lit(0.95).alias("confidence"), "severity", F.coalesce("cwes", F.lit("")).alias("cwes"))
+
+
+def sarif_counts(results: DataFrame, by: str = "tool") -> DataFrame:
+    """Results, distinct rules and results by level of each tool."""
+    return results.groupBy(by).agg(F.count(F.lit(1)).alias("results"), F.count_distinct("rule_id").alias("rules"), *(F.count_if(F.col("level") == x).alias(f"n_{x}") for x in ("error", "warning", "note")))
+
+
+def session_counts(nodes: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """session_id, nodes, edges, findings: three partial aggregates in one, 0 where a session has none."""
+    tagged = [df.select("session_id", F.lit(name).alias("kind")) for df, name in ((nodes, "nodes"), (edges, "edges"), (found, "findings"))]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("session_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("nodes", "edges", "findings")))
+
+
+def backend_counts(results: DataFrame, by: str = "session_id") -> DataFrame:
+    """For each session, its files by backend as ``name=n,...``, and its stages' latencies summed as ``stage=ms,...``; both sorted by name."""
+    files = results.groupBy(by, "backend").agg(F.count(F.lit(1)).alias("n")).where("backend is not null").groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "backend", F.col("n").cast("string")))), ",").alias("backends"))
+    stages = results.groupBy(by, "stage").agg(F.sum("latency_ms").cast("long").alias("ms")).where("stage is not null").groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "stage", F.col("ms").cast("string")))), ",").alias("latency"))
+    return files.join(stages, by, "full")
+
+
+def confidence_by_severity(found: DataFrame) -> DataFrame:
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence_avg"))
+
+
+def set_hash(rows: DataFrame, by: list[str], part: Column, digits: int = 0) -> DataFrame:
     """SHA-256 of each group's sorted, newline-joined parts.
 
-    With buckets, a digest tree: digests of hash buckets of the group first, then of their list, so that no task sorts a whole
-    group. The two forms give different values; the flat one equals the usual manifest hash.
+    With digits, a digest tree: the parts whose own SHA-256 starts with the same so many hex digits are digested first, then the sorted list
+    of those digests, so that no task holds a whole group (3 digits: 4,096 buckets). The two forms give different values; the flat one equals
+    the usual manifest hash and is for manifests of a session's size.
     """
-    if not buckets:
+    if not digits:
         return rows.groupBy(*by).agg(ordered_digest(F.collect_list(part)).alias("hash"))
-    p = rows.select(*by, part.alias("_part")).withColumn("_b", F.pmod(F.xxhash64("_part"), F.lit(buckets)))
-    return p.groupBy(*by, "_b").agg(ordered_digest(F.collect_list("_part")).alias("_d")).groupBy(*by).agg(ordered_digest(F.collect_list(F.concat(F.format_string("%08d:", F.col("_b").cast("long")), "_d"))).alias("hash"))
+    p = rows.select(*by, part.alias("_part")).withColumn("_b", F.left(F.sha2("_part", 256), F.lit(digits)))
+    return p.groupBy(*by, "_b").agg(ordered_digest(F.collect_list("_part")).alias("_d")).groupBy(*by).agg(ordered_digest(F.collect_list("_d")).alias("hash"))
 
 
 def graph_hash(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Edges from ordered nodes: control flow, data flow, containment; imports' merge; reachability by bounded recursion.
+"""Edges from ordered nodes: control flow, data flow, containment; imports' merge; reachability step by step.
 
-Nodes: file, ord, id, t, line, col, end_line, fn, name. Order within a file is (line, col, ord). Everything is a window over a file or an
-equi join on (file, key) with a range condition; a file's nodes are sorted once and its windows share that sort.
+Nodes: file, ord, id, t, line, col, end_line, fn, name. Order within a file is (line, col, ord). Everything is a window over a file, whose
+windows share one sort, or an equi join: ranges of lines meet in bins of about their own length (``containing``), never on the file alone.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dims
 from ..functions.text import edge_id
+from ..scratch import Scratch
 
 POSITION = ["line", "col", "ord"]
 SILENT = ["RETURN", "BREAK", "CONTINUE", "RAISE"]
@@ -139,19 +140,33 @@ def dfg_depends(nodes: DataFrame, bin_lines: int = 64) -> DataFrame:
     return _edges(direct.unionByName(ranged).distinct(), "id", "call", "DFG_DEPENDS")
 
 
+def containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs of outer (file, a, b, ...) and inner (file, line, stop, ...) rows with a <= line and stop <= b, by equi joins.
+
+    A range belongs to the level of bins, of 2**level lines, that is just long enough for it, so it touches two bins at most. A row looks for
+    ranges around it in one bin of each level that its file has, from its own length on (some 20 at most). A bin of a level holds ranges
+    of at least half its length: as many as are nested there or lie side by side, however long the file.
+    """
+    level = lambda x, y: F.length(F.bin(F.col(y) - F.col(x)))
+    o = outer.withColumn("_level", level("a", "b"))
+    levels = o.groupBy("file").agg(F.collect_set("_level").alias("_levels"))
+    o = o.withColumn("_bin", F.explode(F.array_distinct(F.array(F.expr("shiftright(a, _level)"), F.expr("shiftright(b, _level)")))))
+    i = inner.join(levels, "file").withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= level("line", "stop")))).drop("_levels").withColumn("_bin", F.expr("shiftright(line, _level)"))
+    return o.join(i, ["file", "_level", "_bin"]).where("line >= a and stop <= b").drop("_level", "_bin")
+
+
 def ast_edges(nodes: DataFrame, mode: str = "parent") -> DataFrame:
     """AST_CHILD by line containment. mode parent: each node and its innermost container; child_first: each container and the first node in it.
 
-    A container spans at least one line. q orders nodes of a file by falling span, then position; a container comes before what it holds.
+    A container spans at least one line. Nodes of a file are in the order of falling span, then position; a container comes before what it holds.
     """
-    span = F.col("end_line") - F.col("line")
-    n = nodes.withColumn("q", F.row_number().over(Window.partitionBy("file").orderBy(F.desc(span), *POSITION)))
-    outer = n.where(span >= 1).select("file", F.col("id").alias("parent"), F.col("q").alias("pq"), F.col("line").alias("a"), F.col("end_line").alias("b"))
-    inner = n.select("file", "id", "q", "line", F.greatest("end_line", "line").alias("stop"))
-    j = outer.join(inner, "file").where("q > pq and line >= a and stop <= b and id <> parent")
+    place = F.struct((F.col("line") - F.col("end_line")).alias("less"), *POSITION)
+    outer = nodes.where("end_line - line >= 1").select("file", F.col("id").alias("parent"), place.alias("outer"), F.col("line").alias("a"), F.col("end_line").alias("b"))
+    inner = nodes.select("file", "id", place.alias("inner"), "line", F.greatest("end_line", "line").alias("stop"))
+    j = containing(outer, inner).where("inner > outer and id <> parent")
     if mode == "parent":
-        return _edges(j.groupBy("file", "id").agg(F.max_by("parent", "pq").alias("parent")), "parent", "id", "AST_CHILD")
-    return _edges(j.groupBy("file", "parent").agg(F.min_by("id", "q").alias("id")), "parent", "id", "AST_CHILD")
+        return _edges(j.groupBy("file", "id").agg(F.max_by("parent", "outer").alias("parent")), "parent", "id", "AST_CHILD")
+    return _edges(j.groupBy("file", "parent").agg(F.min_by("id", "inner").alias("id")), "parent", "id", "AST_CHILD")
 
 
 def ast_siblings(nodes: DataFrame) -> DataFrame:
@@ -162,8 +177,9 @@ def ast_siblings(nodes: DataFrame) -> DataFrame:
 
 def enclosing(nodes: DataFrame, t: str = "FUNCTION") -> DataFrame:
     """Adds parent_<t>: the innermost node of that type which holds this one's lines."""
-    outer = nodes.where(F.col("t") == t).select("file", F.col("id").alias("_p"), F.col("line").alias("_a"), F.col("end_line").alias("_b"))
-    j = nodes.join(outer, "file").where("line >= _a and greatest(line, end_line) <= _b and id <> _p").groupBy("file", "id").agg(F.min_by("_p", F.struct(F.col("_b") - F.col("_a"), F.col("_p"))).alias(f"parent_{t.lower()}"))
+    outer = nodes.where(F.col("t") == t).select("file", F.col("id").alias("_p"), F.col("line").alias("a"), F.greatest("line", "end_line").alias("b"), F.col("end_line").alias("_end"))
+    inner = nodes.select("file", "id", "line", F.greatest("line", "end_line").alias("stop"))
+    j = containing(outer, inner).where("stop <= _end and id <> _p").groupBy("file", "id").agg(F.min_by("_p", F.struct(F.col("_end") - F.col("a"), F.col("_p"))).alias(f"parent_{t.lower()}"))
     return nodes.join(j, ["file", "id"], "left")
 
 
@@ -188,28 +204,51 @@ def merge_results(primary: DataFrame, secondary: DataFrame, key: list[str]) -> D
     return both.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_p"))).where("_r = 1").drop("_p", "_r")
 
 
-def taint_paths(nodes: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """source, sink, depth, path: SOURCE to SINK along edges, no SANITIZER on the way, no node twice, at most max_depth edges.
+def _open_edges(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").distinct().join(labels.where("label = 'SANITIZER'").select(F.col("id").alias("dst")), "dst", "left_anti")
 
-    Breadth-first by joins: the frontier starts at sources only and is cut by depth. Each step is one equi join on the edge's source; the
-    frontier's lineage is a union of steps, bounded by max_depth.
+
+def taint_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, sink, depth, path: all paths from SOURCE to SINK along edges, no SANITIZER on the way, no node twice.
+
+    Breadth-first by equi joins on the edge's source, until no path goes on; each step is written out, so the plan of a step stays one join.
+    Paths can be many where flows branch; ``taint_reach`` gives the pairs alone.
     """
-    labels = nodes.select(F.col("id"), "label")
-    open_edges = edges.select("src", "dst").distinct().join(labels.where("label = 'SANITIZER'").select(F.col("id").alias("dst")), "dst", "left_anti")
-    front = labels.where("label = 'SOURCE'").select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path"))
-    sinks, found = labels.where("label = 'SINK'").select(F.col("id").alias("at")), None
-    for depth in range(1, max_depth + 1):
-        front = front.join(open_edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+    scratch, labels = Scratch(nodes.sparkSession, "taint"), nodes.select("id", "label")
+    open_edges = scratch.put(_open_edges(labels, edges), "edges")
+    sinks = labels.where("label = 'SINK'").select(F.col("id").alias("at"))
+    front = scratch.put(labels.where("label = 'SOURCE'").select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path")), "front0")
+    found: DataFrame | None = None
+    depth = 0
+    while True:
+        depth += 1
+        step = front.join(open_edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        front = scratch.put(step, f"front{depth}")
         hit = front.join(sinks, "at", "left_semi").select("source", F.col("at").alias("sink"), F.lit(depth).alias("depth"), F.array_join("path", ">").alias("path"))
         found = hit if found is None else found.unionByName(hit)
-    return found
-
-
-def ancestors(spark_df: DataFrame, child: str, parent: str, max_depth: int = 16) -> DataFrame:
-    """child, ancestor, distance: the closure of a small hierarchy, by SQL recursion."""
+        if front.isEmpty():
+            return found
+
+
+def taint_reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, sink, depth: sinks that a source reaches without a SANITIZER on the way, and the least number of edges. Each (source, node) is visited once."""
+    scratch, labels = Scratch(nodes.sparkSession, "reach"), nodes.select("id", "label")
+    open_edges = scratch.put(_open_edges(labels, edges), "edges")
+    front = scratch.put(labels.where("label = 'SOURCE'").select(F.col("id").alias("source"), F.col("id").alias("at"), F.lit(0).alias("depth")), "seen0")
+    seen, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
+        step = front.join(open_edges, F.col("at") == F.col("src")).select("source", F.col("dst").alias("at")).distinct()
+        front = scratch.put(step.join(seen, ["source", "at"], "left_anti").withColumn("depth", F.lit(depth)), f"seen{depth}")
+        seen = seen.unionByName(front)
+    return seen.where("depth > 0").join(labels.where("label = 'SINK'").select(F.col("id").alias("at")), "at", "left_semi").select("source", F.col("at").alias("sink"), "depth")
+
+
+def ancestors(spark_df: DataFrame, child: str, parent: str, max_depth: int = 99) -> DataFrame:
+    """child, ancestor, distance: the closure of a hierarchy, by SQL recursion, whose own limit is 100 levels; a deeper one, or a cycle, is an error there."""
     spark = spark_df.sparkSession
     spark_df.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("_hierarchy")
     return spark.sql(f"""with recursive up(c, a, d) as (
         select c, p, 1 from _hierarchy where p is not null
-        union all select up.c, h.p, up.d + 1 from up join _hierarchy h on h.c = up.a where h.p is not null and up.d < {max_depth})
+        union all select up.c, h.p, up.d + 1 from up join _hierarchy h on h.c = up.a where h.p is not null and up.d <= {max_depth})
         select c as {child}, a as ancestor, d as distance from up""")

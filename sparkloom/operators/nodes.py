@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dims
-from ..functions.text import WORD, extension, first_match, node_id
+from ..functions.text import WORD, bound, extension, first_match, node_id
 
 FUNCTION_LINE = r"^(?:async\s+)?(?:def|function|func|fn)\s+[A-Za-z0-9_]+\s*\("
 IMPORT_LINE = r"^(?:import|from|#include|use\s|require\s)"
@@ -44,27 +44,29 @@ def classify_call(name: Column) -> tuple[Column, Column]:
     return tuple(first_match(*((name.rlike(p), label if k == 0 else cwe) for p, label, cwe in dims.CALL_PATTERNS), otherwise="NONE" if k == 0 else "") for k in (0, 1))
 
 
-def language_by_extension(path: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in dims.EXTENSIONS.items() for x in pair))
+def language_by_extension(path: Column, extensions: dict[str, str] = dims.EXTENSIONS) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in extensions.items() for x in pair))
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("unknown"))
 
 
 def detect_language(path: Column, text: Column) -> tuple[Column, Column, Column]:
     """(language, confidence, method): extension 1.0, shebang 0.85, content hints (weight * up to three matches, summed, 1.0 at most), else unknown."""
-    by_name = language_by_extension(path)
-    first = F.split(F.coalesce(text, F.lit("")), "\n")[0]
-    bang = first.startswith("#!")
-    shebang = first_match((bang & first.rlike("python[23]?"), "python"), (bang & first.rlike(r"\bts-node\b"), "typescript"), (bang & first.rlike(r"\bnode\b"), "javascript"), otherwise="unknown")
+    by_name = language_by_extension(path, dims.PARSER_EXTENSIONS)
     order: list[str] = list(dict.fromkeys(h[1] for h in dims.CONTENT_HINTS))
-    scores = {language: reduce(lambda a, b: a + b, (F.least(F.regexp_count(text, F.lit(p)), F.lit(3)) * w for p, x, w in dims.CONTENT_HINTS if x == language)) for language in order}
-    score = {x: F.round(F.least(s, F.lit(1.0)), 6) for x, s in scores.items()}
-    best = F.greatest(*score.values())
-    by_content = first_match(*((score[x] == best, x) for x in order))
-    known, banged, hinted = by_name != "unknown", shebang != "unknown", F.coalesce(best, F.lit(0.0)) > 0
-    language = first_match((known, by_name), (banged, shebang), (hinted, by_content), otherwise="unknown")
-    confidence = first_match((known, F.lit(1.0)), (banged, F.lit(0.85)), (hinted, best), otherwise=F.lit(0.0))
-    method = first_match((known, "extension"), (banged, "shebang"), (hinted, "content"), otherwise="none")
-    return language, confidence, method
+    score = lambda language: reduce(lambda a, b: a + b, (F.least(F.regexp_count(text, F.lit(p)), F.lit(3)) * w for p, x, w in dims.CONTENT_HINTS if x == language))
+    # of equal scores the language that is listed first
+    scores = F.array(*(F.struct(F.round(F.least(F.coalesce(score(x), F.lit(0.0)), F.lit(1.0)), 6).alias("score"), F.lit(-k).alias("place"), F.lit(x).alias("language")) for k, x in enumerate(order)))
+    first = F.split(F.coalesce(text, F.lit("")), "\n", 2)[0]
+    shebang = lambda x: first_match((~x.startswith("#!"), "unknown"), (x.rlike("python[23]?"), "python"), (x.rlike(r"\bts-node\b"), "typescript"), (x.rlike(r"\bnode\b"), "javascript"), otherwise="unknown")
+    seen = F.struct(by_name.alias("named"), bound(first, shebang).alias("banged"), F.array_max(scores).alias("best"))
+
+    def answer(language: Column, confidence: Column, method: str) -> Column:
+        return F.struct(language.alias("language"), confidence.alias("confidence"), F.lit(method).alias("method"))
+
+    found = bound(seen, lambda x: first_match(
+        (x["named"] != "unknown", answer(x["named"], F.lit(1.0), "extension")), (x["banged"] != "unknown", answer(x["banged"], F.lit(0.85), "shebang")), (x["best"]["score"] > 0, answer(x["best"]["language"], x["best"]["score"], "content")), otherwise=answer(F.lit("unknown"), F.lit(0.0), "none"),
+    ))
+    return found["language"], found["confidence"], found["method"]
 
 
 def route_backend(language: Column, available: list[str]) -> Column:
@@ -76,12 +78,71 @@ def route_backend(language: Column, available: list[str]) -> Column:
 
 
 def normalize_types(nodes: DataFrame, type_map: DataFrame) -> DataFrame:
-    """Adds node_type: the exact (language, raw_type) of the map, else the first keyword group contained, else UNKNOWN. The map is a dimension: broadcast."""
-    table = type_map.select(F.col("language").alias("_l"), F.col("raw_type").alias("_t"), F.col("node_type").alias("_n"))
+    """Adds node_type: the map's (language, raw_type), else its (*, raw_type), else the first keyword group contained, else UNKNOWN.
+
+    Two equi joins with a dimension, which Spark broadcasts as long as it is small.
+    """
+    rows = type_map.select(F.col("language").alias("_l"), F.col("raw_type").alias("_t"), F.col("node_type").alias("_n"))
+    own, any_ = rows.where("_l <> '*'"), rows.where("_l = '*'").select(F.col("_t").alias("_t2"), F.col("_n").alias("_n2"))
     low = F.lower("raw_type")
     guess = first_match(*((low.rlike(words), t) for words, t in dims.TYPE_KEYWORDS), otherwise="UNKNOWN")
-    on = (F.lower("language") == F.col("_l")) & (F.col("raw_type") == F.col("_t"))
-    return nodes.join(F.broadcast(table), on, "left").withColumn("node_type", F.coalesce("_n", guess)).drop("_l", "_t", "_n")
+    j = nodes.join(own, (F.lower("language") == F.col("_l")) & (F.col("raw_type") == F.col("_t")), "left").join(any_, F.col("raw_type") == F.col("_t2"), "left")
+    return j.withColumn("node_type", F.coalesce("_n", "_n2", guess)).drop("_l", "_t", "_n", "_t2", "_n2")
+
+
+# Function heads by language, one capture each, bounded so that no line takes long; and calls.
+_PLAIN = r"^\s{0,8}(?:async\s+)?function\s+([A-Za-z0-9_]+)\s*\("
+_ARROW = r"^\s{0,8}(?:export\s+)?(?:const|let|var)\s+([A-Za-z0-9_]+)\s*=\s*(?:async\s+)?\("
+FUNCTION_HEADS = {
+    "python": [r"^\s{0,8}(?:async\s+)?def\s+([A-Za-z0-9_]+)\s*\("],
+    "java": [r"^\s{0,8}(?:(?:public|private|protected|static|final|synchronized|abstract|native)\s+){0,6}[A-Za-z0-9_][A-Za-z0-9_.<>\[\]]{0,64}\s+([A-Za-z0-9_]+)\s*\("],
+    "javascript": [_PLAIN, _ARROW],
+    "typescript": [_PLAIN, _ARROW],
+    "tsx": [_ARROW, _PLAIN],
+    "rust": [r"^\s{0,8}(?:pub\s+)?(?:async\s+)?fn\s+([A-Za-z0-9_]+)\s*[<(]"],
+    "go": [r"^func\s+(?:\([A-Za-z0-9_]{1,32}\s+\*?[A-Za-z0-9_]{1,64}\)\s+)?([A-Za-z0-9_]+)\s*\("],
+    "c": [r"^(?:[A-Za-z0-9_][A-Za-z0-9_\s\*]{0,32})\s+([A-Za-z0-9_]+)\s*\([^;]{0,256}\)\s*\{"],
+    "cpp": [r"^(?:[A-Za-z0-9_][A-Za-z0-9_\s\*:<>]{0,48})\s+([A-Za-z0-9_]+)\s*\([^;]{0,256}\)(?:\s*const)?\s*\{"],
+    "terraform": [r'^resource\s+"([^"]{1,128})"\s+"[^"]{1,128}"', r'^(?:variable|output|module|provider)\s+"([^"]{1,128})"'],
+}
+BOUNDED_CALL = r"\b([A-Za-z0-9_.]{1,128})\s*\("
+
+
+def parser_scan(files: DataFrame, registry: DataFrame, max_text: int = 2000) -> DataFrame:
+    """The parser layer's scan without a grammar: PROGRAM of each file, FUNCTION by its language's heads, CALL where the annotator gives a label.
+
+    files: file_path, language, text. A call's column is where its match starts, found as the length of what stands before it. Gives node_id,
+    file_path, node_type, name, line, col, end_col, depth, parent_id, raw_text, label, confidence, cwe, pass.
+    """
+    from .annotate import annotate
+
+    src = files.select("file_path", "language", F.posexplode(F.split("text", "\n")).alias("p", "content")).withColumn("line", F.col("p") + 1)
+    head = first_match(*((F.col("language") == x, F.coalesce(*(F.nullif(F.regexp_extract("content", p, 1), F.lit("")) for p in patterns))) for x, patterns in FUNCTION_HEADS.items()), otherwise=F.lit(None).cast("string"))
+    functions = src.withColumn("name", head).where("name is not null").select("file_path", "language", "line", F.lit(0).alias("col"), F.length("content").alias("end_col"), F.lit("FUNCTION").alias("node_type"), "name", "content")
+    # each match is found from the end of the one before it on
+    place = """aggregate(calls, named_struct('out', cast(array() as array<struct<m:string,at:int>>), 'next', 1), (acc, m) -> named_struct(
+        'out', concat(acc.out, array(named_struct('m', m, 'at', locate(m, content, acc.next)))), 'next', locate(m, content, acc.next) + length(m)), acc -> acc.out)"""
+    called = src.where(~((F.col("language") == "python") & F.col("content").rlike(r"^\s{0,8}#"))).withColumn("calls", F.regexp_extract_all("content", F.lit(rf"({BOUNDED_CALL})"), F.lit(1)))
+    calls = called.select("file_path", "language", "line", "content", F.explode(F.expr(place)).alias("c")).select(
+        "file_path", "language", "line", (F.col("c.at") - 1).alias("col"), (F.col("c.at") - 1 + F.length("c.m")).alias("end_col"), F.lit("CALL").alias("node_type"), F.regexp_extract("c.m", r"^([A-Za-z0-9_.]+)", 1).alias("name"), "content"
+    ).where(F.length("name") >= 2)
+    program = files.select("file_path", "language", F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit(0).alias("end_col"), F.lit("PROGRAM").alias("node_type"), F.col("file_path").alias("name"), F.col("text").alias("content"))
+    every = program.unionByName(functions).unionByName(calls).withColumns({
+        "node_id": node_id(F.col("file_path"), F.col("line"), F.col("col"), F.col("node_type")), "raw_text": F.left("content", F.lit(max_text)),
+        "depth": first_match((F.col("node_type") == "PROGRAM", F.lit(0)), (F.col("node_type") == "FUNCTION", F.lit(1)), otherwise=F.lit(2)),
+        "parent_id": F.when(F.col("node_type") != "PROGRAM", node_id(F.col("file_path"), F.lit(0), F.lit(0), F.lit("PROGRAM"))),
+    }).drop("content")
+    return annotate(every, registry).where("node_type <> 'CALL' or label <> 'NONE'")
+
+
+def catalog_hits(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """node_id, vuln_type, cwe, severity for each node and row of the catalog of its language whose node types and pattern it meets and none of whose sanitizers it holds.
+
+    nodes: node_id, language, node_type, raw_text. The catalog is a dimension: an equi join on the language, which Spark broadcasts while it is small.
+    """
+    rows = catalog.select("vuln_type", "cwe", "severity", F.col("language").alias("_l"), F.split("node_types", ",").alias("_types"), "pattern", F.filter(F.split("sanitizers", ","), lambda x: x != "").alias("_safe"))
+    hit = nodes.join(rows, F.col("language") == F.col("_l")).where(F.array_contains("_types", F.col("node_type"))).where(F.expr("regexp_like(raw_text, pattern)")).where(~F.exists("_safe", lambda x: F.col("raw_text").contains(x)))
+    return hit.select("node_id", "vuln_type", "cwe", "severity")
 
 
 def extract_name(node_type: Column, raw: Column) -> Column:
@@ -128,4 +189,4 @@ def pattern_hits(files: DataFrame, catalog: DataFrame, path: str = "file_path",
     return lines(files, path, text).select("file_path", "line", F.explode(hit).alias("h")).select("file_path", "line", "h.*")
 
 
-__all__ = ["WORD", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "language_by_extension", "lines", "normalize_types", "pattern_hits", "route_backend", "token_sequence"]
+__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "language_by_extension", "lines", "normalize_types", "parser_scan", "pattern_hits", "route_backend", "token_sequence"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import darken, first_match
+from .graph import containing
 
 # Colours of labels and edges.
 LABEL_COLOURS = {"SOURCE": "#3b82f6", "SINK": "#ef4444", "SANITIZER": "#22c55e", "SENSITIVE": "#f59e0b", "PROPAGATOR": "#8b5cf6", "NONE": "#6b7280"}
@@ -94,11 +95,12 @@ def unsanitized(hits: DataFrame, sanitizers: DataFrame, on: list[str]) -> DataFr
 
 def conditional_branches(nodes: DataFrame) -> DataFrame:
     """CFG_TRUE and CFG_FALSE from a declarative conditional to the first two nodes inside its lines, if there are two."""
-    c = nodes.where("t = 'CONDITIONAL'").select("file", F.col("id").alias("src"), F.col("line").alias("a"), F.col("end_line").alias("b"))
-    inside = nodes.select("file", F.col("id").alias("dst"), "line", "ord").join(c, "file").where("line > a and line <= b")
-    w = Window.partitionBy("file", "src")
-    ranked = inside.withColumns({"rn": F.row_number().over(w.orderBy("ord")), "n": F.count(F.lit(1)).over(w)}).where("rn <= 2 and n >= 2")
-    return ranked.select("file", "src", "dst", F.when(F.col("rn") == 1, "CFG_TRUE").otherwise("CFG_FALSE").alias("edge_type"))
+    # the lines after the first one, as far as there are any
+    c = nodes.where("t = 'CONDITIONAL' and end_line > line").select("file", F.col("id").alias("src"), (F.col("line") + 1).alias("a"), F.col("end_line").alias("b"))
+    inside = containing(c, nodes.select("file", F.col("id").alias("dst"), "line", F.col("line").alias("stop"), "ord"))
+    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("file", "src").orderBy("ord"))).where("rn <= 2")
+    pairs = ranked.groupBy("file", "src").agg(F.max("rn").alias("n"), F.min_by("dst", "rn").alias("yes"), F.max_by("dst", "rn").alias("no")).where("n = 2")
+    return pairs.select("file", "src", F.explode(F.array(F.struct(F.col("yes").alias("dst"), F.lit("CFG_TRUE").alias("edge_type")), F.struct(F.col("no").alias("dst"), F.lit("CFG_FALSE").alias("edge_type")))).alias("e")).select("file", "src", "e.*")
 
 
 def pinned(entries: DataFrame, links: DataFrame) -> DataFrame:

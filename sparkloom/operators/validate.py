@@ -2,60 +2,82 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions.text import SPACES_ZS, VALIDATOR_BIDI, VALIDATOR_ZERO_WIDTH, strip_chars
+from ..shipping import ship
 
 BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
 
 
-def common_char_share(text: Column) -> Column:
-    """Share of a text's most frequent character; counted as the longest run of its sorted characters, inside the row, without a shuffle."""
-    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)((.)\2*)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))) / F.length(text), F.lit(0.0))
+@F.pandas_udf(DoubleType())
+def common_char_share(texts: pd.Series) -> pd.Series:
+    """Share of a text's most frequent character; 0 for an empty text. Counted over an Arrow batch's code points, four bytes a character."""
+
+    def share(t: str | None) -> float:
+        return float(np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1].max() / len(t)) if t else 0.0
+
+    return texts.map(share)
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """NFKC form; no built-in has it."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def validate(files: DataFrame, text: str = "text", max_bytes: int = 5 << 20, max_lines: int = 100_000, max_line: int = 4096) -> DataFrame:
     """Adds sanitized, warnings (array in gate order), status PASSED, TRUNCATED or REJECTED.
 
-    Gates: size, malformed bytes, NUL, bidi, zero width, line count, line length, many letters beyond ASCII, separators and format
-    characters, replacement characters, odd spaces, a dominating character, nested quantifiers, base64 runs, several shebangs. Compatibility
-    normalisation (NFKC) is ``ingestion.nfkc``, run before where it is wanted: the one gate without a built-in.
+    Gates: size, malformed bytes, NUL, bidi, zero width, line count, line length, many letters beyond ASCII, compatibility normalisation
+    (NFKC), separators and format characters, replacement characters, odd spaces, a dominating character, nested quantifiers, base64
+    runs, several shebangs, several encoding lines. A null text counts as empty.
     """
+    ship(files.sparkSession)
     t0 = F.coalesce(F.col(text), F.lit(""))
     t1 = F.regexp_replace(t0, r"\x00", "")
     t2 = strip_chars(t1, VALIDATOR_BIDI)
     t3 = strip_chars(t2, VALIDATOR_ZERO_WIDTH)
-    rows = F.split(t3, "\n")
-    t4 = F.array_join(F.transform(F.slice(rows, 1, max_lines), lambda x: F.left(x, F.lit(max_line))), "\n")
-    t5 = F.regexp_replace(t4, "[\u2028\u2029]", "\n")
+    df = files.withColumn("_t3", t3).withColumn("_rows", F.split("_t3", "\n"))
+    t4 = F.array_join(F.transform(F.slice("_rows", 1, max_lines), lambda x: F.left(x, F.lit(max_line))), "\n")
+    df = df.withColumns({"_t4": t4, "_lines": F.size("_rows"), "_long": F.exists("_rows", lambda x: F.length(x) > max_line)}).drop("_rows").withColumn("_nfkc", nfkc("_t4"))
+    t5 = F.regexp_replace("_nfkc", "[\u2028\u2029]", "\n")
     t6 = F.translate(t5, SPACES_ZS, " " * len(SPACES_ZS))
-    t7 = F.regexp_replace(t6, r"\p{Cf}", "")
-    df = files.withColumns({"_t3": t3, "sanitized": t7})
-    many_lines, long_line = F.size(F.split("_t3", "\n")) > max_lines, F.exists(F.split("_t3", "\n"), lambda x: F.length(x) > max_line)
+    df = df.withColumn("sanitized", F.regexp_replace(t6, r"\p{Cf}", "")).withColumn("_share", common_char_share("sanitized"))
+    first = F.slice(F.split("sanitized", "\n", 6), 1, 5)
 
     def when(name: str, condition: Column) -> Column:
         return F.when(condition, F.lit(name))
 
-    reject = F.octet_length(t0) > max_bytes
+    def several(test) -> Column:
+        return F.size(F.filter(first, test)) > 1
+
+    reject, many_lines = F.octet_length(t0) > max_bytes, F.col("_lines") > max_lines
     warnings = F.array_compact(F.array(
         when("too_large", reject),
         when("null_bytes", t0.rlike(r"\x00")),
         when("bidi", F.length(t1) > F.length(t2)),
-        when("zero_width", F.length(t2) > F.length(F.col("_t3"))),
+        when("zero_width", F.length(t2) > F.length("_t3")),
         when("line_count", many_lines),
-        when("line_length", long_line),
+        when("line_length", F.col("_long")),
         when("confusables", F.regexp_count("_t3", F.lit(r"[\p{L}&&[^\x00-\x7F]]")) > 50),
-        when("separators", F.col("_t3").rlike("[\u2028\u2029]")),
-        when("malformed", F.col("_t3").contains("�")),
-        when("odd_spaces", F.col("_t3").rlike(f"[{SPACES_ZS}]")),
-        when("dominating_char", common_char_share(F.col("sanitized")) > 0.9),
+        when("nfkc", F.col("_nfkc") != F.col("_t4")),
+        when("separators", F.col("_nfkc").rlike("[\u2028\u2029\\p{Cf}]")),
+        when("malformed", F.col("_nfkc").contains("\ufffd")),
+        when("odd_spaces", F.col("_nfkc").rlike(f"[{SPACES_ZS}]")),
+        when("dominating_char", F.col("_share") > 0.9),
         when("nested_quantifier", F.col("sanitized").rlike(r'"[^"\\]*\([^)"]*[+*][^)"]*\)\s*[+*][^"]*"')),
         when("base64", F.regexp_count("sanitized", F.lit(BASE64)) > 0),
-        when("shebangs", F.size(F.filter(F.slice(F.split("sanitized", "\n"), 1, 5), lambda x: x.startswith("#!") | x.rlike(r"coding[:=]"))) > 1),
+        when("shebangs", several(lambda x: x.startswith("#!"))),
+        when("encodings", several(lambda x: x.contains("coding:"))),
     ))
-    status = F.when(reject, "REJECTED").when(many_lines | long_line, "TRUNCATED").otherwise("PASSED")
-    return df.withColumns({"warnings": warnings, "status": status}).withColumn("sanitized", F.when(F.col("status") == "REJECTED", "").otherwise(F.col("sanitized"))).drop("_t3")
+    status = F.when(reject, "REJECTED").when(many_lines | F.col("_long"), "TRUNCATED").otherwise("PASSED")
+    return df.withColumns({"warnings": warnings, "status": status}).withColumn("sanitized", F.when(F.col("status") == "REJECTED", "").otherwise(F.col("sanitized"))).drop("_t3", "_t4", "_nfkc", "_lines", "_long", "_share")
 
 
 def graph_limits(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, max_depth: int) -> DataFrame:

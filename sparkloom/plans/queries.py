@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dims, text as tx
 from ..operators import annotate as an, findings as fi, graph as gr, ingestion as ig, nodes as no, sessions as se, validate as va
+from ..shipping import ship
 from ..sources import readers as rd
 from ..streaming import events as ev
 
@@ -163,13 +164,13 @@ def enclosing_function(s, d):
 LINES = "lines as (select file_path, ord as line, x as content from (select file_path, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as ord from files))"
 DOCS = "files as (select 'doc/' || doc_id as file_path, text from documents)"
 PAGES = "files as (select 'page/' || page_id as file_path, html as text from pages)"
-SECRET = r"(?i)(password|passwd|secret|token|api_key|apikey)\s*=\s*[\"''][^\"'']{4,}[\"'']"
+SECRET = r"(?:password|secret|api_key|token|passwd|private_key)\s*=\s*[\"''][^\"'']{6,}[\"'']"
 
 
 @register("hardcoded_secret", f"""with {DOCS}, {LINES}, h as (select file_path, line, length(regexp_extract(content, '^(.*?){SECRET}', 1)) as col, content from lines where regexp_matches(content, '{SECRET}'))
  select substr(sha256(file_path || ':' || line || ':' || col || ':ASSIGN'), 1, 16) as node_id, file_path, line, col, 'CWE-798' as cwe, 'MEDIUM' as severity from h""")
 def hardcoded_secret(s, d):
-    pattern = next(r[4] for r in dims.CATALOG if r[1] == "Hardcoded Secret")
+    pattern = next(r[5] for r in dims.CATALOG if r[:2] == ("python", "Hardcoded Secret"))
     hit = no.lines(documents(s, d)).where(F.col("content").rlike(pattern)).withColumn("col", F.length(F.regexp_extract("content", f"^(.*?){pattern}", 1)))
     return hit.select(tx.node_id(F.col("file_path"), F.col("line"), F.col("col"), F.lit("ASSIGN")).alias("node_id"), "file_path", "line", "col", F.lit("CWE-798").alias("cwe"), F.lit("MEDIUM").alias("severity"))
 
@@ -178,7 +179,7 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-CATALOG_SQL = ", ".join(f"({_quoted(r[1])}, {_quoted(r[2])}, {_quoted(r[3])}, {_quoted(r[4])})" for r in dims.CATALOG)
+CATALOG_SQL = ", ".join(f"({_quoted(r[1])}, {_quoted(r[2])}, {_quoted(r[3])}, {_quoted(r[5])})" for r in dims.CATALOG)
 
 
 @register("pattern_catalog", f"""with files as (select 'doc/' || doc_id as file_path, text from documents union all select 'page/' || page_id, html from pages), {LINES}, c(vuln_type, cwe, severity, pattern) as (values {CATALOG_SQL})
@@ -215,23 +216,29 @@ def classify_calls(s, d):
     return calls.select(F.col("raw_text").alias("name"), no.classify_call(F.col("raw_text"))[0].alias("label"), "n")
 
 
-@register("type_normalize", "select * from (select lower(p_type) as raw_type, " + "case " + " ".join(f"when regexp_matches(lower(p_type), '{w}') then '{t}'" for w, t in dims.TYPE_KEYWORDS) + " else 'UNKNOWN' end as node_type, count(*) as n from part group by all) union all select raw, coalesce(m, 'FUNCTION') as node_type, count(*) from (select case when user_id % 2 = 0 then 'call' else 'function_definition' end as raw, case when user_id % 2 = 0 then 'CALL' end as m from events) group by all")
+@register("type_normalize", "select * from (select lower(p_type) as raw_type, " + "case " + " ".join(f"when regexp_matches(lower(p_type), '{w}') then '{t}'" for w, t in dims.TYPE_KEYWORDS) + """ else 'UNKNOWN' end as node_type, count(*) as n from part group by all) union all
+ select k.raw, k.t, count(*) from events e join (values (0, 'call', 'CALL'), (1, 'function_definition', 'FUNCTION'), (2, 'augmented_assignment', 'AUGMENTED_ASSIGN'), (3, 'attribute', 'MEMBER_ACCESS'), (4, 'formal_parameters', 'PARAM'), (5, 'list_comprehension', 'COMPREHENSION'),
+  (6, 'except_clause', 'CATCH'), (7, 'lambda', 'LAMBDA'), (8, 'for_statement', 'LOOP'), (9, 'qqq', 'UNKNOWN')) k(n, raw, t) on e.user_id % 10 = k.n group by all""")
 def type_normalize(s, d):
+    raw = F.array(*map(F.lit, ("call", "function_definition", "augmented_assignment", "attribute", "formal_parameters", "list_comprehension", "except_clause", "lambda", "for_statement", "qqq")))
     parts = table(s, d, "part").select(F.lit("sql").alias("language"), F.lower("p_type").alias("raw_type"))
-    calls = table(s, d, "events").select(F.lit("python").alias("language"), F.when(F.col("user_id") % 2 == 0, "call").otherwise("function_definition").alias("raw_type"))
+    calls = table(s, d, "events").select(F.lit("python").alias("language"), F.element_at(raw, (F.col("user_id") % 10 + 1).cast("int")).alias("raw_type"))
     return no.normalize_types(parts.unionByName(calls), dims.frame(s, "type_map")).groupBy("raw_type", "node_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-NAMES = """select distinct w as name from (select unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_.]+)', 1)) as w from documents union all select unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_.]+)', 1)) from pages)"""
+NAMES = """select distinct w as name from (select unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_.]+)', 1)) as w from documents union all select unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_.]+)', 1)) from pages
+ union all select case event_id % 3 when 0 then 'm' || event_id || '.pickle.loads' when 1 then 'os.system' else 'Eval' end from events)"""
 
 
 def words(s, d) -> DataFrame:
     pattern = F.lit(r"([A-Za-z_][A-Za-z0-9_.]+)")
     both = table(s, d, "documents").select(F.col("text")).unionByName(table(s, d, "pages").select(F.col("html").alias("text")))
-    return both.select(F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("name")).distinct()
+    k = F.col("event_id") % 3
+    calls = table(s, d, "events").select(F.when(k == 0, F.concat(F.lit("m"), F.col("event_id").cast("string"), F.lit(".pickle.loads"))).when(k == 1, "os.system").otherwise("Eval").alias("name"))
+    return both.select(F.explode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("name")).unionByName(calls).distinct()
 
 
-REG = "reg(kind_ord, key_ord, key, label, confidence, cwe) as (values " + ", ".join(f"({dims.KINDS.index(r[1])}, {i}, {_quoted(r[2])}, {_quoted(r[3])}, {r[4]!r}, {_quoted(r[5])})" for i, r in enumerate(dims.REGISTRY)) + ")"
+REG = "reg(kind_ord, key_ord, key, label, confidence, cwe) as (values " + ", ".join(f"({dims.KINDS.index(r[1])}, {i}, {_quoted(r[2])}, {_quoted(r[3])}, {r[4]!r}, {_quoted(r[5])})" for i, r in enumerate(r for r in dims.REGISTRY if r[0] == "python")) + ")"
 
 
 def _words_test(words_: list[str], where: str) -> str:
@@ -270,23 +277,27 @@ def base64_runs(s, d):
     return documents(s, d).select("file_path", F.regexp_count("text", F.lit(va.BASE64)).alias("n")).where("n > 0")
 
 
-@register("validator_flags", """select doc_id, status, confusables, base64, long_line, replaced from (select doc_id, case when len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 200)) > 0 then 'TRUNCATED' else 'PASSED' end as status,
- len(regexp_extract_all(text, '[^\\x00-\\x7F]')) > 0 and length(regexp_replace(text, '[^\\p{L}]|[A-Za-z]', '', 'g')) > 50 as confusables, regexp_matches(array_to_string(list_transform(string_split(text, chr(10)), lambda x: left(x, 200)), chr(10)), '[A-Za-z0-9+/]{40,}={0,2}') as base64,
- len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 200)) > 0 as long_line, contains(text, chr(65533)) as replaced from documents)""")
+LINES_OF = "string_split(text, chr(10))"
+CAPPED = f"array_to_string(list_transform({LINES_OF}[1:100000], lambda x: left(x, 4096)), chr(10))"
+LONG = f"len(list_filter({LINES_OF}, lambda x: length(x) > 4096)) > 0"
+
+
+@register("validator_flags", f"""select doc_id, case when strlen(text) > 5242880 then 'REJECTED' when {LONG} or len({LINES_OF}) > 100000 then 'TRUNCATED' else 'PASSED' end as status,
+ length(regexp_replace(text, '[^\\p{{L}}]|[A-Za-z]', '', 'g')) > 50 as confusables, regexp_matches({CAPPED}, '[A-Za-z0-9+/]{{40,}}={{0,2}}') as base64, {LONG} as long_line, contains({CAPPED}, chr(65533)) as replaced from documents""")
 def validator_flags(s, d):
-    v = va.validate(table(s, d, "documents"), max_line=200)
+    v = va.validate(table(s, d, "documents"))
     has = lambda w: F.array_contains("warnings", w)
     return v.select("doc_id", "status", has("confusables").alias("confusables"), has("base64").alias("base64"), has("line_length").alias("long_line"), has("malformed").alias("replaced"))
 
 
-@register("line_caps", "select doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:20], lambda x: left(x, 80)), chr(10)) as capped, len(string_split(text, chr(10))) as n_lines from documents")
+@register("line_caps", f"select doc_id, sha256({CAPPED}) as capped, length({CAPPED}) as n_chars from documents")
 def line_caps(s, d):
-    rows = F.split("text", "\n")
-    return table(s, d, "documents").select("doc_id", F.array_join(F.transform(F.slice(rows, 1, 20), lambda x: F.left(x, F.lit(80))), "\n").alias("capped"), F.size(rows).cast("long").alias("n_lines"))
+    return va.validate(table(s, d, "documents")).select("doc_id", F.sha2("sanitized", 256).alias("capped"), F.length("sanitized").cast("long").alias("n_chars"))
 
 
 @register("common_char", "select doc_id, round(max(n) * 1.0 / sum(n), 6) as share from (select doc_id, c, count(*) as n from (select doc_id, unnest(string_split(text, '')) as c from documents where text <> '') group by all) group by doc_id")
 def common_char(s, d):
+    ship(s)
     return table(s, d, "documents").where("text <> ''").select("doc_id", F.round(va.common_char_share(F.col("text")), 6).alias("share"))
 
 
@@ -302,10 +313,21 @@ def sanitize_for_model(s, d):
 
 @register("manifest_hash", "select source, count(*) as files, sum(strlen(text)) as bytes, sha256(string_agg(p, chr(10) order by p)) as hash from (select source, text, 'doc/' || doc_id || ':' || sha256(text) as p from documents) group by source")
 def manifest_hash(s, d):
-    t = table(s, d, "documents").withColumn("p", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)))
+    t = manifest_rows(s, d)
     return fi.set_hash(t, ["source"], F.col("p")).join(t.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes")), "source")
 
 
+@register("manifest_tree_hash", """select source, sum(n) as files, sha256(string_agg(h, chr(10) order by h)) as hash from (select source, count(*) as n, sha256(string_agg(p, chr(10) order by p)) as h from
+ (select source, 'doc/' || doc_id || ':' || sha256(text) as p from documents) group by source, substr(sha256(p), 1, 3)) group by source""")
+def manifest_tree_hash(s, d):
+    t = manifest_rows(s, d)
+    return fi.set_hash(t, ["source"], F.col("p"), digits=3).join(t.groupBy("source").agg(F.count(F.lit(1)).alias("files")), "source")
+
+
+def manifest_rows(s, d) -> DataFrame:
+    return table(s, d, "documents").withColumn("p", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)))
+
+
 EDGE_NEXT = "e as (select file, substr(sha256(id || ':' || nxt || ':CFG_NEXT'), 1, 16) as edge_id from p where nxt is not null and t not in ('RETURN','BREAK','CONTINUE','RAISE'))"
 
 
@@ -349,11 +371,16 @@ def severity_counts(s, d):
     return fi.severity_counts(found(s, d))
 
 
-@register("security_summary", f"""with {BOTH}, {LINES}, {NODES}, c as (select file_path, substr(sha256(file_path || ':' || line || ':' || col || ':' || node_type), 1, 16) as node_id, {CASE_LABEL} as label from fb where node_type = 'CALL')
- select file_path, coalesce(string_agg(node_id, ',' order by node_id) filter (where label = 'SOURCE'), '') as source, coalesce(string_agg(node_id, ',' order by node_id) filter (where label = 'SINK'), '') as sink, '' as sanitizer, '' as sensitive, cast(0 as bigint) as n_cwes from c group by file_path""")
+CASE_CWE = "case " + " ".join(f"when regexp_matches(raw_text, {_quoted(p)}) then {_quoted(cwe)}" for p, _, cwe in dims.CALL_PATTERNS) + " else '' end"
+
+
+@register("security_summary", f"""with {BOTH}, {LINES}, {NODES}, c as (select file_path, substr(sha256(file_path || ':' || line || ':' || col || ':' || node_type), 1, 16) as node_id, {CASE_LABEL} as label, {CASE_CWE} as cwe from fb where node_type = 'CALL'),
+ m as (select file_path, string_agg(cwe || '=' || ids, ';' order by cwe) as cwes from (select file_path, cwe, string_agg(node_id, ',' order by node_id) as ids from c where cwe <> '' group by all) group by file_path)
+ select c.file_path, coalesce(string_agg(node_id, ',' order by node_id) filter (where label = 'SOURCE'), '') as source, coalesce(string_agg(node_id, ',' order by node_id) filter (where label = 'SINK'), '') as sink, '' as sanitizer, '' as sensitive,
+ count(distinct cwe) filter (where cwe <> '') as n_cwes, coalesce(any_value(m.cwes), '') as cwes from c left join m on m.file_path = c.file_path group by c.file_path""")
 def security_summary(s, d):
-    calls = both_nodes(s, d).where("node_type = 'CALL'").withColumns({"label": no.classify_call(F.col("raw_text"))[0], "cwe": F.lit("")})
-    return fi.security_summary(calls)
+    label, cwe = no.classify_call(F.col("raw_text"))
+    return fi.security_summary(both_nodes(s, d).where("node_type = 'CALL'").withColumns({"label": label, "cwe": cwe}))
 
 
 @register("detection_metrics", """with j as (select source, toxic = 1 as truth, contains(lower(text), 'idiot') or contains(lower(text), 'moron') as predicted from documents join labels using (doc_id)),
@@ -390,10 +417,13 @@ def redact(s, d):
     return table(s, d, "pages").select("page_id", tx.redact(u).alias("safe"))
 
 
-@register("provider_match", r"select case when regexp_matches(url, '^https://[^/]*\.example\.com/') then 'com' when regexp_matches(url, '^https?://m\.') then 'mobile' else 'none' end as provider, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]*)', 1) as owner, count(*) as n from pages group by all")
+@register("provider_match", """select provider, owner, count(*) as n from (select k.provider, case k.n when 4 then '' else split_part(split_part(url, '://', 2), '/', 2) end as owner from pages join (values (0, 'github'), (1, 'gitlab'), (2, 'bitbucket'), (3, 'azure'), (4, 'none')) k(n, provider) on page_id % 5 = k.n) group by all""")
 def provider_match(s, d):
-    p = ig.provider(F.col("url"), [(r"^https://[^/]*\.example\.com/", "com"), (r"^https?://m\.", "mobile")])
-    return table(s, d, "pages").select(p.alias("provider"), ig.owner_repo(F.col("url"))[0].alias("owner")).groupBy("provider", "owner").agg(F.count(F.lit(1)).alias("n"))
+    hosts = F.array(*map(F.lit, ("https://github.com/", "https://gitlab.com/", "https://bitbucket.org/", "https://dev.azure.com/")))
+    owner = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2))
+    k = (F.col("page_id") % 5).cast("int")
+    url = F.when(k == 4, "https://h.example/").otherwise(F.concat(F.try_element_at(hosts, k + 1), owner, F.lit("/repo.git")))
+    return table(s, d, "pages").select(ig.provider(url).alias("provider"), ig.owner_repo(url)[0].alias("owner")).groupBy("provider", "owner").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("rate_limit_low", "select s_suppkey, s_acctbal / 10 < greatest(10.0, 10000 * 0.05) as low from supplier")
@@ -401,10 +431,12 @@ def rate_limit_low(s, d):
     return table(s, d, "supplier").select("s_suppkey", ig.rate_limit_low(F.col("s_acctbal") / 10, F.lit(10000.0)).alias("low"))
 
 
-@register("merge_primary", "with a as (select doc_id, 'primary' as origin, length(text) as n from documents where doc_id % 3 <> 0), b as (select doc_id, 'secondary' as origin, length(text) as n from documents where doc_id % 2 = 0) select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.origin, b.origin) as origin, coalesce(a.n, b.n) as n from a full join b on a.doc_id = b.doc_id")
+@register("merge_primary", "select doc_id, case when lang = 'en' or source <> 'src0' then 'primary' else 'secondary' end as origin, length(text) as n from documents")
 def merge_primary(s, d):
-    t = table(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
-    return gr.merge_results(t.where("doc_id % 3 <> 0").withColumn("origin", F.lit("primary")), t.where("doc_id % 2 = 0").withColumn("origin", F.lit("secondary")), ["doc_id"])
+    """Every document is in one side or both: the overlap are the English documents of the first source."""
+    t = table(s, d, "documents").select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"))
+    primary, secondary = t.where("lang = 'en' or source <> 'src0'"), t.where("source = 'src0'")
+    return gr.merge_results(primary.withColumn("origin", F.lit("primary")), secondary.withColumn("origin", F.lit("secondary")), ["doc_id"]).select("doc_id", "origin", "n")
 
 
 def sarif_fixture(s, d) -> tuple[DataFrame, DataFrame]:
@@ -445,10 +477,26 @@ def submodule_tree(s, d):
     return out.select(F.regexp_replace("root", "^https://r/", "").alias("root"), F.regexp_replace("url", "^https://n/", "").alias("url"), key.alias("sha"), "depth", "status")
 
 
-ERR = ", ".join(f"({_quoted(a)}, {_quoted(b) if b else 'null'})" for a, b, _ in dims.ERRORS)
-
-
-@register("error_closure", f"with recursive e(class, parent) as (values {ERR}), up(class, ancestor, distance) as (select class, parent, 1 from e where parent is not null union all select up.class, e.parent, distance + 1 from up join e on e.class = up.ancestor where e.parent is not null) select * from up")
+# Written down apart from the dimension: each class under its parent.
+FAMILIES = {
+    "PipelineError": "IngestionError GraphBuildError VaultError",
+    "IngestionError": "CredentialError TransportError AuthenticationError RepositoryError IntegrityError ValidationError SubmoduleError SandboxError AdapterError",
+    "CredentialError": "CredentialNotFoundError CredentialExpiredError CredentialZeroingError",
+    "TransportError": "TLSVerificationError SSRFBlockedError FetchTimeoutError",
+    "AuthenticationError": "TokenRevokedError",
+    "RepositoryError": "CommitNotFoundError BranchNotFoundError CommitMismatchError",
+    "IntegrityError": "SymlinkEscapeError ManifestSealError CopyIntegrityError",
+    "ValidationError": "URLValidationError BranchNameError CommitSHAError",
+    "SubmoduleError": "SubmoduleURLError SubmoduleDepthError SubmoduleCommitError",
+    "SandboxError": "PathPolicyViolation DeliveryError",
+    "AdapterError": "RateLimitError PermissionDeniedError RepositoryNotFoundError",
+    "GraphBuildError": "ParserUnavailableError ASTBuildError CFGBuildError DFGBuildError CPGAssemblyError Neo4jWriteError SARIFParseError TokenizationError",
+    "VaultError": "VaultUnavailableError VaultAuthError VaultSecretNotFoundError",
+}
+ERR = ", ".join(f"('{c}', '{p}')" for p, names in FAMILIES.items() for c in names.split())
+
+
+@register("error_closure", f"with recursive e(class, parent) as (values {ERR}), up(class, ancestor, distance) as (select class, parent, 1 from e union all select up.class, e.parent, distance + 1 from up join e on e.class = up.ancestor) select * from up")
 def error_closure(s, d):
     return gr.ancestors(dims.frame(s, "errors"), "class", "parent")
 
@@ -456,12 +504,19 @@ def error_closure(s, d):
 @register("taint_paths", f"""with recursive {N}, e as (select distinct src, dst from (select df as src, id as dst from (select *, last_value(case when {DEFS} then id end ignore nulls) over (partition by file, name order by pos rows between unbounded preceding and 1 preceding) as df from p) where df is not null and t in ('IDENTIFIER','MEMBER_ACCESS') and length(name) > 1
  union all select b, id from (select *, lag(id) over (partition by file, name order by pos) as b from p where {DEFS}) where b is not null and t <> 'PARAM')),
  l as (select id, case when t = 'PARAM' then 'SOURCE' when t = 'MEMBER_ACCESS' then 'SINK' when t = 'AUGMENTED_ASSIGN' then 'SANITIZER' else 'NONE' end as label from n),
- r(source, here, depth, path) as (select id, id, 0, [id] from l where label = 'SOURCE' union all select r.source, e.dst, r.depth + 1, list_append(r.path, e.dst) from r join e on e.src = r.here join l on l.id = e.dst where l.label <> 'SANITIZER' and not list_contains(r.path, e.dst) and r.depth < 4)
+ r(source, here, depth, path) as (select id, id, 0, [id] from l where label = 'SOURCE' union all select r.source, e.dst, r.depth + 1, list_append(r.path, e.dst) from r join e on e.src = r.here join l on l.id = e.dst where l.label <> 'SANITIZER' and not list_contains(r.path, e.dst))
  select source, here as sink, depth, array_to_string(path, '>') as path from r join l on l.id = r.here where l.label = 'SINK' and depth > 0""")
 def taint_paths(s, d):
     n = sequence(s, d)
     label = F.when(F.col("t") == "PARAM", "SOURCE").when(F.col("t") == "MEMBER_ACCESS", "SINK").when(F.col("t") == "AUGMENTED_ASSIGN", "SANITIZER").otherwise("NONE")
-    return gr.taint_paths(n.withColumn("label", label), gr.dfg_flows(n).unionByName(gr.dfg_kills(n)), max_depth=4)
+    return gr.taint_paths(n.withColumn("label", label), gr.dfg_flows(n).unionByName(gr.dfg_kills(n)))
+
+
+@register("taint_reach", SQL["taint_paths"].split("select source, here as sink")[0] + "select source, here as sink, min(depth) as depth from r join l on l.id = r.here where l.label = 'SINK' and depth > 0 group by all")
+def taint_reach(s, d):
+    n = sequence(s, d)
+    label = F.when(F.col("t") == "PARAM", "SOURCE").when(F.col("t") == "MEMBER_ACCESS", "SINK").when(F.col("t") == "AUGMENTED_ASSIGN", "SANITIZER").otherwise("NONE")
+    return gr.taint_reach(n.withColumn("label", label), gr.dfg_flows(n).unionByName(gr.dfg_kills(n)))
 
 
 STATUS = "select user_id as session_id, count(*) filter (where event_type = 'click') as n_click, count(*) filter (where event_type = 'error') as n_error, count(*) filter (where event_type = 'purchase') as n_purchase, arg_max(event_type, event_id) as latest, count(*) as n_events from events group by user_id"
@@ -478,11 +533,9 @@ def status_rollup(s, d):
 
 @register("streaming_status", STATUS)
 def streaming_status(s, d):
-    import uuid
-
     path = f"{d}/event[s].parquet"  # a stream reads a folder or a pattern: the table may be a file or a folder
     stream = s.readStream.schema(table(s, d, "events").schema).parquet(path)
-    return ev.run_now(ev.status_rollup(session_events(stream), ("click", "error", "purchase")), f"status_{uuid.uuid4().hex}")
+    return ev.run_now(ev.status_rollup(session_events(stream), ("click", "error", "purchase")))
 
 
 @register("change_events", "select user_id as session_id, event_id as seq, event_type as type from (select *, lag(event_type) over (partition by user_id order by event_id) as b from events) where event_type is distinct from b")
@@ -557,11 +610,11 @@ def darken(s, d):
     return table(s, d, "part").select("p_partkey", tx.darken(c).alias("dark"))
 
 
-@register("scale_cfg", """with p as (select l_orderkey, l_linenumber, l_returnflag, lead(l_linenumber) over w as nxt, last_value(case when l_linestatus = 'O' then l_linenumber end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey rows between unbounded preceding and 1 preceding) as lp from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey))
+@register("scale_cfg", """with p as (select l_orderkey, l_linenumber, l_returnflag, lead(l_linenumber) over w as nxt, last_value(case when l_linestatus = 'O' then l_linenumber end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding) as lp from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice))
  select l_returnflag, count(nxt) as next_edges, count(lp) as loop_edges from p group by l_returnflag""")
 def scale_cfg(s, d):
     """lead and latest-of-kind over lineitem: the control-flow windows at the largest table's scale."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     t = table(s, d, "lineitem").withColumn("nxt", F.lead("l_linenumber").over(w)).withColumn("lp", F.last(F.when(F.col("l_linestatus") == "O", F.col("l_linenumber")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return t.groupBy("l_returnflag").agg(F.count("nxt").alias("next_edges"), F.count("lp").alias("loop_edges"))
 
@@ -696,3 +749,6 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     nodes = both_nodes(s, d).withColumn("label", F.when(F.col("node_type") == "CALL", no.classify_call(F.col("raw_text"))[0]).otherwise("NONE"))
     secrets = hardcoded_secret(s, d).groupBy("file_path").agg(F.count(F.lit(1)).alias("secrets"))
     return nodes.join(secrets, "file_path", "left").groupBy("node_type", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path").alias("files"), F.coalesce(F.sum("secrets"), F.lit(0)).alias("secrets"))
+
+
+from . import rules  # noqa: E402,F401  registers its queries here

@@ -38,9 +38,12 @@ def stream_repository(spark: SparkSession, path: str, files_per_trigger: int = 1
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def sarif_results(reports: DataFrame, column: str = "json", strict: bool = True) -> DataFrame:
-    """result_ord, rule_id, level, file, line, col (from 0), rel_file, rel_line, rel_col from reports' JSON texts; strict fails on bad JSON."""
-    parsed = reports.select(F.monotonically_increasing_id().alias("_doc"), F.from_json(column, SARIF_SCHEMA, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("d"))
+def sarif_results(reports: DataFrame, column: str = "json", strict: bool = True, path: str | None = None) -> DataFrame:
+    """result_ord, rule_id, level, file, line, col (from 0), rel_file, rel_line, rel_col from reports' JSON texts; strict fails on bad JSON.
+
+    Reports are in the order of their path column, or else of their texts' digests, so that the last result is the same at any partitioning.
+    """
+    parsed = reports.select((F.col(path) if path else F.sha2(column, 256)).alias("_doc"), F.from_json(column, SARIF_SCHEMA, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("d"))
     runs = parsed.select("_doc", F.posexplode("d.runs").alias("_r", "run"))
     res = runs.select("_doc", "_r", F.posexplode("run.results").alias("_i", "x"))
     place, rel = F.col("x.locations")[0]["physicalLocation"], F.try_element_at("x.relatedLocations", F.lit(1))["physicalLocation"]
@@ -80,21 +83,71 @@ def edge_label(raw: Column) -> Column:
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, props map; edges: src, dst, edge_type) of GraphML files by the XML source, keys resolved to attribute names."""
+    """(nodes: file, id, props map; edges: file, src, dst, edge_type) of GraphML files by the XML source, keys resolved to attribute names.
+
+    Keys and ids count within their own file. Of several values of an attribute the least is taken.
+    """
     data = "array<struct<_key:string,_VALUE:string>>"
 
     def read(tag: str, schema: str) -> DataFrame:
-        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("file"))
 
-    keys = read("key", "`_id` string, `_attr.name` string").select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name")).distinct()
+    keys = read("key", "`_id` string, `_attr.name` string").groupBy("file", F.col("_id").alias("k")).agg(F.min("`_attr.name`").alias("name"))
 
     def props(df: DataFrame, by: list[str]) -> DataFrame:
-        flat = df.select(*by, F.explode_outer("data").alias("d")).join(F.broadcast(keys), F.col("d._key") == F.col("k"), "left")
-        return flat.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.when(F.col("d").isNotNull(), F.struct(F.coalesce("name", "d._key"), "d._VALUE")))).alias("props"))
+        flat = df.select(*by, F.explode_outer("data").alias("d")).select(*by, F.col("d._key").alias("k"), F.col("d._VALUE").alias("value")).join(keys, ["file", "k"], "left")
+        named = flat.groupBy(*by, F.coalesce("name", "k").alias("name")).agg(F.min("value").alias("value"))
+        return named.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))).alias("props"))
+
+    nodes = props(read("node", f"`_id` string, data {data}").withColumnRenamed("_id", "id"), ["file", "id"])
+    edges = props(read("edge", f"`_source` string, `_target` string, data {data}").toDF("src", "dst", "data", "file"), ["file", "src", "dst"])
+    return nodes, edges.select("file", "src", "dst", edge_label(F.coalesce(F.try_element_at("props", F.lit("labelE")), F.try_element_at("props", F.lit("label")), F.lit(""))).alias("edge_type"))
+
+
+def first_report(spark: SparkSession, path: str, pattern: str = "*.sarif") -> DataFrame:
+    """path, json of the first report of a tree, by path; no rows if there is none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.orderBy("path").limit(1).select("path", as_text(F.col("content")).alias("json"))
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry of sinks, sources and sanitizers from CSV with the columns language, kind, key, label, confidence, cwe; the order of its rows is their precedence."""
+    return spark.read.option("header", True).schema("language string, kind string, key string, label string, confidence double, cwe string").csv(path)
+
+
+def catalog(files: DataFrame, text: str = "text") -> DataFrame:
+    """language, vuln_type, cwe, severity, node_types, pattern, sanitizers of catalog files (path, text): lists of entries that start with ``- vuln_type:``.
+
+    One expression for each field of an entry; a file's language is its base name. Quotes are taken off, doubled single ones are one.
+    """
+    entries = files.select(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("language"), F.explode(F.slice(F.split(text, r"(?m)^\s*-\s+(?=vuln_type:)"), 2, 1 << 20)).alias("_e"))
+
+    def value(key: str) -> Column:
+        raw = F.regexp_extract("_e", rf"(?m)^\s*{key}:\s*(.*?)\s*$", 1)
+        plain = F.regexp_replace(raw, r"\s+#.*$", "")
+        single, double = raw.rlike("^'.*'$"), raw.rlike('^".*"$')
+        inner = F.regexp_extract(raw, r"^.(.*).$", 1)
+        return F.when(single, F.replace(inner, F.lit("''"), F.lit("'"))).when(double, inner).otherwise(plain)
+
+    def items(key: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.regexp_extract("_e", rf"(?m)^\s*{key}:\s*\[(.*?)\]\s*$", 1), r"[\"']", ""), r",\s+", ",")
+
+    return entries.select("language", value("vuln_type").alias("vuln_type"), value("cwe").alias("cwe"), value("severity").alias("severity"), items("node_types").alias("node_types"), value("sink_pattern").alias("pattern"), items("sanitizers").alias("sanitizers"))
+
+
+def session_rows(spark: SparkSession, path: str, session: str, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Rows of one session from a table partitioned by session: only its partition is listed and only the columns asked for are read."""
+    rows = spark.read.parquet(path).where(F.col("session_id") == session)
+    rows = rows.select(*columns) if columns else rows
+    return rows.orderBy(*order) if order else rows
+
+
+#: What a node index needs.
+INDEX = ["node_id", "node_type", "name", "file_path", "line", "label", "confidence", "cwe"]
+
 
-    nodes = props(read("node", f"`_id` string, data {data}").withColumnRenamed("_id", "id"), ["id"])
-    edges = props(read("edge", f"`_source` string, `_target` string, data {data}").toDF("src", "dst", "data"), ["src", "dst"])
-    return nodes, edges.select("src", "dst", edge_label(F.coalesce(F.try_element_at("props", F.lit("labelE")), F.try_element_at("props", F.lit("label")), F.lit(""))).alias("edge_type"))
+def node_index(spark: SparkSession, path: str, session: str) -> DataFrame:
+    return session_rows(spark, path, session, columns=INDEX)
 
 
 def structure_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -121,9 +174,9 @@ def gitlinks(listing: DataFrame, column: str = "line") -> DataFrame:
 
 def head_commit(head: Column, refs: Column, packed: Column) -> Column:
     """HEAD's commit: itself if detached, else its ref file (a map of name to text), else its line of packed-refs."""
-    ref = F.regexp_extract(head, r"^ref:\s*(\S+)", 1)
+    ref, plain = F.regexp_extract(head, r"^ref:\s*(\S+)", 1), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     rows = F.filter(F.split(packed, "\n"), lambda x: x.endswith(F.concat(F.lit(" "), ref)))
-    return F.when(F.trim(head).rlike("^[0-9a-f]{40}$"), F.trim(head)).otherwise(F.coalesce(F.trim(F.try_element_at(refs, ref)), F.substring_index(F.try_element_at(rows, F.lit(1)), " ", 1)))
+    return F.when(plain(head).rlike("^[0-9a-f]{40}$"), plain(head)).otherwise(F.coalesce(plain(F.try_element_at(refs, ref)), F.substring_index(F.try_element_at(rows, F.lit(1)), " ", 1)))
 
 
 def python_ast(files: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:

@@ -4,30 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..scratch import Scratch
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
 
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: list[str], order: str | None = None, partition: str = "session_id") -> None:
-    """Merge rows by key into a table partitioned by session: of several new rows the last by order, overlaying old ones.
+    """Merge rows by key into a table partitioned by session: of several new rows the last by order, overlaid on the old one.
 
-    Only partitions that get rows are rewritten (dynamic overwrite): old rows of those partitions without a new one, and the new.
+    A null of the new row keeps the old row's value, as setting properties would. Without an order, the row of the greatest hash of all columns is
+    the last. Only partitions that get rows are rewritten (dynamic overwrite). The merge is written to the shared folder first, as a table
+    can't be read and overwritten in one job.
     """
-    from pyspark.errors import AnalysisException
-
-    if order:
-        w = Window.partitionBy(partition, *key).orderBy(F.desc(order))
-        rows = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    else:
-        rows = rows.dropDuplicates([partition, *key])
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = None
-    if old is not None and old.columns:
+    last = F.row_number().over(Window.partitionBy(partition, *key).orderBy(F.desc(order) if order else F.xxhash64(*rows.columns).desc()))
+    rows = rows.withColumn("_r", last).where("_r = 1").drop("_r")
+    if _exists(spark, path):
+        on, old = [partition, *key], spark.read.parquet(path)
         touched = old.join(rows.select(partition).distinct(), partition, "left_semi")
-        keep = touched.join(rows.select(partition, *key), [partition, *key], "left_anti")
-        rows = rows.unionByName(keep, allowMissingColumns=True)
-        staged = path.rstrip("/") + "__staged"
-        rows.write.mode("overwrite").parquet(staged)  # a table can't be read and overwritten in one job
-        rows = spark.read.parquet(staged)
+        both = touched.select(*on, F.struct(*old.columns).alias("_old")).join(rows.select(*on, F.struct(*rows.columns).alias("_new")), on, "full")
+
+        def value(c: str):
+            sides = [F.col(f"{side}.`{c}`") for side, df in (("_new", rows), ("_old", old)) if c in df.columns]
+            return F.coalesce(*sides).alias(c)
+
+        merged = both.select(*on, *[value(c) for c in dict.fromkeys([*rows.columns, *old.columns]) if c not in on])
+        rows = Scratch(spark, "upsert").put(merged, "merged")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 

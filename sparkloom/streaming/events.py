@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dims
+from ..scratch import Scratch
 
 COUNTED = ("node", "edge", "finding")
 
@@ -50,12 +51,16 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_now(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Drain what is there into a memory table and return it: the final flush of a session."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_now(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+    """Drain what is there into a table in the shared folder and return it: the final flush of a session. The latest batch stands (complete mode) or all (append)."""
+    scratch = Scratch(stream.sparkSession, "drain")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{scratch.root}/table")
+
+    w = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{scratch.root}/checkpoint")
+    w.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{scratch.root}/table")
 
 
 def fan_out(stream: DataFrame, clients: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
@@ -78,17 +83,42 @@ def changed_stream(stream: DataFrame, key: str, order: str, value: str) -> DataF
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    schema = f"{key} long, {order} long, {value} string"
+    kinds = dict(stream.dtypes)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}"
 
     def step(k, frames, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for o, v in zip(rows[order], rows[value], strict=True):
-            if v != last:
-                out.append((k[0], o, v))
-                last = v
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, order, value])
-
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        before = rows[value].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        new = ~((rows[value] == before) | (rows[value].isna() & before.isna()))
+        new.iloc[0] = new.iloc[0] or not state.exists
+        last = rows[value].iloc[-1]
+        state.update((None if pd.isna(last) else last,))
+        yield rows.loc[new, [key, order, value]]
+
+    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
+
+
+def merged(logs: DataFrame, graph: DataFrame, metrics: DataFrame, states: DataFrame) -> DataFrame:
+    """session_id, seq, channel, payload of a session's channels as one stream: all log and graph events, metrics and review states where they change.
+
+    Each input has session_id, seq, payload. The order in a session is (seq, channel). As a stream, ``changed_stream`` takes the place of ``changed``.
+    """
+    def channel(df: DataFrame, name: str) -> DataFrame:
+        return df.select("session_id", "seq", F.lit(name).alias("channel"), "payload")
+
+    return channel(logs, "log").unionByName(channel(graph, "graph")).unionByName(channel(changed(metrics, "payload"), "metrics")).unionByName(channel(changed(states, "payload"), "state"))
+
+
+def with_heartbeats(events: DataFrame, period: float, key: str = "session_id", time: str = "ts", end: str = "COMPLETE") -> DataFrame:
+    """The events with kind 'event', a 'heartbeat' after each whole period in which a session is silent, and one 'end' after its last event of type end.
+
+    Silence is the gap to the session's next event; its heartbeats are exploded from that gap, so an event knows its successor only.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    beats = F.floor((F.lead(time).over(w) - F.col(time) - F.lit(1e-9)) / period).cast("int")
+    e = events.withColumn("_beats", F.greatest(F.coalesce(beats, F.lit(0)), F.lit(0)))
+    silent = e.where("_beats > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_beats")))).select(key, (F.col(time) + F.col("_k") * period).alias(time), F.lit("heartbeat").alias("kind"))
+    ends = events.where(F.col("type") == end).groupBy(key).agg(F.max(time).alias(time)).select(key, time, F.lit("end").alias("kind"))
+    return events.select(key, time, F.lit("event").alias("kind")).unionByName(silent).unionByName(ends)

@@ -103,6 +103,11 @@ def test_taint_stops_at_sanitizers_and_cycles(spark):
     nodes = spark.createDataFrame([("s", "SOURCE"), ("x", "NONE"), ("z", "SANITIZER"), ("k", "SINK"), ("k2", "SINK")], "id string, label string")
     edges = spark.createDataFrame([("s", "x"), ("x", "s"), ("x", "k"), ("s", "z"), ("z", "k2")], "src string, dst string")
     assert [(r.source, r.sink, r.depth, r.path) for r in gr.taint_paths(nodes, edges).collect()] == [("s", "k", 2, "s>x>k")]
+    assert [tuple(r) for r in gr.taint_reach(nodes, edges).collect()] == [("s", "k", 2)]
+    # a chain of nine edges is one path
+    chain = spark.createDataFrame([(f"c{k}", "SOURCE" if k == 0 else "SINK" if k == 9 else "NONE") for k in range(10)], "id string, label string")
+    links = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(9)], "src string, dst string")
+    assert [(r.source, r.sink, r.depth) for r in gr.taint_paths(chain, links).collect()] == [("c0", "c9", 9)] == [tuple(r) for r in gr.taint_reach(chain, links).collect()]
 
 
 def test_merge_and_known_edges(spark):

@@ -46,7 +46,27 @@ def test_graphml(spark, tmp_path):
     (tmp_path / "g.xml").write_text('<graphml><key id="k0" for="node" attr.name="CODE" attr.type="string"/><key id="k1" for="edge" attr.name="labelE"/><graph><node id="1"><data key="k0">f()</data></node><node id="2"/><edge source="1" target="2"><data key="k1">REACHING_DEF</data></edge></graph></graphml>')
     nodes, edges = rd.graphml(spark, str(tmp_path / "g.xml"))
     assert {r.id: r.props for r in nodes.collect()}["1"] == {"CODE": "f()"}
-    assert [tuple(r) for r in edges.collect()] == [("1", "2", "DFG_FLOW")]
+    assert [(r.src, r.dst, r.edge_type) for r in edges.collect()] == [("1", "2", "DFG_FLOW")]
+
+
+def test_graphml_keys_count_in_their_file(spark, tmp_path):
+    for name, attribute in (("a", "CODE"), ("b", "NAME")):
+        (tmp_path / f"{name}.xml").write_text(f'<graphml><key id="d0" for="node" attr.name="{attribute}"/><graph><node id="1"><data key="d0">{name}</data></node></graph></graphml>')
+    got = {r.file.rsplit("/", 1)[1]: (r.id, r.props) for r in rd.graphml(spark, str(tmp_path))[0].collect()}
+    assert got == {"a.xml": ("1", {"CODE": "a"}), "b.xml": ("1", {"NAME": "b"})}
+
+
+def test_reports_and_session_reads(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.sarif").write_text('{"runs":[]}')
+    assert rd.first_report(spark, str(tmp_path)).first().path.endswith("/a.sarif") and rd.first_report(spark, str(tmp_path), "*.none").count() == 0
+    rows = spark.createDataFrame([("s1", "n2", "CALL", "f", "a.py", 2, "SINK", 0.9, "CWE-1", "x"), ("s1", "n1", "CALL", "g", "a.py", 1, "NONE", 0.0, "", "y"), ("s2", "n3", "CALL", "h", "b.py", 1, "NONE", 0.0, "", "z")], "session_id string, node_id string, node_type string, name string, file_path string, line int, label string, confidence double, cwe string, raw_text string")
+    rows.write.partitionBy("session_id").parquet(str(tmp_path / "nodes"))
+    assert [r.node_id for r in rd.session_rows(spark, str(tmp_path / "nodes"), "s1", order=["line"]).collect()] == ["n1", "n2"]
+    index = rd.node_index(spark, str(tmp_path / "nodes"), "s1")
+    assert index.columns == rd.INDEX and index.count() == 2
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(session_id" in plan and "raw_text" not in plan
 
 
 def test_csv_and_git_texts(spark, tmp_path):
@@ -77,6 +97,10 @@ def test_upsert_and_delete(spark, tmp_path):
     wr.upsert(spark, spark.createDataFrame([("s1", "a", 2), ("s1", "a", 3), ("s1", "c", 1)], schema), path, ["node_id"], order="v")
     got = sorted((r.session_id, r.node_id, r.v) for r in spark.read.parquet(path).collect())
     assert got == [("s1", "a", 3), ("s1", "b", 1), ("s1", "c", 1), ("s2", "a", 1)]
+    # a null of a new row keeps the old value, a new column is added
+    wr.upsert(spark, spark.createDataFrame([("s1", "a", None, "w")], schema + ", w string"), path, ["node_id"])
+    got = {r.node_id: (r.v, r.w) for r in spark.read.option("mergeSchema", True).parquet(path).where("session_id = 's1'").collect()}
+    assert got == {"a": (3, "w"), "b": (1, None), "c": (1, None)}
     assert wr.delete_session(spark, path, "s1") == 3
     assert spark.read.parquet(path).count() == 1
 

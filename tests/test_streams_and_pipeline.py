@@ -18,14 +18,14 @@ def test_protocol(spark):
 def test_stream_equals_batch(spark, tmp_path):
     rows(spark).repartition(3).write.parquet(str(tmp_path / "in"))
     batch = sorted(ev.status_rollup(rows(spark)).collect())
-    stream = ev.run_now(ev.status_rollup(ev.read_events(spark, str(tmp_path / "in"), SCHEMA, 1)), "status_test")
+    stream = ev.run_now(ev.status_rollup(ev.read_events(spark, str(tmp_path / "in"), SCHEMA, 1)))
     assert sorted(stream.collect()) == batch
 
 
 def test_changes_in_a_stream(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, "a"), (1, 4, "b"), (1, 5, "a")], "session_id long, seq long, type string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = ev.run_now(ev.changed_stream(ev.read_events(spark, str(tmp_path / "in"), "session_id long, seq long, type string"), "session_id", "seq", "type"), "changes_test", "append")
+    df.repartition(3, "seq").sortWithinPartitions("seq").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = ev.run_now(ev.changed_stream(ev.read_events(spark, str(tmp_path / "in"), "session_id long, seq long, type string"), "session_id", "seq", "type"), "append")
     assert sorted(got.collect()) == sorted(ev.changed(df, "type").collect())
 
 
