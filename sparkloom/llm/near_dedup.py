@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     shared = scratch.put(rows.join(counts, "key"), "shared")
     weight = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
     weighed = shared.join(weight, "rep")
-    hubs = weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("c"))
+    # one row for each bucket, written: a join with it is planned by its size, and rows of a bucket are dealt by their key only where it is large
+    hubs = scratch.put(weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("c")), "hubs")
     buckets = scratch.put(shared.join(hubs, "key").select("key", "rep", "n", "members", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n")), "buckets")
 
     def near_in_size(x: str, y: str) -> Column:
@@ -274,6 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     for stars in (True, False):
         labelled = buckets.where("members > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
         split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep")).alias("c")).where("x <> y")
+        split = scratch.put(split.select("key", "c"), "split")
         open_ = labelled.join(split.select("key", "c"), "key")
         if stars:
             more = open_.where("component <> c.component").where(near_in_size("n", "c.n")).select(*ordered("rep", "c.rep")).distinct()
