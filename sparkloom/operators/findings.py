@@ -157,10 +157,12 @@ def build_rollup(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return f.crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("nodes"))))  # one row each
 
 
-def primary_language(files: DataFrame, ignored=("unknown", "yaml", "terraform")) -> DataFrame:
-    """The most frequent language, the first by name of equals."""
-    c = files.where(~F.col("language").isin(list(ignored))).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    return c.orderBy(F.desc("n"), "language").limit(1)
+def primary_language(files: DataFrame, ignored=("unknown", "yaml", "terraform"), seen: str | None = None) -> DataFrame:
+    """The most frequent language; of equals the one seen first, by the column ``seen``, or else the first by name. Without one, python."""
+    known = files.where(~F.col("language").isin(list(ignored)))
+    c = known.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min(seen if seen else "language").alias("_first"))
+    best = c.agg(F.min_by(F.struct("language", "n"), F.struct(-F.col("n"), F.col("_first"), F.col("language"))).alias("b"))
+    return best.select(F.coalesce("b.language", F.lit("python")).alias("language"), F.coalesce("b.n", F.lit(0)).alias("n"))
 
 
 def review_state(sessions: DataFrame, decisions: DataFrame, auto_approve: bool = False) -> DataFrame:

@@ -56,6 +56,12 @@ def cfg_branches(nodes: DataFrame) -> DataFrame:
     return _edges(found, "id", "yes", "CFG_TRUE").unionByName(_edges(found.where("yes is null or no <> yes"), "id", "no", "CFG_FALSE"))
 
 
+def cfg_conditions(nodes: DataFrame, text: str = "normalized_text") -> DataFrame:
+    """file, src, dst, condition: the CFG_TRUE edges with the first 80 characters of their IF's text."""
+    texts = nodes.where("t = 'IF'").select("file", F.col("id").alias("src"), F.left(F.col(text), F.lit(80)).alias("condition"))
+    return cfg_branches(nodes).where("edge_type = 'CFG_TRUE'").join(texts, ["file", "src"]).select("file", "src", "dst", "condition")
+
+
 def cfg_loops(nodes: DataFrame) -> DataFrame:
     """LOOP: TRUE and FALSE to the successor; BREAK and CONTINUE: CFG_LOOP to the latest LOOP."""
     n = nodes.withColumn("next", F.lead("id").over(_in_order())).withColumn("loop", _latest(F.col("t") == "LOOP"))
@@ -79,6 +85,27 @@ def cfg_warnings(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("t").isin(list(text))).select("file", "id", F.format_string("line %d: %s", F.col("line").cast("int"), F.element_at(table, F.col("t"))).alias("warning"))
 
 
+# Constructs whose flow the edges only approximate, by language: (languages, node type, flag of the node or None, kind).
+APPROXIMATED = [
+    (["python"], "WITH", None, "context_exit"),
+    (["javascript", "typescript", "tsx"], "AWAIT", None, "event_loop"),
+    (["rust"], "TRY", None, "early_return"),
+    (["go"], "BLOCK", "is_defer", "deferred"),
+    (["go"], "BLOCK", "is_goroutine", "concurrent"),
+    (["c", "cpp"], "BREAK", "is_goto", "jump_target"),
+]
+
+
+def language_warnings(nodes: DataFrame) -> DataFrame:
+    """file, id, line, kind for nodes (also language and flags, an array of names) that their language's control flow only approximates."""
+    def meets(languages: list[str], t: str, flag: str | None) -> Column:
+        here = F.lower("language").isin(languages) & (F.col("t") == t)
+        return here & F.coalesce(F.array_contains("flags", flag), F.lit(False)) if flag else here
+
+    kinds = F.array_compact(F.array(*(F.when(meets(languages, t, flag), F.lit(kind)) for languages, t, flag, kind in APPROXIMATED)))
+    return nodes.select("file", "id", "line", F.explode(kinds).alias("kind"))
+
+
 def cfg(nodes: DataFrame, with_repeats: bool = False) -> DataFrame:
     """All control-flow edges with edge_id; with_repeats also gives the second CFG_NEXT of TRY, FINALLY and AWAIT."""
     parts = [cfg_next(nodes), cfg_branches(nodes), cfg_loops(nodes), cfg_exceptions(nodes)]
@@ -198,6 +225,11 @@ def viewer_cap(nodes: DataFrame, edges: DataFrame, max_nodes: int = 600, max_edg
     return first.drop("rn"), kept.drop("rn")
 
 
+def truncate_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 500_000, max_edges: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """The circuit breaker's cut: each file's first nodes by position, and its first edges among those; the limits are the feature."""
+    return viewer_cap(nodes, edges, max_nodes, max_edges)
+
+
 def merge_results(primary: DataFrame, secondary: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both; where both have a key, the primary's."""
     both = primary.withColumn("_p", F.lit(0)).unionByName(secondary.withColumn("_p", F.lit(1)))

@@ -131,6 +131,16 @@ def provider(url: Column, table=PROVIDERS) -> Column:
     return first_match(*((url.rlike(p), name) for p, name in table), otherwise="none")
 
 
+# Adapters and whether they make calls; the others only know their urls.
+ADAPTERS = [("github", True), ("gitlab", False), ("bitbucket", False), ("azure", False), ("none", False)]
+
+
+def adapter(url: Column) -> tuple[Column, Column]:
+    """(provider, error) of the adapter that a url asks for: null where it makes calls, else ADAPTER_NOT_IMPLEMENTED."""
+    name = provider(url)
+    return name, F.when(~name.isin([a for a, calls in ADAPTERS if calls]), F.lit("ADAPTER_NOT_IMPLEMENTED"))
+
+
 def owner_repo(url: Column) -> tuple[Column, Column]:
     parts = F.filter(F.split(url_parts(url)["path"], "/"), lambda x: x != "")
     return F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")), F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"\.git$", "")

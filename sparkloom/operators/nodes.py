@@ -77,17 +77,17 @@ def route_backend(language: Column, available: list[str]) -> Column:
     return first_match(*rules, otherwise="fallback") if rules else F.lit("fallback")
 
 
-def normalize_types(nodes: DataFrame, type_map: DataFrame) -> DataFrame:
-    """Adds node_type: the map's (language, raw_type), else its (*, raw_type), else the first keyword group contained, else UNKNOWN.
+def normalize_types(nodes: DataFrame, type_map: DataFrame, guess: bool = True) -> DataFrame:
+    """Adds node_type: the map's (language, raw_type), else its (*, raw_type), else, with guess, the first keyword group contained, else UNKNOWN.
 
-    Two equi joins with a dimension, which Spark broadcasts as long as it is small.
+    The graph layer guesses, the parser layer does not. Two equi joins with a dimension, which Spark broadcasts as long as it is small.
     """
     rows = type_map.select(F.col("language").alias("_l"), F.col("raw_type").alias("_t"), F.col("node_type").alias("_n"))
     own, any_ = rows.where("_l <> '*'"), rows.where("_l = '*'").select(F.col("_t").alias("_t2"), F.col("_n").alias("_n2"))
     low = F.lower("raw_type")
-    guess = first_match(*((low.rlike(words), t) for words, t in dims.TYPE_KEYWORDS), otherwise="UNKNOWN")
+    rest = first_match(*((low.rlike(words), t) for words, t in dims.TYPE_KEYWORDS), otherwise="UNKNOWN") if guess else F.lit("UNKNOWN")
     j = nodes.join(own, (F.lower("language") == F.col("_l")) & (F.col("raw_type") == F.col("_t")), "left").join(any_, F.col("raw_type") == F.col("_t2"), "left")
-    return j.withColumn("node_type", F.coalesce("_n", "_n2", guess)).drop("_l", "_t", "_n", "_t2", "_n2")
+    return j.withColumn("node_type", F.coalesce("_n", "_n2", rest)).drop("_l", "_t", "_n", "_t2", "_n2")
 
 
 # Function heads by language, one capture each, bounded so that no line takes long; and calls.
@@ -145,6 +145,29 @@ def catalog_hits(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
     return hit.select("node_id", "vuln_type", "cwe", "severity")
 
 
+def to_graph_schema(parsed: DataFrame) -> DataFrame:
+    """The graph layer's columns from the parser layer's nodes; what a parser doesn't give is empty, 0 or, for the type, UNKNOWN."""
+    have = set(parsed.columns)
+
+    def take(name: str, default, kind: str) -> Column:
+        return (F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in have else F.lit(default).cast(kind)).alias(name)
+
+    first = parsed.withColumnRenamed("line", "start_line") if "line" in have and "start_line" not in have else parsed
+    have = set(first.columns)
+    columns = [take(*c) for c in (("node_id", "", "string"), ("node_type", "UNKNOWN", "string"), ("language", "unknown", "string"), ("file_path", "", "string"), ("start_line", 0, "int"), ("end_line", 0, "int"), ("start_col", 0, "int"), ("end_col", 0, "int"), ("raw_text", "", "string"), ("normalized_text", "", "string"))]
+    return first.select(*columns, (F.coalesce("parent_id", F.lit("")) if "parent_id" in have else F.lit("")).alias("parent_function"))
+
+
+def of_types(nodes: DataFrame, *types: str) -> DataFrame:
+    """Nodes of these types; the filter reaches the scan."""
+    return nodes.where(F.col("node_type").isin(list(types)))
+
+
+def labelled(nodes: DataFrame, label: str, least: float = 0.0) -> DataFrame:
+    """Nodes of a label, for one of SOURCE, SINK, SANITIZER, SENSITIVE, of some confidence."""
+    return nodes.where((F.col("label") == label) & (F.col("confidence") >= least))
+
+
 def extract_name(node_type: Column, raw: Column) -> Column:
     """A node's name by its type: what is called, defined, imported, assigned, or the first identifier."""
     ident = r"([A-Za-z_][A-Za-z0-9_]*)"
@@ -189,4 +212,4 @@ def pattern_hits(files: DataFrame, catalog: DataFrame, path: str = "file_path",
     return lines(files, path, text).select("file_path", "line", F.explode(hit).alias("h")).select("file_path", "line", "h.*")
 
 
-__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "language_by_extension", "lines", "normalize_types", "parser_scan", "pattern_hits", "route_backend", "token_sequence"]
+__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "labelled", "language_by_extension", "lines", "normalize_types", "of_types", "parser_scan", "pattern_hits", "route_backend", "to_graph_schema", "token_sequence"]

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dims
+from ..functions.text import sanitize_for_model
 from ..operators import annotate as an, findings as fi, graph as gr, nodes as no, validate as va
 
 
@@ -26,7 +27,7 @@ class Analysis:
 def analyse(files: DataFrame, session_id: str, registry: DataFrame | None = None, sarif: DataFrame | None = None, max_bytes: int = 5 << 20) -> Analysis:
     """files (file_path, text) through validation, language, nodes, annotation, control and data flow, containment, findings.
 
-    A rejected file gives one PROGRAM node with its reason. sarif: results as ``readers.sarif_results`` gives them; their labels come
+    A rejected file gives one PROGRAM node, and its reasons in the column error of files. sarif: results as ``readers.sarif_results`` gives them; their labels come
     before the annotator's.
     """
     spark = files.sparkSession
@@ -42,9 +43,13 @@ def analyse(files: DataFrame, session_id: str, registry: DataFrame | None = None
         places = labelled.select(F.col("file_path").alias("file"), "line", "col", F.col("node_id").alias("id"), "ord")
         marks = fi.sarif_annotate(sarif, places, dims.frame(spark, "sarif_rules")).select("node_id", F.col("label").alias("_l"), F.col("cwe").alias("_c"))
         labelled = labelled.join(marks, "node_id", "left").withColumns({"label": F.coalesce("_l", "label"), "cwe": F.coalesce("_c", "cwe"), "confidence": F.when(F.col("_l").isNotNull(), 0.95).otherwise(F.col("confidence"))}).drop("_l", "_c")
+    labelled = labelled.withColumn("normalized_text", sanitize_for_model(F.col("raw_text")))
     flow = labelled.select(F.col("file_path").alias("file"), F.col("node_id").alias("id"), F.col("node_type").alias("t"), "line", "col", "ord", F.col("line").alias("end_line"), F.lit("").alias("fn"), "name", F.lit(None).cast("string").alias("parent_id"))
-    edges = gr.cfg(flow).drop("edge_id").unionByName(gr.dfg_flows(flow)).unionByName(gr.dfg_kills(flow)).unionByName(gr.ast_edges(flow))
+    edges = gr.cfg(flow).drop("edge_id")
+    for part in (gr.dfg_flows, gr.dfg_kills, gr.dfg_returns, gr.dfg_depends, gr.ast_edges):
+        edges = edges.unionByName(part(flow))
     result = fi.findings(labelled, dims.frame(spark, "cwes"))
     lit = F.lit(session_id)
     stages = [(s, "ok") for s in ("validate", "language", "nodes", "annotate", "flow", "findings")] + ([("sarif", "ok")] if sarif is not None else [("sarif", "skipped")])
-    return Analysis(checked.withColumn("session_id", lit), labelled.withColumn("session_id", lit), edges.withColumn("session_id", lit), result.withColumn("session_id", lit), stages)
+    error = F.when(F.col("status") == "REJECTED", F.concat_ws(",", "warnings"))
+    return Analysis(checked.withColumns({"session_id": lit, "error": error}), labelled.withColumn("session_id", lit), edges.withColumn("session_id", lit), result.withColumn("session_id", lit), stages)

@@ -728,9 +728,9 @@ def graph_limits(s, d):
     return va.graph_limits(n.withColumn("depth", F.col("line") % 50), gr.cfg_next(n), 70, 60, 48)
 
 
-@register("primary_language", "select case lang when 'en' then 'english' else lang end as language, count(*) as n from documents where lang not in ('xx') group by all order by n desc, language limit 1")
+@register("primary_language", "select case lang when 'en' then 'english' else lang end as language, count(*) as n from documents where lang not in ('xx') group by all order by n desc, min(doc_id) limit 1")
 def primary_language(s, d):
-    return fi.primary_language(table(s, d, "documents").select(F.when(F.col("lang") == "en", "english").otherwise(F.col("lang")).alias("language")), ("xx",))
+    return fi.primary_language(table(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", "english").otherwise(F.col("lang")).alias("language")), ("xx",), seen="doc_id")
 
 
 @register("build_rollup", "select count(*) as files, count(*) filter (where n_chars >= 500 and source <> 'src3') as processed, count(*) filter (where n_chars < 500) as skipped, count(*) filter (where n_chars >= 500 and source = 'src3') as error, (select string_agg(distinct lang, ',' order by lang) from documents where n_chars >= 500 and source <> 'src3') as languages, (select count(*) from events) as nodes from documents")

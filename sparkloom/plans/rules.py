@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dims, text as tx
 from ..operators import annotate as an, findings as fi, graph as gr, ingestion as ig, nodes as no, sessions as se, validate as va
-from ..sources import readers as rd
+from ..sources import readers as rd, writers as wr
 from ..streaming import events as ev
 from .queries import register, sequence, session_events, table
 
@@ -358,3 +358,62 @@ def known_edges(s, d):
 @register("catalog_languages", expected("given varchar, language varchar", ("ts", "javascript"), ("TSX", "javascript"), ("hcl", "terraform"), ("Go", "go"), ("cobol", "python")))
 def catalog_languages(s, d):
     return values(s, [(x,) for x in ("ts", "TSX", "hcl", "Go", "cobol")], "given string").select("given", se.catalog_language(F.col("given")).alias("language"))
+
+
+@register("cfg_conditions", expected("src varchar, dst varchar, condition varchar", ("a", "b", "if x:"), ("c", "d", "y" * 80)))
+def cfg_conditions(s, d):
+    rows = [("f", 1, "a", "IF", 1, 0, 2, "", "", "if x:"), ("f", 2, "b", "CALL", 2, 0, 2, "", "", "g()"), ("f", 3, "c", "IF", 3, 0, 4, "", "", "y" * 200), ("f", 4, "d", "CALL", 4, 0, 4, "", "", "h()"), ("f", 5, "e", "IF", 5, 0, 5, "", "", "no body")]
+    return gr.cfg_conditions(values(s, rows, "file string, ord int, id string, t string, line int, col int, end_line int, fn string, name string, normalized_text string")).select("src", "dst", "condition")
+
+
+@register("language_warnings", expected("id varchar, line int, kind varchar", ("1", 1, "context_exit"), ("3", 3, "event_loop"), ("4", 4, "early_return"), ("5", 5, "deferred"), ("6", 6, "concurrent"), ("8", 8, "jump_target")))
+def language_warnings(s, d):
+    rows = [("1", "WITH", 1, "python", []), ("2", "WITH", 2, "java", []), ("3", "AWAIT", 3, "TSX", []), ("4", "TRY", 4, "rust", []), ("5", "BLOCK", 5, "go", ["is_defer"]), ("6", "BLOCK", 6, "go", ["is_goroutine"]), ("7", "BLOCK", 7, "go", None), ("8", "BREAK", 8, "cpp", ["is_goto"]), ("9", "BREAK", 9, "c", [])]
+    return gr.language_warnings(values(s, [("f", *r) for r in rows], "file string, id string, t string, line int, language string, flags array<string>")).select("id", "line", "kind")
+
+
+@register("truncated_graphs", """with n as (select cast(user_id as varchar) as file, event_id, row_number() over (partition by user_id order by ts, event_id) as line from events), k as (select file, event_id, line, lead(event_id) over (partition by file order by line) as nxt from n)
+ select file, count(*) filter (where line <= 50) as nodes, least(20, count(nxt) filter (where line < 50)) as edges from k group by file""")
+def truncated_graphs(s, d):
+    n = sequence(s, d).withColumn("t", F.lit("CALL"))
+    nodes, edges = gr.truncate_graph(n, gr.cfg_next(n), 50, 20)
+    counted = edges.groupBy("file").agg(F.count(F.lit(1)).alias("edges"))
+    return nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes")).join(counted, "file", "left").fillna(0, ["edges"])
+
+
+@register("parser_types", expected("language varchar, raw_type varchar, node_type varchar", ("python", "except_clause", "CATCH"), ("terraform", "attribute", "ASSIGN"), ("python", "attribute", "MEMBER_ACCESS"), ("python", "my_function", "UNKNOWN")))
+def parser_types(s, d):
+    rows = [("python", "except_clause"), ("terraform", "attribute"), ("python", "attribute"), ("python", "my_function")]
+    return no.normalize_types(values(s, rows, "language string, raw_type string"), dims.frame(s, "type_map"), guess=False)
+
+
+@register("graph_schema", expected("node_id varchar, node_type varchar, language varchar, start_line int, end_line int, raw_text varchar, normalized_text varchar, parent_function varchar", ("n1", "CALL", "go", 3, 0, "f()", "", "p"), ("n2", "UNKNOWN", "unknown", 0, 0, "", "", "")))
+def graph_schema(s, d):
+    rows = [("n1", "CALL", "go", 3, "f()", "p"), ("n2", None, None, None, None, None)]
+    return no.to_graph_schema(values(s, rows, "node_id string, node_type string, language string, line int, raw_text string, parent_id string")).select("node_id", "node_type", "language", "start_line", "end_line", "raw_text", "normalized_text", "parent_function")
+
+
+@register("node_filters", expected("kind varchar, ids varchar", ("functions", "1"), ("calls", "2,3"), ("sinks", "2"), ("sources", "")))
+def node_filters(s, d):
+    n = values(s, [("1", "FUNCTION", "NONE", 0.0), ("2", "CALL", "SINK", 0.9), ("3", "CALL", "SOURCE", 0.2)], "node_id string, node_type string, label string, confidence double")
+    parts = {"functions": no.of_types(n, "FUNCTION"), "calls": no.of_types(n, "CALL"), "sinks": no.labelled(n, "SINK", 0.5), "sources": no.labelled(n, "SOURCE", 0.5)}
+    rows = [p.agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("ids")).select(F.lit(k).alias("kind"), "ids") for k, p in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@register("adapters", expected("url varchar, provider varchar, error varchar", ("https://github.com/o/r", "github", None), ("https://gitlab.com/o/r", "gitlab", "ADAPTER_NOT_IMPLEMENTED"), ("https://h/o/r", "none", "ADAPTER_NOT_IMPLEMENTED")))
+def adapters(s, d):
+    name, error = ig.adapter(F.col("url"))
+    return values(s, [(u,) for u in ("https://github.com/o/r", "https://gitlab.com/o/r", "https://h/o/r")], "url string").select("url", name.alias("provider"), error.alias("error"))
+
+
+@register("plain_projections", expected("columns varchar", ("session_id,url",)))
+def plain_projections(s, d):
+    df = values(s, [("s", "u", "t", "c", "k")], "session_id string, url string, access_token string, credential_ref string, private_key string")
+    return values(s, [(",".join(ig.without_secrets(df).columns),)], "columns string")
+
+
+@register("sealed_manifests", "select source as session_id, count(*) as files, cast(sum(strlen(text)) as bigint) as bytes, sha256(string_agg('doc/' || doc_id || ':' || sha256(text), chr(10) order by 'doc/' || doc_id || ':' || sha256(text))) as hash from documents group by source")
+def sealed_manifests(s, d):
+    m = table(s, d, "documents").select(F.col("source").alias("session_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("relative_path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return wr.seal(m)

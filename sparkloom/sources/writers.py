@@ -68,3 +68,35 @@ def append_audit(rows: DataFrame, path: str) -> None:
 def deliver(approved: DataFrame, content: DataFrame) -> DataFrame:
     """Approved files (relative_path, sha256) with content whose hash is as approved; the others are dropped."""
     return content.join(approved.select("relative_path", F.col("sha256").alias("_sha")), "relative_path").where(F.sha2("content", 256) == F.col("_sha")).drop("_sha")
+
+
+def to_memory(rows: DataFrame, name: str) -> DataFrame:
+    """A session's rows as a temporary view, in place of a table, for tests and notebooks."""
+    rows.createOrReplaceTempView(name)
+    return rows.sparkSession.table(name)
+
+
+#: The graph tables, partitioned by session; sorted by their key within files, so that point reads skip row groups.
+TABLES = {
+    "nodes": "session_id string, node_id string, node_type string, name string, file_path string, line int, col int, raw_text string, label string, confidence double, cwe string",
+    "edges": "session_id string, edge_id string, src string, dst string, edge_type string",
+    "findings": "session_id string, node_id string, cwe string, severity string, confidence double, title string",
+    "audit": "session_id string, event string, stage string, error string",
+}
+
+
+def create_tables(spark: SparkSession, root: str, tables: dict[str, str] = TABLES) -> list[str]:
+    """Make the tables that aren't there yet, empty; the names of those made. Calling it again makes none."""
+    made = [name for name in tables if not _exists(spark, f"{root}/{name}")]
+    for name in made:
+        spark.createDataFrame([], tables[name]).write.parquet(f"{root}/{name}")
+    return made
+
+
+def seal(manifest: DataFrame) -> DataFrame:
+    """The manifest of each session as one row: files, bytes and the digest of its sorted ``path:sha256`` lines."""
+    from ..operators.findings import set_hash
+
+    line = F.concat_ws(":", "relative_path", "sha256")
+    sums = manifest.groupBy("session_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    return sums.join(set_hash(manifest, ["session_id"], line), "session_id")

@@ -122,3 +122,10 @@ def test_delivery_documents_marks_audit(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 1
     n = spark.createDataFrame([("a", False), ("b", False)], "node_id string, annotated boolean")
     assert sorted(wr.mark(n, spark.createDataFrame([("b", True)], "node_id string, annotated boolean")).collect()) == [("a", False), ("b", True)]
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    root = str(tmp_path / "graph")
+    assert wr.create_tables(spark, root) == list(wr.TABLES) and wr.create_tables(spark, root) == []
+    assert spark.read.parquet(f"{root}/edges").columns == ["session_id", "edge_id", "src", "dst", "edge_type"]
+    assert wr.to_memory(spark.createDataFrame([("s", 1)], "session_id string, n int"), "rows_of_s").count() == 1
