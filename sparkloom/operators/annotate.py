@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dims
 from ..functions.text import any_of, first_match, name_variants
+from ..scratch import Scratch
 
 
 def annotate(nodes: DataFrame, registry: DataFrame, key: str = "node_id") -> DataFrame:
     """Adds label, confidence, cwe, pass to nodes (key unique, node_type, name, raw_text, language).
 
-    Distinct names are annotated, not nodes: the passes join names with the registry (Spark broadcasts it while it is small), and
-    the result is joined back. Pass 1: variants of the name by equality, ordered by variant, then kind. Pass 2: all suffixes of the lower-cased name by
+    Distinct names are annotated, not nodes, and written out first: the passes join names with the registry (Spark broadcasts it while it is small), and
+    the result is joined back. Pass 1: variants of the name by equality, ordered by variant, then kind. Pass 2, for
+    names that pass 1 left: all suffixes of the lower-cased name by
     equality with the lower-cased key, which makes the suffix search an equi join; ordered by kind, then place in the registry; 0.75 of the
     confidence unless equal. Pass 3: words. First match wins in each.
     """
@@ -22,12 +24,14 @@ def annotate(nodes: DataFrame, registry: DataFrame, key: str = "node_id") -> Dat
     reg = registry.withColumn("kind_ord", kinds).withColumn("_n", F.monotonically_increasing_id())
     reg = reg.withColumn("key_ord", F.row_number().over(Window.partitionBy("language").orderBy("kind_ord", "_n"))).drop("_n").withColumnRenamed("language", "_lang")
     names = nodes.where(F.col("node_type").isin(dims.ANNOTATABLE) & (F.coalesce("name", F.lit("")) != "")).select("language", "name").distinct()
+    names = Scratch(nodes.sparkSession, "annotate").put(names, "names")  # read by each pass, found once
     exact = names.select("language", "name", F.posexplode(name_variants(F.col("name"))).alias("v", "key"))
     hit = F.struct("label", "confidence", "cwe")
     one = exact.join(reg, (F.col("language") == F.col("_lang")) & (exact["key"] == reg["key"])).groupBy("language", "name").agg(F.min_by(hit, F.struct("v", "kind_ord", "key_ord")).alias("one"))
     longest = registry.agg(F.coalesce(F.max(F.length("key")), F.lit(1))).first()[0]  # a dimension's maximum: longer suffixes equal no key
     starts = F.sequence(F.greatest(F.lit(1), F.length("low") - longest + 1), F.length("low"))
-    suffixes = names.select("language", "name", F.lower("name").alias("low")).select("language", "name", "low", F.explode(F.transform(starts, lambda i: F.substr(F.col("low"), i))).alias("s"))
+    left = names.join(one.select("language", "name"), ["language", "name"], "left_anti")
+    suffixes = left.select("language", "name", F.lower("name").alias("low")).select("language", "name", "low", F.explode(F.transform(starts, lambda i: F.substr(F.col("low"), i))).alias("s"))
     ends = reg.withColumn("s2", F.lower("key"))
     score = F.when(F.col("s") == F.col("low"), F.col("confidence")).otherwise(F.col("confidence") * 0.75)
     two = suffixes.join(ends, (F.col("language") == F.col("_lang")) & (F.col("s") == F.col("s2"))).groupBy("language", "name").agg(F.min_by(F.struct("label", score.alias("confidence"), "cwe"), F.struct("kind_ord", "key_ord")).alias("two"))
