@@ -231,4 +231,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ignored, an empty table gives an empty result. Pages are parsed whole.
     """
     ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").try_cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

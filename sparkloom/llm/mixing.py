@@ -116,7 +116,7 @@ def round_cells(rated: DataFrame, scratch: Scratch, cap: int = CAP) -> DataFrame
 def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, scratch: Scratch) -> DataFrame:
     """mix_sources() with the key of the source and a hash of the text."""
     source, text = F.col("source").cast("string"), F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source_key(F.col("source")).alias("key"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), source.alias("source"), source_key(F.col("source")).alias("key"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     rows = scratch.put(rows.withColumn("hash", F.xxhash64("doc_id", "text_hash")).withColumn("part", F.pmod("hash", F.lit(PARTS)).cast("int")), "rows")
     parts = scratch.put(rows.groupBy("key", "source", "size", "part").agg(F.count(F.lit(1)).alias("m")), "parts")
     every = scratch.put(parts.groupBy("key", "source", "size").agg(F.sum("m").alias("n")), "all")
@@ -168,7 +168,7 @@ def take_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     rows, copies, n, before = (f"{prefix}_{c}" for c in ("rows", "copies", "n", "before"))
     mixed = _mixed(docs, weights, cap, scratch).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(on[0]), F.col("key").alias(on[1]), F.col("text_hash").alias(on[2]))
     mixed = scratch.put(mixed.agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies)).where(F.col(copies) > 0), "mixed")
-    named = docs.withColumns({on[0]: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), on[1]: source_key(F.col("source")), on[2]: F.xxhash64(F.col("text").cast("string"))})
+    named = docs.withColumns({on[0]: F.coalesce(F.col("doc_id").try_cast("long").cast("string"), F.lit("")), on[1]: source_key(F.col("source")), on[2]: F.xxhash64(F.col("text").cast("string"))})
     once = named.join(mixed.where(F.col(rows) == 1), on).select(*docs.columns, F.col(copies))
     again = mixed.where(F.col(rows) > 1)
     alike = named.join(again.select(*on), on, "left_semi").groupBy(*docs.columns, *on).agg(F.count(F.lit(1)).alias(n)).join(again, on)

@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     its words. Rows that repeat a doc_id are one node: they share its component, and are linked by any of their texts. A null doc_id
     can't be named as a component: such a row has a null component_id and is kept. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(ship(docs.sparkSession), "near")
     sig = scratch.put(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, digest binary, bands array<bigint>"), "signatures")
     named = sig.where("doc_id is not null and digest is not null")
@@ -305,7 +305,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 85, size: int = 5) -> DataF
     name = "_near_id"
     while name in docs.columns:
         name += "_"
-    rows = docs.withColumn(name, F.col("doc_id").cast("long"))
+    rows = docs.withColumn(name, F.col("doc_id").try_cast("long"))
     ids = marked.select(F.col("doc_id").alias(name), "kept")
     single = rows.join(ids.select(name), name, "left_anti").select(*docs.columns)
     repeated = rows.join(ids.where("kept").select(name), name).groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))

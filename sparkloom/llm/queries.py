@@ -6,6 +6,8 @@ can express the other columns, a query of its own selects those through the same
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .html_text import extract_pages
@@ -20,7 +22,7 @@ from .transport_stream import media_digests
 from .url_filter import url_rules, url_verdicts
 
 #: The public tokenizers' folder; a parameter of the deployment.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

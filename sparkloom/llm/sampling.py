@@ -24,9 +24,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, n: int) -> Da
     One row for each doc_id: of repeated labels the greatest, of rows that repeat a doc_id the least text. Null doc_ids and labels are left
     out. The chosen labels (n narrow rows at most) are broadcast, so only their texts are shuffled.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     chosen = least_hashed(known.groupBy("doc_id").agg(F.max(label).alias(label)), "doc_id", n)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)
 
 

@@ -360,7 +360,7 @@ def encode_pieces(docs: DataFrame, model: Model, verify: bool = True) -> DataFra
     gives an empty result. Texts are encoded whole.
     """
     schema = "doc_id long, n_tokens long, ids array<int>" + ", exact boolean" * verify
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(_share(docs, model), verify), schema)
+    return docs.select(F.col("doc_id").try_cast("long"), F.col("text").cast("string")).mapInArrow(_encode(_share(docs, model), verify), schema)
 
 
 def _decode(shared):

@@ -52,7 +52,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     """
     scratch = Scratch(ship(docs.sparkSession), "shards")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
+    narrow = docs.select(F.col(key).try_cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
     schema = "doc_id long, size long, text_crc32 long, shard int, grown_shard int"
     placed = narrow.mapInArrow(_assign(shards), schema).withColumn("row", F.monotonically_increasing_id())
     placed = scratch.put(placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(BUCKETS)).cast("int")), "placed")

@@ -226,4 +226,4 @@ def token_counts(docs: DataFrame, ranks_path: str | Path, rules=None) -> DataFra
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(Path(ranks_path).read_bytes())
     schema = "doc_id long, n_tokens long, n_pretokens long, n_edits long, n_reencoded long, n_tokens_edited long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count(shared, REDACTIONS if rules is None else rules), schema)
+    return docs.select(F.col("doc_id").try_cast("long"), F.col("text").cast("string")).mapInArrow(_count(shared, REDACTIONS if rules is None else rules), schema)

@@ -236,7 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     schema = "doc_id long, n_terms long, p_toxic double, severity double, grade int, toxic boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), schema)
+    return docs.select(F.col("doc_id").try_cast("long"), F.col("text").cast("string")).mapInArrow(_score(model), schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -254,7 +254,7 @@ def _encode(batches):
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (unpadded) and media: each text's bytes, zero-padded to a positive multiple of 64, as a transport stream. Null: empty."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").try_cast("long"), F.col("text").cast("string")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
 def _decode(batches):
@@ -298,4 +298,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
     packets, first and last timestamp, random-access points with the last one's timestamp, and faults (0 for what we stored).
     """
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digest, DIGEST)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digest, DIGEST)

@@ -221,7 +221,7 @@ def _parts(urls: DataFrame, *columns: str) -> DataFrame:
 def url_rules(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """page_id, url, host, path, rule, and verdict where a rule fits (else null), of each row of pages; column expressions only."""
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    parts = _parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), "page_id")
+    parts = _parts(pages.select(F.col("page_id").try_cast("long").alias("page_id"), "url"), "page_id")
     return parts.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 

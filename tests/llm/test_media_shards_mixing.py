@@ -6,6 +6,7 @@ from collections import Counter
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing as mx, sharding as sh, transport_stream as ts
 
@@ -134,6 +135,18 @@ def test_write_shards(spark, tmp_path):
     assert all(r.shard == jump((-1 if r.doc_id is None else r.doc_id) % 2**64, 4) for r in back.collect())
 
 
+def test_write_shards_of_nothing(spark, tmp_path):
+    sh.write_shards(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"), 4)
+    assert spark.read.schema(SCHEMA + ", shard int").parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    df = spark.createDataFrame([("7", "a b c"), ("x7", "a b c"), (None, "a b c")], "doc_id string, text string").withColumn("source", F.lit("s"))
+    assert sorted(str(r.doc_id) for r in sh.assign_shards(df).collect()) == ["7", "None", "None"]
+    assert sorted(str(r.doc_id) for r in mx.mix_sources(df).collect()) == ["7", "None", "None"]
+    assert sorted(str(r.doc_id) for r in ts.media_digests(df).collect()) == ["7", "None", "None"]
+
+
 def targets_by_hand(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {n: weights[k % 3] for k, n in enumerate(names)}
