@@ -10,12 +10,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .collocations import collocations
+from .filter_audit import audit_filters
 from .html_text import extract_pages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import quality_verdicts
 from .sentence_pieces import encode_pieces, load
 from .sharding import assign_shards
+from .simhash import simhash_duplicates
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .transport_stream import media_digests
@@ -69,6 +72,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=30, top=2000).drop("n_words")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(_table(spark, sf_dir, "documents"), most=4, size=4)
+
+
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back of the stored texts."""
     return op2_transport_streams(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -96,7 +111,7 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     op1_minhash_near_dedup, op2_transport_streams, op3_entropy_mixing, op4_quality_rules, op5_token_counts, op6_toxicity, op7_url_filter, op8_sentence_pieces, op9_sharding, op10_html_text,
-    media_payloads, mixing_targets, quality_statistics, host_rules, shard_law,
+    op11_collocations, op12_filter_audit, op13_simhash_near_dedup, media_payloads, mixing_targets, quality_statistics, host_rules, shard_law,
 ]
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -119,6 +134,37 @@ with recursive words as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}')
  component as (select doc_id, min(other) as component_id from reach group by doc_id)
 select n.doc_id, cast(n.n as bigint) as n_shingles, coalesce(c.component_id, n.doc_id) as component_id, coalesce(n.doc_id = coalesce(c.component_id, n.doc_id), true) as kept from named n left join component c on c.doc_id = n.doc_id"""
 
+#: Every occurrence of every phrase is listed, then counted; products are 128 bits wide.
+SQL["op11_collocations"] = rf"""
+with p as (select row_number() over () as k, lang, piece from (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+ w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+ total as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+ g as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (select lang, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from w, (select unnest([1, 2, 3, 4]) as m) where len(w) >= m)),
+ f as (select lang, m, phrase, count(*) as f from g group by all having count(*) >= 30),
+ cand as (select *, string_split(phrase, ' ') as w from f where m > 1),
+ cuts as (select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r, (2000000::hugeint * c.f) // (l.f::hugeint + r.f) as score
+  from (select *, unnest(generate_series(1, m - 1)) as k from cand) c join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:], ' ')),
+ best as (select lang, phrase, any_value(a) as a, min(struct_pack(score := score, k := k, l := l, r := r)) as b from cuts group by lang, phrase),
+ inner_ as (select lang, f, array_to_string(w[i:i + j - 1], ' ') as phrase from (select lang, f, w, m, j, unnest(generate_series(1, m - j + 1)) as i from (select *, unnest(generate_series(2, m - 1)) as j from cand where m > 2))),
+ gone as (select distinct b.lang, b.phrase from best b join inner_ i on i.lang = b.lang and i.phrase = b.phrase and 100 * i.f::hugeint >= 80 * b.a::hugeint),
+ ranked as (select lang, phrase, a, b.l as l, b.r as r, cast(b.score as bigint) as score, row_number() over (partition by lang order by b.score desc, a desc, encode(phrase)) as rank from best anti join gone using (lang, phrase))
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, n, score from ranked join total using (lang) where rank <= 2000"""
+
+#: A document's first failing step in an order is where it is removed.
+SQL["op12_filter_audit"] = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+ flags as (select k, doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(min(doc_id) over (partition by text) < doc_id, false)] as f from d),
+ marks as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+ cell as (select part, f, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from flags left join marks using (doc_id) group by part, f),
+ l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+ o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ hit as (select part, filter_order, n, good, toxic, list_transform(string_split(filter_order, ''), lambda x: f[unicode(x) - 64]) as h, len(list_filter(f, lambda x: x)) as fails from cell, o),
+ steps as (select part, filter_order, step, filter_order[step] as x, n, good, toxic, h[step] as fails_here, len(list_filter(h[:step - 1], lambda x: x)) > 0 as gone, fails from hit, (select unnest([1, 2, 3, 4, 5]) as step)),
+ sums as (select part, filter_order, step, x, sum(case when not gone and not fails_here then n else 0 end) as kept, sum(case when not gone and fails_here then n else 0 end) as removed, sum(case when gone and fails_here then n else 0 end) as redundant,
+  sum(case when fails_here and fails = 1 then n else 0 end) as unique_fails, sum(case when not gone and fails_here then good else 0 end) as good_lost, sum(case when not gone and fails_here then toxic else 0 end) as toxic_lost from steps group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+ cast(sum(removed) over (partition by part, x) as bigint) as shapley from sums"""
+
 SQL["media_payloads"] = """select doc_id, n as n_bytes, p as payload_bytes, sha256(encode(coalesce(text, '')) || from_hex(repeat('00', cast(p - n as int)))) as payload_sha256
  from (select doc_id, text, cast(strlen(coalesce(text, '')) as bigint) as n, greatest(64, cast(ceil(strlen(coalesce(text, '')) / 64) as bigint) * 64) as p from documents)"""
 
