@@ -3,9 +3,9 @@
 1. A worker gathers texts into shards of about ``SHARD`` bytes. A shard's words become ids in byte order (an exact dictionary), and two rounds
    of prefix doubling sort its suffixes by their first four words; pieces and languages end a suffix. Neighbours' common prefixes (LCP)
    cut the array into intervals: each is one phrase of 1 to 4 words with its number of occurrences.
-2. Phrases leave the worker in blocks, one for each (partition, language, count): joined by newlines, which no word holds, in the array's
-   order, so that neighbours share their first words and compress well. Blocks are shuffled once, opened, and summed by phrase where they
-   are: every key is a whole phrase, which a shard names once, so no key is hot, and the sum can spill.
+2. Phrases leave the worker in blocks, one for each group of phrases (by the phrase's hash), language and n: joined by newlines, which no word
+   holds, in the array's order, so that neighbours share their first words, and compressed. Blocks are shuffled once and summed by
+   phrase within their group: every key is a whole phrase, which a shard names once, so no key is hot.
 3. What occurs often enough is a narrow table. Cuts, parts and containing phrases are equi joins and aggregates by (language, phrase).
 4. The first phrases of a language are ranked in salted parts first; the last ranking sees ``SALTS`` times as many rows at most.
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkernel as tk
@@ -28,6 +29,8 @@ from .scratch import Scratch
 
 LONGEST = 4
 SHARD, BLOCK, SALTS = 4 << 20, 1 << 20, 32
+#: Groups of phrases for each shuffle partition: a group, which a worker merges at once, is that part of what a partition's share of the text has.
+GROUPS = 16
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -137,8 +140,8 @@ def interval_counts(ids: np.ndarray, pieces: np.ndarray, begin: int) -> Iterator
         yield n, order[heads[whole]], counts[whole]
 
 
-def _shard_phrases(texts: list[np.ndarray], langs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(joined, starts, ends, language number, count, hash) of the phrases of a shard, in byte order within each n."""
+def _shard_phrases(texts: list[np.ndarray], langs: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, joined, starts, ends, language number, count, hash) of the phrases of a shard, in byte order within each n."""
     joined, starts, ends, pieces = _words(texts)
     names = sorted(set(langs))
     number = np.array([names.index(x) for x in langs])
@@ -162,55 +165,82 @@ def _shard_phrases(texts: list[np.ndarray], langs: list[str]) -> Iterator[tuple[
             key[:m] = tk.mix(keys[-1][:m] * tk.BASE + hashes[k:])
             keys.append(key)
         for n, first, counts in interval_counts(of * len(sorted_) + rank[index], piece, min(BLOCK, len(starts) - b)):
-            yield joined, s[first], e[first + n - 1], of[first], counts, keys[n - 1][first]
+            yield n, joined, s[first], e[first + n - 1], of[first], counts, keys[n - 1][first]
+
+
+_BLOCKS = "p int, lang string, phrases binary, counts binary"
 
 
 def _blocks(parts: int):
-    """Arrow batches (p, lang, f, phrases) of the shards' phrases; the empty phrase counts a language's words."""
+    """Arrow batches (p, lang, phrases, counts) of the shards' phrases, compressed; the empty phrase counts a language's words."""
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         for texts, langs in _shards(batches):
             names = sorted(set(langs))
-            p, lang, f, blocks, total = [], [], [], [], np.zeros(len(names), np.int64)
-            for joined, s, e, of, counts, hashes in _shard_phrases(texts, langs):
-                part = (hashes >> _U(20)) % _U(parts)
-                order = np.lexsort((np.arange(len(s)), counts, of, part))
-                part, of, counts, s, e = part[order], of[order], counts[order], s[order], e[order]
+            p, lang, phrases, numbers, total = [], [], [], [], np.zeros(len(names), np.int64)
+            for n, joined, s, e, of, counts, hashes in _shard_phrases(texts, langs):
+                if n == 1:
+                    total += np.bincount(of, counts, len(names)).astype(np.int64)
+                part = ((hashes >> _U(20)) % _U(parts)).astype(np.int64)
+                order = np.argsort(part * len(names) + of, kind="stable")
+                part, of, counts = part[order], of[order], counts[order].astype(np.uint32)
                 # the space behind each phrase becomes the newline between two
-                data, offsets = _take(joined, s, e + 1)
+                data, offsets = _take(joined, s[order], e[order] + 1)
                 data[offsets[1:] - 1] = 0x0A
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(of) != 0) | (np.diff(counts) != 0)])) if len(s) else np.zeros(0, np.int64)
-                until = np.append(new[1:], len(s)) if len(new) else new
-                raw = data.tobytes()
-                blocks += [raw[offsets[i] : offsets[j] - 1] for i, j in zip(new, until, strict=True)]
-                p.append(part[new].astype(np.int32))
+                raw, new = data.data, np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(of) != 0)])) if len(part) else np.zeros(0, np.int64)
+                for i, j in zip(new, [*new[1:], len(part)], strict=True) if len(new) else ():
+                    phrases.append(pack(raw[offsets[i] : offsets[j] - 1]))
+                    numbers.append(pack(counts[i:j].data))
+                p.append(part[new])
                 lang.append(of[new])
-                f.append(counts[new].astype(np.int64))
-                if len(s) and not (joined[s[0] : e[0]] == 0x20).any():  # phrases of one word
-                    total += np.bincount(of, counts, len(names)).astype(np.int64)
             for k in np.flatnonzero(total):
-                p.append(np.zeros(1, np.int32))
+                p.append(np.zeros(1, np.int64))
                 lang.append(np.array([k]))
-                f.append(total[k : k + 1])
-                blocks.append(b"")
-            if blocks:
+                phrases.append(pack(b""))
+                numbers.append(pack(total[k : k + 1].astype(np.uint32).data))
+            if phrases:
                 where = pa.array(names, pa.string()).take(pa.array(np.concatenate(lang)))
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)), where, pa.array(np.concatenate(f)), pa.array(blocks, pa.binary()).cast(pa.string())], ["p", "lang", "f", "phrases"])
-                for i in range(0, out.num_rows, 20_000):
-                    yield out.slice(i, 20_000)
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int32)), where, pa.array(phrases, pa.binary()), pa.array(numbers, pa.binary())], ["p", "lang", "phrases", "counts"])
+                for i in range(0, out.num_rows, 5_000):
+                    yield out.slice(i, 5_000)
+
+    return run
+
+
+def open_blocks(phrases: list[bytes], counts: list[bytes]) -> pa.Table:
+    """(phrase, f) of blocks, each phrase once."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    # a newline behind every block ends its last phrase
+    data = np.frombuffer(b"\n".join([*map(unpack, phrases), b""]), np.uint8)
+    ends = np.flatnonzero(data == 0x0A)
+    offsets = np.concatenate([[0], ends + 1]).astype(np.int64)
+    lines = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    f = np.frombuffer(b"".join(map(unpack, counts)), np.uint32).astype(np.int64)
+    return pa.table({"phrase": lines, "f": f}).group_by("phrase").aggregate([("f", "sum")])
+
+
+def _merged(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for lang in pc.unique(table["lang"]).to_pylist():
+            mine = table.filter(pc.equal(table["lang"], lang))
+            summed = open_blocks(mine["phrases"].to_pylist(), mine["counts"].to_pylist())
+            lines = summed["phrase"]
+            often = summed.filter(pc.or_(pc.greater_equal(summed["f_sum"], least), pc.equal(lines, "\n")))
+            phrase = pc.utf8_slice_codeunits(often["phrase"].cast(pa.large_string()), 0, -1).cast(pa.string())
+            out.append(pa.table({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": phrase, "f": often["f_sum"]}))
+        return pa.concat_tables(out)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(lang, phrase, f) of phrases of 1 to LONGEST words with f >= least, and the empty phrase with each language's number of words."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    blocks = named.mapInArrow(_blocks(min(8 * parts, 1 << 16)), "p int, lang string, f long, phrases string").repartition(parts, "p")
-    opened = blocks.select("p", "lang", "f", F.explode(F.split("phrases", "\n")).alias("phrase"))
-    # p follows from the phrase, so that the rows of a phrase have met already
-    summed = opened.groupBy("p", "lang", "phrase").agg(F.sum("f").alias("f"))
-    return scratch.put(summed.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "f"), "phrases")
+    blocks = named.mapInArrow(_blocks(parts), _BLOCKS)
+    return scratch.put(blocks.groupBy("p").applyInArrow(_merged(least), "lang string, phrase string, f long"), "phrases")
 
 
 def _joined(words: Column, start: Column | int, n: Column) -> Column:
