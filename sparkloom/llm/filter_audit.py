@@ -42,7 +42,8 @@ def flags(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def cells(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(part, a, b, c, d, e, n, good, toxic): how many rows have which failures."""
     flagged = flags(docs, scratch)
-    copies = flagged.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least")).where("rows > 1").select("digest", "least")
+    # written first: the join then has a table of its own on this side, so Spark can split a digest that many rows share
+    copies = scratch.put(flagged.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least")).where("rows > 1").select("digest", "least"), "copies")
     judged = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("quality").try_cast("int").alias("quality"), F.col("toxic").try_cast("int").alias("toxic"))
     judged = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = flagged.join(copies, "digest", "left").withColumn("e", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).join(judged, "doc_id", "left")
