@@ -43,10 +43,22 @@ def write_edges(spark: SparkSession, edges: DataFrame, nodes: DataFrame, path: s
 
 
 def delete_session(spark: SparkSession, path: str, session: str) -> int:
-    """Drop a session's partition; the number of rows it had."""
-    n = spark.read.parquet(path).where(F.col("session_id") == session).count()
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/session_id={session}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """Drop a session's partition; the number of rows it had.
+
+    The partition's folder is taken from the files that hold the session's rows, as Spark escapes what a path can't hold.
+    """
+    # as text: Spark would read session ids like numbers as numbers
+    kinds = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        mine = spark.read.parquet(path).where(F.col("session_id") == session)
+        n = mine.count()
+        folders = [r[0] for r in mine.select(F.regexp_extract(F.input_file_name(), r"^(.*/session_id=[^/]*)/[^/]*$", 1)).distinct().collect()]  # one folder
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", kinds)
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return n
 
 

@@ -51,16 +51,36 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_now(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Drain what is there into a table in the shared folder and return it: the final flush of a session. The latest batch stands (complete mode) or all (append)."""
-    scratch = Scratch(stream.sparkSession, "drain")
+def idempotent(path: str, mode: str = "append") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that a replayed batch changes nothing in: each batch owns the folder of its number and overwrites it.
+
+    In complete mode one folder holds the latest batch. Batches are counted by the stream's checkpoint, so a path belongs to one checkpoint.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{scratch.root}/table")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    return write
+
 
-    w = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{scratch.root}/checkpoint")
+def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What an idempotent sink holds; an empty table before its first batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
+def run_now(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """Drain what is there into a table in the shared folder and return it: the final flush of a session. The latest batch stands (complete mode) or all (append).
+
+    With a checkpoint and a path of its own a later call goes on where the last one stopped, and a batch that failed midway is written anew.
+    """
+    scratch = Scratch(stream.sparkSession, "drain")
+    table = path or f"{scratch.root}/table"
+    w = stream.writeStream.foreachBatch(idempotent(table, mode)).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{scratch.root}/checkpoint")
     w.start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{scratch.root}/table")
+    return read_batches(stream.sparkSession, table, stream.schema)
 
 
 def fan_out(stream: DataFrame, clients: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
