@@ -3,9 +3,10 @@
 1. A worker gathers texts into shards of about ``SHARD`` bytes. A shard's words become ids in byte order (an exact dictionary), and two rounds
    of prefix doubling sort its suffixes by their first four words; pieces and languages end a suffix. Neighbours' common prefixes (LCP)
    cut the array into intervals: each is one phrase of 1 to 4 words with its number of occurrences.
-2. Phrases leave the worker in blocks, one for each group of phrases (by the phrase's hash), language and n: joined by newlines, which no word
+2. Phrases leave the worker in blocks, one for each language and shuffle partition (by the phrase's hash): ended by newlines, which no word
    holds, in the array's order, so that neighbours share their first words, and compressed. Blocks are shuffled once and summed by
-   phrase within their group: every key is a whole phrase, which a shard names once, so no key is hot.
+   phrase within their group: every key is a whole phrase, which a shard names once, so no key is hot. A worker merges a group, a
+   language's share of a partition, at once: spark.sql.shuffle.partitions sizes it, at 10 MB of text each to some 60 MB of phrases.
 3. What occurs often enough is a narrow table. Cuts, parts and containing phrases are equi joins and aggregates by (language, phrase).
 4. The first phrases of a language are ranked in salted parts first; the last ranking sees ``SALTS`` times as many rows at most.
 
@@ -29,8 +30,6 @@ from .scratch import Scratch
 
 LONGEST = 4
 SHARD, BLOCK, SALTS = 4 << 20, 1 << 20, 32
-#: Groups of phrases for each shuffle partition: a group, which a worker merges at once, is that part of what a partition's share of the text has.
-GROUPS = 16
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -175,72 +174,68 @@ def _blocks(parts: int):
     """Arrow batches (p, lang, phrases, counts) of the shards' phrases, compressed; the empty phrase counts a language's words."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for texts, langs in _shards(batches):
             names = sorted(set(langs))
-            p, lang, phrases, numbers, total = [], [], [], [], np.zeros(len(names), np.int64)
+            # for each n: phrases as bytes ending in newlines, their offsets, counts and first rows of each (part, language)
+            levels, keys, total = [], set(), np.zeros(len(names), np.int64)
             for n, joined, s, e, of, counts, hashes in _shard_phrases(texts, langs):
                 if n == 1:
                     total += np.bincount(of, counts, len(names)).astype(np.int64)
-                part = ((hashes >> _U(20)) % _U(parts)).astype(np.int64)
-                order = np.argsort(part * len(names) + of, kind="stable")
-                part, of, counts = part[order], of[order], counts[order].astype(np.uint32)
-                # the space behind each phrase becomes the newline between two
+                key = ((hashes >> _U(20)) % _U(parts)).astype(np.int64) * len(names) + of
+                order = np.argsort(key, kind="stable")
                 data, offsets = _take(joined, s[order], e[order] + 1)
-                data[offsets[1:] - 1] = 0x0A
-                raw, new = data.data, np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(of) != 0)])) if len(part) else np.zeros(0, np.int64)
-                for i, j in zip(new, [*new[1:], len(part)], strict=True) if len(new) else ():
-                    phrases.append(pack(raw[offsets[i] : offsets[j] - 1]))
-                    numbers.append(pack(counts[i:j].data))
-                p.append(part[new])
-                lang.append(of[new])
-            for k in np.flatnonzero(total):
-                p.append(np.zeros(1, np.int64))
-                lang.append(np.array([k]))
-                phrases.append(pack(b""))
-                numbers.append(pack(total[k : k + 1].astype(np.uint32).data))
+                data[offsets[1:] - 1] = 0x0A  # the space behind each phrase
+                key = key[order]
+                levels.append((key, data.data, offsets, counts[order].astype(np.uint32)))
+                keys.update(np.unique(key).tolist())
+            p, lang, phrases, numbers = [], [], [], []
+            for k in sorted(keys | set(range(len(names)))):  # part 0 has the totals
+                raw, counts = [], []
+                for key, data, offsets, f in levels:
+                    i, j = np.searchsorted(key, [k, k + 1])
+                    raw.append(data[offsets[i] : offsets[j]])
+                    counts.append(f[i:j])
+                if k < len(names) and total[k]:
+                    raw.append(b"\n")
+                    counts.append(total[k : k + 1].astype(np.uint32))
+                if any(map(len, raw)):
+                    p.append(k // len(names))
+                    lang.append(k % len(names))
+                    phrases.append(pack(b"".join(raw)))
+                    numbers.append(pack(np.concatenate(counts).tobytes()))
             if phrases:
-                where = pa.array(names, pa.string()).take(pa.array(np.concatenate(lang)))
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int32)), where, pa.array(phrases, pa.binary()), pa.array(numbers, pa.binary())], ["p", "lang", "phrases", "counts"])
-                for i in range(0, out.num_rows, 5_000):
-                    yield out.slice(i, 5_000)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(names, pa.string()).take(pa.array(lang)), pa.array(phrases, pa.binary()), pa.array(numbers, pa.binary())], ["p", "lang", "phrases", "counts"])
 
     return run
 
 
 def open_blocks(phrases: list[bytes], counts: list[bytes]) -> pa.Table:
-    """(phrase, f) of blocks, each phrase once."""
+    """(phrase, f_sum) of blocks, each phrase once, with the newline behind it."""
     unpack = zstandard.ZstdDecompressor().decompress
-    # a newline behind every block ends its last phrase
-    data = np.frombuffer(b"\n".join([*map(unpack, phrases), b""]), np.uint8)
-    ends = np.flatnonzero(data == 0x0A)
-    offsets = np.concatenate([[0], ends + 1]).astype(np.int64)
-    lines = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    data = np.frombuffer(b"".join(map(unpack, phrases)), np.uint8)
+    offsets = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1]).astype(np.int64)
+    lines = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     f = np.frombuffer(b"".join(map(unpack, counts)), np.uint32).astype(np.int64)
     return pa.table({"phrase": lines, "f": f}).group_by("phrase").aggregate([("f", "sum")])
 
 
 def _merged(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        out = []
-        for lang in pc.unique(table["lang"]).to_pylist():
-            mine = table.filter(pc.equal(table["lang"], lang))
-            summed = open_blocks(mine["phrases"].to_pylist(), mine["counts"].to_pylist())
-            lines = summed["phrase"]
-            often = summed.filter(pc.or_(pc.greater_equal(summed["f_sum"], least), pc.equal(lines, "\n")))
-            phrase = pc.utf8_slice_codeunits(often["phrase"].cast(pa.large_string()), 0, -1).cast(pa.string())
-            out.append(pa.table({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": phrase, "f": often["f_sum"]}))
-        return pa.concat_tables(out)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        summed = open_blocks(table["phrases"].to_pylist(), table["counts"].to_pylist())
+        often = summed.filter(pc.or_(pc.greater_equal(summed["f_sum"], least), pc.equal(summed["phrase"], "\n")))
+        phrase = pc.utf8_slice_codeunits(often["phrase"], 0, -1).cast(pa.string())
+        return pa.table({"lang": pa.array([key[1].as_py()] * len(phrase), pa.string()), "phrase": phrase, "f": often["f_sum"]})
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """(lang, phrase, f) of phrases of 1 to LONGEST words with f >= least, and the empty phrase with each language's number of words."""
-    parts = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     blocks = named.mapInArrow(_blocks(parts), _BLOCKS)
-    return scratch.put(blocks.groupBy("p").applyInArrow(_merged(least), "lang string, phrase string, f long"), "phrases")
+    return scratch.put(blocks.groupBy("p", "lang").applyInArrow(_merged(least), "lang string, phrase string, f long"), "phrases")
 
 
 def _joined(words: Column, start: Column | int, n: Column) -> Column:
