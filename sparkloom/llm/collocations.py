@@ -167,7 +167,7 @@ def _shard_phrases(texts: list[np.ndarray], langs: list[str]) -> Iterator[tuple[
             yield n, joined, s[first], e[first + n - 1], of[first], counts, keys[n - 1][first]
 
 
-_BLOCKS = "p int, lang string, phrases binary, counts binary"
+_BLOCKS = "p int, lang string, phrases array<binary>, counts array<binary>"
 
 
 def _blocks(parts: int):
@@ -191,21 +191,24 @@ def _blocks(parts: int):
                 keys.update(np.unique(key).tolist())
             p, lang, phrases, numbers = [], [], [], []
             for k in sorted(keys | set(range(len(names)))):  # part 0 has the totals
-                raw, counts = [], []
-                for key, data, offsets, f in levels:
+                raw, counts = {}, {}
+                for level, (key, data, offsets, f) in enumerate(levels):
                     i, j = np.searchsorted(key, [k, k + 1])
-                    raw.append(data[offsets[i] : offsets[j]])
-                    counts.append(f[i:j])
+                    if i < j:
+                        raw.setdefault(level % LONGEST, []).append(data[offsets[i] : offsets[j]])
+                        counts.setdefault(level % LONGEST, []).append(f[i:j])
                 if k < len(names) and total[k]:
-                    raw.append(b"\n")
-                    counts.append(total[k : k + 1].astype(np.uint32))
-                if any(map(len, raw)):
+                    raw.setdefault(0, []).append(b"\n")
+                    counts.setdefault(0, []).append(total[k : k + 1].astype(np.uint32))
+                if raw:
                     p.append(k // len(names))
                     lang.append(k % len(names))
-                    phrases.append(pack(b"".join(raw)))
-                    numbers.append(pack(np.concatenate(counts).tobytes()))
+                    phrases.append([pack(b"".join(raw.get(n, []))) for n in range(LONGEST)])
+                    numbers.append([pack(b"".join(x.tobytes() for x in counts.get(n, []))) for n in range(LONGEST)])
             if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(names, pa.string()).take(pa.array(lang)), pa.array(phrases, pa.binary()), pa.array(numbers, pa.binary())], ["p", "lang", "phrases", "counts"])
+                kind = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(names, pa.string()).take(pa.array(lang)), pa.array(phrases, kind), pa.array(numbers, kind)], ["p", "lang", "phrases", "counts"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -222,10 +225,16 @@ def open_blocks(phrases: list[bytes], counts: list[bytes]) -> pa.Table:
 
 def _merged(least: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        summed = open_blocks(table["phrases"].to_pylist(), table["counts"].to_pylist())
-        often = summed.filter(pc.or_(pc.greater_equal(summed["f_sum"], least), pc.equal(summed["phrase"], "\n")))
-        phrase = pc.utf8_slice_codeunits(often["phrase"], 0, -1).cast(pa.string())
-        return pa.table({"lang": pa.array([key[1].as_py()] * len(phrase), pa.string()), "phrase": phrase, "f": often["f_sum"]})
+        out = []
+        for n in range(LONGEST):  # a phrase meets phrases of its own length only
+            phrases, counts = (pc.list_element(table[c], n).to_pylist() for c in ("phrases", "counts"))
+            summed = open_blocks(phrases, counts)
+            often = summed.filter(pc.or_(pc.greater_equal(summed["f_sum"], least), pc.equal(summed["phrase"], "\n")))
+            phrase = pc.utf8_slice_codeunits(often["phrase"], 0, -1).cast(pa.string())
+            out.append(pa.table({"lang": pa.array([key[1].as_py()] * len(phrase), pa.string()), "phrase": phrase, "f": often["f_sum"]}))
+            del summed, often
+            pa.default_memory_pool().release_unused()
+        return pa.concat_tables(out)
 
     return run
 

@@ -72,7 +72,7 @@ def test_phrase_counts_equal_a_sliding_window(shard, block, monkeypatch):
     got, totals = Counter(), Counter()
     for batch in co._blocks(16)([pa.RecordBatch.from_pydict({"text": texts[i : i + 7], "lang": langs[i : i + 7]}, pa.schema([("text", pa.string()), ("lang", pa.string())])) for i in range(0, len(texts), 7)]):
         for r in batch.to_pylist():
-            for x in co.open_blocks([r["phrases"]], [r["counts"]]).to_pylist():
+            for x in co.open_blocks(r["phrases"], r["counts"]).to_pylist():
                 (got if x["phrase"] != "\n" else totals)[r["lang"], x["phrase"][:-1]] += x["f_sum"]
     want = Counter()
     for text, lang in zip(texts, langs, strict=True):
@@ -89,7 +89,7 @@ def test_one_phrase_always_lands_in_one_part():
     for texts in (["a b c d. x y"], ["x y", "b c a b c d"], ["c d, x y a b c"]):
         for batch in co._blocks(64)([pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * len(texts)})]):
             for r in batch.to_pylist():
-                for x in co.open_blocks([r["phrases"]], [r["counts"]]).to_pylist():
+                for x in co.open_blocks(r["phrases"], r["counts"]).to_pylist():
                     where[x["phrase"]].add(r["p"])
     assert all(len(p) == 1 for p in where.values())
 
