@@ -78,16 +78,16 @@ def route_backend(language: Column, available: list[str]) -> Column:
 
 
 def normalize_types(nodes: DataFrame, type_map: DataFrame, guess: bool = True) -> DataFrame:
-    """Adds node_type: the map's (language, raw_type), else its (*, raw_type), else, with guess, the first keyword group contained, else UNKNOWN.
+    """Adds node_type: the map's (language, raw_type), else, with guess, the first keyword group contained, else UNKNOWN.
 
-    The graph layer guesses, the parser layer does not. Two equi joins with a dimension, which Spark broadcasts as long as it is small.
+    The graph layer guesses (``type_map``), the parser layer has a map of its own and does not (``parser_type_map``). An equi join with a
+    dimension, which Spark broadcasts as long as it is small.
     """
     rows = type_map.select(F.col("language").alias("_l"), F.col("raw_type").alias("_t"), F.col("node_type").alias("_n"))
-    own, any_ = rows.where("_l <> '*'"), rows.where("_l = '*'").select(F.col("_t").alias("_t2"), F.col("_n").alias("_n2"))
     low = F.lower("raw_type")
     rest = first_match(*((low.rlike(words), t) for words, t in dims.TYPE_KEYWORDS), otherwise="UNKNOWN") if guess else F.lit("UNKNOWN")
-    j = nodes.join(own, (F.lower("language") == F.col("_l")) & (F.col("raw_type") == F.col("_t")), "left").join(any_, F.col("raw_type") == F.col("_t2"), "left")
-    return j.withColumn("node_type", F.coalesce("_n", "_n2", rest)).drop("_l", "_t", "_n", "_t2", "_n2")
+    j = nodes.join(rows, (F.lower("language") == F.col("_l")) & (F.col("raw_type") == F.col("_t")), "left")
+    return j.withColumn("node_type", F.coalesce("_n", rest)).drop("_l", "_t", "_n")
 
 
 # Function heads by language, one capture each, bounded so that no line takes long; and calls.

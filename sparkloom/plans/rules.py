@@ -381,10 +381,21 @@ def truncated_graphs(s, d):
     return nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes")).join(counted, "file", "left").fillna(0, ["edges"])
 
 
-@register("parser_types", expected("language varchar, raw_type varchar, node_type varchar", ("python", "except_clause", "CATCH"), ("terraform", "attribute", "ASSIGN"), ("python", "attribute", "MEMBER_ACCESS"), ("python", "my_function", "UNKNOWN")))
+#: Raw types of the parser layer and what they are there; events stand for a parser's nodes.
+PARSED = [
+    ("python", "function_definition", "FUNCTION"), ("python", "assignment", "ASSIGN"), ("python", "if_statement", "IF"), ("python", "elif_clause", "ELIF"), ("python", "else_clause", "ELSE"), ("python", "return_statement", "RETURN"),
+    ("python", "attribute", "ATTRIBUTE"), ("python", "subscript", "SUBSCRIPT"), ("python", "tuple", "TUPLE"), ("python", "conditional_expression", "TERNARY"), ("python", "except_clause", "CATCH"), ("python", "with_statement", "BLOCK"),
+    ("java", "method_invocation", "CALL"), ("java", "interface_declaration", "INTERFACE"), ("java", "switch_label", "CASE"), ("javascript", "arrow_function", "LAMBDA"), ("typescript", "object", "DICT"), ("tsx", "template_string", "LITERAL"),
+    ("rust", "match_arm", "CASE"), ("rust", "trait_item", "INTERFACE"), ("go", "defer_statement", "EXPRESSION_STATEMENT"), ("go", "composite_literal", "DICT"), ("terraform", "attribute", "CONFIG_KEY"), ("terraform", "for_expr", "LOOP"),
+    ("yaml", "tag", "TYPE_ANNOTATION"), ("yaml", "document", "MODULE"), ("c", "declaration", "ASSIGN"), ("cpp", "preproc_include", "IMPORT"), ("python", "my_function", "UNKNOWN"), ("terraform", "member_expression", "UNKNOWN"),
+]
+
+
+@register("parser_types", "select language, raw_type, node_type, count(*) as n from events e join (values " + ", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(PARSED)) + f") k(k, language, raw_type, node_type) on (e.event_id + e.user_id) % {len(PARSED)} = k.k group by all")
 def parser_types(s, d):
-    rows = [("python", "except_clause"), ("terraform", "attribute"), ("python", "attribute"), ("python", "my_function")]
-    return no.normalize_types(values(s, rows, "language string, raw_type string"), dims.frame(s, "type_map"), guess=False)
+    kinds = F.array(*(F.struct(F.lit(a).alias("language"), F.lit(b).alias("raw_type")) for a, b, _ in PARSED))
+    nodes = table(s, d, "events").select(F.element_at(kinds, ((F.col("event_id") + F.col("user_id")) % len(PARSED) + 1).cast("int")).alias("k")).select("k.*")
+    return no.normalize_types(nodes, dims.frame(s, "parser_type_map"), guess=False).groupBy("language", "raw_type", "node_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("graph_schema", expected("node_id varchar, node_type varchar, language varchar, start_line int, end_line int, raw_text varchar, normalized_text varchar, parent_function varchar", ("n1", "CALL", "go", 3, 0, "f()", "", "p"), ("n2", "UNKNOWN", "unknown", 0, 0, "", "", "")))

@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions import dims, text as tx
+from sparkloom.functions import dims, text as tx, types
 from sparkloom.sources import readers as rd
 from sparkloom.operators import annotate as an, findings as fi, ingestion as ig, nodes as no, validate as va
 
@@ -136,7 +136,16 @@ def test_type_map_of_every_language(spark):
     rows = [("javascript", "formal_parameters", "PARAM"), ("tsx", "formal_parameters", "PARAM"), ("python", "attribute", "MEMBER_ACCESS"), ("terraform", "attribute", "ASSIGN"), ("go", "range_clause", "LOOP"), ("java", "method_invocation", "CALL"), ("yaml", "block_mapping", "MAPPING"), ("c", "if_statement", "IF"), ("go", "nothing known", "UNKNOWN")]
     got = no.normalize_types(spark.createDataFrame([r[:2] for r in rows], "language string, raw_type string"), dims.frame(spark, "type_map")).collect()
     assert sorted((r.language, r.raw_type, r.node_type) for r in got) == sorted(rows)
-    assert len({r[:2] for r in dims.TYPE_MAP}) == len(dims.TYPE_MAP)
+    for tables in (types.GRAPH_TYPES, types.PARSER_TYPES):
+        assert len({r[:2] for r in types.rows(tables)}) == len(types.rows(tables))
+
+
+def test_parser_types_of_every_language(spark):
+    rows = [("python", "function_definition", "FUNCTION"), ("python", "assignment", "ASSIGN"), ("python", "if_statement", "IF"), ("python", "else_clause", "ELSE"), ("python", "attribute", "ATTRIBUTE"), ("python", "return_statement", "RETURN"), ("java", "switch_label", "CASE"), ("tsx", "arrow_function", "LAMBDA"), ("cpp", "declaration", "ASSIGN"), ("Terraform", "attribute", "CONFIG_KEY"), ("yaml", "tag", "TYPE_ANNOTATION"), ("go", "composite_literal", "DICT"), ("rust", "match_arm", "CASE"), ("rust", "my_function", "UNKNOWN"), ("cobol", "identifier", "UNKNOWN"), (None, "identifier", "UNKNOWN")]
+    got = no.normalize_types(spark.createDataFrame([r[:2] for r in rows], "language string, raw_type string"), dims.frame(spark, "parser_type_map"), guess=False).collect()
+    assert sorted(map(str, ((r.language, r.raw_type, r.node_type) for r in got))) == sorted(map(str, rows))
+    counts = {k: sum(len(r.split()) for _, r in v) for k, v in types.PARSER_TYPES.items() if not isinstance(v, str)}
+    assert counts == {"python": 61, "java": 49, "javascript": 52, "rust": 48, "go": 43, "terraform": 24, "yaml": 17, "c": 33}
 
 
 def test_own_registry_and_catalog(spark, tmp_path):
