@@ -222,7 +222,8 @@ def classify_calls(s, d):
 def type_normalize(s, d):
     raw = F.array(*map(F.lit, ("call", "function_definition", "augmented_assignment", "attribute", "formal_parameters", "list_comprehension", "except_clause", "lambda", "for_statement", "qqq")))
     parts = table(s, d, "part").select(F.lit("sql").alias("language"), F.lower("p_type").alias("raw_type"))
-    calls = table(s, d, "events").select(F.lit("python").alias("language"), F.element_at(raw, (F.col("user_id") % 10 + 1).cast("int")).alias("raw_type"))
+    kind = F.element_at(raw, (F.col("user_id") % 10 + 1).cast("int"))
+    calls = table(s, d, "events").select(F.when(kind == "formal_parameters", "javascript").otherwise("python").alias("language"), kind.alias("raw_type"))
     return no.normalize_types(parts.unionByName(calls), dims.frame(s, "type_map")).groupBy("raw_type", "node_type").agg(F.count(F.lit(1)).alias("n"))
 
 

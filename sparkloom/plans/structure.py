@@ -1,11 +1,14 @@
-"""Registered queries of the block scanner over documents and pages, read as scripts."""
+"""Registered queries of the block scanner and the parse cache over documents and pages, read as scripts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks as bl
-from .queries import BOTH, documents, pages, register
+from ..functions.text import node_id
+from ..operators import blocks as bl, nodes as no
+from ..scratch import Scratch
+from .cache import ParseCache
+from .queries import BOTH, LINES, NODES, documents, pages, register
 
 _TILES = bl.TOKENS["javascript"].replace("'", "''") + r"|[{}()\[\]]|[^\"''`/{}()\[\]]+|[\s\S]"
 #: Tokens tile the text, so places are sums of lengths; partners are neighbours within one depth, parents an as-of join one depth up.
@@ -35,3 +38,30 @@ def block_spans(s, d):
 def block_counts(s, d):
     n = bl.structure_nodes(scripts(s, d))
     return n.groupBy("file_path").agg(F.count_if(F.col("t") != "PROGRAM").alias("blocks"), F.max("depth").cast("long").alias("depth"), F.count_if(F.col("attributes") == "unclosed").alias("unclosed"))
+
+
+def parse_regex(new):
+    """A cache's parser: the regex nodes of texts named by their digest; node ids are made from the path later, as they depend on it."""
+    return no.fallback_nodes(new.select(F.col("sha").alias("file_path"), "text")).withColumnRenamed("file_path", "sha").drop("node_id")
+
+
+@register("parse_cache", """with d as (select count(distinct text) as n from documents), b as (select count(distinct t) as n from (select text as t from documents union all select html from pages))
+ select 1 as run, n as parsed, (select count(*) from documents) as files from d union all select 2, b.n - d.n, (select count(*) from documents) + (select count(*) from pages) from b, d union all select 3, 0, (select count(*) from documents) + (select count(*) from pages)""")
+def parse_cache(s, d):
+    """Three runs over a growing repository: documents, then pages too, then the same again."""
+    first, both = documents(s, d), documents(s, d).unionByName(pages(s, d))
+    cache, out = ParseCache(s, Scratch(s, "cache").root, "1", parse_regex), []
+    for run, files in enumerate((first, both, both), 1):
+        cache.nodes(files.withColumn("language", F.lit("python")))
+        out.append((run, cache.parsed, files.count()))
+    return s.createDataFrame(out, "run int, parsed long, files long")
+
+
+@register("cached_nodes", f"with {BOTH}, {LINES}, {NODES} select substr(sha256(file_path || ':' || line || ':' || col || ':' || node_type), 1, 16) as node_id, file_path, line, node_type, cast(col as int) as col, raw_text from fb")
+def cached_nodes(s, d):
+    """The nodes of all files where the documents' come from an earlier run."""
+    cache = ParseCache(s, Scratch(s, "cache").root, "1", parse_regex)
+    language = F.lit("python")
+    cache.nodes(documents(s, d).withColumn("language", language))
+    n = cache.nodes(documents(s, d).unionByName(pages(s, d)).withColumn("language", language))
+    return n.select(node_id(F.col("file_path"), F.col("line"), F.col("col"), F.col("node_type")).alias("node_id"), "file_path", "line", "node_type", "col", "raw_text")
