@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dims
 from ..functions.text import WORD, bound, extension, first_match, node_id
+from .literals import may_match, required
 
 FUNCTION_LINE = r"^(?:async\s+)?(?:def|function|func|fn)\s+[A-Za-z0-9_]+\s*\("
 IMPORT_LINE = r"^(?:import|from|#include|use\s|require\s)"
@@ -201,15 +202,32 @@ def token_sequence(nodes: DataFrame, limit: int = 512) -> DataFrame:
     return placed.select("file_path", "node_id", "before", F.posexplode("w").alias("i", "token")).select("file_path", (F.col("before") + F.col("i")).cast("long").alias("pos"), "token", "node_id").where(F.col("pos") < limit)
 
 
-def pattern_hits(files: DataFrame, catalog: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
+def pattern_hits(files: DataFrame, catalog: DataFrame, path: str = "file_path", text: str = "text", language: str | None = None) -> DataFrame:
     """file_path, line, vuln_type, cwe, severity for each line and catalog row whose pattern is found in it.
 
-    The catalog is a dimension of tens of rows: it is collected into one expression, an array of hits for each line, so that every line
-    is read once and no nested-loop join is needed.
+    The catalog is a dimension of tens of rows: it is collected into one expression. A text is first searched for the words that the
+    patterns require; only texts that hold one are cut into lines, and a line meets the expressions of which it holds a word. With the
+    name of a language column, a file meets the patterns of its own language only. A pattern that requires no word meets every line.
     """
-    rows = catalog.select("vuln_type", "cwe", "severity", "pattern").orderBy("vuln_type", "pattern").collect()
-    hit = F.array_compact(F.array(*(F.when(F.col("content").rlike(r["pattern"]), F.struct(*(F.lit(r[c]).alias(c) for c in ("vuln_type", "cwe", "severity")))) for r in rows)))
-    return lines(files, path, text).select("file_path", "line", F.explode(hit).alias("h")).select("file_path", "line", "h.*")
+    rows = catalog.select("language", "vuln_type", "cwe", "severity", "pattern").orderBy("language", "vuln_type", "pattern").collect()
+    words = [required(r["pattern"]) for r in rows]
+    every = sorted(set().union(*(w or () for w in words)))
+    low = F.lower(F.col(text))
+    kept = files
+    if all(words) and every:
+        # a word that holds another is not looked for
+        kept = files.where(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in every if not any(x != w and x in w for x in every))))
+    extra = [language] if language else []
+    split = kept.select(F.col(path).alias("file_path"), *extra, F.posexplode(F.split(F.col(text), "\n")).alias("p", "content")).select("file_path", *extra, (F.col("p") + 1).alias("line"), "content", F.lower("content").alias("_low"))
+    if all(words) and every:
+        split = split.where(reduce(lambda a, b: a | b, (F.contains("_low", F.lit(w)) for w in every if not any(x != w and x in w for x in every))))
+
+    def test(r) -> Column:
+        found = may_match(F.col("_low"), r["pattern"]) & F.col("content").rlike(r["pattern"])
+        return (F.col(language) == r["language"]) & found if language else found
+
+    hit = F.array_compact(F.array(*(F.when(test(r), F.struct(*(F.lit(r[c]).alias(c) for c in ("vuln_type", "cwe", "severity")))) for r in rows)))
+    return split.select("file_path", "line", F.explode(hit).alias("h")).select("file_path", "line", "h.*")
 
 
 __all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "labelled", "language_by_extension", "lines", "normalize_types", "of_types", "parser_scan", "pattern_hits", "route_backend", "to_graph_schema", "token_sequence"]
