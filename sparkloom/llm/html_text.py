@@ -2,20 +2,25 @@
 
 The standard library's parser streams events over the whole page. Block elements cut the page into lines; each line carries its text,
 the number of tags seen in it, the chain of open containers and the kind of part it stands in. Only scripts, controls and what a page does
-not show are dropped while parsing. All other lines get a score: their text-to-tag ratio, smoothed over their neighbours with a Gaussian, times
-the weight of their part (article and main: ``FOR``; menus, headers, footers, asides, forms and parts named so by class, id or role:
-``AGAINST``; else 1). A threshold between the two clusters of scores marks the lines that decide the regions:
-
-* articles (main elements alike) with a marked line are regions, and so are the page's other articles that aren't mostly link text;
-* where no article holds a marked line, the region is the innermost container around all marked lines, and of the rest of the page
-  only containers that are mostly link text are dropped;
-* a line of a part weighed against is dropped if it isn't marked itself; every other line of a region is kept, headings and short
-  paragraphs included.
+not show are dropped while parsing. All other lines are scored by their text-to-tag ratio alone, smoothed over their neighbours with a
+Gaussian. A threshold between the two clusters of scores marks lines; what a marked line's score exceeds it by is its mass. The
+mass chooses the regions:
+
+* the articles (main elements alike) with mass are regions, and so are the page's other articles that aren't mostly link text;
+* marked lines outside articles, menus' too, join if the mass that they have of their own, not of a neighbour, is ``RIVAL`` times the articles';
+* where no article has mass, the region is the innermost container around all marked lines, and of the rest of the page only containers
+  that are mostly link text are dropped;
+* every line of a region is kept, headings and short paragraphs included, but for menus that are mostly link text.
+
+Names break the ties that ratios can't: footers, asides, forms, adverts, notices and reader comments are prose like the text, so a part that
+says so by element, class, id or role is no region, and is left out of one. Menus are not judged by name but by their scores. All steps are
+linear in the page's length and nesting.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,7 +32,8 @@ from ..shipping import ship
 # Fixed values of HTML: elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("script style noscript template head title button select textarea iframe svg canvas object audio video dialog".split())
-ASIDE = frozenset("nav header footer aside menu".split())
+ASIDE = frozenset("header footer aside".split())
+MENU_ELEMENTS = frozenset("nav menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -36,26 +42,30 @@ CLOSES_P = BLOCK - frozenset("body head html option title".split())
 CONTAINER = frozenset("article aside body details dialog div footer form header html main menu nav section table td".split())
 #: Class and id words of parts that are not main text. A name counts if each of its words is one of these or of PLAIN, and one is of these.
 PART = frozenset(
-    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads advert advertisement banner comment comments consent cookie cookies disqus footer gdpr masthead modal newsletter notice popup promo promoted related reply replies sidebar signup sponsor sponsored subscribe subscription widget".split()
 )
+#: Words of menus, which are left to their scores.
+MENUS = frozenset("breadcrumb breadcrumbs menu nav navbar navigation pagination pager search share sharing skip social toolbar".split())
 PLAIN = frozenset("site main global top bottom primary secondary list area box bar block links link buttons form reader user post page section".split())
 WORDS = re.compile(r"[a-z]+")
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("banner contentinfo complementary search form dialog alert".split())
+MENU_ROLES = frozenset("navigation menu menubar".split())
 SPACE = re.compile(r"\s+")
 SIGMA, REACH = 1.0, 3
-#: Weights of scores. AGAINST is small enough that only a page's other lines without any text could let such a line be marked.
-FOR, AGAINST = 4.0, 1e-6
-#: Kinds of parts: main text; not, but an article may stand in it; not; never text.
-TEXT, NAMED, PLACED, HIDDEN = range(4)
+#: How many times the articles' mass what stands outside them needs to join.
+RIVAL = 0.02
+#: Kinds of parts: main text; menus, left to their scores; not main text, but an article may stand in it; not main text; never text.
+TEXT, MENU, NAMED, PLACED, HIDDEN = range(5)
 
 
-def names_part(value: str) -> bool:
-    """Whether one of the blank-separated names says that the element is not main text: site-footer does, has-sidebar and related-work don't."""
+def names_part(value: str) -> int:
+    """The kind that blank-separated names give an element: site-footer is no main text, main-nav a menu, has-sidebar and related-work say nothing."""
+    kind = TEXT
     for name in value.lower().split():
         words = WORDS.findall(name)
-        if any(w in PART for w in words) and all(w in PART or w in PLAIN for w in words):
-            return True
-    return False
+        if any(w in PART or w in MENUS for w in words) and all(w in PART or w in MENUS or w in PLAIN for w in words):
+            kind = max(kind, NAMED if any(w in PART for w in words) else MENU)
+    return kind
 
 
 class _Events(HTMLParser):
@@ -69,6 +79,7 @@ class _Events(HTMLParser):
         self.link = False
         self.around = [0]  # the container around each container
         self.open: list[tuple[str, int, int, int]] = []  # element, and kind, container and article around it
+        self.opened: Counter[str] = Counter()  # open elements by name
         self.kind, self.container, self.article = TEXT, 0, 0  # article: negative inside a named part
 
     def line(self) -> None:
@@ -84,12 +95,16 @@ class _Events(HTMLParser):
         """The kind of part that an element makes of itself; parts within a line are hidden."""
         if tag in NEVER or any(name == "hidden" for name, _ in attrs):
             return HIDDEN
+        named = 0 if tag in ("html", "body", "article", "main") else max((names_part(value) for name, value in attrs if name in ("class", "id") and value), default=0)
+        roles = {value.lower() for name, value in attrs if name == "role" and value}
         # a header of an article belongs to it
-        if tag in ASIDE and not (tag == "header" and self.article) or any(name == "role" and value and value.lower() in ROLES for name, value in attrs):
-            return PLACED if tag in BLOCK else HIDDEN
-        if tag == "form" or tag not in ("html", "body", "article", "main") and any(name in ("class", "id") and value and names_part(value) for name, value in attrs):
-            return NAMED if tag in BLOCK else HIDDEN
-        return TEXT
+        if tag in ASIDE and not (tag == "header" and self.article) or roles & ROLES:
+            kind = PLACED
+        elif tag == "form" or named == NAMED:
+            kind = NAMED
+        else:
+            kind = MENU if named or tag in MENU_ELEMENTS or roles & MENU_ROLES else TEXT
+        return kind if tag in BLOCK or not kind else HIDDEN
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -105,8 +120,9 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         self.open.append((tag, self.kind, self.container, self.article))
+        self.opened[tag] += 1
         self.paragraphs += tag == "p"
-        lifted = tag in ("article", "main") and not self.article and self.kind == NAMED and not (tag == "article" and any(v and n in ("class", "id") and names_part(v) for n, v in attrs))
+        lifted = tag in ("article", "main") and not self.article and self.kind == NAMED and not (tag == "article" and any(v and n in ("class", "id") and names_part(v) == NAMED for n, v in attrs))
         self.kind = TEXT if lifted else max(self.kind, self.part(tag, attrs))
         if tag in CONTAINER:
             self.serial += 1
@@ -116,13 +132,15 @@ class _Events(HTMLParser):
                 self.article = -self.serial if lifted else self.serial
 
     def end_element(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, -1, -1) if self.opened[tag] else ():
             if self.open[k][0] == tag:
                 if tag in BLOCK:
                     self.line()
                 self.link = False  # a link left open ends with its block
                 _, self.kind, self.container, self.article = self.open[k]
-                self.paragraphs -= sum(o[0] == "p" for o in self.open[k:])
+                gone = Counter(o[0] for o in self.open[k:])
+                self.opened -= gone
+                self.paragraphs -= gone["p"]
                 del self.open[k:]
                 return
             if tag == "p" and self.open[k][0] in CONTAINER:
@@ -135,11 +153,12 @@ class _Events(HTMLParser):
         if tag in BLOCK or tag in NEVER:
             self.end_element(tag)
         elif tag not in VOID:
-            for k in range(len(self.open) - 1, -1, -1):
+            for k in range(len(self.open) - 1, -1, -1) if self.opened[tag] else ():
                 if self.open[k][0] == tag:
                     # formatting elements end without their block, and with what their attributes made of their text
                     self.kind = self.open[k][1] if k == len(self.open) - 1 else self.kind
                     del self.open[k]
+                    self.opened[tag] -= 1
                     return
                 if self.open[k][0] in BLOCK:
                     return
@@ -172,9 +191,8 @@ def threshold(values: np.ndarray) -> float:
 
 
 def scores(lines: list[tuple]) -> np.ndarray:
-    """Smoothed text-to-tag ratios by the weights of the lines' parts."""
-    weight = np.array([AGAINST if kind else FOR if article else 1.0 for _, _, _, article, _, kind in lines])
-    return smoothed(np.array([len(line[0]) / line[1] for line in lines])) * weight
+    """Smoothed text-to-tag ratios."""
+    return smoothed(np.array([len(line[0]) / line[1] for line in lines]))
 
 
 def main_text(html: str) -> str:
@@ -190,29 +208,40 @@ def main_text(html: str) -> str:
     if not any(line[5] == TEXT for line in lines):
         return ""
     found = scores(lines)
-    marked = found > threshold(found)
-    size, linked, deciding = {}, {}, set()
-    for (text, _, c, article, n, kind), m in zip(lines, marked, strict=True):
+    cut = threshold(found)
+    mass = np.maximum(found - cut, 0)
+    own = np.maximum(np.minimum(found, [len(line[0]) / line[1] for line in lines]) - cut, 0)  # not lent by a neighbour
+    size, linked, articles, outside = Counter(), Counter(), Counter(), 0.0
+    for (text, _, c, article, n, kind), m, alone in zip(lines, mass, own, strict=True):
         for at in {("container", c), ("article", article)}:
-            size[at], linked[at] = size.get(at, 0) + len(text), linked.get(at, 0) + n
-        if m and article and not kind:
-            deciding.add(article)
+            size[at] += len(text)
+            linked[at] += n
+        if m and kind <= MENU:
+            if article and kind == TEXT:
+                articles[article] += m
+            elif not article:
+                outside += alone
 
     def links(*at) -> bool:
         return 2 * linked[at] > size[at]
 
-    if deciding:
-        hold = deciding | {a for a in {line[3] for line in lines} - {0} if not links("article", a)}
-        return "\n".join(line[0] for line, m in zip(lines, marked, strict=True) if line[3] in hold and (not line[5] or m) or m and line[5])
-    top = None
-    for c in {line[2] for line, m in zip(lines, marked, strict=True) if m}:
-        top = c if top is None else top
-        while top != c:  # an inner container has the greater number
-            top, c = (events.around[top], c) if top > c else (top, events.around[c])
-    within = [top == 0]
-    for c in range(1, len(events.around)):
-        within.append(c == top or within[events.around[c]])
-    return "\n".join(line[0] for line, m in zip(lines, marked, strict=True) if (m if line[5] else within[line[2]] or not links("container", line[2])))
+    def kept(line: tuple) -> bool:
+        """A line of a region: none of a part that is no main text, nor of a menu of links."""
+        return line[5] == TEXT or line[5] == MENU and not links("container", line[2])
+
+    if articles:
+        hold = set(articles) | {a for a in {line[3] for line in lines} - {0} if not links("article", a)}
+        joins = outside >= RIVAL * sum(articles.values())
+        return "\n".join(line[0] for line, m in zip(lines, own, strict=True) if (kept(line) if line[3] in hold else joins and m > 0 and not line[3] and line[5] <= MENU))
+    marked = [line[2] for line, m in zip(lines, mass, strict=True) if m > 0 and line[5] == TEXT] or [line[2] for line in lines if line[5] == TEXT]
+    # containers are numbered as they open, so what stands in one has the numbers up to its last
+    last = list(range(len(events.around)))
+    for c in range(len(last) - 1, 0, -1):
+        last[events.around[c]] = max(last[events.around[c]], last[c])
+    top, deepest = min(marked), max(marked)
+    while last[top] < deepest:
+        top = events.around[top]
+    return "\n".join(line[0] for line in lines if kept(line) and (top <= line[2] <= last[top] or not links("container", line[2])))
 
 
 def _extract(batches):

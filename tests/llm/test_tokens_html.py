@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -187,6 +188,34 @@ def test_scores_decide(monkeypatch):
     assert not any(ht.main_text(p) == w for p, w in zip(pages, want, strict=True))
 
 
+def test_each_step_decides(monkeypatch):
+    """Plain containers without a name: what stands out by its smoothed ratio is the region, and without any one step it is another."""
+    menu = "<div>" + "".join(f"<p><a href=/{k}>Page {k}</a> <i>x</i> {'b' * k}</p>" for k in range(9)) + "</div>"
+    page = f"{menu}<article><h1>Head</h1>{LONG}<p>Short.</p>{LONG}</article>{menu}"
+    want = "\n".join(["Head", "word " * 39 + "word", "Short.", "word " * 39 + "word"])
+    assert ht.main_text(page) == want
+    with monkeypatch.context() as m:
+        m.setattr(ht, "scores", lambda lines: ht.np.ones(len(lines)))
+        assert "Page 3" in ht.main_text(page)
+    with monkeypatch.context() as m:
+        m.setattr(ht, "threshold", lambda values: -100.0)
+        assert "Page 3" in ht.main_text(page)
+    # a teaser of one long line stands out alone; smoothed, it is one of the short lines around it
+    lone = "<div>" + f"<p><a href=/a>{'One ' * 12}</a></p>" * 6 + "<p>" + "tease " * 30 + "</p>" + f"<p><a href=/b>{'Two ' * 12}</a></p>" * 6 + "</div>"
+    page = f"{lone}<div>{LONG * 4}</div>"
+    assert ht.main_text(page) == "\n".join(["word " * 39 + "word"] * 4)
+    with monkeypatch.context() as m:
+        m.setattr(ht, "smoothed", lambda ratios: ratios)
+        assert "tease" in ht.main_text(page)
+
+
+def test_deep_nesting_is_linear():
+    began = time.time()
+    assert ht.main_text("<div><p>xx</p>" * 16_000).count("xx") == 16_000
+    assert ht.main_text("<div>" * 16_000 + "</section></i>" * 16_000 + "x") == "x"
+    assert time.time() - began < 4
+
+
 def test_smoothing_and_threshold_by_hand():
     import math
 
