@@ -7,7 +7,7 @@
    class goes on, so thousands of copies weigh as one row.
 3. A bucket (band key) with n members gives n - 1 candidate edges to one member, the one that sits in the fullest buckets: a star around
    the likeliest hub, never all pairs.
-4. Candidates are confirmed on full sets, shipped only for the documents that a fixed-size bitmap of candidates lets through.
+4. Candidates are confirmed on full sets, shipped only for the documents that a bitmap of the candidates lets through.
 5. Confirmed links give components by large-star/small-star rounds. A bucket that still spans several components gets a new star around
    another member; members of buckets that then still are split are joined exactly, across components only, on the rarest shingles of
    their sets (prefix filtering). So no link between different texts is lost for the star's sake.
@@ -32,8 +32,9 @@ from .scratch import Scratch
 
 ROWS, BANDS = 5, 28
 BINS = ROWS * BANDS
-#: Bits of the bitmap that says which documents' sets a confirmation needs: 2 MB at any corpus size.
-BITMAP = 1 << 24
+#: Bits of the bitmap that says which documents' sets a confirmation needs: 16 for each candidate, from 128 kB to 32 MB. It only saves work: a
+#: document that it lets through in vain meets no pair.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _U = np.uint64
 _EDGES = np.array([-(-(b << 64) // BINS) for b in range(BINS)], dtype=object).astype(np.uint64)
 _PROBES = 4096
@@ -119,12 +120,17 @@ def _signatures(size: int):
     return run
 
 
+def _places(ids: pa.Array, bits: int) -> np.ndarray:
+    return (tk.mix(np.asarray(ids).astype(np.int64).view(np.uint64)) % _U(bits)).astype(np.int64)
+
+
 def _needed_sets(size: int, bitmap, digests: bool = False):
     def run(batches):
         need = np.frombuffer(bitmap.value, np.uint8)
+        bits = len(need) * 8
         for batch in batches:
             ids = batch.column(0)
-            at = (tk.mix(np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)) % _U(BITMAP)).astype(np.int64)
+            at = _places(ids.fill_null(0), bits)
             keep = ((need[at >> 3] >> (at & 7)) & 1).astype(bool) & np.asarray(ids.is_valid())
             if keep.any():
                 part = batch.filter(pa.array(keep))
@@ -137,14 +143,17 @@ def _needed_sets(size: int, bitmap, digests: bool = False):
     return run
 
 
-def _marks(batches):
-    for batch in batches:
-        at = (tk.mix(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)) % _U(BITMAP)).astype(np.int64)
-        word, bit = at >> 5, np.left_shift(1, at & 31)
-        names, inverse = np.unique(word, return_inverse=True)
-        bits = np.zeros(len(names), np.int64)
-        np.bitwise_or.at(bits, inverse, bit)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(bits)], ["word", "bits"])
+def _marks(bits: int):
+    def run(batches):
+        for batch in batches:
+            at = _places(batch.column(0), bits)
+            word, bit = at >> 5, np.left_shift(1, at & 31)
+            names, inverse = np.unique(word, return_inverse=True)
+            set_ = np.zeros(len(names), np.int64)
+            np.bitwise_or.at(set_, inverse, bit)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(set_)], ["word", "bits"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -165,10 +174,11 @@ def _confirm(percent: int):
     return run
 
 
-def _bitmap(ids: DataFrame):
-    """A broadcast bitmap of BITMAP bits that holds the hashes of the ids; BITMAP / 32 rows at most come to the driver."""
-    bits = np.zeros(BITMAP // 32, np.uint32)
-    for row in ids.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+def _bitmap(ids: DataFrame, most: int):
+    """A broadcast bitmap that holds the hashes of the ids, ``most`` at most; a row for each 32 of its bits at most comes to the driver."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * most).bit_length()))
+    bits = np.zeros(size // 32, np.uint32)
+    for row in ids.mapInArrow(_marks(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
         bits[row["word"]] = row["bits"]
     return ids.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -187,7 +197,7 @@ def _prefix_candidates(docs: DataFrame, members: DataFrame, percent: int, size:
     n - ceil(n * percent / 100) + 1. Passages that many share stand last, so what they have in common makes no candidates. A pair is
     given once, for the first shingle that its prefixes share. Sets are known by their class, as a doc_id may have several texts.
     """
-    sets = docs.select("doc_id", "text").mapInArrow(_needed_sets(size, _bitmap(members.select("rep")), True), "id long, s binary, digest binary")
+    sets = docs.select("doc_id", "text").mapInArrow(_needed_sets(size, _bitmap(members.select("rep"), members.count()), True), "id long, s binary, digest binary")
     mine = sets.join(members.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("digest", "s").groupBy("digest").agg(F.first("s").alias("s")).mapInArrow(_as_tokens, "digest binary, tokens array<bigint>")
     tokens = scratch.put(mine.select("digest", F.explode("tokens").alias("t")), "tokens")
     common = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
@@ -208,7 +218,7 @@ def _prefix_candidates(docs: DataFrame, members: DataFrame, percent: int, size:
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of document ids whose full sets reach the similarity."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bitmap = _bitmap(ends)
+    bitmap = _bitmap(ends, 2 * pairs.count())
     sets = scratch.put(docs.select("doc_id", "text").mapInArrow(_needed_sets(size, bitmap), "id long, s binary"), "sets")
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -294,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that repeat a kept doc_id one, of the least text.
+    """The rows of docs, with all their columns, that near_duplicates() keeps; of rows that repeat a kept doc_id one, of the least text, then the least JSON of all columns.
 
     Texts meet a narrow table only, the doc_ids that go or repeat: where Spark can broadcast it, no text is shuffled. Rows without a doc_id
     stay. An empty table gives an empty result; columns of any name are kept.
@@ -308,5 +318,5 @@ def keep_one_of_each(docs: DataFrame, percent: int = 85, size: int = 5) -> DataF
     rows = docs.withColumn(name, F.col("doc_id").try_cast("long"))
     ids = marked.select(F.col("doc_id").alias(name), "kept")
     single = rows.join(ids.select(name), name, "left_anti").select(*docs.columns)
-    repeated = rows.join(ids.where("kept").select(name), name).groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    repeated = rows.join(ids.where("kept").select(name), name).groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), F.to_json(F.struct(*docs.columns)))).alias("row"))
     return single.unionByName(repeated.select("row.*"))

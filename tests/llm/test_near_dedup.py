@@ -163,3 +163,24 @@ def test_band_agreement_estimates_similarity():
             a, b = (nd.one_permutation(np.sort(np.concatenate([common, x]))) for x in own)
             same.append((a == b).mean())
         assert abs(np.mean(same) - n / (n + 2 * (n // 10))) < 0.05
+
+
+def test_links_do_not_depend_on_the_bitmap(spark, monkeypatch):
+    """A bitmap that is full lets every document through: more work, the same components."""
+    r = random.Random(12)
+    base = [" ".join(f"w{r.randrange(900)}" for _ in range(60)) for _ in range(30)]
+    texts = base + [t.rsplit(" ", 2)[0] for t in base[:15]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, nd.near_duplicates(docs).collect()))
+    monkeypatch.setattr(nd, "LEAST_BITS", 32)
+    monkeypatch.setattr(nd, "MOST_BITS", 32)
+    assert sorted(map(tuple, nd.near_duplicates(docs).collect())) == want and any(not w[3] for w in want)
+
+
+def test_one_row_of_equal_texts(spark):
+    """Rows alike in doc_id and text: the same one at any order and partitioning."""
+    rows = [(1, "a b c d e f", x, {"k": x}) for x in ("z", "m", "b", "q")]
+    schema = "doc_id long, text string, note string, more map<string,string>"
+    for order in (rows, rows[::-1]):
+        for n in (1, 3):
+            assert [r.note for r in nd.keep_one_of_each(spark.createDataFrame(order, schema).repartition(n)).collect()] == ["b"]
