@@ -172,6 +172,13 @@ def gitlinks(listing: DataFrame, column: str = "line") -> DataFrame:
     return listing.where(F.col(column).rlike(p)).select(F.regexp_extract(column, p, 2).alias("path"), F.regexp_extract(column, p, 1).alias("sha"))
 
 
+def pinned_commits(listing: DataFrame, index: DataFrame, column: str = "line") -> DataFrame:
+    """path, sha of submodules: of ls-tree lines, and where these don't list a path, of a git index's entries (path, mode, sha) of mode 160000."""
+    listed = gitlinks(listing, column)
+    links = index.where(F.col("mode") == 0o160000).select("path", "sha").distinct()
+    return listed.unionByName(links.join(listed.select("path"), "path", "left_anti"))
+
+
 def head_commit(head: Column, refs: Column, packed: Column) -> Column:
     """HEAD's commit: itself if detached, else its ref file (a map of name to text), else its line of packed-refs."""
     ref, plain = F.regexp_extract(head, r"^ref:\s*(\S+)", 1), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
