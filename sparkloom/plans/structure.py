@@ -1,4 +1,4 @@
-"""Registered queries of the block scanner and the parse cache over documents and pages, read as scripts."""
+"""Registered queries of the block scanner, the parse cache and guarded stages over documents and pages, read as scripts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..operators import blocks as bl, nodes as no
 from ..scratch import Scratch
 from .cache import ParseCache
 from .queries import BOTH, LINES, NODES, documents, pages, register
+from .stages import Stage, degraded, guarded, run_stages
 
 _TILES = bl.TOKENS["javascript"].replace("'", "''") + r"|[{}()\[\]]|[^\"''`/{}()\[\]]+|[\s\S]"
 #: Tokens tile the text, so places are sums of lengths; partners are neighbours within one depth, parents an as-of join one depth up.
@@ -65,3 +66,34 @@ def cached_nodes(s, d):
     cache.nodes(documents(s, d).withColumn("language", language))
     n = cache.nodes(documents(s, d).unionByName(pages(s, d)).withColumn("language", language))
     return n.select(node_id(F.col("file_path"), F.col("line"), F.col("col"), F.col("node_type")).alias("node_id"), "file_path", "line", "node_type", "col", "raw_text")
+
+
+def first_heading(path: str, text: str):
+    """A strict parser: a document's lines that begin with a capital; one that has a line of over 2,000 characters is refused."""
+    for k, line in enumerate(text.split("\n"), 1):
+        if len(line) > 2000:
+            raise ValueError(f"line {k} is too long")
+        if "A" <= line[:1] <= "Z":
+            yield k, len(line)
+
+
+REFUSED = "l as (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as k from (select doc_id, string_split(text, chr(10)) as x from documents)), bad as (select doc_id, min(k) as k from l where length(line) > 2000 group by doc_id)"
+
+
+@register("guarded_stage", f"""with {REFUSED} select 'doc/' || doc_id as file_path, 'PROGRAM' as node_type, cast(1 as bigint) as line, '{{"error":"ValueError: line ' || k || ' is too long"}}' as attributes from bad
+ union all select 'doc/' || doc_id, 'HEADING', k, cast(length(line) as varchar) from l where line[1] between 'A' and 'Z' and doc_id not in (select doc_id from bad)""")
+def guarded_stage(s, d):
+    """A stage over all documents in which some fail: these are one node each, the others have theirs."""
+    files = documents(s, d)
+
+    def parse(state):
+        rows, failures = guarded(state["files"], "headings", first_heading, "line long, size long")
+        return {"nodes": rows.select("file_path", F.lit("HEADING").alias("node_type"), "line", F.col("size").cast("string").alias("attributes")), "failures": failures}
+
+    def keep(state):
+        return {"degraded": degraded(state["files"], state["failures"])}
+
+    out = run_stages(s, [Stage("parse", parse), Stage("degrade", keep, when=lambda state: not state["failures"].isEmpty())], {"files": files})
+    rest = out.state.get("degraded")
+    nodes = out.state["nodes"]
+    return nodes if rest is None else nodes.unionByName(rest.withColumn("line", F.col("line").cast("long")))
