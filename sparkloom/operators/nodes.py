@@ -188,6 +188,60 @@ def extract_value(node_type: Column, raw: Column) -> Column:
     return F.when(node_type == "LITERAL", raw).when(node_type.isin("ASSIGN", "AUGMENTED_ASSIGN") & raw.contains("="), F.trim(F.regexp_extract(raw, r"(?s)=(.*)$", 1)))
 
 
+# Where the parser layer finds names of functions and classes, by language; the first pattern that is found gives it.
+FUNCTION_NAMES = {
+    "python": [r"def\s+(\w+)\s*\(", r"async\s+def\s+(\w+)\s*\("],
+    "java": [r"(?:public|private|protected|static|\s)+\s+\w+\s+(\w+)\s*\("],
+    "javascript": [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*="],
+    "typescript": [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*="],
+    "tsx": [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*="],
+    "rust": [r"fn\s+(\w+)\s*[<\(]"],
+    "go": [r"func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\("],
+    "c": [r"\b(\w+)\s*\([^)]*\)\s*\{"],
+    "cpp": [r"(?:\w+::)?(\w+)\s*\([^)]*\)\s*(?:const)?\s*\{"],
+}
+CLASS_NAMES = {
+    "python": [r"class\s+(\w+)"],
+    "java": [r"(?:class|interface|enum)\s+(\w+)"],
+    "javascript": [r"class\s+(\w+)"],
+    "rust": [r"(?:struct|impl|trait|enum)\s+(\w+)"],
+    "go": [r"type\s+(\w+)"],
+}
+ASSIGNED = r"^\s*([\w.]+)\s*(?::\s*\w+\s*)?(?:\+|-|\*|/|%|&|\||\^|<<|>>)?="
+HCL_HEAD = r'^(?:resource|provider|variable|data|module)\s+"([^"]+)"\s*(?:"([^"]+)")?'
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group's text, null where there is none; words are Unicode words."""
+    return F.nullif(F.regexp_extract(text, f"(?U){pattern}", group), F.lit(""))
+
+
+def parser_name(node_type: Column, raw: Column, language: Column) -> Column:
+    """A node's name in the parser layer, by type and language; null where a type has none or its text doesn't show it."""
+    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+
+    def of(tables: dict[str, list[str]]) -> Column:
+        return first_match(*((F.lower(language) == k, F.coalesce(*(_found(raw, p) for p in patterns))) for k, patterns in tables.items()))
+
+    dotted = _found(text, r"^([\w.]+)")
+    called = F.coalesce(_found(text, r"^([\w.]+)\s*\("), F.when(dotted.contains(".") | dotted.rlike(r"(?U)^[^\W\d]\w*$"), dotted))
+    return first_match(
+        (node_type == "FUNCTION", of(FUNCTION_NAMES)),
+        (node_type == "CLASS", of(CLASS_NAMES)),
+        (node_type == "CALL", called),
+        (node_type.isin("IDENTIFIER", "IMPORT", "ATTRIBUTE"), text),
+        (node_type.isin("ASSIGN", "AUGMENTED_ASSIGN"), _found(raw, ASSIGNED)),
+        (node_type.isin("RESOURCE", "PROVIDER", "VARIABLE"), F.nullif(F.concat_ws(".", _found(raw, HCL_HEAD), _found(raw, HCL_HEAD, 2)), F.lit(""))),
+        (node_type == "CONFIG_KEY", F.regexp_replace(F.regexp_replace(F.substring_index(raw, "=", 1), r"(?U)^\s+|\s+$", ""), '^"+|"+$', "")),
+    )
+
+
+def parser_value(node_type: Column, raw: Column) -> Column:
+    """A node's value in the parser layer: a literal's text, and of a configuration value what follows the first ``=``, or all of it."""
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.when(node_type == "LITERAL", trim(raw)).when(node_type == "CONFIG_VALUE", trim(F.regexp_replace(raw, r"^[^=]*=", "")))
+
+
 def token_sequence(nodes: DataFrame, limit: int = 512) -> DataFrame:
     """file_path, pos (from 0), token, node_id: the first four words of each node in order, or one sentinel; the first ``limit`` of each file.
 
@@ -230,4 +284,4 @@ def pattern_hits(files: DataFrame, catalog: DataFrame, path: str = "file_path",
     return split.select("file_path", "line", F.explode(hit).alias("h")).select("file_path", "line", "h.*")
 
 
-__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "labelled", "language_by_extension", "lines", "normalize_types", "of_types", "parser_scan", "pattern_hits", "route_backend", "to_graph_schema", "token_sequence"]
+__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "labelled", "language_by_extension", "lines", "normalize_types", "of_types", "parser_name", "parser_scan", "parser_value", "pattern_hits", "route_backend", "to_graph_schema", "token_sequence"]

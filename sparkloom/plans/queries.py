@@ -752,4 +752,4 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     return nodes.join(secrets, "file_path", "left").groupBy("node_type", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path").alias("files"), F.coalesce(F.sum("secrets"), F.lit(0)).alias("secrets"))
 
 
-from . import flows, live, rules, structure  # noqa: E402,F401  register their queries here
+from . import flows, live, rules, stores, structure  # noqa: E402,F401  register their queries here
