@@ -129,15 +129,45 @@ def confidence_by_severity(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence_avg"))
 
 
+def _streamed_digest(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, hash) of _part, sorted within each group."""
+    keys = {f.name: f.dataType for f in parts.schema.fields if f.name in by}
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        key, digest, done = None, None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for *k, part in zip(*columns, strict=True):
+                if digest is None or k != key:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest, first = k, hashlib.sha256(), True
+                digest.update(part.encode() if first else b"\n" + part.encode())
+                first = False
+        if digest is not None:
+            done.append((*key, digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], to_arrow_type(keys[c])) for k, c in enumerate(by)] + [pa.array([r[-1] for r in done], pa.string())], [*by, "hash"])
+
+    schema = ", ".join([*(f"`{c}` {keys[c].simpleString()}" for c in by), "hash string"])
+    ordered = parts.where("_part is not null").select(*by, "_part").repartition(*by).sortWithinPartitions(*by, "_part")
+    return ordered.mapInArrow(run, schema)
+
+
 def set_hash(rows: DataFrame, by: list[str], part: Column, digits: int = 0) -> DataFrame:
     """SHA-256 of each group's sorted, newline-joined parts.
 
     With digits, a digest tree: the parts whose own SHA-256 starts with the same so many hex digits are digested first, then the sorted list
-    of those digests, so that no task holds a whole group (3 digits: 4,096 buckets). The two forms give different values; the flat one equals
-    the usual manifest hash and is for manifests of a session's size.
+    of those digests, so that no task reads a whole group (3 digits: 4,096 buckets). The two forms give different values. The flat one equals the
+    usual manifest hash: a group's parts are sorted by Spark, which spills, and pass one after another through one digest; nothing holds them.
+    Null parts are left out, as a list would.
     """
     if not digits:
-        return rows.groupBy(*by).agg(ordered_digest(F.collect_list(part)).alias("hash"))
+        return _streamed_digest(rows.select(*by, part.alias("_part")), by)
     p = rows.select(*by, part.alias("_part")).withColumn("_b", F.left(F.sha2("_part", 256), F.lit(digits)))
     return p.groupBy(*by, "_b").agg(ordered_digest(F.collect_list("_part")).alias("_d")).groupBy(*by).agg(ordered_digest(F.collect_list("_d")).alias("hash"))
 

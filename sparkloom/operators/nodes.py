@@ -139,10 +139,13 @@ def parser_scan(files: DataFrame, registry: DataFrame, max_text: int = 2000) ->
 def catalog_hits(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
     """node_id, vuln_type, cwe, severity for each node and row of the catalog of its language whose node types and pattern it meets and none of whose sanitizers it holds.
 
-    nodes: node_id, language, node_type, raw_text. The catalog is a dimension: an equi join on the language, which Spark broadcasts while it is small.
+    nodes: node_id, language, node_type, raw_text. A pattern is met by its expression, or by one of its keywords where the catalog has them. The
+    catalog is a dimension: an equi join on the language, which Spark broadcasts while it is small.
     """
-    rows = catalog.select("vuln_type", "cwe", "severity", F.col("language").alias("_l"), F.split("node_types", ",").alias("_types"), "pattern", F.filter(F.split("sanitizers", ","), lambda x: x != "").alias("_safe"))
-    hit = nodes.join(rows, F.col("language") == F.col("_l")).where(F.array_contains("_types", F.col("node_type"))).where(F.expr("regexp_like(raw_text, pattern)")).where(~F.exists("_safe", lambda x: F.col("raw_text").contains(x)))
+    words = F.col("keywords") if "keywords" in catalog.columns else F.array().cast("array<string>")
+    rows = catalog.select("vuln_type", "cwe", "severity", F.col("language").alias("_l"), F.split("node_types", ",").alias("_types"), "pattern", words.alias("_words"), F.filter(F.split("sanitizers", ","), lambda x: x != "").alias("_safe"))
+    met = F.expr("regexp_like(raw_text, pattern)") | F.exists("_words", lambda x: F.col("raw_text").contains(x))
+    hit = nodes.join(rows, F.col("language") == F.col("_l")).where(F.array_contains("_types", F.col("node_type"))).where(met).where(~F.exists("_safe", lambda x: F.col("raw_text").contains(x)))
     return hit.select("node_id", "vuln_type", "cwe", "severity")
 
 

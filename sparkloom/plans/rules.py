@@ -184,7 +184,7 @@ CATALOG_FILE = """patterns:
     ("python", "SQL Injection", "CWE-89", "HIGH", "CALL,ASSIGN", "(query|[\"'])\\s*\\(", "escape,quote"), ("python", "Other", "CWE-1", "LOW", "CALL", "x\\\\(", ""),
 ))
 def catalog_files(s, d):
-    return rd.catalog(values(s, [("sinks/python.yaml", CATALOG_FILE)], "path string, text string"))
+    return rd.catalog(values(s, [("sinks/python.yaml", CATALOG_FILE)], "path string, text string")).select("language", "vuln_type", "cwe", "severity", "node_types", "pattern", "sanitizers")
 
 
 SARIF = """{"runs":[{"tool":{"driver":{"name":"t","rules":[{"id":"r1","properties":{"tags":["security","external/cwe/cwe-089","external/cwe/cwe-20"]}},{"id":"r2","properties":{"tags":["x"]}}]}},

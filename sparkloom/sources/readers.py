@@ -116,9 +116,10 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog(files: DataFrame, text: str = "text") -> DataFrame:
-    """language, vuln_type, cwe, severity, node_types, pattern, sanitizers of catalog files (path, text): lists of entries that start with ``- vuln_type:``.
+    """language, vuln_type, cwe, severity, node_types, pattern, sanitizers, keywords, sources, sinks, description, remediation, references of catalog files.
 
-    One expression for each field of an entry; a file's language is its base name. Quotes are taken off, doubled single ones are one.
+    Files (path, text) hold lists of entries that start with ``- vuln_type:``. One expression for each field of an entry; a file's language is its
+    base name. Quotes are taken off, doubled single ones are one; folded texts are one line; keywords, sources, sinks and references are arrays.
     """
     entries = files.select(F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("language"), F.explode(F.slice(F.split(text, r"(?m)^\s*-\s+(?=vuln_type:)"), 2, 1 << 20)).alias("_e"))
 
@@ -132,7 +133,27 @@ def catalog(files: DataFrame, text: str = "text") -> DataFrame:
     def items(key: str) -> Column:
         return F.regexp_replace(F.regexp_replace(F.regexp_extract("_e", rf"(?m)^\s*{key}:\s*\[(.*?)\]\s*$", 1), r"[\"']", ""), r",\s+", ",")
 
-    return entries.select("language", value("vuln_type").alias("vuln_type"), value("cwe").alias("cwe"), value("severity").alias("severity"), items("node_types").alias("node_types"), value("sink_pattern").alias("pattern"), items("sanitizers").alias("sanitizers"))
+    quoted = r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^']|'')*)'|([^\s,\[\]][^,\]]*)"
+
+    def several(raw: Column) -> Column:
+        """The members of an inline list, quoted or not."""
+        each = F.regexp_extract_all(raw, F.lit(f"(?:{quoted})"), F.lit(0))
+        plain = lambda x: F.when(x.rlike("^\"|^'"), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("''"), F.lit("'"))).otherwise(F.trim(x))
+        return F.filter(F.transform(each, plain), lambda x: x != "")
+
+    def array(key: str) -> Column:
+        return several(F.regexp_extract("_e", rf"(?m)^\s*{key}:\s*\[(.*)\]\s*$", 1)).alias(key)
+
+    def folded(key: str) -> Column:
+        block = F.regexp_extract("_e", rf"(?ms)^( *){key}:\s*>\s*\n(.*?)(?=^\1[\w-]|^\s*\z|\z)", 2)
+        return F.coalesce(F.nullif(F.trim(F.regexp_replace(block, r"\s+", " ")), F.lit("")), value(key)).alias(key)
+
+    listed = F.regexp_extract("_e", r"(?ms)^( *)references:\s*\n((?:\1\s+-[^\n]*\n?)*)", 2)
+    references = F.transform(F.regexp_extract_all(listed, F.lit(r"(?m)^\s*-\s*(.*?)\s*$"), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
+    return entries.select(
+        "language", value("vuln_type").alias("vuln_type"), value("cwe").alias("cwe"), value("severity").alias("severity"), items("node_types").alias("node_types"), value("sink_pattern").alias("pattern"), items("sanitizers").alias("sanitizers"),
+        array("keywords"), array("sources"), array("sinks"), folded("description"), folded("remediation"), references.alias("references"),
+    )
 
 
 def session_rows(spark: SparkSession, path: str, session: str, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:

@@ -156,4 +156,38 @@ def test_own_registry_and_catalog(spark, tmp_path):
     assert got == {"1": ("SINK", 0.6, 2), "2": ("SINK", 0.4, 3)}
     (tmp_path / "go.yaml").write_text("patterns:\n  - vuln_type: A\n    cwe: CWE-2\n    severity: LOW\n    node_types: [CALL]\n    sink_pattern: 'f\\('\n    sanitizers: []\n")
     files = spark.read.format("binaryFile").load(str(tmp_path / "go.yaml")).select("path", F.col("content").cast("string").alias("text"))
-    assert [r[:] for r in rd.catalog(files).collect()] == [("go", "A", "CWE-2", "LOW", "CALL", "f\\(", "")]
+    assert [r[:7] for r in rd.catalog(files).collect()] == [("go", "A", "CWE-2", "LOW", "CALL", "f\\(", "")]
+
+
+CATALOG_ENTRY = """patterns:
+
+  - vuln_type: "A"
+    cwe: "CWE-2"
+    severity: LOW
+    node_types: [CALL, ASSIGN]
+    keywords: ["f(", ".raw(", 'it''s', plain word]
+    sink_pattern: 'g\\('
+    sources: ["request", "a, b"]
+    sinks: []
+    sanitizers: ["clean"]
+    description: >
+      First line
+      and second.
+    remediation: >
+      Do not.
+    references:
+      - "https://a.org/x"
+      - https://b.org
+  - vuln_type: B
+    description: "Short"
+"""
+
+
+def test_all_fields_of_a_catalog(spark):
+    got = rd.catalog(spark.createDataFrame([("x/go.yaml", CATALOG_ENTRY)], "path string, text string")).collect()
+    a, b = got
+    assert (a.keywords, a.sources, a.sinks, a.references) == (["f(", ".raw(", "it's", "plain word"], ["request", "a, b"], [], ["https://a.org/x", "https://b.org"])
+    assert (a.description, a.remediation, b.description, b.vuln_type, b.keywords, b.references) == ("First line and second.", "Do not.", "Short", "B", [], [])
+    catalog = rd.catalog(spark.createDataFrame([("x/go.yaml", CATALOG_ENTRY)], "path string, text string")).where("vuln_type = 'A'")
+    nodes = [("1", "go", "CALL", "f(x)"), ("2", "go", "CALL", "g(x)"), ("3", "go", "CALL", "h(x)"), ("4", "go", "CALL", "f(clean(x))"), ("5", "go", "IF", "f(x)")]
+    assert sorted(r.node_id for r in no.catalog_hits(spark.createDataFrame(nodes, "node_id string, language string, node_type string, raw_text string"), catalog).collect()) == ["1", "2"]
