@@ -139,6 +139,16 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def document_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """doc_id, size, source_size, target of each row of docs (doc_id, text, source): what ``mix_sources`` aims at, without solving for rates."""
+    scratch = Scratch(docs.sparkSession, "targets")
+    source = F.col("source").cast("string")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), source.alias("source"), source_key(F.col("source")).alias("key"), word_count(F.col("text").cast("string")).alias("size"))
+    sizes = scratch.put(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), "sizes")
+    targets = scratch.put(source_targets(sizes, scratch, weights, cap), "targets")
+    return rows.join(targets.select("key", "source_size", "target"), "key").select("doc_id", "size", "source_size", "target")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source; other columns are ignored).
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .collocations import collocations
 from .filter_audit import audit_filters
 from .html_text import extract_pages
-from .mixing import mix_sources
+from .mixing import document_targets, mix_sources
 from .near_dedup import near_duplicates
 from .quality import quality_verdicts
 from .sentence_pieces import encode_pieces, load
@@ -91,7 +91,7 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and targets of the mix."""
-    return op3_entropy_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+    return document_targets(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
 
 
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
