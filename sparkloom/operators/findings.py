@@ -208,3 +208,30 @@ def review_summary(found: DataFrame, by: str, preview: int = 5) -> DataFrame:
     counts = found.groupBy(by).agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("HIGH", "MEDIUM", "LOW")))
     first = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= preview).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "node_id"))), lambda x: x["node_id"]).alias("p"))
     return counts.join(first, by).select(*counts.columns, F.array_join("p", ",").alias("preview"))
+
+
+def throughput(rows: DataFrame, by: str, time: str = "ts") -> DataFrame:
+    """by, n, seconds, per_second: rows over the time between a group's first and last, six digits; 0 where no time passes."""
+    micros = F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))
+    g = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (micros / 1e6).alias("seconds"))
+    return g.select(by, "n", "seconds", F.when(F.col("seconds") > 0, F.round(F.col("n") / F.col("seconds"), 6)).otherwise(F.lit(0.0)).alias("per_second"))
+
+
+def cross_session(states: DataFrame, counted: tuple[str, ...]) -> DataFrame:
+    """One row over all sessions (session_id, state, and the counted columns): sessions, their number by state as ``state=n,...`` sorted by name, and each count's sum and largest."""
+    by = states.groupBy("state").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in counted), *(F.max(c).alias(f"max_{c}") for c in counted))
+    named = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "state", F.col("n").cast("string")))), ",")  # a row for each state
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sessions"), named.alias("states"), *(F.coalesce(F.sum(f"sum_{c}"), F.lit(0)).alias(f"sum_{c}") for c in counted), *(F.max(f"max_{c}").alias(f"max_{c}") for c in counted))
+
+
+def serialised(nodes: DataFrame, cwes: DataFrame, advice: DataFrame | None = None, least: float = 0.3) -> DataFrame:
+    """Findings as they are handed out: node_id, file_path, line, cwe, title, severity, confidence, text (400 characters at most), description, remediation.
+
+    advice: language, cwe, description, remediation, as ``readers.catalog`` reads them; of several rows of one language and CWE the least texts. Without any they are empty.
+    """
+    f = findings(nodes, cwes, least).withColumn("text", F.left(F.coalesce("raw_text", F.lit("")), F.lit(400)))
+    words = ["description", "remediation"]
+    if advice is not None:
+        f = f.join(advice.groupBy("language", "cwe").agg(*(F.min(w).alias(w) for w in words)), ["language", "cwe"], "left")
+    texts = [F.coalesce(w, F.lit("")).alias(w) if advice is not None else F.lit("").alias(w) for w in words]
+    return f.select("node_id", "file_path", "line", "cwe", "title", "severity", "confidence", "text", *texts)

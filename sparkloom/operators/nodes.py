@@ -78,6 +78,15 @@ def route_backend(language: Column, available: list[str]) -> Column:
     return first_match(*rules, otherwise="fallback") if rules else F.lit("fallback")
 
 
+def route_by_capability(files: DataFrame, capabilities: DataFrame, last: str = "fallback") -> DataFrame:
+    """Adds backend: the first available one for a file's language by capabilities (backend, language, available, rank), else ``last``.
+
+    The table says what a session has found out about its backends; an equi join with a dimension. Of equal ranks the lesser name counts.
+    """
+    able = capabilities.where("available").groupBy("language").agg(F.min(F.struct("rank", "backend")).alias("_b"))
+    return files.join(able, "language", "left").withColumn("backend", F.coalesce("_b.backend", F.lit(last))).drop("_b")
+
+
 def normalize_types(nodes: DataFrame, type_map: DataFrame, guess: bool = True) -> DataFrame:
     """Adds node_type: the map's (language, raw_type), else, with guess, the first keyword group contained, else UNKNOWN.
 
@@ -287,4 +296,4 @@ def pattern_hits(files: DataFrame, catalog: DataFrame, path: str = "file_path",
     return split.select("file_path", "line", F.explode(hit).alias("h")).select("file_path", "line", "h.*")
 
 
-__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "labelled", "language_by_extension", "lines", "normalize_types", "of_types", "parser_name", "parser_scan", "parser_value", "pattern_hits", "route_backend", "to_graph_schema", "token_sequence"]
+__all__ = ["WORD", "catalog_hits", "classify_call", "detect_language", "extract_name", "extract_value", "fallback_nodes", "labelled", "language_by_extension", "lines", "normalize_types", "of_types", "parser_name", "parser_scan", "parser_value", "pattern_hits", "route_backend", "route_by_capability", "to_graph_schema", "token_sequence"]

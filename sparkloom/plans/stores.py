@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dims, text as tx
-from ..operators import graph as gr, ingestion as ig, nodes as no
+from ..operators import findings as fi, graph as gr, ingestion as ig, nodes as no
 from ..scratch import Scratch
 from ..sources import formats as fo, readers as rd, writers as wr
 from ..streaming import events as ev
@@ -255,3 +255,68 @@ def in_memory_files(s, d):
     return wr.to_memory(files, "loom_files").groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
 
 
+
+
+@register("event_throughput", "select user_id, count(*) as n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) as seconds, case when max(ts) > min(ts) then round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) else 0.0 end as per_second from events group by user_id")
+def event_throughput(s, d):
+    return fi.throughput(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id").withColumn("seconds", F.round("seconds", 3))
+
+
+@register("cross_session", """with st as (select user_id, arg_max(event_type, event_id) as state, count(*) filter (where event_type = 'click') as n_click, count(*) as n_events from events group by user_id),
+ k as (select state, count(*) as n from st group by state) select (select count(*) from st) as sessions, (select string_agg(state || '=' || n, ',' order by state || '=' || n) from k) as states, cast(sum(n_click) as bigint) as sum_n_click, cast(sum(n_events) as bigint) as sum_n_events, max(n_click) as max_n_click, max(n_events) as max_n_events from st""")
+def cross_session(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"))
+    return fi.cross_session(ev.status_rollup(e, ("click",)).withColumnRenamed("latest", "state"), ("n_click", "n_events"))
+
+
+ADVICE = [("python", "CWE-78", "Unclean input reaches a shell.", "Pass a list."), ("python", "CWE-78", "Zz", "Zz"), ("python", "CWE-1", "Unknown.", "")]
+
+
+@register("serialised_findings", """select 'n' || event_id as node_id, 'u' || user_id as file_path, event_id as line, case when event_type = 'error' then 'CWE-78' else 'CWE-1' end as cwe, case when event_type = 'error' then 'Command Injection' else 'Unclassified' end as title,
+ case when event_type = 'error' then 'HIGH' when event_type = 'purchase' then 'HIGH' else 'MEDIUM' end as severity, round(value / 100, 2) as confidence, left(repeat(props, 60), 400) as text,
+ case when event_type = 'error' then 'Unclean input reaches a shell.' else 'Unknown.' end as description, case when event_type = 'error' then 'Pass a list.' else '' end as remediation from events where event_type in ('error', 'purchase', 'view') and value / 100 >= 0.3""")
+def serialised_findings(s, d):
+    e, t = table(s, d, "events"), F.col("event_type")
+    nodes = e.where(t.isin("error", "purchase", "view", "click")).select(
+        F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("node_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_path"), F.col("event_id").alias("line"), F.lit("python").alias("language"),
+        F.when(t == "view", "SENSITIVE").when(t == "click", "SOURCE").otherwise("SINK").alias("label"), F.when(t == "error", "CWE-78").otherwise("CWE-1").alias("cwe"), (F.col("value") / 100).alias("confidence"), F.repeat("props", F.lit(60)).alias("raw_text"),
+    )
+    return fi.serialised(nodes, dims.frame(s, "cwes"), s.createDataFrame(ADVICE, "language string, cwe string, description string, remediation string"))
+
+
+CAPABLE = [("grammar", "en", True, 1), ("server", "en", True, 2), ("server", "fr", False, 1), ("regex", "fr", True, 2), ("regex", "de", False, 1), ("a", "es", True, 1), ("b", "es", True, 1)]
+
+
+@register("capable_backends", "select doc_id, case lang when 'en' then 'grammar' when 'fr' then 'regex' when 'es' then 'a' else 'fallback' end as backend from documents")
+def capable_backends(s, d):
+    files = table(s, d, "documents").select("doc_id", F.col("lang").alias("language"))
+    return no.route_by_capability(files, s.createDataFrame(CAPABLE, "backend string, language string, available boolean, rank int")).select("doc_id", "backend")
+
+
+@register("sealed_appends", "select source as session_id, count(*) as n, case when source in ('src1', 'src2') then 'MANIFEST_SEALED' end as error from documents group by source")
+def sealed_appends(s, d):
+    """Rows for sealed sessions are refused, a row each."""
+    rows = table(s, d, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").cast("string").alias("relative_path"))
+    accepted, refused = wr.append_unsealed(rows, rows.where("session_id in ('src1', 'src2')").select("session_id"))
+    both = accepted.select("session_id", F.lit(None).cast("string").alias("error")).unionByName(refused.select("session_id", "error"))
+    return both.groupBy("session_id", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+REPLAYED = f"""{N}, e as (select file, id as src, nxt as dst from p where nxt is not null and t not in ('RETURN','BREAK','CONTINUE','RAISE')), f as (select file, id from n where t = 'CALL'),
+ told as (select file, 1 as part, lpad(cast(line as varchar), 12, '0') || ':' || id as place, 'node' as type, '{{"node_id":"' || id || '","node_type":"' || t || '","line":' || line || '}}' as payload from n
+  union all select file, 2, src || ':' || dst || ':CFG_NEXT', 'edge', '{{"src":"' || src || '","dst":"' || dst || '","edge_type":"CFG_NEXT"}}' from e
+  union all select file, 3, id, 'finding', '{{"node_id":"' || id || '","cwe":"CWE-1","severity":"LOW"}}' from f
+  union all select n.file, 4, '', 'COMPLETE', '{{"node":' || count(*) || ',"edge":' || (select count(*) from e where e.file = n.file) || ',"finding":' || count(*) filter (where t = 'CALL') || '}}' from n group by n.file)"""
+
+
+@register("replayed_sessions", f"with {REPLAYED} select file as session_id, row_number() over (partition by file order by part, place, payload) as seq, type, payload from told")
+def replayed_sessions(s, d):
+    n = sequence(s, d).withColumnRenamed("file", "session_id")
+    edges = gr.cfg_next(sequence(s, d)).withColumnRenamed("file", "session_id")
+    return ev.replay(n, edges, n.where("t = 'CALL'").select("session_id", "id", F.lit("CWE-1").alias("cwe"), F.lit("LOW").alias("severity")))
+
+
+@register("replay_keeps_its_word", "select cast(user_id as varchar) as session_id, true as ok from events group by user_id")
+def replay_keeps_its_word(s, d):
+    """The counts that each replayed session claims at its end are those it has told."""
+    return ev.complete_counts(replayed_sessions(s, d))

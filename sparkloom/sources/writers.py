@@ -112,3 +112,10 @@ def seal(manifest: DataFrame) -> DataFrame:
     line = F.concat_ws(":", "relative_path", "sha256")
     sums = manifest.groupBy("session_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
     return sums.join(set_hash(manifest, ["session_id"], line), "session_id")
+
+
+def append_unsealed(rows: DataFrame, sealed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of new manifest rows (session_id, relative_path, ...): those of sealed sessions (session_id) are refused, a row each with its error."""
+    shut = sealed.select("session_id").distinct()
+    refused = rows.join(shut, "session_id", "left_semi").select("session_id", "relative_path", F.lit("MANIFEST_SEALED").alias("error"))
+    return rows.join(shut, "session_id", "left_anti"), refused

@@ -142,3 +142,36 @@ def with_heartbeats(events: DataFrame, period: float, key: str = "session_id", t
     silent = e.where("_beats > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_beats")))).select(key, (F.col(time) + F.col("_k") * period).alias(time), F.lit("heartbeat").alias("kind"))
     ends = events.where(F.col("type") == end).groupBy(key).agg(F.max(time).alias(time)).select(key, time, F.lit("end").alias("kind"))
     return events.select(key, time, F.lit("event").alias("kind")).unionByName(silent).unionByName(ends)
+
+
+#: Payload fields of each kind of session event.
+EVENT_FIELDS = {
+    "phase": ("name", "message"), "node": ("node_id", "node_type", "line"), "edge": ("src", "dst", "edge_type"), "finding": ("node_id", "cwe", "severity"), "log": ("level", "message"), "COMPLETE": ("node", "edge", "finding"), "error": ("stage", "message"),
+}
+
+
+def event(kind: str, session: Column, seq: Column, **payload: Column) -> Column:
+    """A session event as a struct (session_id, seq, type, payload): the kind's fields as JSON, those not given left out. Unknown kinds and fields raise."""
+    unknown = set(payload) - set(EVENT_FIELDS[kind]) if kind in EVENT_FIELDS else {kind}
+    if unknown:
+        raise ValueError(f"no such event or field: {sorted(unknown)}")
+    given = [payload[f].alias(f) for f in EVENT_FIELDS[kind] if f in payload]
+    return F.struct(session.alias("session_id"), seq.alias("seq"), F.lit(kind).alias("type"), (F.to_json(F.struct(*given)) if given else F.lit("{}")).alias("payload"))
+
+
+def replay(nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> DataFrame:
+    """A session's results told again as events, in order: its nodes, its edges, its findings, and a COMPLETE event that claims their numbers.
+
+    nodes: session_id, id, t, line. edges: session_id, src, dst, edge_type. findings: session_id, id, cwe, severity. A window over a session numbers them.
+    """
+    s, none = F.col("session_id"), F.lit(None).cast("long")
+    parts = [
+        nodes.select(F.lit(1).alias("part"), F.concat_ws(":", F.lpad(F.col("line").cast("string"), 12, "0"), "id").alias("place"), event("node", s, none, node_id=F.col("id"), node_type=F.col("t"), line=F.col("line")).alias("e")),
+        edges.select(F.lit(2).alias("part"), F.concat_ws(":", "src", "dst", "edge_type").alias("place"), event("edge", s, none, src=F.col("src"), dst=F.col("dst"), edge_type=F.col("edge_type")).alias("e")),
+        findings.select(F.lit(3).alias("part"), F.col("id").alias("place"), event("finding", s, none, node_id=F.col("id"), cwe=F.col("cwe"), severity=F.col("severity")).alias("e")),
+    ]
+    told = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("part", "place", "e.session_id", "e.type", "e.payload")
+    counts = told.groupBy("session_id").agg(*(F.count_if(F.col("type") == t).alias(t) for t in COUNTED))
+    done = counts.select(F.lit(4).alias("part"), F.lit("").alias("place"), event("COMPLETE", s, none, **{t: F.col(t) for t in COUNTED}).alias("e")).select("part", "place", "e.session_id", "e.type", "e.payload")
+    w = Window.partitionBy("session_id").orderBy("part", "place", "payload")
+    return told.unionByName(done).withColumn("seq", F.row_number().over(w).cast("long")).select("session_id", "seq", "type", "payload")
