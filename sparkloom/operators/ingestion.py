@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
 
+from ..functions import dims
 from ..functions.text import bound, first_match
 from ..scratch import Scratch
 
@@ -167,6 +168,18 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("relative_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), (suffix | F.contains(F.substring("content", 1, 8192), F.lit(b"\x00"))).alias("is_binary"))
 
 
+def walk_manifest(files: DataFrame, links: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, refused) of files (path relative to base, content, length) and the symbolic links among them (path, target).
+
+    Skipped directories are left out. No link is followed: one that stays within base is left out, one that leads out of it is refused, a row (path, rule) each.
+    """
+    from ..sources.readers import walked
+
+    known = files.where(walked(F.col("path"), dims.MANIFEST_SKIPPED_DIRS))
+    refused = links.where(walked(F.col("path"), dims.MANIFEST_SKIPPED_DIRS) & symlink_escapes(F.col("path"), F.col("target"), base)).select("path", F.lit("symlink_escape").alias("rule"))
+    return manifest(known.join(links.select("path").distinct(), "path", "left_anti")), refused
+
+
 def verify_delivery(expected: DataFrame, delivered: DataFrame) -> DataFrame:
     """relative_path, status: ok, tampered, missing or extra: one full join on the path."""
     j = expected.select("relative_path", F.col("sha256").alias("_a")).join(delivered.select("relative_path", F.col("sha256").alias("_b")), "relative_path", "full")

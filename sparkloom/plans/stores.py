@@ -320,3 +320,25 @@ def replayed_sessions(s, d):
 def replay_keeps_its_word(s, d):
     """The counts that each replayed session claims at its end are those it has told."""
     return ev.complete_counts(replayed_sessions(s, d))
+
+
+#: Folders and endings of file names by turns: what each walk keeps.
+FOLDERS, ENDS = ["src", "node_modules", ".tox", "vendor", "lib"], [".py", ".min.js", ".class", ".js"]
+
+
+@register("walk_rules", f"""select doc_id, {FOLDERS!r}[cast(doc_id % 5 as int) + 1] not in ('node_modules', '.tox') and {ENDS!r}[cast(doc_id % 4 as int) + 1] not in ('.min.js', '.class') as parsed, {FOLDERS!r}[cast(doc_id % 5 as int) + 1] not in ('node_modules', 'vendor') as listed from documents""")
+def walk_rules(s, d):
+    at = lambda x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % len(x) + 1).cast("int"))
+    path = F.concat_ws("/", F.lit("repo"), at(FOLDERS), F.concat(F.lit("f"), F.col("doc_id").cast("string"), at(ENDS)))
+    docs = table(s, d, "documents").select("doc_id", path.alias("path"))
+    return docs.select("doc_id", rd.walked(F.col("path"), dims.PARSER_SKIPPED_DIRS, dims.PARSER_SKIPPED_ENDS).alias("parsed"), rd.walked(F.col("path"), dims.MANIFEST_SKIPPED_DIRS).alias("listed"))
+
+
+@register("manifest_walks", """select source || '/f' || doc_id as path, case when lang = 'fr' then 'symlink_escape' else sha256(text) end as found from documents where lang <> 'de'""")
+def manifest_walks(s, d):
+    """French files are links out of the repository, German ones links within it: neither is in the manifest, the first are refused."""
+    path = F.concat(F.col("source"), F.lit("/f"), F.col("doc_id").cast("string"))
+    docs = table(s, d, "documents").select(path.alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length"), "lang")
+    target = F.when(F.col("lang") == "fr", F.lit("../../etc/passwd")).otherwise("../src1/x")
+    listed, refused = ig.walk_manifest(docs.drop("lang"), docs.where("lang in ('fr', 'de')").select("path", target.alias("target")), "/repo")
+    return listed.select(F.col("relative_path").alias("path"), F.col("sha256").alias("found")).unionByName(refused.withColumnRenamed("rule", "found"))

@@ -13,14 +13,25 @@ SARIF_SCHEMA = """struct<runs:array<struct<
   relatedLocations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int>>>>>>>>>"""
 
 
-def repository(spark: SparkSession, path: str, skipped=dims.SKIPPED_DIRS, max_bytes: int | None = None, pattern: str | None = None) -> DataFrame:
-    """path, modificationTime, length, content of a tree's files without skipped directories; length filters reach the reader."""
+def repository(spark: SparkSession, path: str, skipped=dims.SKIPPED_DIRS, max_bytes: int | None = None, pattern: str | None = None, ends: list[str] | None = None) -> DataFrame:
+    """path, modificationTime, length, content of a tree's files without skipped directories and endings; length filters reach the reader.
+
+    The graph layer's walk by default; the parser layer's has ``dims.PARSER_SKIPPED_DIRS`` and ``dims.PARSER_SKIPPED_ENDS``.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     df = (r.option("pathGlobFilter", pattern) if pattern else r).load(path)
-    df = df.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
+    df = df.where(walked(F.col("path"), skipped, ends))
     return df.where(F.col("length") <= max_bytes) if max_bytes else df
 
 
+def walked(path: Column, skipped: list[str], ends: list[str] | None = None) -> Column:
+    """Whether a walk yields a path: none of its parts is a skipped directory, and its name has none of the endings."""
+    out = ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, skipped)))
+    for end in ends or ():
+        out = out & ~path.endswith(end)
+    return out
+
+
 def as_text(content: Column) -> Column:
     """Bytes as UTF-8 text, malformed ones as U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))
