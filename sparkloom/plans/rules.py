@@ -33,7 +33,18 @@ def expected(columns: str, *rows: tuple) -> str:
     return f"select {', '.join(f'cast({n} as {t}) as {n}' for n, t in named)} from (values {body}) v({', '.join(n for n, _ in named)})"
 
 
-@register("validator_gates", expected(
+def dealt(s: SparkSession, d: str, rows: list[tuple], schema: str) -> DataFrame:
+    """The cases by turns over all events: event_id and the columns of case event_id % len(rows), so that each rule meets as many rows as there are events."""
+    cases = s.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_case long, {schema}")
+    return table(s, d, "events").select("event_id", (F.col("event_id") % len(rows)).alias("_case")).join(cases, "_case").drop("_case")
+
+
+def dealt_sql(columns: str, *rows: tuple) -> str:
+    """SQL that gives what is expected of each case, by turns over all events."""
+    return f"select e.event_id, v.* exclude (_case) from events e join ({expected(f'_case bigint, {columns}', *((k, *r) for k, r in enumerate(rows)))}) v on e.event_id % {len(rows)} = v._case"
+
+
+@register("validator_gates", dealt_sql(
     "id int, status varchar, warnings varchar, sanitized varchar",
     (1, "PASSED", "", "plain text = 1"), (2, "PASSED", "null_bytes", "ab"), (3, "PASSED", "bidi", "ab"), (4, "PASSED", "zero_width", "ab"), (5, "TRUNCATED", "line_count", "a\nb\nc"), (6, "TRUNCATED", "line_length", "0123456789" * 2),
     (7, "PASSED", "nfkc", "file 5"), (8, "PASSED", "separators", "a\nb c"), (9, "PASSED", "malformed", "a�b"), (10, "PASSED", "nfkc", "a b c"), (11, "PASSED", "odd_spaces", "a b c"),
@@ -45,8 +56,8 @@ def validator_gates(s, d):
         "plain text = 1", "a\x00b", "a‮b", "a​b", "a\nb\nc\nd", "0123456789" * 3, "ﬁle ５", "a b c", "a�b", "a b c", "a b c",
         "a" * 19 + "b", 'x = "(a+)+"', "#!/bin/a\n#!/bin/b", "#!/bin/py\n# coding: x", "# coding: x\n# encoding: y", "0123456789 " * 20 + "\n\n\n\n", None,
     ]
-    v = va.validate(values(s, list(enumerate(texts, 1)), "id int, text string"), max_bytes=150, max_lines=3, max_line=20)
-    return v.select("id", "status", F.array_join("warnings", ",").alias("warnings"), "sanitized")
+    v = va.validate(dealt(s, d, list(enumerate(texts, 1)), "id int, text string"), max_bytes=150, max_lines=3, max_line=20)
+    return v.select("event_id", "id", "status", F.array_join("warnings", ",").alias("warnings"), "sanitized")
 
 
 @register("submodule_rules", expected(
@@ -67,17 +78,17 @@ def submodule_rules(s, d):
     return out.select("root", "path", "sha", "depth", "status")
 
 
-@register("parser_languages", expected(
+@register("parser_languages", dealt_sql(
     "path varchar, language varchar, method varchar",
     ("a.pyi", "python", "extension"), ("b.hh", "cpp", "extension"), ("c.tfvars", "terraform", "extension"), ("d.jsx", "tsx", "extension"), ("e.rs", "rust", "extension"), ("f", "python", "shebang"), ("g", "javascript", "shebang"), ("h", "go", "content"), ("i", "javascript", "content"), ("j", "yaml", "content"), ("k", "unknown", "none"),
 ))
 def parser_languages(s, d):
     rows = [("a.pyi", ""), ("b.hh", ""), ("c.tfvars", ""), ("d.jsx", ""), ("e.rs", ""), ("f", "#!/usr/bin/env python3\n"), ("g", "#!/usr/bin/node\n"), ("h", "package main\nfunc main() {}\n"), ("i", "import x from 'y';\nimport z from 'w';\nconst a = require('b')\n"), ("j", "---\nkey:\n"), ("k", "nothing here")]
     language, _, method = no.detect_language(F.col("path"), F.col("text"))
-    return values(s, rows, "path string, text string").select("path", language.alias("language"), method.alias("method"))
+    return dealt(s, d, rows, "path string, text string").select("event_id", "path", language.alias("language"), method.alias("method"))
 
 
-@register("path_policy", expected(
+@register("path_policy", dealt_sql(
     "path varchar, allowed boolean, escapes boolean",
     ("a/b.py", True, False), ("a/../b.py", True, False), ("../b.py", False, False), ("a/../../b", False, False), ("/base/repo/x", True, False), ("/base/repository/x", False, False), ("/etc/passwd", False, False), ("./a", True, False), ("a/link", True, True), ("a/inner", True, False), ("a\x00b", False, False), (None, False, True),
 ))
@@ -86,13 +97,13 @@ def path_policy(s, d):
     rows = [(p, targets.get(p, "same")) for p in ("a/b.py", "a/../b.py", "../b.py", "a/../../b", "/base/repo/x", "/base/repository/x", "/etc/passwd", "./a", "a/link", "a/inner", "a\x00b", None)]
     plain = F.col("target") == "same"
     escapes = F.when(plain & F.col("path").isNotNull() & ~F.col("path").contains("\x00"), F.lit(False)).otherwise(ig.symlink_escapes(F.col("path"), F.col("target"), "/base/repo"))
-    return values(s, rows, "path string, target string").select("path", ig.path_allowed(F.col("path"), "/base/repo").alias("allowed"), escapes.alias("escapes"))
+    return dealt(s, d, rows, "path string, target string").select("event_id", "path", ig.path_allowed(F.col("path"), "/base/repo").alias("allowed"), escapes.alias("escapes"))
 
 
 H1, H2 = "a" * 40, "b" * 40
 
 
-@register("prefetch_decisions", expected(
+@register("prefetch_decisions", dealt_sql(
     "id int, outcome varchar, commit varchar, warning varchar",
     (1, "go_on", H1, None), (2, "too_large", None, "too_large"), (3, "too_large", None, "too_large"), (4, "go_on", H1, "archived"), (5, "go_on", None, "incomplete_sha"), (6, "go_on", H2, "sha_mismatch"), (7, "not_found", None, "not_found"), (8, "rate_limit", None, "rate_limit"),
     (9, "auth", None, "auth"), (10, "no_sha", None, "no_sha"), (11, "go_on", H2, "metadata_failed"), (12, "go_on", H2, None),
@@ -102,9 +113,9 @@ def prefetch_decisions(s, d):
         (1, 1024, 100, False, None, H1, None), (2, 200 * 1024, 100, False, None, H1, None), (3, 3000 * 1024, 9000, False, None, H1, None), (4, 1, 100, True, None, H1, None), (5, 1, 100, False, None, "abc", None), (6, 1, 100, False, H2, H1, None), (7, None, 100, None, H2, None, "RepositoryNotFoundError"),
         (8, None, 100, None, H2, None, "RateLimitError"), (9, None, 100, None, H2, None, "PermissionDeniedError"), (10, None, 100, None, None, None, "AdapterError"), (11, None, 100, None, H2, None, "AdapterError"), (12, 1, 100, False, H2, H2, None),
     ]
-    df = values(s, rows, "id int, size_kb long, limit_mb long, archived boolean, asked string, head string, error string")
+    df = dealt(s, d, rows, "id int, size_kb long, limit_mb long, archived boolean, asked string, head string, error string")
     outcome, commit, warning = ig.prefetch_decision(*(F.col(c) for c in ("size_kb", "limit_mb", "archived", "asked", "head", "error")))
-    return df.select("id", outcome.alias("outcome"), commit.alias("commit"), warning.alias("warning"))
+    return df.select("event_id", "id", outcome.alias("outcome"), commit.alias("commit"), warning.alias("warning"))
 
 
 def ingestion(s) -> dict[str, DataFrame]:
@@ -233,25 +244,25 @@ def gitlinks(s, d):
     return rd.gitlinks(values(s, [(f"160000 commit {H1}\tlibs/a b",), (f"100644 blob {H2}\tx",), ("160000 commit short\ty",)], "line string"))
 
 
-@register("head_commits", expected("id int, commit varchar, pinned boolean", (1, H1, True), (2, H2, False), (3, H1, True), (4, None, False)))
+@register("head_commits", dealt_sql("id int, commit varchar, pinned boolean", (1, H1, True), (2, H2, False), (3, H1, True), (4, None, False)))
 def head_commits(s, d):
     rows = [(1, f"{H1}\n", {}, ""), (2, "ref: refs/heads/main\n", {"refs/heads/main": f"{H2}\n"}, ""), (3, "ref: refs/heads/dev", {}, f"# pack\n{H2} refs/heads/main\n{H1} refs/heads/dev"), (4, "ref: refs/heads/none", {}, "")]
     commit = rd.head_commit(F.col("head"), F.col("refs"), F.col("packed"))
-    c = values(s, rows, "id int, head string, refs map<string,string>, packed string").select("id", F.nullif(commit, F.lit("")).alias("commit"))
-    return c.select("id", "commit", ig.pin_matches(F.lit(H1[:12]), F.col("commit")).alias("pinned"))
+    c = dealt(s, d, rows, "id int, head string, refs map<string,string>, packed string").select("event_id", "id", F.nullif(commit, F.lit("")).alias("commit"))
+    return c.select("event_id", "id", "commit", ig.pin_matches(F.lit(H1[:12]), F.col("commit")).alias("pinned"))
 
 
-@register("texts_and_paths", expected(
+@register("texts_and_paths", dealt_sql(
     "id int, txt varchar, rel varchar, short varchar, fragment varchar",
     (1, "plain", "src/a.py", "plain", "lai"), (2, "a�b", ".hidden/x", "a�b", "�b"), (3, "a\x01b‮c", "x.py", "a bc", "\x01bc"),
 ))
 def texts_and_paths(s, d):
     rows = [(1, bytearray(b"plain"), "file:///repo/src/a.py"), (2, bytearray(b"a\xffb"), "/repo/.hidden/x"), (3, bytearray("a\x01b‮c".encode()), ".\\x.py")]
-    df = values(s, rows, "id int, content binary, path string").withColumn("txt", rd.as_text(F.col("content")))
-    return df.select("id", "txt", rd.relative_path(F.col("path"), "/repo").alias("rel"), tx.sanitize_short(F.col("txt")).alias("short"), tx.raw_fragment(F.col("content"), F.lit(1), F.when(F.col("id") == 1, 4).otherwise(99)).alias("fragment"))
+    df = dealt(s, d, rows, "id int, content binary, path string").withColumn("txt", rd.as_text(F.col("content")))
+    return df.select("event_id", "id", "txt", rd.relative_path(F.col("path"), "/repo").alias("rel"), tx.sanitize_short(F.col("txt")).alias("short"), tx.raw_fragment(F.col("content"), F.lit(1), F.when(F.col("id") == 1, 4).otherwise(99)).alias("fragment"))
 
 
-@register("request_rules", expected(
+@register("request_rules", dealt_sql(
     "id int, rule varchar",
     (1, None), (2, "url_missing"), (3, "url_too_long"), (4, "scheme"), (5, "credentials_in_url"), (6, "no_host"), (7, "ssrf"), (8, "ssrf"), (9, "branch"), (10, "commit_sha"), (11, "depth"), (12, "credential_ref"),
 ))
@@ -261,43 +272,44 @@ def request_rules(s, d):
         (1, *ok), (2, "", *ok[1:]), (3, "https://h/" + "a" * 600, *ok[1:]), (4, "http://h/a", *ok[1:]), (5, "https://u:p@h/a", *ok[1:]), (6, "https:///a", *ok[1:]), (7, "https://10.1.2.3/a", *ok[1:]), (8, "https://localhost/a", *ok[1:]),
         (9, "https://h/a", "a b", *ok[2:]), (10, "https://h/a", "main", "xyz", 1, "ref"), (11, "https://h/a", "main", None, 0, "ref"), (12, "https://h/a", "main", None, 1, ""),
     ]
-    df = values(s, rows, "id int, url string, branch string, sha string, depth int, credential string")
-    return df.select("id", ig.validate_request(*(F.col(c) for c in ("url", "branch", "sha", "depth", "credential"))).alias("rule"))
+    df = dealt(s, d, rows, "id int, url string, branch string, sha string, depth int, credential string")
+    return df.select("event_id", "id", ig.validate_request(*(F.col(c) for c in ("url", "branch", "sha", "depth", "credential"))).alias("rule"))
 
 
-@register("submodule_entry_rules", expected(
+@register("submodule_entry_rules", dealt_sql(
     "id int, rule varchar",
     (1, None), (2, "empty_url"), (3, "filesystem_url"), (4, "filesystem_url"), (5, "scheme"), (6, "credentials_in_url"), (7, "no_host"), (8, "ssrf"), (9, "empty_path"), (10, "absolute_path"), (11, "absolute_path"), (12, "path_escapes"),
 ))
 def submodule_entry_rules(s, d):
     rows = [(1, "https://h/a", "a"), (2, "", "a"), (3, "/srv/a", "a"), (4, "file:///a", "a"), (5, "ssh://h/a", "a"), (6, "https://u@h/a", "a"), (7, "https:///a", "a"), (8, "https://127.0.0.1/a", "a"), (9, "https://h/a", ""), (10, "https://h/a", "/a"), (11, "https://h/a", "a\\b"), (12, "https://h/a", "a/../../b")]
-    return values(s, rows, "id int, url string, path string").select("id", ig.validate_submodule(F.col("url"), F.col("path")).alias("rule"))
+    return dealt(s, d, rows, "id int, url string, path string").select("event_id", "id", ig.validate_submodule(F.col("url"), F.col("path")).alias("rule"))
 
 
-@register("node_names", expected(
+@register("node_names", dealt_sql(
     "id int, name varchar, value varchar",
     (1, "run", None), (2, "Box", None), (3, "os.system", None), (4, "os.path", None), (5, "x", "1 + 2"), (6, "first", None), (7, "text", '"text"'), (8, "key", None),
 ))
 def node_names(s, d):
     rows = [(1, "FUNCTION", "def run(x):"), (2, "CLASS", "public class Box {"), (3, "CALL", "os.system(x)"), (4, "IMPORT", "import os.path"), (5, "ASSIGN", "x = 1 + 2"), (6, "IDENTIFIER", "first.second"), (7, "LITERAL", '"text"'), (8, "CONFIG_KEY", "key: value")]
-    return values(s, rows, "id int, t string, raw string").select("id", no.extract_name(F.col("t"), F.col("raw")).alias("name"), no.extract_value(F.col("t"), F.col("raw")).alias("value"))
+    return dealt(s, d, rows, "id int, t string, raw string").select("event_id", "id", no.extract_name(F.col("t"), F.col("raw")).alias("name"), no.extract_value(F.col("t"), F.col("raw")).alias("value"))
 
 
-@register("backends", expected("language varchar, first_choice varchar, without_first varchar", ("python", "codeql", "tree_sitter"), ("rust", "tree_sitter", "tree_sitter"), ("tsx", "tree_sitter", "tree_sitter"), ("unknown", "fallback", "fallback"), ("cobol", "fallback", "fallback")))
+@register("backends", dealt_sql("language varchar, first_choice varchar, without_first varchar", ("python", "codeql", "tree_sitter"), ("rust", "tree_sitter", "tree_sitter"), ("tsx", "tree_sitter", "tree_sitter"), ("unknown", "fallback", "fallback"), ("cobol", "fallback", "fallback")))
 def backends(s, d):
-    df = values(s, [(x,) for x in ("python", "rust", "tsx", "unknown", "cobol")], "language string")
-    return df.select("language", no.route_backend(F.col("language"), ["codeql", "tree_sitter"]).alias("first_choice"), no.route_backend(F.col("language"), ["tree_sitter"]).alias("without_first"))
+    df = dealt(s, d, [(x,) for x in ("python", "rust", "tsx", "unknown", "cobol")], "language string")
+    return df.select("event_id", "language", no.route_backend(F.col("language"), ["codeql", "tree_sitter"]).alias("first_choice"), no.route_backend(F.col("language"), ["tree_sitter"]).alias("without_first"))
 
 
-@register("registry_languages", expected(
+@register("registry_languages", dealt_sql(
     "name varchar, language varchar, label varchar, confidence double, cwe varchar, pass int",
     ("os.system", "python", "SINK", 0.95, "CWE-78", 1), ("my.pickle.loads", "python", "SINK", 0.7425, "CWE-502", 2), ("innerHTML", "javascript", "SINK", 0.95, "CWE-79", 1), ("el.innerHTML", "javascript", "SINK", 0.95, "CWE-79", 1), ("r.FormValue", "go", "SOURCE", 0.99, "CWE-20", 1), ("web::Query", "rust", "SOURCE", 0.99, "CWE-20", 1),
     ("Runtime.exec", "java", "SINK", 0.99, "CWE-78", 1), ("privileged", "terraform", "SINK", 0.95, "CWE-250", 1), ("db_password", "terraform", "SENSITIVE", 0.55, "CWE-798", 3), ("os.system", "go", "SINK", 0.4, "", 3), ("print", "python", "NONE", 0.0, "", 0), ("getBody", "go", "SOURCE", 0.35, "", 3),
 ))
 def registry_languages(s, d):
     names = [("os.system", "python"), ("my.pickle.loads", "python"), ("innerHTML", "javascript"), ("el.innerHTML", "javascript"), ("r.FormValue", "go"), ("web::Query", "rust"), ("Runtime.exec", "java"), ("privileged", "terraform"), ("db_password", "terraform"), ("os.system", "go"), ("print", "python"), ("getBody", "go")]
-    n = values(s, [(f"{k}", "CALL", a, "", b) for k, (a, b) in enumerate(names)], "node_id string, node_type string, name string, raw_text string, language string")
-    return an.annotate(n, dims.frame(s, "registry")).select("name", "language", "label", "confidence", "cwe", "pass")
+    n = dealt(s, d, [(f"{k}", "CALL", a, "", b) for k, (a, b) in enumerate(names)], "node_id string, node_type string, name string, raw_text string, language string")
+    n = n.withColumn("node_id", F.col("event_id").cast("string"))
+    return an.annotate(n, dims.frame(s, "registry")).select("event_id", "name", "language", "label", "confidence", "cwe", "pass")
 
 
 @register("phase_rules", expected("session_id varchar, seq int, rule varchar", ("b", 1, "starts_late"), ("c", 3, "out_of_order"), ("d", 10, "after_complete")))
@@ -355,9 +367,9 @@ def known_edges(s, d):
     return gr.keep_known_edges(edges.unionByName(edges).unionByName(edges.withColumn("dst", F.lit("none"))), n)
 
 
-@register("catalog_languages", expected("given varchar, language varchar", ("ts", "javascript"), ("TSX", "javascript"), ("hcl", "terraform"), ("Go", "go"), ("cobol", "python")))
+@register("catalog_languages", dealt_sql("given varchar, language varchar", ("ts", "javascript"), ("TSX", "javascript"), ("hcl", "terraform"), ("Go", "go"), ("cobol", "python")))
 def catalog_languages(s, d):
-    return values(s, [(x,) for x in ("ts", "TSX", "hcl", "Go", "cobol")], "given string").select("given", se.catalog_language(F.col("given")).alias("language"))
+    return dealt(s, d, [(x,) for x in ("ts", "TSX", "hcl", "Go", "cobol")], "given string").select("event_id", "given", se.catalog_language(F.col("given")).alias("language"))
 
 
 @register("cfg_conditions", expected("src varchar, dst varchar, condition varchar", ("a", "b", "if x:"), ("c", "d", "y" * 80)))
@@ -398,10 +410,10 @@ def parser_types(s, d):
     return no.normalize_types(nodes, dims.frame(s, "parser_type_map"), guess=False).groupBy("language", "raw_type", "node_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("graph_schema", expected("node_id varchar, node_type varchar, language varchar, start_line int, end_line int, raw_text varchar, normalized_text varchar, parent_function varchar", ("n1", "CALL", "go", 3, 0, "f()", "", "p"), ("n2", "UNKNOWN", "unknown", 0, 0, "", "", "")))
+@register("graph_schema", "select * exclude (event_id), count(*) as n from (" + dealt_sql("node_id varchar, node_type varchar, language varchar, start_line int, end_line int, raw_text varchar, normalized_text varchar, parent_function varchar", ("n1", "CALL", "go", 3, 0, "f()", "", "p"), ("n2", "UNKNOWN", "unknown", 0, 0, "", "", "")) + ") group by all")
 def graph_schema(s, d):
     rows = [("n1", "CALL", "go", 3, "f()", "p"), ("n2", None, None, None, None, None)]
-    return no.to_graph_schema(values(s, rows, "node_id string, node_type string, language string, line int, raw_text string, parent_id string")).select("node_id", "node_type", "language", "start_line", "end_line", "raw_text", "normalized_text", "parent_function")
+    return no.to_graph_schema(dealt(s, d, rows, "node_id string, node_type string, language string, line int, raw_text string, parent_id string")).groupBy("node_id", "node_type", "language", "start_line", "end_line", "raw_text", "normalized_text", "parent_function").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("node_filters", expected("kind varchar, ids varchar", ("functions", "1"), ("calls", "2,3"), ("sinks", "2"), ("sources", "")))
@@ -412,10 +424,10 @@ def node_filters(s, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
-@register("adapters", expected("url varchar, provider varchar, error varchar", ("https://github.com/o/r", "github", None), ("https://gitlab.com/o/r", "gitlab", "ADAPTER_NOT_IMPLEMENTED"), ("https://h/o/r", "none", "ADAPTER_NOT_IMPLEMENTED")))
+@register("adapters", dealt_sql("url varchar, provider varchar, error varchar", ("https://github.com/o/r", "github", None), ("https://gitlab.com/o/r", "gitlab", "ADAPTER_NOT_IMPLEMENTED"), ("https://h/o/r", "none", "ADAPTER_NOT_IMPLEMENTED")))
 def adapters(s, d):
     name, error = ig.adapter(F.col("url"))
-    return values(s, [(u,) for u in ("https://github.com/o/r", "https://gitlab.com/o/r", "https://h/o/r")], "url string").select("url", name.alias("provider"), error.alias("error"))
+    return dealt(s, d, [(u,) for u in ("https://github.com/o/r", "https://gitlab.com/o/r", "https://h/o/r")], "url string").select("event_id", "url", name.alias("provider"), error.alias("error"))
 
 
 @register("plain_projections", expected("columns varchar", ("session_id,url",)))
