@@ -37,7 +37,7 @@ from . import textkernel as tk
 
 MARK = "▁"
 #: Word encodings and pair decisions that a worker keeps at most, and MB of text that it encodes at once.
-WORDS, PAIRS, AT_ONCE = 300_000, 300_000, 3
+WORDS, PAIRS, AT_ONCE = 300_000, 300_000, 1
 _ITEM = re.compile(f"{MARK}?[^{MARK}\n]+|\n|{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+")
 
 
