@@ -6,10 +6,10 @@
    segments differs in at most floor(l * 4 / 5) bits (pigeonring principle): the first not at all, the first two in at most 1, three in
    2, four in 3. So a key of two neighbouring segments finds them, if one side also looks up the keys that differ in one bit of the
    second: 5 rows kept and 70 looked up for each fingerprint. The join's condition checks the longer chains, then all 64 bits.
-4. Only the components of links matter, so links inside a component are never listed. Star rounds come first: in each key's bucket
-   the members meet one member of the bucket's largest component. Then the exact join looks for links between different components
-   only, from the smaller of the two: a fingerprint looks up a key only where a larger component than its own sits. A group of G near
-   copies costs rows in proportion to G.
+4. Only the components of links matter, so links inside a component are never listed. Stars come first: in each key's bucket the
+   members meet ``HUBS`` of them. Then the exact join looks for links between different components only, from the smaller of the
+   two: a fingerprint looks up a key only where a larger component than its own sits. A group of G near copies costs rows in
+   proportion to G.
 
 Candidates at scale: with N distinct fingerprints a fingerprint meets about N * 70 / 2**26 others, each checked by a few JVM bit operations inside the join.
 """
@@ -31,7 +31,8 @@ from .scratch import Scratch
 SEED, SIZE, MOST = 42, 4, 4
 #: (lowest bit, width) of the ring's segments.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-STAR_ROUNDS = 3
+#: Members of each bucket that its stars surround.
+HUBS = 3
 
 
 def fingerprints(column: pa.Array, size: int = SIZE) -> Iterator[int]:
@@ -111,33 +112,24 @@ def links_of(nodes: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """(node, component) of the fingerprints (fp, distinct) that have links: 64-bit words linked if they differ in at most ``most`` (4 or fewer) bits."""
     if not 0 <= most <= MOST:
         raise ValueError(f"the ring of {len(SEGMENTS)} segments finds links of at most {MOST} differing bits")
-    found = scratch.put(nodes.limit(0).select(F.col("fp").alias("node"), F.col("fp").alias("component")), "found")
-
-    def ranked() -> DataFrame:
-        """Fingerprints with their component, larger components with a larger rank."""
-        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        known = found.join(sizes, "component").select(F.col("node").alias("fp"), "component", "members")
-        joined = nodes.join(known, "fp", "left")
-        return scratch.put(joined.select("fp", F.struct(F.coalesce("members", F.lit(1).cast("long")).alias("members"), F.coalesce("component", "fp").alias("component")).alias("rank")), "ranked")
-
-    now = ranked()
-    for round_ in range(STAR_ROUNDS):
-        kept = _kept(now)
-        hubs = kept.groupBy("key").agg(F.max(F.struct("rank", F.xxhash64(F.col("fp"), F.lit(round_)), "fp")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key", F.col("hub.fp").alias("hub"), F.col("hub.rank").alias("hub_rank"))
-        stars = kept.join(hubs, "key").where(F.col("rank") < F.col("hub_rank")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= most)
-        new = scratch.put(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-        if new.isEmpty():
-            break
-        found = scratch.put(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), scratch), "found")
-        now = ranked()
+    # Spark takes an exploded table to be about as large as the one before, and would broadcast 5 or 70 times what it may: keys are joined by merging
+    kept = _kept(nodes)
+    hubs = kept.groupBy("key").agg(*(F.max(F.struct(F.xxhash64(F.col("fp"), F.lit(k)), "fp"))["fp"].alias(f"hub{k}") for k in range(HUBS)), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    near = F.filter(F.array_distinct(F.array(*(f"hub{k}" for k in range(HUBS)))), lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= most))
+    found = components(kept.join(hubs.hint("merge"), "key").select(F.col("fp").alias("a"), F.explode(near).alias("b")), scratch)
+    # fingerprints with their component, larger components with a larger rank
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    known = found.join(sizes, "component").select(F.col("node").alias("fp"), F.struct("members", "component").alias("rank"))
+    alone = F.struct(F.lit(1).cast("long").alias("members"), F.col("fp").alias("component"))
+    now = scratch.put(nodes.join(known, "fp", "left").select("fp", F.coalesce("rank", alone).alias("rank")), "ranked")
     kept = _kept(now).select("key", F.col("fp").alias("other"), F.col("rank").alias("other_rank"))
     top = kept.groupBy("key").agg(F.max("other_rank").alias("top"))
-    asked = _looked_up(now).join(top, "key").where(F.col("rank") < F.col("top")).drop("top")
-    pairs = asked.join(kept, "key").where(F.col("rank") < F.col("other_rank")).where(_chain_holds("fp", "other", "key", most))
+    asked = _looked_up(now).join(top.hint("merge"), "key").where(F.col("rank") < F.col("top")).drop("top")
+    pairs = asked.join(kept.hint("merge"), "key").where(F.col("rank") < F.col("other_rank")).where(_chain_holds("fp", "other", "key", most))
     # one link from a fingerprint into each component will do
     new = scratch.put(pairs.groupBy("fp", "other_rank").agg(F.min("other").alias("other")).select(F.col("fp").alias("a"), F.col("other").alias("b")), "links")
     if not new.isEmpty():
-        found = scratch.put(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), scratch), "found")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new), scratch)
     return found
 
 

@@ -220,6 +220,24 @@ def test_links_equal_all_pairs(spark, most):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """A table of 5 or 70 keys for each fingerprint is far larger than Spark takes it to be: small as it looks, the driver never gets it."""
+    from sparkloom.llm.scratch import Scratch
+
+    plans = []
+
+    class Watched(Scratch):
+        def put(self, df, name, replace=False):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().put(df, name, replace)
+
+    scratch = Watched(spark, "t")
+    nodes = scratch.put(spark.createDataFrame([(k * k << 7,) for k in range(300)], "fp long"), "nodes")
+    assert sh.links_of(nodes, 4, scratch).count()
+    keyed = [p for p in plans if "key#" in p]
+    assert len(keyed) > 1 and not any("Broadcast" in p for p in keyed)
+
+
 def test_every_pair_within_the_limit_keeps_a_chain(spark):
     """Pigeonring: whatever up to 4 bits differ, one start's chains keep their budgets; a key of that start is looked up."""
     rng = random.Random(9)
