@@ -36,9 +36,10 @@ def sarif_edges(results: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def findings(nodes: DataFrame, cwes: DataFrame, least: float = 0.3) -> DataFrame:
     """SINK and SENSITIVE nodes of some confidence, with what is known of their CWE; severity HIGH for sinks and MEDIUM else where it isn't."""
+    # F.round(x, 2) rounds the decimals that a double prints (0.285 to 0.29), SQL engines the double times 100 (28.499999999999996)
     f = nodes.where(F.col("label").isin("SINK", "SENSITIVE") & (F.col("confidence") >= least))
     j = f.join(cwes, "cwe", "left")
-    return j.withColumn("severity", F.coalesce("cwe_severity", F.when(F.col("label") == "SINK", "HIGH").otherwise("MEDIUM"))).withColumns({"confidence": F.round("confidence", 2), "title": F.coalesce("cwe_name", F.lit("Unclassified"))}).drop("cwe_name", "cwe_severity")
+    return j.withColumn("severity", F.coalesce("cwe_severity", F.when(F.col("label") == "SINK", "HIGH").otherwise("MEDIUM"))).withColumns({"confidence": F.round(F.col("confidence") * 100) / 100, "title": F.coalesce("cwe_name", F.lit("Unclassified"))}).drop("cwe_name", "cwe_severity")
 
 
 def findings_order() -> list[Column]:

@@ -44,3 +44,13 @@ def test_flagship_has_rows(spark, data):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_confidence_is_rounded_as_sql_does(spark):
+    """Every confidence of three decimals, half of the last ones a tie in print only."""
+    from sparkloom.functions import dims
+    from sparkloom.operators import findings as fi
+
+    want = dict(duckdb.sql("select k, round(k / 10.0::double / 100, 2) from range(300, 1001) t(k)").fetchall())
+    nodes = spark.range(300, 1001).selectExpr("cast(id as string) as node_id", "'a' as file_path", "id as line", "'python' as language", "'SINK' as label", "'CWE-1' as cwe", "id / 10D / 100 as confidence", "'' as raw_text")
+    assert {r.line: r.confidence for r in fi.serialised(nodes, dims.frame(spark, "cwes")).collect()} == want
