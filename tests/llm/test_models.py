@@ -83,6 +83,39 @@ def test_quality_without_labels(spark, judged):
     assert q.quality_verdicts(docs.where("false"), labels).count() == 0
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Counts of leaves and the threshold against brute force over 9,000 labelled documents, more than were once sampled; however they are dealt."""
+    from sparkloom.llm.scratch import Scratch
+
+    words = "concat_ws(' ', transform(sequence(1, 60), x -> substr(md5(concat(id, '-', x)), 1, 2 + (x + id) % 5)))"
+    docs = spark.range(9000).selectExpr("id as doc_id", f"if(id % 50 = 0, concat_ws(' ', transform(split({words}, ' '), x -> concat(upper(x), '!'))), {words}) as text")
+    labels = spark.range(9000).selectExpr("id as doc_id", "int(id % 50 <> 0) as quality")
+    scratch = Scratch(spark, "t")
+    counts = q.counted(docs, scratch)
+    forest, threshold = q.fit(counts, labels, scratch)
+    rows = counts.selectExpr("*", f"pmod(xxhash64(doc_id, {q.SEED}), 2) as role").collect()
+    s = np.array([[r[c] for c in q._COUNTS] for r in rows])
+    bad, role = np.array([r.doc_id % 50 == 0 for r in rows]), np.array([r.role for r in rows])
+    x, usable = q.ratios(s), ~q.base_failed(s)
+    train = x[usable & ~bad & (role == 0)]
+    inside = np.array([np.bincount(leaf, minlength=q.LEAVES) for leaf in forest.leaves(train)])
+    assert inside.sum() == q.TREES * len(train) and len(train) > 4000
+    path = forest.path
+    forest.counted(inside.astype(float))
+    assert np.array_equal(path, forest.path)
+    good, caught = np.sort(forest.score(x[usable & ~bad & (role == 1)]))[::-1], forest.score(x[usable & bad])
+    limit = good[int(q.LEAVE * len(good))]
+    assert threshold == (limit + caught[caught > limit].min()) / 2 and (caught > threshold).mean() > 0.97
+    again, same = q.fit(counts.repartition(7), labels, scratch)
+    assert same == threshold and np.array_equal(again.path, forest.path) and np.array_equal(again.cut, forest.cut)
+
+
+def test_kth_largest(spark):
+    values = [*np.random.default_rng(0).random(300).tolist(), *[0.25] * 40, *(0.5 + k * 2.0**-50 for k in range(20))]
+    scores = spark.createDataFrame([(v,) for v in values], "score double").cache()
+    assert [q.kth_largest(scores, k) for k in (0, 140, 150, 359)] == [sorted(values)[::-1][k] for k in (0, 140, 150, 359)]
+
+
 def test_toxicity_held_out(judged):
     docs, labels = judged
     got = tox.toxicity(docs, labels).collect()
