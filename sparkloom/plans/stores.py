@@ -82,8 +82,8 @@ def edge_upserts(s, d):
     nodes = n.where("t <> 'LITERAL'").select(F.col("file").alias("session_id"), F.col("id").alias("node_id"))
     edges = gr.cfg_next(n).select(F.col("file").alias("session_id"), "src", "dst", "edge_type", tx.edge_id(F.col("src"), F.col("dst"), F.col("edge_type")).alias("edge_id"))
     for _ in range(2):
-        wr.write_edges(s, edges, nodes, path)
-    return s.read.parquet(path).select(F.col("session_id").cast("string"), "src", "dst")
+        wr.write_edges(s, edges, nodes, path, buckets=64)
+    return s.read.parquet(path).select("session_id", "src", "dst")
 
 
 @register("point_updates", "select 'n' || doc_id as node_id, case when lang = 'fr' then 'francais' else lang end as label from documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import dims
+from .writers import bucket
 
 SARIF_SCHEMA = """struct<runs:array<struct<
  tool:struct<driver:struct<name:string,rules:array<struct<id:string,properties:struct<tags:array<string>>>>>>,
@@ -168,8 +169,10 @@ def catalog(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def session_rows(spark: SparkSession, path: str, session: str, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Rows of one session from a table partitioned by session: only its partition is listed and only the columns asked for are read."""
-    rows = spark.read.parquet(path).where(F.col("session_id") == session)
+    """Rows of one session from a table partitioned by session or buckets of sessions: only its partition is read, and of it only the columns asked for."""
+    rows = spark.read.parquet(path)
+    found = bucket(rows.columns, F.lit(session))
+    rows = (rows.where(F.col(found[0]) == found[1]).drop(found[0]) if found else rows).where(F.col("session_id") == session)
     rows = rows.select(*columns) if columns else rows
     return rows.orderBy(*order) if order else rows
 

@@ -1,8 +1,10 @@
-"""Sinks: graph tables as partitioned Parquet with upsert, session deletes, delivery of verified files, documents and audit rows."""
+"""Sinks: graph tables as Parquet partitioned by session or buckets of sessions, with upsert, session deletes, delivery of verified files, documents and audit rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..scratch import Scratch
 
@@ -12,50 +14,88 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def upsert(spark: SparkSession, rows: DataFrame, path: str, key: list[str], order: str | None = None, partition: str = "session_id") -> None:
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The table with what its folders' names say as text: Spark would read session ids like numbers as numbers."""
+    kinds = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", kinds)
+
+
+def bucket(columns: list[str], session: Column) -> tuple[str, Column] | None:
+    """A table's column of buckets and the bucket of a session there; None where each session has a folder of its own. The column's name tells how many there are."""
+    name = next((c for c in columns if re.fullmatch(r"_of\d+", c)), None)
+    return (name, F.pmod(F.xxhash64(session.cast("string")), F.lit(int(name[3:]))).cast("string")) if name else None
+
+
+def upsert(spark: SparkSession, rows: DataFrame, path: str, key: list[str], order: str | None = None, partition: str = "session_id", buckets: int | None = None) -> None:
     """Merge rows by key into a table partitioned by session: of several new rows the last by order, overlaid on the old one.
 
     A null of the new row keeps the old row's value, as setting properties would. Without an order, the row of the greatest hash of all columns is
-    the last. Only partitions that get rows are rewritten (dynamic overwrite). The merge is written to the shared folder first, as a table
+    the last. Each session has its folder, or, for a new table of many sessions, one of so many buckets: the number of files is bounded then. Only
+    folders whose rows change are rewritten (dynamic overwrite), their rows sorted by session and key. The merge is written to the shared folder first, as a table
     can't be read and overwritten in one job.
     """
     last = F.row_number().over(Window.partitionBy(partition, *key).orderBy(F.desc(order) if order else F.xxhash64(*rows.columns).desc()))
     rows = rows.withColumn("_r", last).where("_r = 1").drop("_r")
-    if _exists(spark, path):
-        on, old = [partition, *key], spark.read.parquet(path)
-        touched = old.join(rows.select(partition).distinct(), partition, "left_semi")
-        both = touched.select(*on, F.struct(*old.columns).alias("_old")).join(rows.select(*on, F.struct(*rows.columns).alias("_new")), on, "full")
-
-        def value(c: str):
-            sides = [F.col(f"{side}.`{c}`") for side, df in (("_new", rows), ("_old", old)) if c in df.columns]
-            return F.coalesce(*sides).alias(c)
-
-        merged = both.select(*on, *[value(c) for c in dict.fromkeys([*rows.columns, *old.columns]) if c not in on])
-        rows = Scratch(spark, "upsert").put(merged, "merged")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
-def write_edges(spark: SparkSession, edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    old = _stored(spark, path) if _exists(spark, path) else None
+    found = bucket(old.columns if old else [f"_of{buckets}"] if buckets else [], F.col(partition))
+    place = found[0] if found else partition
+    rows = rows.withColumn(*found) if found else rows
+    if old:
+        scratch, on = Scratch(spark, "upsert"), [partition, *key]
+        rows, old = scratch.put(rows, "new"), old.withColumn(partition, F.col(partition).cast(rows.schema[partition].dataType))
+
+        def those(df: DataFrame, places: DataFrame) -> DataFrame:
+            places = places.select(F.col(place).alias("_place")).distinct()
+            return df.join(places, F.col(place).eqNullSafe(F.col("_place")), "left_semi")
+
+        def value(c: str) -> Column:
+            return F.coalesce(*(F.col(f"{side}.`{c}`") for side, df in (("_new", rows), ("_old", old)) if c in df.columns))
+
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(f"_old.`{c}`").eqNullSafe(F.col(f"_new.`{c}`"))
+        both = those(old, rows).select(F.struct(*old.columns).alias("_old")).join(rows.select(F.struct(*rows.columns).alias("_new")), same, "full")
+        columns = list(dict.fromkeys([*on, *rows.columns, *old.columns]))
+        merged = both.select("_old", *[value(c).alias(c) for c in columns])
+        if {f.name: f.dataType for f in old.schema} == {f.name: f.dataType for f in merged.schema if f.name != "_old"}:
+            equal = F.col("_old").isNotNull()
+            for c in columns:
+                equal = equal & F.col(f"_old.`{c}`").eqNullSafe(F.col(f"`{c}`"))
+        else:
+            equal = F.lit(False)
+        merged = scratch.put(merged.withColumn("_equal", equal).drop("_old"), "merged")
+        rows = those(merged, merged.where("not _equal")).drop("_equal")
+    rows = rows.hint("rebalance", place).sortWithinPartitions(*dict.fromkeys([place, partition, *key]))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(place).parquet(path)
+
+
+def write_edges(spark: SparkSession, edges: DataFrame, nodes: DataFrame, path: str, buckets: int | None = None) -> None:
     """Upsert of edges whose two ends are nodes of their session; others are dropped, as a graph store's match would."""
     ids = nodes.select("session_id", F.col("node_id"))
     known = edges.join(ids.withColumnRenamed("node_id", "src"), ["session_id", "src"], "left_semi").join(ids.withColumnRenamed("node_id", "dst"), ["session_id", "dst"], "left_semi")
-    upsert(spark, known, path, ["edge_id"])
+    upsert(spark, known, path, ["edge_id"], buckets=buckets)
 
 
 def delete_session(spark: SparkSession, path: str, session: str) -> int:
-    """Drop a session's partition; the number of rows it had.
+    """Drop a session's partition, or its rows of its bucket; the number of rows it had.
 
-    The partition's folder is taken from the files that hold the session's rows, as Spark escapes what a path can't hold.
+    The folder is taken from the files that hold the session's rows, as Spark escapes what a path can't hold.
     """
-    # as text: Spark would read session ids like numbers as numbers
-    kinds = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    try:
-        mine = spark.read.parquet(path).where(F.col("session_id") == session)
-        n = mine.count()
-        folders = [r[0] for r in mine.select(F.regexp_extract(F.input_file_name(), r"^(.*/session_id=[^/]*)/[^/]*$", 1)).distinct().collect()]  # one folder
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", kinds)
+    table = _stored(spark, path)
+    found = bucket(table.columns, F.lit(session))
+    here = table.where(F.col(found[0]) == found[1]) if found else table
+    mine = here.where(F.col("session_id") == session)
+    n = mine.count()
+    if found:
+        rest = here.where(~F.col("session_id").eqNullSafe(session))
+        if n and not rest.isEmpty():
+            Scratch(spark, "deleted").put(rest, "rest").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(found[0]).parquet(path)
+            return n
+    folders = [r[0] for r in mine.select(F.regexp_extract(F.input_file_name(), r"^(.*/(?:session_id|_of\d+)=[^/]*)/[^/]*$", 1)).distinct().collect()]  # one folder
     for folder in folders:
         where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

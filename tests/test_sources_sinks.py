@@ -105,6 +105,46 @@ def test_upsert_and_delete(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def _files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_upsert_writes_a_file_a_session_and_only_what_changes(spark, tmp_path):
+    path, schema = tmp_path / "t", "session_id string, node_id string, v int"
+    rows = [(s, f"n{k}", k) for s in ("007", "7", "a/b", None) for k in range(40)]
+    wr.upsert(spark, spark.createDataFrame(rows, schema).repartition(4), str(path), ["node_id"])
+    first = _files(path)
+    assert len(first) == 4
+    wr.upsert(spark, spark.createDataFrame(rows, schema), str(path), ["node_id"])
+    assert _files(path) == first
+    wr.upsert(spark, spark.createDataFrame([("7", "n1", -1), ("7", "n2", None)], schema), str(path), ["node_id"])
+    assert len(set(_files(path)) & set(first)) == 3
+    want = [(s, n, -1 if (s, n) == ("7", "n1") else v) for s, n, v in rows]
+    got = spark.read.schema("node_id string, v int, session_id string").parquet(str(path)).select("session_id", "node_id", "v")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_many_sessions_in_buckets(spark, tmp_path):
+    path, schema = tmp_path / "t", "session_id string, edge_id string, v int"
+    rows = [(f"{s:03}", f"e{k}", k) for s in range(60) for k in range(4)]
+    wr.upsert(spark, spark.createDataFrame(rows, schema).repartition(4), str(path), ["edge_id"], buckets=5)
+    first = _files(path)
+    assert len(first) == 5
+    wr.upsert(spark, spark.createDataFrame(rows, schema), str(path), ["edge_id"])
+    assert _files(path) == first
+    wr.upsert(spark, spark.createDataFrame([("003", "e1", 9), ("003", "new", 8)], schema), str(path), ["edge_id"])
+    assert len(set(_files(path)) & set(first)) == 4
+    want = {(s, e): v for s, e, v in rows} | {("003", "e1"): 9, ("003", "new"): 8}
+    one = rd.session_rows(spark, str(path), "003")
+    assert sorted(one.columns) == ["edge_id", "session_id", "v"] and {(r.session_id, r.edge_id): r.v for r in one.collect()} == {k: v for k, v in want.items() if k[0] == "003"}
+    assert wr.delete_session(spark, str(path), "3") == 0 and wr.delete_session(spark, str(path), "003") == 5 and wr.delete_session(spark, str(path), "003") == 0
+    got = spark.read.parquet(str(path)).collect()
+    assert len(got) == 236 and {(r.session_id, r.edge_id): r.v for r in got} == {k: v for k, v in want.items() if k[0] != "003"}
+    # a bucket of one session goes with it
+    wr.upsert(spark, spark.createDataFrame([("x", "e", 1)], schema), str(tmp_path / "one"), ["edge_id"], buckets=5)
+    assert wr.delete_session(spark, str(tmp_path / "one"), "x") == 1 and not _files(tmp_path / "one")
+
+
 def test_edges_need_nodes(spark, tmp_path):
     nodes = spark.createDataFrame([("s", "a"), ("s", "b")], "session_id string, node_id string")
     edges = spark.createDataFrame([("s", "e1", "a", "b"), ("s", "e2", "a", "zz")], "session_id string, edge_id string, src string, dst string")
