@@ -31,18 +31,35 @@ class Program:
     calls: DataFrame
 
 
-def link_calls(nodes: DataFrame) -> DataFrame:
+@dataclass
+class Named:
+    """Calls by name. near: call, caller, function of the call's file. far: call, caller, called, a name that no function of the call's file has; it calls them all. functions: function, called, its name."""
+
+    near: DataFrame
+    far: DataFrame
+    functions: DataFrame
+
+
+def calls_by_name(nodes: DataFrame, scratch: Scratch) -> Named:
+    """Calls of nodes (file, id, t, name, parent_function), written out. Methods are called by their last name part; a call outside any function has a null caller."""
+    last = F.when(F.col("t") == "CALL", F.regexp_extract("name", r"([^.]*)$", 1)).otherwise(F.col("name"))
+    held = scratch.put(nodes.where("t = 'CALL' or t = 'FUNCTION' and name <> ''").select("file", "t", "id", last.alias("called"), "parent_function"), "named")
+    calls = held.where("t = 'CALL'").select("file", F.col("id").alias("call"), F.col("parent_function").alias("caller"), "called")
+    functions = held.where("t = 'FUNCTION'").select("file", F.col("id").alias("function"), "called")
+    near = scratch.put(calls.join(functions, ["file", "called"]).select("call", "caller", "function"), "near")
+    far = scratch.put(calls.join(near.select("call").distinct(), "call", "left_anti").select("call", "caller", "called"), "far")
+    return Named(near, far, functions.select("function", "called"))
+
+
+def link_calls(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """call, caller, function for CALL nodes by name: the functions of that name in the same file, else those of any file.
 
     nodes: file, id, t, name, parent_function. Methods are called by their last name part. A call of an unknown name is left out; one
     outside any function has a null caller.
     """
-    last = F.regexp_extract("name", r"([^.]*)$", 1)
-    calls = nodes.where("t = 'CALL'").select("file", F.col("id").alias("call"), F.col("parent_function").alias("caller"), last.alias("called"))
-    functions = nodes.where("t = 'FUNCTION' and name <> ''").select(F.col("file").alias("at"), F.col("id").alias("function"), F.col("name").alias("called"))
-    near = calls.join(functions, (calls["called"] == functions["called"]) & (calls["file"] == functions["at"])).select("call", "caller", "function")
-    far = calls.join(near.select("call").distinct(), "call", "left_anti").join(functions, "called").select("call", "caller", "function")
-    return near.unionByName(far)
+    scratch = scratch or Scratch(nodes.sparkSession, "links")
+    named = calls_by_name(nodes, scratch)
+    return named.near.unionByName(named.far.join(named.functions, "called").select("call", "caller", "function"))
 
 
 def reserved_edges(program: Program) -> DataFrame:
@@ -66,18 +83,26 @@ def _spread(start: DataFrame, edges: DataFrame, scratch: Scratch, name: str) ->
     return seen
 
 
-def call_components(calls: DataFrame, functions: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def call_components(calls: DataFrame, functions: DataFrame, scratch: Scratch | None = None, by_name: Named | None = None) -> DataFrame:
     """function, component, recursive, level: strongly connected components of the call graph and their place in the condensed graph.
 
     calls: caller, function; functions: function. A component is named by its largest function; recursive says that its functions can
     call themselves; level is 0 where nothing is called, else one more than the highest level called. Functions on no cycle are trimmed
     off first, from both ends; what is left is coloured by the largest function that reaches it, and each colour's own function searched
-    backwards, until no edge is left.
+    backwards, until no edge is left. With by_name, its far calls count as well: a name is a node that its calls lead to and that leads to its functions,
+    whose pairs are never listed. Being a step of no length, it changes neither components nor levels; it sorts below all functions, so it names none.
     """
     scratch = scratch or Scratch(calls.sparkSession, "components")
-    every = scratch.put(functions.select("function").where("function is not null").distinct(), "functions")
+    every, pairs, is_name = functions.select("function"), calls.select("caller", "function"), F.lit(False)
+    if by_name:
+        as_function, as_name, is_name = lambda c: F.concat(F.lit("="), c), lambda c: F.concat(F.lit(" "), c), F.col("component").startswith(" ")
+        names = by_name.functions.select("called").distinct()
+        every = every.select(as_function("function").alias("function")).unionByName(names.select(as_name("called").alias("function")))
+        pairs = pairs.select(as_function("caller").alias("caller"), as_function("function").alias("function"))
+        pairs = pairs.unionByName(by_name.far.select(as_function("caller").alias("caller"), as_name("called").alias("function"))).unionByName(by_name.functions.select(as_name("called").alias("caller"), as_function("function").alias("function")))
+    every = scratch.put(every.where("function is not null").distinct(), "functions")
     known = every.withColumnRenamed("function", "src"), every.withColumnRenamed("function", "dst")
-    edges = calls.select(F.col("caller").alias("src"), F.col("function").alias("dst")).distinct().join(known[0], "src", "left_semi").join(known[1], "dst", "left_semi")
+    edges = pairs.toDF("src", "dst").distinct().join(known[0], "src", "left_semi").join(known[1], "dst", "left_semi")
     edges = scratch.put(edges, "edges")
     own = edges.where("src = dst").select(F.col("src").alias("function")).distinct()
     left, size = scratch.put(edges.where("src <> dst"), "left"), -1
@@ -108,13 +133,20 @@ def call_components(calls: DataFrame, functions: DataFrame, scratch: Scratch | N
     recursive = named.join(own, "function", "left_semi").select("component").union(several).distinct().withColumn("recursive", F.lit(True))
     to = named.select(F.col("function").alias("src"), F.col("component").alias("up")), named.select(F.col("function").alias("dst"), F.col("component").alias("down"))
     between = scratch.put(edges.join(to[0], "src").join(to[1], "dst").where("up <> down").select("up", "down").distinct(), "between")
-    # a level at a time: components all of whose callees have theirs
+    # a level at a time: components all of whose callees have theirs; a name that is in none with a function is open as long as one of its functions
     levels, open_, level = named.limit(0).select("component", F.lit(0).alias("level")), scratch.put(named.select("component").distinct(), "open"), 0
+
+    def waiting(which: DataFrame) -> DataFrame:
+        return between.join(which.select(F.col("component").alias("down")), "down", "left_semi").select(F.col("up").alias("component")).distinct()
+
     while not open_.isEmpty():
-        waits = between.join(open_.withColumnRenamed("component", "down"), "down", "left_semi").select(F.col("up").alias("component")).distinct()
-        ready = scratch.put(open_.join(waits, "component", "left_anti").withColumn("level", F.lit(level)), "ready")
+        ready = scratch.put(open_.where(~is_name).join(waiting(open_), "component", "left_anti").withColumn("level", F.lit(level)), "ready")
         levels, open_, level = levels.unionByName(ready), scratch.put(open_.join(ready, "component", "left_anti"), "open"), level + 1
-    return named.join(levels, "component").join(recursive, "component", "left").select("function", "component", F.coalesce("recursive", F.lit(False)).alias("recursive"), "level")
+        if by_name:
+            open_ = scratch.put(open_.where(~is_name).unionByName(open_.where(is_name).join(waiting(open_), "component", "left_semi")), "open")
+    out = named.join(levels, "component").join(recursive, "component", "left").select("function", "component", F.coalesce("recursive", F.lit(False)).alias("recursive"), "level")
+    plain = lambda c: F.substring(c, F.lit(2), F.length(c)).alias(c)
+    return out.where(~F.col("function").startswith(" ")).select(plain("function"), plain("component"), "recursive", "level") if by_name else out
 
 
 def _call_steps(program: Program, found: DataFrame) -> DataFrame:

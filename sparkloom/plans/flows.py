@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import graph as gr, interproc as ip
+from ..scratch import Scratch
 from .queries import DEFS, N, register, sequence
 
 CALLS = f"""{N}, fn as (select b.file, b.id, arg_min(a.id, (a.end_line - a.line) * 1000000000 + a.ord) as parent_function from n a join n b
@@ -14,16 +15,16 @@ CALLS = f"""{N}, fn as (select b.file, b.id, arg_min(a.id, (a.end_line - a.line)
 
 
 def functions_and_calls(s, d):
-    n = sequence(s, d)
+    """The nodes that are functions and calls, with what they are in."""
+    n = sequence(s, d).where("t in ('FUNCTION', 'CALL')")
     # of equal spans the earlier node counts; ids compare as text, so they are padded for it
     padded = n.withColumn("id", F.concat(F.lit("e"), F.lpad(F.col("ord").cast("string"), 12, "0")))
-    held = gr.enclosing(padded).select("file", "t", "name", F.expr("concat('e', cast(substring(id, 2) as bigint))").alias("id"), F.expr("concat('e', cast(substring(parent_function, 2) as bigint))").alias("parent_function"))
-    return held.where("t = 'FUNCTION'").select(F.col("id").alias("function")), ip.link_calls(held)
+    return gr.enclosing(padded).select("file", "t", "name", F.expr("concat('e', cast(substring(id, 2) as bigint))").alias("id"), F.expr("concat('e', cast(substring(parent_function, 2) as bigint))").alias("parent_function"))
 
 
 @register("call_links", f"with {CALLS} select call, caller, function from g")
 def call_links(s, d):
-    return functions_and_calls(s, d)[1]
+    return ip.link_calls(functions_and_calls(s, d))
 
 
 @register("call_components", f"""with recursive {CALLS}, e as (select distinct caller as src, function as dst from g where caller is not null), v as (select id from n where t = 'FUNCTION'),
@@ -34,8 +35,10 @@ def call_links(s, d):
  l(component, level) as (select component, 0 from comp union select ce.up, l.level + 1 from l join ce on ce.down = l.component)
  select comp.id as function, comp.component, recursive, level from comp join (select component, max(level) as level from l group by 1) using (component)""")
 def call_components(s, d):
-    functions, calls = functions_and_calls(s, d)
-    return ip.call_components(calls, functions)
+    scratch = Scratch(s, "components")
+    held = scratch.put(functions_and_calls(s, d), "held")
+    named = ip.calls_by_name(held, scratch)
+    return ip.call_components(named.near, held.where("t = 'FUNCTION'").select(F.col("id").alias("function")), scratch, named)
 
 
 #: A user's events are a function here, named by the user; its calls go to the users 2u + 1 and 2u + 2, and a call's value to the assignment or return behind it.

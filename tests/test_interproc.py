@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from sparkloom.operators import interproc as ip
+from sparkloom.scratch import Scratch
 
 SCHEMAS = {"flows": "src string, dst string", "args": "call string, position int, arg string", "params": "function string, position int, param string", "returns": "function string, ret string", "calls": "call string, caller string, function string"}
 
@@ -122,6 +123,46 @@ def test_components_equal_mutual_reach(spark, seed):
     assert {n: (r.component, r.recursive, r.level) for n, r in got.items()} == {n: (comp[n], n in to[n], level[n]) for n in names}
 
 
+NODES = "file string, id string, t string, name string, parent_function string"
+
+
+def random_nodes(rng, files, functions, calls, names):
+    """Functions of files, calls in them or outside, of names that their file has, others have, or none has."""
+    made = [(f"a{k % files}", f"f{k:02}", "FUNCTION", rng.choice(["", *names]), None) for k in range(functions)]
+    return made + [(f := rng.choice(made), (f[0], f"c{k}", "CALL", rng.choice(["", "x.y."]) + rng.choice([*names, "unknown"]), f[1] if rng.random() < 0.9 else None))[1] for k in range(calls)]
+
+
+def linked(nodes):
+    out = []
+    for file, call, t, name, caller in nodes:
+        if t == "CALL":
+            those = [(f, g) for f, g, kind, n, _ in nodes if kind == "FUNCTION" and n and n == name.rsplit(".", 1)[-1]]
+            near = [g for f, g in those if f == file]
+            out += [(call, caller, g) for g in near or [g for _, g in those]]
+    return out
+
+
+@pytest.mark.parametrize("seed,calls", [(1, 14), (2, 25), (3, 60)])
+def test_components_through_names(spark, seed, calls):
+    """Names in place of their pairs: the same components, recursion and levels as with the pairs."""
+    nodes = random_nodes(random.Random(seed), 15, 40, calls, [f"n{k}" for k in range(12)])
+    df = spark.createDataFrame(nodes, NODES)
+    functions, scratch = df.where("t = 'FUNCTION'").selectExpr("id as function"), Scratch(spark, "names")
+    named = ip.calls_by_name(df, scratch)
+    got = ip.call_components(named.near, functions, scratch, named).collect()
+    want = ip.call_components(spark.createDataFrame(linked(nodes), "call string, caller string, function string"), functions).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 40 and max(r.level for r in got)
+
+
+def test_components_do_not_list_the_pairs_of_a_name(spark):
+    n = spark.range(4000).selectExpr("concat('a', cast(id / 2 as int)) as file", "concat('e', id) as id", "if(id % 2 = 0, 'FUNCTION', 'CALL') as t", "if(id % 4 < 2, if(id % 2 = 0, 'n', 'm'), if(id % 2 = 0, 'm', 'n')) as name", "if(id % 2 = 1, concat('e', id - 1), null) as parent_function")
+    scratch = Scratch(spark, "pairs")
+    named = ip.calls_by_name(n, scratch)
+    got = ip.call_components(named.near, n.where("t = 'FUNCTION'").selectExpr("id as function"), scratch, named).collect()
+    assert {(r.component, r.recursive, r.level) for r in got} == {("e998", True, 0)} and len(got) == 2000
+    assert max(spark.read.parquet(p).count() for p in scratch.made if not p.endswith("-gone")) <= 4000
+
+
 def test_empty_program(spark):
     program = ip.Program(**{k: spark.createDataFrame([], v) for k, v in SCHEMAS.items()})
     assert ip.summaries(program).collect() == []
