@@ -51,6 +51,33 @@ def calls_by_name(nodes: DataFrame, scratch: Scratch) -> Named:
     return Named(near, far, functions.select("function", "called"))
 
 
+#: Where calls meet all functions of their name, about: calls of a part, functions of a block, blocks of a group, pairs that a task lists.
+PART, BLOCK, GROUP, PAIRS = 1024, 128, 128, 1 << 23
+
+
+def _pairs(far: DataFrame, functions: DataFrame, scratch: Scratch) -> DataFrame:
+    """call, caller, function: each call with each function of its name.
+
+    These are as many as both sides of a name multiplied, and so is the work, but not what is shuffled: parts of calls and blocks of functions are arrays, the
+    blocks copied for each part of their name, the parts for each group of blocks. The tasks are as many as the pairs ask for; a row of a task is one
+    block and one part. A block is listed for one call after another, which repeats within what a column's compression sees, however many functions a name has.
+    """
+    n, m = F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("m")
+    parts, blocks = F.ceil(F.col("n") / PART).alias("parts"), F.ceil(F.col("m") / BLOCK).alias("blocks")
+    sizes = far.groupBy("called").agg(n).join(functions.groupBy("called").agg(m), "called").select("called", parts, blocks, (F.col("n") * F.col("m")).alias("pairs"))
+    sizes = scratch.put(sizes, "sizes")
+    tasks = 1 + (sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
+    left = functions.join(sizes, "called").groupBy("called", "parts", F.pmod(F.xxhash64("function"), "blocks").alias("block")).agg(F.collect_list("function").alias("functions"))
+    left = left.select("called", "functions", F.floor(F.col("block") / GROUP).alias("group"), upto(F.col("parts")).alias("part"))
+    right = far.join(sizes, "called").groupBy("called", "blocks", F.pmod(F.xxhash64("call"), "parts").alias("part")).agg(F.collect_list(F.struct("call", "caller")).alias("calls"))
+    right = right.select("called", "calls", upto(F.ceil(F.col("blocks") / GROUP)).alias("group"), "part")
+    key = ["called", "group", "part"]
+    # by merging: a block meets one part, and what both list is all that a task holds of the pairs at once
+    both = left.repartition(tasks, *key).join(right.repartition(tasks, *key).hint("merge"), key)
+    return both.select("functions", F.explode("calls").alias("c")).select("c.call", "c.caller", F.explode("functions").alias("function"))
+
+
 def link_calls(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """call, caller, function for CALL nodes by name: the functions of that name in the same file, else those of any file.
 
@@ -59,7 +86,7 @@ def link_calls(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(nodes.sparkSession, "links")
     named = calls_by_name(nodes, scratch)
-    return named.near.unionByName(named.far.join(named.functions, "called").select("call", "caller", "function"))
+    return named.near.unionByName(_pairs(named.far, named.functions, scratch))
 
 
 def reserved_edges(program: Program) -> DataFrame:

@@ -142,6 +142,24 @@ def linked(nodes):
     return out
 
 
+@pytest.mark.parametrize("sizes", [(1024, 128, 128, 1 << 23), (3, 2, 2, 40)])
+def test_links_equal_a_loop(spark, monkeypatch, sizes):
+    for name, value in zip(("PART", "BLOCK", "GROUP", "PAIRS"), sizes, strict=True):
+        monkeypatch.setattr(ip, name, value)
+    nodes = random_nodes(random.Random(5), 9, 60, 80, ["n1", "n2", "n3", "n4"])
+    got = [tuple(r) for r in ip.link_calls(spark.createDataFrame(nodes, NODES)).collect()]
+    assert sorted(got, key=repr) == sorted(linked(nodes), key=repr) and len(got) > 200
+    assert ip.link_calls(spark.createDataFrame(nodes[:60], NODES)).collect() == []
+
+
+def test_links_of_a_name_with_many_functions_are_small(spark, tmp_path):
+    """4,000,000 links, written in less than half a byte each."""
+    n = spark.range(20_200).selectExpr("concat('a', id) as file", "concat('e', id * 7919) as id", "if(id < 200, 'CALL', 'FUNCTION') as t", "'n' as name", "cast(null as string) as parent_function")
+    ip.link_calls(n.orderBy("id")).write.parquet(str(tmp_path / "links"))
+    assert spark.read.parquet(str(tmp_path / "links")).count() == 4_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "links").glob("*.parquet")) < 2_000_000
+
+
 @pytest.mark.parametrize("seed,calls", [(1, 14), (2, 25), (3, 60)])
 def test_components_through_names(spark, seed, calls):
     """Names in place of their pairs: the same components, recursion and levels as with the pairs."""
