@@ -173,10 +173,24 @@ def _graphml(s, d) -> str:
 GRAPHML = f"with {N} select file, id as src, nxt as dst, '{dims.EDGE_LABELS.get('CFG', 'AST_CHILD')}' as edge_type from p where nxt is not null and t not in ('RETURN','BREAK','CONTINUE','RAISE')"
 
 
+def _graphml_files(s, d, files: int = 64) -> str:
+    """The same graphs in so many GraphML files, whatever the number of users: a node and an edge say whose they are."""
+    root, n = f"{Scratch(s, 'graphml').root}/g", sequence(s, d)
+    mine = F.coalesce(F.concat(F.lit('<data key="f">'), "file", F.lit("</data>")), F.lit(""))
+    node = F.concat(F.lit('<node id="'), "id", F.lit('"><data key="l">'), "t", F.lit("</data>"), mine, F.lit("</node>"))
+    edge = F.concat(F.lit('<edge source="'), "src", F.lit('" target="'), "dst", F.lit('"><data key="e">CFG</data>'), mine, F.lit("</edge>"))
+    of = F.pmod(F.xxhash64("file"), F.lit(files)).alias("of")
+    parts = n.select(of, F.lit(1).alias("place"), node.alias("value")).unionByName(gr.cfg_next(n).select(of, F.lit(2).alias("place"), edge.alias("value")))
+    for place, text in ((0, '<?xml version="1.0"?><graphml><key id="l" attr.name="label"/><key id="e" attr.name="labelE"/><key id="f" attr.name="file"/><graph>'), (3, "</graph></graphml>")):
+        parts = parts.unionByName(s.range(files).select(F.col("id").alias("of"), F.lit(place).alias("place"), F.lit(text).alias("value")))
+    parts.repartition("of").sortWithinPartitions("of", "place").drop("place").write.partitionBy("of").text(root)
+    return root
+
+
 @register("graphml_edges", GRAPHML)
 def graphml_edges(s, d):
-    _, edges = rd.graphml(s, f"{_graphml(s, d)}/*/*.txt")
-    return edges.select(F.regexp_extract("file", "/file=([^/]*)/", 1).alias("file"), "src", "dst", "edge_type")
+    _, edges = rd.graphml(s, f"{_graphml_files(s, d)}/*/*.txt")
+    return edges.select(F.try_element_at("props", F.lit("file")).alias("file"), "src", "dst", "edge_type")
 
 
 @register("graphml_nodes", f"with {N} select file, id, t as label from n")

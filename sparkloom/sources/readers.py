@@ -94,10 +94,14 @@ def edge_label(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.upper(raw)), F.lit("AST_CHILD"))
 
 
+#: Keys of so many GraphML files are sent to where the edges are read; those of more meet them by file.
+FEW_FILES = 1000
+
+
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes: file, id, props map; edges: file, src, dst, edge_type) of GraphML files by the XML source, keys resolved to attribute names.
+    """(nodes: file, id, props map; edges: file, src, dst, edge_type, props map) of GraphML files by the XML source, keys resolved to attribute names.
 
-    Keys and ids count within their own file. Of several values of an attribute the least is taken.
+    Keys and ids count within their own file. Of several values of an attribute the least is taken. Every edge is a row, from what it holds itself.
     """
     data = "array<struct<_key:string,_VALUE:string>>"
 
@@ -112,8 +116,15 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return named.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))).alias("props"))
 
     nodes = props(read("node", f"`_id` string, data {data}").withColumnRenamed("_id", "id"), ["file", "id"])
-    edges = props(read("edge", f"`_source` string, `_target` string, data {data}").toDF("src", "dst", "data", "file"), ["file", "src", "dst"])
-    return nodes, edges.select("file", "src", "dst", edge_label(F.coalesce(F.try_element_at("props", F.lit("labelE")), F.try_element_at("props", F.lit("label")), F.lit(""))).alias("edge_type"))
+    edges = read("edge", f"`_source` string, `_target` string, data {data}").toDF("src", "dst", "data", "file")
+    names = keys.where("k is not null and name is not null").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("names"))
+    edges = edges.join(F.broadcast(names) if len(edges.inputFiles()) <= FEW_FILES else names, "file", "left")
+    # sorted, the least value of a name is its first
+    held = F.transform(F.coalesce("data", F.array()), lambda d: F.struct(F.coalesce(F.try_element_at("names", d["_key"]), d["_key"]).alias("name"), d["_VALUE"].isNull().alias("none"), d["_VALUE"].alias("value")))
+    edges = edges.withColumn("held", F.array_sort(F.filter(held, lambda d: d["name"].isNotNull())))
+    first = F.filter("held", lambda d, k: (k == 0) | (F.get("held", k - 1)["name"] != d["name"]))
+    edges = edges.withColumn("props", F.map_from_entries(F.transform(first, lambda d: F.struct(d["name"], d["value"]))))
+    return nodes, edges.select("file", "src", "dst", edge_label(F.coalesce(F.try_element_at("props", F.lit("labelE")), F.try_element_at("props", F.lit("label")), F.lit(""))).alias("edge_type"), "props")
 
 
 def first_report(spark: SparkSession, path: str, pattern: str = "*.sarif") -> DataFrame:

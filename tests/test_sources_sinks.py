@@ -56,6 +56,31 @@ def test_graphml_keys_count_in_their_file(spark, tmp_path):
     assert got == {"a.xml": ("1", {"CODE": "a"}), "b.xml": ("1", {"NAME": "b"})}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_graphml_edges_between_the_same_nodes(spark, tmp_path, monkeypatch, few):
+    """Each edge has its own type and attributes, whatever others its ends have; keys count in their file."""
+    monkeypatch.setattr(rd, "FEW_FILES", few)
+    for name, key in (("a", '<key id="k" attr.name="labelE"/><key id="n" attr.name="note"/>'), ("b", '<key id="n" attr.name="labelE"/>'), ("c", "")):
+        edges = '<edge source="1" target="2"><data key="k">AST</data></edge><edge source="1" target="2"><data key="k">CFG</data><data key="n">y</data><data key="n">x</data><data key="n"/></edge><edge source="1" target="2"/>'
+        (tmp_path / f"{name}.xml").write_text(f"<graphml>{key}<graph>{edges}</graph></graphml>")
+    got = sorted((r.file[-5], r.src, r.dst, r.edge_type, sorted(r.props.items())) for r in rd.graphml(spark, str(tmp_path))[1].collect())
+    plain = [("AST_CHILD", []), ("AST_CHILD", [("k", "AST")])]
+    want = {"a": [("AST_CHILD", []), ("AST_CHILD", [("labelE", "AST")]), ("CFG_NEXT", [("labelE", "CFG"), ("note", "x")])], "b": [*plain, ("AST_CHILD", [("k", "CFG"), ("labelE", "x")])], "c": [*plain, ("AST_CHILD", [("k", "CFG"), ("n", "x")])]}
+    assert got == sorted((f, "1", "2", *e) for f in want for e in want[f])
+
+
+def test_graphml_edges_are_read_from_few_files(spark, data):
+    from sparkloom.plans import stores as st
+
+    root = st._graphml_files(spark, data, 3)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    assert files.count() == 3
+    from xml.etree import ElementTree
+
+    graphs = [ElementTree.fromstring(r.content) for r in files.collect()]
+    assert sum(len(g.findall(".//node")) for g in graphs) == spark.read.parquet(f"{data}/events.parquet").count()
+
+
 def test_reports_and_session_reads(spark, tmp_path):
     for name in ("b", "a"):
         (tmp_path / f"{name}.sarif").write_text('{"runs":[]}')
